@@ -22,7 +22,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     before = _state(e)
     while before[0]:
-        least = e.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
+        # Written out, so that both sides of the next join are dealt anew and Spark can split a hub's rows.
+        least = spool(e.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m")))
         large = (
             e.join(least, e.v == least.x, "left")
             .select("u", F.coalesce("m", "v").alias("v"))
@@ -40,6 +41,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         nxt = spool(small.select("s.u", "s.v").where("u <> v").distinct())
         after = _state(nxt)
         drop_spool(e)
+        drop_spool(least)
         e = nxt
         if after == before:
             break
