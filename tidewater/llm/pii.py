@@ -20,7 +20,8 @@ BASE = ("email", "ip", "card", "phone")
 #: Each begins at the start of a run, or where the match before ended, and gives nothing back: one pass over a text.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
-CARD = r"[0-9](?:[\x20-]?+[0-9])++"
+#: Whole runs of 16 digits or more.
+CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){15,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
@@ -63,6 +64,15 @@ def _votes(kind: str, span: Column, text: Column) -> Column:
     )
 
 
+def _voted(kind: str, number: int, text: Column):
+    def span(s: Column) -> Column:
+        return F.struct(
+            s["start"].alias("start"), F.lit(number).alias("no"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["m"].alias("m"), _votes(kind, s, text).alias("votes")
+        )
+
+    return span
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """``doc_id, base, loose``: base spans by kind and start, and candidates (clear of base spans) with their votes."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -73,16 +83,10 @@ def candidates(docs: DataFrame) -> DataFrame:
         F.filter(matches(text, IP), lambda s: F.regexp_like(s["m"], F.lit(rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"))).alias("ip"),
         F.filter(matches(text, CARD), lambda s: width(s).between(16, 19) & luhn(s["m"])).alias("card"),
         F.filter(matches(text, PHONE), lambda s: width(s).between(8, 15)).alias("phone"),
-        *[F.transform(matches(text, p[0]), lambda s, k=k: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m"), _votes(k, s, text).alias("votes"))).alias(k) for k, p in CANDIDATES.items()],
+        *[F.transform(matches(text, p[0]), _voted(k, len(BASE) + i, text)).alias(k) for i, (k, p) in enumerate(CANDIDATES.items())],
     )
     base = F.concat(*[of_kind(F.col(k), k, i) for i, k in enumerate(BASE)])
-    loose = F.concat(
-        *[
-            F.transform(F.col(k), lambda s, k=k, i=i: F.struct(s["start"].alias("start"), F.lit(len(BASE) + i).alias("no"), s["end"].alias("end"), F.lit(k).alias("kind"), s["m"].alias("m"), s["votes"].alias("votes")))
-            for i, k in enumerate(CANDIDATES)
-        ]
-    )
-    kinds = found.select("doc_id", by_kind(base).alias("base"), loose.alias("loose"))
+    kinds = found.select("doc_id", by_kind(base).alias("base"), F.concat(*CANDIDATES).alias("loose"))
     clear = F.filter("loose", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
     return kinds.select("doc_id", "base", F.when(F.size("loose") > 0, clear).otherwise(F.col("loose")).alias("loose"))
 

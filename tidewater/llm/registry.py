@@ -6,18 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import bpe, simhash
+from tidewater.llm import bpe, mixing, pii, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     return {
+        "op1_pareto_mix": mixing.op1,
         "op2_simhash_golay": simhash.op2,
+        "op4_multipart_secrets": secrets.op4,
+        "op5_weak_supervision_pii": pii.op5,
         "op7_forced_boundary_bpe": bpe.op7,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_pareto_mix": mixing.OP1_SQL}

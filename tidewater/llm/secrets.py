@@ -10,9 +10,9 @@ from tidewater.llm.tables import table
 #: Kinds in their listing order: the first three count by themselves, the others only with their counterparts.
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = r"AKIA[A-Z0-9]+"
-#: A run of hexadecimal digits from its start, or from where the match before ended.
-HEX = r"(?:\G|(?<![0-9a-f]))[0-9a-f]++"
+#: The lengths asked for stand in these two: a shorter run holds no longer one, so nothing else is matched.
+ACCESS = r"AKIA[A-Z0-9]{12,}+"
+HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 #: Temporary and other identifiers that access keys are issued with.
 WEAK_ID = r"(?<![A-Za-z0-9])(?:ASIA|AIDA|AROA|GOOG)[A-Z0-9]{12,60}(?![A-Za-z0-9])"
 #: Forty characters of base 64 that stand alone.
@@ -38,8 +38,8 @@ def scan(docs: DataFrame) -> DataFrame:
     found = docs.select(
         "doc_id",
         F.filter(matches(text, ASSIGN), lambda s: F.length(F.regexp_extract(s["m"], ASSIGN, 1)) >= 8).alias("assign"),
-        F.filter(matches(text, ACCESS), lambda s: F.length(s["m"]) >= 16).alias("access"),
-        F.filter(matches(text, HEX), lambda s: F.length(s["m"]) >= 32).alias("hex"),
+        matches(text, ACCESS).alias("access"),
+        matches(text, HEX).alias("hex"),
         matches(text, WEAK_ID).alias("weak_id"),
         F.filter(
             matches(text, WEAK_SECRET),

@@ -8,24 +8,43 @@ from pyspark.sql import Column, functions as F
 BEFORE = 48
 
 
+#: Matches laid out one after the other at a time; a text with more is laid out in blocks of so many.
+BLOCK = 256
+_SPANS = "array<struct<start:int,end:int,m:string>>"
+
+
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _laid_out(pairs: Column, at: Column) -> Column:
+    def step(s: Column, p: Column) -> Column:
+        start = s["at"] + F.length(p["piece"])
+        end = start + F.length(p["m"])
+        own = F.struct(start.alias("start"), end.alias("end"), p["m"].alias("m"))
+        return F.struct(end.alias("at"), F.concat(s["out"], F.array(own).cast(_SPANS)).alias("out"))
+
+    return F.aggregate(pairs, F.struct(at.alias("at"), F.array().cast(_SPANS).alias("out")), step, lambda s: s["out"])
+
+
+def _in_blocks(pairs: Column) -> Column:
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int")), lambda i: F.slice(pairs, i * BLOCK + 1, F.lit(BLOCK)))
+    widths = lambda bs: F.transform(bs, lambda b: F.aggregate(b, F.lit(0), lambda n, p: n + F.length(p["piece"]) + F.length(p["m"])))
+    starts = lambda ws: F.aggregate(ws, F.array(F.lit(0)), lambda out, w: F.concat(out, F.array(F.element_at(out, -1) + w)))
+    return _bound(blocks, lambda bs: F.flatten(F.zip_with(bs, F.slice(starts(widths(bs)), 1, F.size(bs)), _laid_out)))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches: array of ``start, end`` (code points, end exclusive) and ``m``, the match.
 
     The pattern must not match nothing. What stands between the matches gives the positions: a match begins where
     all pieces and matches before it end.
     """
-    kind = "array<struct<start:int,end:int,m:string>>"
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("piece"), found.alias("m"))
-
-    def step(s: Column, p: Column) -> Column:
-        start = s["at"] + F.length(p["piece"])
-        end = start + F.length(p["m"])
-        own = F.struct(start.alias("start"), end.alias("end"), p["m"].alias("m"))
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(own).cast(kind)).alias("out"))
-
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(pairs, first, step, lambda s: s["out"])).otherwise(F.array().cast(kind))
+    placed = _bound(pairs, lambda ps: F.when(F.size(ps) <= BLOCK, _laid_out(ps, F.lit(0))).otherwise(_in_blocks(ps)))
+    return F.when(F.regexp_like(text, F.lit(pattern)), placed).otherwise(F.array().cast(_SPANS))
 
 
 def of_kind(spans: Column, kind: str, number: int) -> Column:
