@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import bpe, mixing, pii, secrets, simhash
+from tidewater.llm import bpe, language, lines, mixing, pii, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_multipart_secrets": secrets.op4,
         "op5_weak_supervision_pii": pii.op5,
         "op7_forced_boundary_bpe": bpe.op7,
+        "op9_edit_join_lines": lines.op9,
+        "op10_crf_language": language.op10,
         "pipeline": corpus_pipeline.run,
     }
 
