@@ -7,9 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewater.llm.tables import table
+from tidewater.llm.tables import row_key, table
 from tidewater.operators.components import connected_components
 from tidewater.spool import spool
 
@@ -21,7 +21,6 @@ BROADCAST_ROWS = 200_000
 #: Characters worked through together.
 AT_A_TIME = 1_000_000
 _PRIME = 0x9E3779B97F4A7C15 | 1
-_LAST = (1 << 63) - 1
 
 
 class _Powers:
@@ -172,11 +171,6 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
             out, size, first = [], 0, i + 1
 
 
-def _key() -> Column:
-    """A row's document: its id; one without an id comes after all that have one and goes by its text."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST) - F.pmod(F.xxhash64("text"), F.lit(1 << 48)))
-
-
 def _occurrences(docs: DataFrame, edits: int) -> DataFrame:
     """``doc, lid, size, sig`` and the keys of every line that is long enough."""
     none = probes(np.zeros(1, np.int64), edits)
@@ -194,7 +188,7 @@ def _occurrences(docs: DataFrame, edits: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], schema=schema)
 
     spark_schema = "doc long, lid long, size int, sig long" + "".join(f", {n} long" for n in names)
-    return docs.select(_key().alias("doc"), "text").mapInArrow(run, spark_schema)
+    return docs.select(row_key().alias("doc"), "text").mapInArrow(run, spark_schema)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -233,7 +227,7 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         lines.append(x.cp[a:z].tobytes().decode("utf-32-le"))
             yield pa.RecordBatch.from_arrays([pa.array(lids, pa.int64()), pa.array(lines, pa.string())], schema=schema)
 
-    found = docs.select(_key().alias("doc"), "text").join(_small(per_doc), "doc").select("text", "lids")
+    found = docs.select(row_key().alias("doc"), "text").join(_small(per_doc), "doc").select("text", "lids")
     return found.mapInArrow(run, "lid long, line string").dropDuplicates(["lid"])
 
 
@@ -275,7 +269,7 @@ def dedup_lines(docs: DataFrame, edits: int = MOST_EDITS) -> DataFrame:
     owners = classes.groupBy("class").agg(F.min("doc").alias("owner"))
     known = spool(classes.join(owners, "class").select("lid", "class", "owner"))
     marks = seen.select("doc", "lid").join(known, "lid").groupBy("doc").agg(F.collect_set(F.struct("lid", "class", (F.col("doc") == F.col("owner")).alias("own"))).alias("_marks"))
-    return _cut(plain.withColumn("_doc", _key()), marks)
+    return _cut(plain.withColumn("_doc", row_key()), marks)
 
 
 def _cut(docs: DataFrame, marks: DataFrame) -> DataFrame:

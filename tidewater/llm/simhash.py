@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewater.llm import golay
-from tidewater.llm.tables import table
+from tidewater.llm.tables import row_key, table
 from tidewater.operators.components import connected_components
 from tidewater.spool import spool
 
@@ -114,11 +114,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 def keep_one_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """``docs`` with the smallest ``doc_id`` of each group of near duplicates; of its repeated rows, one.
 
-    Rows without a ``doc_id`` are kept where their group has no row with one (then one of equal texts stays).
+    Rows without a ``doc_id`` come after all others and go by their text. The texts are shuffled once.
     """
-    groups = near_duplicates(docs.select("doc_id", "text"), shingle).where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(groups, docs.doc_id.eqNullSafe(groups.doc_id), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    keyed = docs.withColumn("_key", row_key())
+    groups = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), shingle)
+    stay = spool(groups.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct())
+    return keyed.join(stay, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,3 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def word_count(text: Column) -> Column:
     """Words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def row_key() -> Column:
+    """A row's document as a long: its ``doc_id``; one without an id comes after all that have one and goes by its ``text``."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1) - F.pmod(F.xxhash64("text"), F.lit(1 << 48)))
