@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import bpe, language, lines, mixing, pii, secrets, simhash
+from tidewater.llm import bpe, covertree, language, lines, mixing, neighbours, pii, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,9 +15,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pareto_mix": mixing.op1,
         "op2_simhash_golay": simhash.op2,
+        "op3_cover_tree_links": covertree.op3,
         "op4_multipart_secrets": secrets.op4,
         "op5_weak_supervision_pii": pii.op5,
         "op7_forced_boundary_bpe": bpe.op7,
+        "op8_posting_list_ann": neighbours.op8,
         "op9_edit_join_lines": lines.op9,
         "op10_crf_language": language.op10,
         "pipeline": corpus_pipeline.run,
