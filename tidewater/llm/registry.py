@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import bpe, covertree, language, lines, mixing, neighbours, pii, secrets, simhash
+from tidewater.llm import bpe, covertree, language, lines, mixing, neighbours, pii, secrets, simhash, toolcalls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_cover_tree_links": covertree.op3,
         "op4_multipart_secrets": secrets.op4,
         "op5_weak_supervision_pii": pii.op5,
+        "op6_tool_call_links": toolcalls.op6,
         "op7_forced_boundary_bpe": bpe.op7,
         "op8_posting_list_ann": neighbours.op8,
         "op9_edit_join_lines": lines.op9,
@@ -27,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pareto_mix": mixing.OP1_SQL}
+    return {"op1_pareto_mix": mixing.OP1_SQL, "op6_tool_call_links": toolcalls.OP6_SQL}
