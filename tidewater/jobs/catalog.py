@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.jobs import meshes, time_series
+from tidewater.jobs import meshes, places, time_series
 
-MODULES = (time_series, meshes)
+MODULES = (time_series, meshes, places)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -252,16 +252,15 @@ def overlap_blend(fields: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def gaussian_weights(nodes: DataFrame, sites: DataFrame, scale: float, time_scale: float, cell: float) -> DataFrame:
-    """``node_id, weight``: summed over sites, exp(-r^2 / 2 L^2) / time_scale, scaled down to 1 in sum; tiny ones are 0.
+    """``node_id, weight``: exp(-r^2 / 2 L^2) of all sites in sum, at most 1, by the time scale; tiny parts are 0.
 
-    Below a thousandth of its highest (at the site itself) a weight is 0, so only sites within sqrt(2 ln 1000) L are
-    joined.
+    Below a thousandth of its highest (at the site itself) a site's part is 0, so only sites within sqrt(2 ln 1000) L
+    are joined.
     """
     reach = scale * 3.7169  # sqrt(2 ln 1000)
     boxes = _cells(sites.select("site_id", F.col("x").alias("sx"), F.col("y").alias("sy"), (F.col("x") - reach).alias("xmin"), (F.col("x") + reach).alias("xmax"), (F.col("y") - reach).alias("ymin"), (F.col("y") + reach).alias("ymax")), cell)
     own = nodes.withColumn("_cx", cell_of(F.col("x"), cell)).withColumn("_cy", cell_of(F.col("y"), cell))
     r2 = (F.col("x") - F.col("sx")) ** 2 + (F.col("y") - F.col("sy")) ** 2
-    e = own.join(boxes, ["_cx", "_cy"]).select("node_id", F.exp(-r2 / (2 * scale * scale)).alias("e")).where("e >= 0.001")
-    total = e.groupBy("node_id").agg(F.sum("e").alias("s"), F.sum(F.col("e") * F.col("e")).alias("s2"))
-    weight = F.when(F.col("s") > 1, F.col("s2") / F.col("s")).otherwise(F.col("s2")) / time_scale
-    return nodes.select("node_id").join(total, "node_id", "left").select("node_id", F.coalesce(weight, F.lit(0.0)).alias("weight"))
+    part = own.join(boxes, ["_cx", "_cy"]).select("node_id", F.exp(-r2 / (2 * scale * scale)).alias("e")).where("e >= 0.001")
+    total = part.groupBy("node_id").agg(F.least(F.sum("e"), F.lit(1.0)).alias("s"))
+    return nodes.select("node_id").join(total, "node_id", "left").select("node_id", (F.coalesce("s", F.lit(0.0)) / time_scale).alias("weight"))
