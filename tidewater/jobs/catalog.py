@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.jobs import lists, meshes, places, time_series
+from tidewater.jobs import feeds, lists, meshes, places, time_series
 
-MODULES = (time_series, lists, meshes, places)
+MODULES = (time_series, lists, meshes, places, feeds)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
