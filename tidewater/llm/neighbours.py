@@ -23,6 +23,8 @@ RATIOS = (1.08, 1.12, 1.16, 1.2, 1.25, 1.3, 1.4, 1.6, 2.0)
 RECALL = 0.97
 #: Vectors, and queries, of one list that are compared in one task.
 BLOCK = 4096
+#: Lists of each query that are searched before the others.
+FIRST = 8
 #: Near centroids that each is joined with in the graph, half as many at random, and where a search starts.
 DEGREE, ENTRIES = 16, 32
 
@@ -64,12 +66,12 @@ class Index:
         return out
 
     def search(self, q: np.ndarray, ratio: float | None = None) -> np.ndarray:
-        """For each query which lists to search: best-first over the graph, all queries side by side.
+        """For each query the distances of the lists to search, infinite for others: best-first over the graph, all queries side by side.
 
         The nearest centroid not yet looked from is taken next; a query ends when that one is too far.
         """
         ratio, q = ratio or self.ratio, np.hstack([q, np.zeros((len(q), 1))])
-        n = len(self.centroids)
+        n, slack = len(self.centroids), 1e-6 * self.norm
         dist, looked = np.full((len(q), n), np.inf), np.zeros((len(q), n), bool)
         dist[:, self.entries] = _distances(q, self.centroids[self.entries])
         best = dist.min(axis=1)
@@ -77,7 +79,7 @@ class Index:
         while len(live):
             open_ = np.where(looked[live], np.inf, dist[live])
             take = open_.argmin(axis=1)
-            go = open_[np.arange(len(live)), take] <= ratio * best[live]
+            go = open_[np.arange(len(live)), take] <= ratio * best[live] + slack
             live, take = live[go], take[go]
             if not len(live):
                 break
@@ -86,7 +88,7 @@ class Index:
             step = np.sqrt(np.maximum(((q[live, None, :] - self.centroids[near]) ** 2).sum(axis=2), 0))
             dist[live[:, None], near] = step
             best[live] = np.minimum(best[live], step.min(axis=1))
-        return dist <= ratio * best[:, None]
+        return np.where(dist <= ratio * best[:, None] + slack, dist, np.inf)
 
     def _fitted(self, sample: np.ndarray, k: int) -> float:
         """The smallest ratio that finds enough of the sample's true neighbours of 256 of it."""
@@ -94,8 +96,8 @@ class Index:
         scores = q @ sample.T
         top = np.argsort(-scores, axis=1, kind="stable")[:, 1 : k + 1]  # the first is the query
         held = self.lists_of(sample)
-        for ratio in RATIOS:
-            open_ = self.search(q, ratio)
+        for ratio in RATIOS if len(sample) > 1 else ():
+            open_ = np.isfinite(self.search(q, ratio))
             found = np.mean([(held[t] & o).any(axis=1).mean() for t, o in zip(top, open_, strict=True)])
             if found >= RECALL:
                 return ratio
@@ -167,20 +169,22 @@ def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
         for x in batches:
             for i in range(0, len(x), 512):
                 part = x[i : i + 512]
-                row, which = np.nonzero(shared.value.search(_matrix(part["embedding"])))
-                yield pd.DataFrame({"list": which, "query": part["vec_id"].to_numpy()[row], "embedding": part["embedding"].to_numpy()[row]})
+                far = shared.value.search(_matrix(part["embedding"]))
+                row, which = np.nonzero(np.isfinite(far))
+                place = far.argsort(axis=1, kind="stable").argsort(axis=1)[row, which]
+                yield pd.DataFrame({"list": which, "query": part["vec_id"].to_numpy()[row], "embedding": part["embedding"].to_numpy()[row], "place": place})
 
     asked = spool(good.where(is_query(F.col("vec_id"))).select("embedding", F.col("vec_id").alias("query_id")))
     queries = asked.groupBy("embedding").agg(F.min("query_id").alias("vec_id"))
     postings = spool(held.select("vec_id", "embedding").mapInPandas(post, "list int, vec_id long, embedding array<double>"))
-    probes = spool(queries.mapInPandas(probe, "list int, query long, embedding array<double>"))
+    probes = spool(queries.mapInPandas(probe, "list int, query long, embedding array<double>, place int"))
     # How many blocks each list's vectors and queries make; at most MOST_CENTROIDS rows.
     blocks = lambda df, c: df.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(c))
     sizes = F.broadcast(spool(blocks(postings, "nv").join(blocks(probes, "nq"), "list")))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = postings.join(sizes, "list").withColumn("bv", block("vec_id", "nv")).withColumn("bq", each("nq"))
-    right = probes.join(sizes, "list").withColumn("bq", block("query", "nq")).withColumn("bv", each("nv"))
+    cols = ["list", "bv", "bq"]
 
     def compare(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(v) or not len(q):
@@ -192,16 +196,24 @@ def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
             part = q[i : i + 256]
             scores = _matrix(part["embedding"]) @ x.T
             n = min(k + 1, len(ids))
-            cut = -np.partition(-scores, n - 1, axis=1)[:, n - 1 : n]
+            cut = np.maximum(-np.partition(-scores, n - 1, axis=1)[:, n - 1 : n], part["least"].to_numpy()[:, None])
             row, col = np.nonzero(scores >= cut - 1e-9)
             out.append(pd.DataFrame({"query": part["query"].to_numpy()[row], "vec_id": ids[col], "score": scores[row, col]}))
         return pd.concat(out)
 
-    cols = ["list", "bv", "bq"]
-    near = left.select(*cols, "vec_id", "embedding").groupBy(*cols).cogroup(right.select(*cols, "query", "embedding").groupBy(*cols)).applyInPandas(compare, "query long, vec_id long, score double")
-    near = near.groupBy("query", "vec_id").agg(F.max("score").alias("score"))
+    def compared(asked: DataFrame) -> DataFrame:
+        right = asked.join(sizes, "list").withColumn("bq", block("query", "nq")).withColumn("bv", each("nv"))
+        pairs = left.select(*cols, "vec_id", "embedding").groupBy(*cols).cogroup(right.select(*cols, "query", "embedding", "least").groupBy(*cols))
+        return pairs.applyInPandas(compare, "query long, vec_id long, score double").groupBy("query", "vec_id").agg(F.max("score").alias("score"))
+
+    # The nearest lists first: what they give bounds what the others need to send.
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    some = near.withColumn("_nth", F.row_number().over(best)).where(F.col("_nth") <= k + 1 + 5).select("query", F.col("vec_id").alias("held"))
+    top_of = lambda df: df.withColumn("_nth", F.row_number().over(best)).where(F.col("_nth") <= k + 1 + 5)
+    early = spool(top_of(compared(probes.where(F.col("place") < FIRST).withColumn("least", F.lit(-math.inf)))))
+    least = early.where(F.col("_nth") == k + 1).select(F.col("query").alias("_q"), F.col("score").alias("_least"))
+    rest = probes.where(F.col("place") >= FIRST).join(least, F.col("query") == F.col("_q"), "left").withColumn("least", F.coalesce("_least", F.lit(-math.inf)))
+    near = early.select("query", "vec_id", "score").unionByName(compared(rest)).groupBy("query", "vec_id").agg(F.max("score").alias("score"))
+    some = top_of(near).select("query", F.col("vec_id").alias("held"))
     # The few that are left get their exact score, and the ids of equal vectors.
     own = queries.select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
     exact = some.join(own, "query").join(held.select(F.col("vec_id").alias("held"), "embedding", "ids"), "held")
