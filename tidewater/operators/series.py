@@ -266,7 +266,7 @@ def time_gaps(df: DataFrame, keys: Sequence[str], step: int) -> DataFrame:
 def distinct_states(df: DataFrame, keys: Sequence[str], columns: Sequence[str], consecutive_only: bool = False) -> DataFrame:
     """Rows of a structure's history without repeats of the same state: the first of each kept.
 
-    As the original does it the time between is ignored, so a return to an earlier state is dropped as well;
+    The time between is ignored, so a return to an earlier state is dropped as well;
     ``consecutive_only`` keeps it.
     """
     if consecutive_only:
