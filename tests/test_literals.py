@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.operators import mesh, series, spatial, tables
+from tidewater.operators import mesh, series, spatial, tables, vertical
 from tidewater.operators.components import connected_components
 from tidewater.sources import text
 
@@ -92,3 +92,11 @@ def test_components_of_a_long_path_and_a_star(spark):
     comp = {r["node"]: r["component"] for r in got.collect()}
     assert len(comp) == 501 and {comp[i] for i in range(301)} == {0} and {comp[1000 + i] for i in range(200)} == {1000}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_utm_on_the_central_meridian(spark):
+    at = spark.createDataFrame([(-123.0, 0.0), (-123.0, 45.0), (-120.0, 0.0)], "lon double, lat double")
+    x, y = vertical.utm(F.col("lon"), F.col("lat"))
+    got = [(round(r["x"], 2), round(r["y"], 2)) for r in at.select(x.alias("x"), y.alias("y")).collect()]
+    # The meridian is 4,984,944.378 m long from the equator to 45 degrees.
+    assert got[0] == (500000.0, 0.0) and got[1] == (500000.0, round(0.9996 * 4984944.378, 2)) and got[2] == (833978.56, 0.0)

@@ -116,10 +116,10 @@ NBR = """pair as (select elem_id, node_id as p, coalesce(lead(node_id) over w, f
 nbr as (select distinct p as a, q as b from pair union select distinct q, p from pair)"""
 
 
-def _smooth_sql(rounds: int) -> str:
+def _smooth_sql(rounds: int, velocity: str = "0") -> str:
     steps = ["v0 as (select node_id, depth as v from node)"]
     for i in range(rounds):
-        steps.append(f"v{i + 1} as materialized (select o.node_id, o.v + coalesce(0.05::double * (m.m - o.v), 0) as v from v{i} o left join (select a as node_id, avg(v) as m from nbr join v{i} on b = node_id group by 1) m using (node_id))")
+        steps.append(f"v{i + 1} as materialized (select o.node_id, o.v + coalesce(0.05::double * (m.m - o.v), 0) + {velocity} as v from v{i} o left join (select a as node_id, avg(v) as m from nbr join v{i} on b = node_id group by 1) m using (node_id))")
     return ", ".join(steps)
 
 
