@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.jobs import feeds, lists, meshes, places, profiles, time_series
+from tidewater.jobs import feeds, lists, meshes, places, profiles, subsets, time_series
 
-MODULES = (time_series, lists, meshes, places, profiles, feeds)
+MODULES = (time_series, lists, meshes, places, profiles, subsets, feeds)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
