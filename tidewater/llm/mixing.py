@@ -56,8 +56,9 @@ def mix(
     most: int = MOST_COPIES,
     seed: int = 1,
     document_weight: str | None = None,
+    size: Column | None = None,
 ) -> DataFrame:
-    """All rows of ``docs`` (needs ``doc_id, text, source``) with ``size, source_size, target, copies, taken``.
+    """All rows of ``docs`` (needs ``doc_id, text, source``, no text where ``size`` is given) with ``size, source_size, target, copies, taken``.
 
     A document is expected in the mix (target / source size) times, more or less by ``document_weight`` (a column
     of positive numbers) if one is named, at most ``most`` times. The whole part of that number is allocated for
@@ -70,7 +71,8 @@ def mix(
     with one of the names added are replaced. An empty table gives an empty one. Reruns agree.
     """
     added = ["size", "source_size", "target", "copies", "taken"]
-    sized = docs.drop(*[c for c in added if c in docs.columns]).withColumn("size", word_count(F.col("text").cast("string")))
+    words = word_count(F.col("text").cast("string")) if size is None else size
+    sized = docs.withColumn("_size", words).drop(*added).withColumnRenamed("_size", "size")
     weight = F.coalesce(F.col(document_weight).cast("double"), F.lit(1.0)) if document_weight else F.lit(1.0)
     sums = spool(sized.groupBy("source").agg(F.sum("size").alias("size"), F.sum(weight * F.col("size")).alias("_weighted")))
     plan = spool(
@@ -131,9 +133,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of all documents takes of each."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    sized = docs.withColumn("text", F.col("text").cast("string"))
-    return mix(sized).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long"), "source", "copies")
+    docs = table(spark, sf_dir, "documents")
+    # Only the sizes are shuffled, not the texts.
+    sized = docs.select("doc_id", "source", word_count(F.col("text").cast("string")).alias("words"))
+    return mix(sized, size=F.col("words")).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long"), "source", "copies")
 
 
 OP1_SQL = r"""
