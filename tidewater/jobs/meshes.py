@@ -81,7 +81,7 @@ QUERIES = {
         f"with {MESH}, {EDGE} select round(sum(abs(p.depth - q.depth) / (sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) + 1e-12)), 4) as energy from edge join node p on a = p.node_id join node q on b = q.node_id",
     ),
     "level_counts": (lambda s, d: M.level_counts(level(s, d)), f"with {LEVEL} select node_id, count(*) as nlevel, greatest(count(*) - 1, 0) as nlayer from level group by 1"),
-    "build_z_local": (lambda s, d: _r(_z(s, d), "z"), f"with {Z} select node_id, k, round(z, 6) as z from z"),
+    "build_z_local": (lambda s, d: _settled(_z(s, d), "z"), f"with {Z} select node_id, k, round(z + 1e-9, 6) as z from z"),
     "sigma_to_z": (
         lambda s, d: _settled(M.sigma_to_z(level(s, d), node(s, d), 0.5), "z"),
         f"with {NODE}, {LEVEL} select node_id, k, round(case when depth >= 0 then 0.5 + (0.5 + depth) * sigma end + 1e-9, 6) as z from level join node using (node_id)",

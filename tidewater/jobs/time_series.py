@@ -148,7 +148,7 @@ def best_lag(spark, d):
 
 
 def datum_adjust(spark, d):
-    return _r(S.datum_adjust(_pairs(spark, d), ["station"]), "obs")
+    return _settled(S.datum_adjust(_pairs(spark, d), ["station"]), "obs")
 
 
 def stokes_drift(spark, d):
@@ -283,7 +283,7 @@ select station, t, round(product(v), 6) as up, round(-product(v), 6) as down fro
   where o.variable = 'view' and s.variable = 'click' and s.station = o.station and s.t = o.t + x.lag * {DAY} group by 1, 2)
 select station, case when abs(lag) < 3 then lag::int end as lag, r from (select *, row_number() over (partition by station order by r desc, abs(lag), lag desc) as k from l where n >= 3 and r is not null and not isnan(r)) where k = 1""",
     ),
-    "datum_adjust": (datum_adjust, f"with {SERIES}, {_PAIRS} select station, t, sim, round(obs + avg(sim) over w - avg(obs) over w, 6) as obs from pairs window w as (partition by station)"),
+    "datum_adjust": (datum_adjust, f"with {SERIES}, {_PAIRS} select station, t, sim, round(obs + avg(sim) over w - avg(obs) over w + 1e-9, 6) as obs from pairs window w as (partition by station)"),
     "stokes_drift": (
         stokes_drift,
         f"with {SERIES}, {_PAIRS}, m as (select *, avg(sim) over w as mu, avg(obs) over w as mh from pairs window w as (partition by station)) select station, round(case when max(abs(sim - mu)) * max(abs(obs - mh)) > 1e-9 then (avg(sim * obs) - max(mu) * max(mh)) / (max(abs(sim - mu)) * max(abs(obs - mh))) end, 6) as drift from m group by 1",
