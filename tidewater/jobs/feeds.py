@@ -14,7 +14,7 @@ START = 1_704_067_200_000_000  # 2024-01-01
 
 def _wide(s, d):
     h = hourly(s, d).where("variable in ('view', 'click')")
-    return h.select(F.concat(F.lit("f"), F.col("station").cast("string")).alias("file"), "t", F.col("variable").alias("name"), F.round("value", 2).alias("value"))
+    return h.select(F.concat(F.lit("f"), F.col("station").cast("string")).alias("file"), "t", F.col("variable").alias("name"), F.round(F.col("value") + 1e-9, 2).alias("value"))
 
 
 def _with_notes(files):
@@ -56,7 +56,7 @@ def params(s, d):
     return X.params_table(files)
 
 
-_WIDE = HOURLY + ", w as (select 'f' || station as file, t, variable as name, round(value, 2) as value from hourly where variable in ('view', 'click')), tt as (select distinct file, t from w), g as (select tt.file, tt.t, n.name, w.value from tt, (values ('click'), ('view')) n(name) left join w on w.file = tt.file and w.t = tt.t and w.name = n.name), k as (select *, dense_rank() over (partition by file order by t) - 1 as row_no from g)"
+_WIDE = HOURLY + ", w as (select 'f' || station as file, t, variable as name, round(value + 1e-9, 2) as value from hourly where variable in ('view', 'click')), tt as (select distinct file, t from w), g as (select tt.file, tt.t, n.name, w.value from tt, (values ('click'), ('view')) n(name) left join w on w.file = tt.file and w.t = tt.t and w.name = n.name), k as (select *, dense_rank() over (partition by file order by t) - 1 as row_no from g)"
 
 QUERIES = {
     "read_th_dated": (read_th, f"with {_WIDE} select file, row_no::bigint as row_no, t, name, value, case when t % {DAY} = 0 then 'checked' end as comment from k"),
