@@ -45,7 +45,7 @@ def flagship_skill(spark: SparkSession, d: str) -> DataFrame:
     filled = _settled(filled, "value")
     pick = lambda v, name: filled.where((F.col("variable") == v) & F.col("value").isNotNull()).select("station", "t", F.col("value").alias(name))
     scores = S.skill_scores(pick("click", "sim").join(pick("view", "obs"), ["station", "t"]), ["station"])
-    return _r(scores.where("n >= 3"), "rmse", "bias", "nse", "willmott", "corr")
+    return _settled(scores.where("n >= 3"), "rmse", "bias", "nse", "willmott", "corr")
 
 
 def _pairs(spark, d):
@@ -208,10 +208,10 @@ QUERIES = {
         f"""with {HOURLY}, hh as (select * from hourly where variable in ('view', 'click')), {_grid(HOUR, 'hh')}, {_filled('hh', HOUR, GAP)},
 both_ as (select s.station, s.value as sim, o.value as obs, avg(o.value) over (partition by s.station) as m from filled s join filled o on s.station = o.station and s.t = o.t
   and s.variable = 'click' and o.variable = 'view' and s.value is not null and o.value is not null)
-select station, count(*) as n, round(sqrt(avg((sim - obs) ** 2)), 6) as rmse, round(avg(sim - obs), 6) as bias,
-  round(case when sum((obs - m) ** 2) > 1e-12 then 1 - sum((sim - obs) ** 2) / sum((obs - m) ** 2) end, 6) as nse,
-  round(case when sum((abs(sim - m) + abs(obs - m)) ** 2) > 1e-12 then 1 - sum((sim - obs) ** 2) / sum((abs(sim - m) + abs(obs - m)) ** 2) end, 6) as willmott,
-  round(case when stddev_pop(sim) > 0 and stddev_pop(obs) > 0 then corr(sim, obs) end, 6) as corr from both_ group by station having count(*) >= 3""",
+select station, count(*) as n, round(sqrt(avg((sim - obs) ** 2)) + 1e-9, 6) as rmse, round(avg(sim - obs) + 1e-9, 6) as bias,
+  round(case when sum((obs - m) ** 2) > 1e-12 then 1 - sum((sim - obs) ** 2) / sum((obs - m) ** 2) end + 1e-9, 6) as nse,
+  round(case when sum((abs(sim - m) + abs(obs - m)) ** 2) > 1e-12 then 1 - sum((sim - obs) ** 2) / sum((abs(sim - m) + abs(obs - m)) ** 2) end + 1e-9, 6) as willmott,
+  round(case when stddev_pop(sim) > 0 and stddev_pop(obs) > 0 then corr(sim, obs) end + 1e-9, 6) as corr from both_ group by station having count(*) >= 3""",
     ),
     "resample_ffill": (
         resample_ffill,
