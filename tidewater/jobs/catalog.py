@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.jobs import feeds, lists, meshes, places, profiles, refine, subsets, time_series
+from tidewater.jobs import casts, feeds, lists, meshes, places, profiles, refine, subsets, time_series
 
-MODULES = (time_series, lists, meshes, places, profiles, refine, subsets, feeds)
+MODULES = (time_series, lists, meshes, places, profiles, refine, subsets, casts, feeds)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -31,6 +31,13 @@ def coverage_sessions(feed: DataFrame, gap: str = "12 hours", late: str = "1 day
     return own.agg(F.count("*").alias("n")).select("station", F.unix_micros("session_window.start").alias("a"), F.unix_micros("session_window.end").alias("z"), "n")
 
 
+def block_completeness(feed: DataFrame, expected: int, width: str = "5 days", late: str = "1 day") -> DataFrame:
+    """``station, a, n, complete``: whether ``expected`` of the few variables came in each block, once it is over."""
+    own = feed.withWatermark("ts", late).groupBy("station", F.window("ts", width))
+    n = F.size(F.collect_set("variable")).cast("long")
+    return own.agg(n.alias("n")).select("station", F.unix_micros("window.start").alias("a"), "n", (F.col("n") >= expected).alias("complete"))
+
+
 def with_station(feed: DataFrame, stations: DataFrame) -> DataFrame:
     """Each record with its station's unit and datum (static, small by nature); unknown stations stay."""
     return feed.join(stations, "station", "left")
