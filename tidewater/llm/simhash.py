@@ -22,20 +22,27 @@ PAIRWISE = 64
 _SEED = 42
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """64 bits, each set if set in over half the shingles' hashes; 0 without words."""
+def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of the word shingles in order, at most 4096 at a time; a text of fewer words is one shingle."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
-    total, votes = len(words) - k + 1, np.zeros(64, np.int64)
+    total = len(words) - k + 1
     starts, ends = starts[:total].tolist(), ends[k - 1 :].tolist()
     for i in range(0, total, 4096):
-        h = np.array([digest(joined[a:z], _SEED) for a, z in zip(starts[i : i + 4096], ends[i : i + 4096], strict=True)], "<u8")
+        yield np.array([digest(joined[a:z], _SEED) for a, z in zip(starts[i : i + 4096], ends[i : i + 4096], strict=True)], "<u8")
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """64 bits, each set if set in over half the shingles' hashes; 0 without words."""
+    total, votes = 0, np.zeros(64, np.int64)
+    for h in shingle_hashes(text, shingle):
+        total += len(h)
         votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * votes > total, bitorder="little").view("<u8")[0])
 
@@ -112,12 +119,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def keep_one_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """``docs`` with the smallest ``doc_id`` of each group of near duplicates; of its repeated rows, one.
+    """``docs`` with the smallest ``doc_id`` of each group of near copies; of its repeated rows, one.
 
-    Rows without a ``doc_id`` come after all others and go by their text. The texts are shuffled once.
+    Near copies are texts whose ``shingle``-word shingles have a Jaccard similarity of 4/5 or more
+    (``nearcopies.near_copies``): far more than 2 of 64 bits apart, so fingerprints don't decide here. Rows without a
+    ``doc_id`` come after all others and go by their text. The texts are shuffled once.
     """
+    from tidewater.llm.nearcopies import near_copies
+
     keyed = docs.withColumn("_key", row_key())
-    groups = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), shingle)
+    groups = near_copies(keyed.select(F.col("_key").alias("doc_id"), "text"), shingle)
     stay = spool(groups.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct())
     return keyed.join(stay, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
