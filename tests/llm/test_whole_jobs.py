@@ -2,7 +2,7 @@
 
 import random
 
-from tidewater.llm import simhash
+from tidewater.llm import lines, simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -41,3 +41,33 @@ def test_near_dedup_against_brute_force_jaccard(spark):
     label = groups(list(sets), lambda i, j: jaccard(sets[i], sets[j]) >= 0.8)
     got = simhash.keep_one_each(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()
     assert sorted(x["doc_id"] for x in got) == sorted(set(label.values()))
+
+
+def edit(a, b):
+    p = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        q = [i + 1]
+        for j, y in enumerate(b):
+            q.append(min(q[-1] + 1, p[j + 1] + 1, p[j] + (x != y)))
+        p = q
+    return p[-1]
+
+
+def test_line_edits_grow_with_length(spark):
+    r = random.Random(3)
+    texts = []
+    for n in (32, 39, 40, 79, 80, 120, 200, 300):
+        base = "".join(r.choice("abcdefgh ij") for _ in range(n - 2))
+        base = f"x{base}x"
+        for _ in range(8):
+            own = list(base)
+            for _ in range(r.randrange(0, n // 40 + 3)):
+                i = r.randrange(len(own))
+                own[i : i + 1] = r.choice(["", "z", own[i] + "y"])
+            texts.append("".join(own))
+    sizes = [len(t) for t in texts]
+    close = lambda i, j: texts[i] == texts[j] or min(sizes[i], sizes[j]) >= 32 and abs(sizes[i] - sizes[j]) < 15 and edit(texts[i], texts[j]) <= 1 + min(sizes[i], sizes[j]) // 40
+    known = {(i, j): close(i, j) for i in range(len(texts)) for j in range(i, len(texts))}
+    label = groups(list(range(len(texts))), lambda i, j: known[min(i, j), max(i, j)])
+    got = {x["doc_id"]: x["n_dropped"] for x in lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    assert got == {i: int(label[i] != i) for i in label}

@@ -1,4 +1,4 @@
-"""Line dedup by a segment-partition edit join."""
+"""Line dedup by an edit join over prefixes of the lines' grams."""
 
 from __future__ import annotations
 
@@ -13,9 +13,12 @@ from tidewater.llm.tables import row_key, table
 from tidewater.operators.components import connected_components
 from tidewater.spool import spool
 
-#: Lines of fewer characters are left alone: they repeat by chance.
+#: Lines of fewer characters are left alone.
 LEAST_CHARS = 32
-MOST_EDITS = 1
+#: One edit and one more for every so many characters of the shorter line.
+CHARS_AN_EDIT = 40
+#: Characters of a gram. Any line of ``LEAST_CHARS`` or more has one disjoint gram more than it may have edits.
+GRAM = 13
 #: Rows (of two longs) up to which a table is broadcast; beyond it, it is shuffled.
 BROADCAST_ROWS = 200_000
 #: Characters worked through together.
@@ -77,6 +80,21 @@ def _mixed(h: np.ndarray, length: np.ndarray, part: int) -> np.ndarray:
     return x ^ x >> np.uint64(29)
 
 
+def most_edits(size: int | np.ndarray) -> int | np.ndarray:
+    return 1 + size // CHARS_AN_EDIT
+
+
+def _bounds() -> np.ndarray:
+    """First sizes of the length classes: each wider than the edits of its lines, so that a pair is in one or two neighbours."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(out[-1] + max(4, out[-1] // 8))
+    return np.array(out, np.int64)
+
+
+_BOUNDS = _bounds()
+
+
 class Lines:
     """The lines of some texts that are long enough, in normal form: A-Z lower-cased and digits as 0."""
 
@@ -118,6 +136,44 @@ class Lines:
         return own, [key(*p) for p in probes(self.size, edits)]
 
 
+    def grams(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Keys of each line: under its length class, and under the class before where a line close to it may be shorter.
+
+        A line's keys are its grams in the order of their hashes up to where its edits can't touch all of them: until
+        one more of them are disjoint. Of two close lines, take the one whose keys end first: some gram of it is
+        untouched, stands in the other and comes before the end of that one's keys too. So they share a key.
+        """
+        up, down = _POWERS.upto(len(self.cp) + 1)
+        total = np.concatenate([np.zeros(1, np.uint64), (self.cp * up[: len(self.cp)]).cumsum(dtype=np.uint64)])
+        none = np.zeros(0, np.int64)
+        edits = most_edits(self.size)
+        kind, before = (np.searchsorted(_BOUNDS, x, side="right") for x in (self.size, self.size - edits))
+        h = (total[GRAM:] - total[:-GRAM]) * down[: max(len(total) - GRAM, 0)]
+        h = _mixed(h, np.zeros(len(h), np.int64), 0)
+        own, more = [], []
+        for a, n, k, c, d in zip(self.start.tolist(), self.size.tolist(), edits.tolist(), kind.tolist(), before.tolist(), strict=True):
+            if n < LEAST_CHARS:
+                own.append(none)
+                more.append(none)
+                continue
+            g = h[a : a + n - GRAM + 1]
+            order, m = g.argsort(kind="stable"), 2 * k + 2
+            while m < len(g) and _disjoint(order[:m].tolist()) <= k:
+                m += m // 4
+            keys = np.unique(g[order[:m]])
+            own.append((keys ^ np.uint64(c * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.int64))
+            more.append((keys ^ np.uint64(d * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.int64) if d < c else none)
+        return own, more
+
+
+def _disjoint(starts: list[int]) -> int:
+    n, end = 0, -1
+    for at in sorted(starts):
+        if at >= end:
+            n, end = n + 1, at + GRAM
+    return n
+
+
 def within(a: str, b: str, edits: int) -> bool:
     """Whether the edit distance is at most ``edits``: bit-parallel over the band around the diagonal."""
     if len(a) > len(b):
@@ -171,11 +227,10 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
             out, size, first = [], 0, i + 1
 
 
-def _occurrences(docs: DataFrame, edits: int) -> DataFrame:
-    """``doc, lid, size, sig`` and the keys of every line that is long enough."""
-    none = probes(np.zeros(1, np.int64), edits)
-    names = [f"s{i}" for i in range(edits + 1)] + [f"p{i}" for i in range(len(none))]
-    schema = pa.schema([("doc", pa.int64()), ("lid", pa.int64()), ("size", pa.int32()), ("sig", pa.int64()), *[(n, pa.int64()) for n in names]])
+def _occurrences(docs: DataFrame) -> DataFrame:
+    """``doc, lid, size, sig, own, more`` of every line that is long enough."""
+    keys = pa.list_(pa.int64())
+    schema = pa.schema([("doc", pa.int64()), ("lid", pa.int64()), ("size", pa.int32()), ("sig", pa.int64()), ("own", keys), ("more", keys)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,11 +238,10 @@ def _occurrences(docs: DataFrame, edits: int) -> DataFrame:
             for first, texts in _texts(batch.column(1)):
                 x = Lines(texts)
                 if len(x.lid):
-                    own, more = x.keys(edits)
-                    arrays = [doc[first + x.text], x.lid, x.size.astype(np.int32), x.signature(), *own, *more]
-                    yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], schema=schema)
+                    arrays = [pa.array(a) for a in (doc[first + x.text], x.lid, x.size.astype(np.int32), x.signature())]
+                    yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(k, keys) for k in x.grams())], schema=schema)
 
-    spark_schema = "doc long, lid long, size int, sig long" + "".join(f", {n} long" for n in names)
+    spark_schema = "doc long, lid long, size int, sig long, own array<long>, more array<long>"
     return docs.select(row_key().alias("doc"), "text").mapInArrow(run, spark_schema)
 
 
@@ -196,15 +250,14 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _candidates(distinct: DataFrame, edits: int) -> DataFrame:
-    """Pairs ``a, b`` of distinct lines that share a segment key and may be close by length and character counts."""
-    own = [c for c in distinct.columns if c[0] == "s" and c[1:].isdigit()]
-    more = [c for c in distinct.columns if c[0] == "p" and c[1:].isdigit()]
-    pick = lambda names, p: distinct.select(F.col("lid").alias(f"{p}"), F.col("size").alias(f"{p}_size"), F.col("sig").alias(f"{p}_sig"), F.explode(F.array(*names)).alias("key")).where("key <> 0")
-    index, probe = pick(own, "a"), pick(own + more, "b")
+def _candidates(lines: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of distinct lines that share a key and may be close by length and character counts."""
+    pick = lambda keys, p: lines.select(F.col("lid").alias(f"{p}"), F.col("size").alias(f"{p}_size"), F.col("sig").alias(f"{p}_sig"), F.explode(keys).alias("key")).distinct()
+    index, probe = pick(F.col("own"), "a"), pick(F.concat("own", "more"), "b")
     x = F.col("a_sig").bitwiseXOR(F.col("b_sig"))
     x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
     x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
+    edits = F.lit(1) + F.floor(F.col("a_size") / CHARS_AN_EDIT)
     close = (F.bit_count(x) <= 2 * edits) & (F.col("b_size") - F.col("a_size") <= edits)
     ordered = (F.col("b_size") > F.col("a_size")) | ((F.col("b_size") == F.col("a_size")) & (F.col("a") < F.col("b")))
     return index.join(probe, "key").where(ordered & close).select("a", "b").distinct()
@@ -231,12 +284,13 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "lid long, line string").dropDuplicates(["lid"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [within(x.as_py(), y.as_py(), edits) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            both = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            good = [within(x, y, most_edits(min(len(x), len(y)))) for x, y in both]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good, pa.bool_())), batch.column(1).filter(pa.array(good, pa.bool_()))], schema=schema)
 
     one = texts.select(F.col("lid").alias("a"), F.col("line").alias("la"))
@@ -244,12 +298,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "la", "lb").mapInArrow(run, "a long, b long")
 
 
-def dedup_lines(docs: DataFrame, edits: int = MOST_EDITS) -> DataFrame:
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` (``doc_id, text`` and more) with the lines taken out that stand, or nearly stand, earlier.
 
-    Lines are compared in normal form (A-Z in lower case, digits as 0) from ``LEAST_CHARS`` characters on; two are
-    linked if their edit distance is at most ``edits``, classes are what links connect. Of a class the first line of
-    the document with the smallest ``doc_id`` stays. Columns ``n_lines`` and ``n_dropped`` are added (replaced if
+    Lines are compared in normal form (A-Z in lower case, digits as 0). Two of ``LEAST_CHARS`` characters or more are linked if
+    their edit distance is at most ``most_edits`` of the shorter one; classes are what links connect. Of a class the
+    first line of the document with the smallest ``doc_id`` stays. Columns ``n_lines`` and ``n_dropped`` are added (replaced if
     there). A null text stays null with 0 lines. Rows with one ``doc_id`` count as one document; a row without one
     comes last and goes by its text. Rows are never taken out here. Equal lines are told by a 64-bit hash.
 
@@ -257,13 +311,12 @@ def dedup_lines(docs: DataFrame, edits: int = MOST_EDITS) -> DataFrame:
     """
     docs = docs.drop("n_lines", "n_dropped")
     plain = docs.withColumn("text", F.col("text").cast("string"))
-    seen = spool(_occurrences(plain, edits))
-    keys = [c for c in seen.columns if c not in ("doc", "lid")]
-    distinct = spool(seen.groupBy("lid").agg(F.min("doc").alias("doc"), (F.min("doc") < F.max("doc")).alias("again"), *[F.max(k).alias(k) for k in keys]))
-    pairs = spool(_candidates(distinct, edits))
+    seen = spool(_occurrences(plain))
+    distinct = spool(seen.groupBy("lid").agg(F.min("doc").alias("doc"), (F.min("doc") < F.max("doc")).alias("again")))
+    pairs = spool(_candidates(seen.where(F.col("size") >= LEAST_CHARS).join(distinct, ["lid", "doc"])))
     asked = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
     texts = spool(_line_texts(plain, distinct.join(asked, "lid").select("doc", "lid")))
-    nodes = connected_components(_verified(pairs, texts, edits))
+    nodes = connected_components(_verified(pairs, texts))
     classes = spool(distinct.select("lid", "doc", "again").join(nodes, distinct.lid == nodes.node, "left").where("again or component is not null"))
     classes = classes.select("lid", "doc", F.coalesce("component", "lid").alias("class"))
     owners = classes.groupBy("class").agg(F.min("doc").alias("owner"))
@@ -300,18 +353,18 @@ def _kept_lines(text: str | None, marks: list[dict]) -> tuple[str | None, int, i
     x = Lines([text])
     known = {m["lid"]: m for m in marks}
     used, drop = set(), set()
-    for lid, nth in zip(x.lid.tolist(), x.nth.tolist(), strict=True):
+    for lid, nth, size in zip(x.lid.tolist(), x.nth.tolist(), x.size.tolist(), strict=True):
         m = known.get(lid)
         one = m["class"] if m else lid
-        if m and not m["own"] or one in used:
+        if m and not m["own"] or one in used and size >= LEAST_CHARS:
             drop.add(nth)
         used.add(one)
     return ("\n".join(v for i, v in enumerate(lines) if i not in drop) if drop else text), len(lines), len(drop)
 
 
-def dedup_documents(docs: DataFrame, edits: int = MOST_EDITS) -> DataFrame:
+def dedup_documents(docs: DataFrame) -> DataFrame:
     """``dedup_lines`` as a stage: the columns of ``docs``, ``n_chars`` brought up to date, and no document whose words all went."""
-    cut = dedup_lines(docs, edits)
+    cut = dedup_lines(docs)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return cut.where((F.col("n_dropped") == 0) | F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))).select(*docs.columns)
