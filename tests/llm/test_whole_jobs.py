@@ -71,3 +71,9 @@ def test_line_edits_grow_with_length(spark):
     label = groups(list(range(len(texts))), lambda i, j: known[min(i, j), max(i, j)])
     got = {x["doc_id"]: x["n_dropped"] for x in lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
     assert got == {i: int(label[i] != i) for i in label}
+
+
+def test_lines_of_other_numbers_stay(spark):
+    table = "\n".join(f"{i * 7919 % 100000:05d} | {i * 104729 % 10**9:09d} | {i * 15485863 % 10**12:012d}" for i in range(1, 40))
+    got = lines.dedup_lines(spark.createDataFrame([(1, table)], SCHEMA)).first()
+    assert (got["text"], got["n_dropped"]) == (table, 0)

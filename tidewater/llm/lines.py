@@ -96,12 +96,11 @@ _BOUNDS = _bounds()
 
 
 class Lines:
-    """The lines of some texts that are long enough, in normal form: A-Z lower-cased and digits as 0."""
+    """The lines of some texts that are long enough, in normal form: A-Z lower-cased."""
 
     def __init__(self, texts: list[str]):
         cp = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
         cp[(cp >= 65) & (cp <= 90)] += 32
-        cp[(cp >= 48) & (cp <= 57)] = 48
         self.cp = cp
         ends = np.append(np.flatnonzero(cp == 10), len(cp))
         starts = np.append(0, ends[:-1] + 1)
@@ -301,7 +300,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` (``doc_id, text`` and more) with the lines taken out that stand, or nearly stand, earlier.
 
-    Lines are compared in normal form (A-Z in lower case, digits as 0). Two of ``LEAST_CHARS`` characters or more are linked if
+    Lines are compared in normal form (A-Z in lower case). Two of ``LEAST_CHARS`` characters or more are linked if
     their edit distance is at most ``most_edits`` of the shorter one; classes are what links connect. Of a class the
     first line of the document with the smallest ``doc_id`` stays. Columns ``n_lines`` and ``n_dropped`` are added (replaced if
     there). A null text stays null with 0 lines. Rows with one ``doc_id`` count as one document; a row without one
