@@ -73,6 +73,12 @@ def test_line_edits_grow_with_length(spark):
     assert got == {i: int(label[i] != i) for i in label}
 
 
+def test_short_lines_that_stand_in_an_earlier_document_go(spark):
+    rows = [(1, "All rights reserved.\n\nnew"), (2, "own\n\nALL RIGHTS RESERVED."), (3, "\u4f60\u597d\u3002\n \nAll rights reserved!"), (4, "\u4f60\u597d\u3002\n ")]
+    got = {x["doc_id"]: x["text"] for x in lines.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: rows[0][1], 2: "own\n", 3: rows[2][1], 4: " "}
+
+
 def test_lines_of_other_numbers_stay(spark):
     table = "\n".join(f"{i * 7919 % 100000:05d} | {i * 104729 % 10**9:09d} | {i * 15485863 % 10**12:012d}" for i in range(1, 40))
     got = lines.dedup_lines(spark.createDataFrame([(1, table)], SCHEMA)).first()

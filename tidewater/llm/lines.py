@@ -1,4 +1,4 @@
-"""Line dedup by an edit join over prefixes of the lines' grams."""
+"""Line dedup: short lines by equality, longer ones by an edit join over prefixes of their grams."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from tidewater.llm.tables import row_key, table
 from tidewater.operators.components import connected_components
 from tidewater.spool import spool
 
-#: Lines of fewer characters are left alone.
+#: Lines of fewer characters are compared for equality only.
 LEAST_CHARS = 32
 #: One edit and one more for every so many characters of the shorter line.
 CHARS_AN_EDIT = 40
@@ -96,7 +96,7 @@ _BOUNDS = _bounds()
 
 
 class Lines:
-    """The lines of some texts that are long enough, in normal form: A-Z lower-cased."""
+    """The lines of some texts that are not blank, in normal form: A-Z lower-cased."""
 
     def __init__(self, texts: list[str]):
         cp = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
@@ -107,8 +107,9 @@ class Lines:
         text_end = np.cumsum([len(t) + 1 for t in texts]) - 1
         of = np.searchsorted(text_end, starts)
         nth = np.arange(len(starts)) - np.searchsorted(of, of)
-        long = ends - starts >= LEAST_CHARS
-        self.start, self.end, self.text, self.nth = starts[long], ends[long], of[long], nth[long]
+        marks = np.append(0, np.cumsum((cp > 32) | (cp < 9) | ((cp > 13) & (cp < 32))))
+        full = marks[ends] > marks[starts]
+        self.start, self.end, self.text, self.nth = starts[full], ends[full], of[full], nth[full]
         self.size = self.end - self.start
         digest = xxhash.xxh3_64_intdigest
         self.lid = np.array([digest(cp[a:z].data) for a, z in zip(self.start.tolist(), self.end.tolist(), strict=True)], np.uint64).view(np.int64)
@@ -227,7 +228,7 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """``doc, lid, size, sig, own, more`` of every line that is long enough."""
+    """``doc, lid, size, sig, own, more`` of every line that is not blank."""
     keys = pa.list_(pa.int64())
     schema = pa.schema([("doc", pa.int64()), ("lid", pa.int64()), ("size", pa.int32()), ("sig", pa.int64()), ("own", keys), ("more", keys)])
 
@@ -301,8 +302,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` (``doc_id, text`` and more) with the lines taken out that stand, or nearly stand, earlier.
 
     Lines are compared in normal form (A-Z in lower case). Two of ``LEAST_CHARS`` characters or more are linked if
-    their edit distance is at most ``most_edits`` of the shorter one; classes are what links connect. Of a class the
-    first line of the document with the smallest ``doc_id`` stays. Columns ``n_lines`` and ``n_dropped`` are added (replaced if
+    their edit distance is at most ``most_edits`` of the shorter one; shorter lines only if they are equal; classes
+    are what links connect. Of a class the first line of the document with the smallest ``doc_id`` stays, and of a
+    short line all that this document has. Blank lines stay. Columns ``n_lines`` and ``n_dropped`` are added (replaced if
     there). A null text stays null with 0 lines. Rows with one ``doc_id`` count as one document; a row without one
     comes last and goes by its text. Rows are never taken out here. Equal lines are told by a 64-bit hash.
 
