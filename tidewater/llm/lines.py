@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidewater.llm.tables import row_key, table
 from tidewater.operators.components import connected_components
@@ -88,7 +88,7 @@ def _bounds() -> np.ndarray:
     """First sizes of the length classes: each wider than the edits of its lines, so that a pair is in one or two neighbours."""
     out = [1]
     while out[-1] < 1 << 40:
-        out.append(out[-1] + max(4, out[-1] // 8))
+        out.append(out[-1] + max(4, out[-1] // 4))
     return np.array(out, np.int64)
 
 
@@ -137,7 +137,7 @@ class Lines:
 
 
     def grams(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Keys of each line: under its length class, and under the class before where a line close to it may be shorter.
+        """Keys of each line where a text first has it: under its length class, and under the class before where a line close to it may be shorter.
 
         A line's keys are its grams in the order of their hashes up to where its edits can't touch all of them: until
         one more of them are disjoint. Of two close lines, take the one whose keys end first: some gram of it is
@@ -150,9 +150,11 @@ class Lines:
         kind, before = (np.searchsorted(_BOUNDS, x, side="right") for x in (self.size, self.size - edits))
         h = (total[GRAM:] - total[:-GRAM]) * down[: max(len(total) - GRAM, 0)]
         h = _mixed(h, np.zeros(len(h), np.int64), 0)
-        own, more = [], []
-        for a, n, k, c, d in zip(self.start.tolist(), self.size.tolist(), edits.tolist(), kind.tolist(), before.tolist(), strict=True):
-            if n < LEAST_CHARS:
+        own, more, seen = [], [], set()
+        for a, n, k, c, d, *one in zip(self.start.tolist(), self.size.tolist(), edits.tolist(), kind.tolist(), before.tolist(), self.text.tolist(), self.lid.tolist(), strict=True):
+            again = tuple(one) in seen
+            seen.add(tuple(one))
+            if n < LEAST_CHARS or again:
                 own.append(none)
                 more.append(none)
                 continue
@@ -251,9 +253,16 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _candidates(lines: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of distinct lines that share a key and may be close by length and character counts."""
-    pick = lambda keys, p: lines.select(F.col("lid").alias(f"{p}"), F.col("size").alias(f"{p}_size"), F.col("sig").alias(f"{p}_sig"), F.explode(keys).alias("key")).distinct()
-    index, probe = pick(F.col("own"), "a"), pick(F.concat("own", "more"), "b")
+    """Pairs ``a, b`` of distinct lines that share a key and may be close by length and character counts.
+
+    Most keys are one line's only: these go in the one shuffle that all keys take.
+    """
+    each = F.concat(F.transform("own", lambda k: F.struct(k.alias("key"), F.lit(True).alias("index"))), F.transform("more", lambda k: F.struct(k.alias("key"), F.lit(False).alias("index"))))
+    keys = lines.select("lid", F.explode(each).alias("k")).select("lid", "k.key", "k.index")
+    shared = spool(keys.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n"))
+    held = spool(shared.join(lines.where(F.size("own") > 0).select("lid", "size", "sig"), "lid").distinct())
+    pick = lambda rows, p: rows.select("key", F.col("lid").alias(p), F.col("size").alias(f"{p}_size"), F.col("sig").alias(f"{p}_sig"))
+    index, probe = pick(held.where("index"), "a"), pick(held, "b")
     x = F.col("a_sig").bitwiseXOR(F.col("b_sig"))
     x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
     x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
