@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tidewater.llm.tables import table, word_count
 from tidewater.spool import spool
 
 #: The order of a source's documents is dealt into so many ranges, so that no task orders a whole source.
 BINS = 4096
+#: Sources up to which a table of them is broadcast; beyond it, it is shuffled.
+BROADCAST_ROWS = 20_000
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_COPIES = 2
@@ -22,6 +24,11 @@ def random_share(key: Column, seed: int) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A spooled table, marked for broadcast only if its rows are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def targets(sources: DataFrame, weights: Sequence[float], share: float, most: int) -> DataFrame:
     """``source, size`` (one row a source) in; ``source, source_size, target`` out.
 
@@ -67,68 +74,117 @@ def mix(
     whose size fits the words still missing best. ``taken`` is copies times size.
 
     Sizes are words; a null text has 0, and a document of size 0 takes no words. A null source is a source of its
-    own. Repeated rows are separate documents. A null ``doc_id`` is ranked like an empty one. Columns of ``docs``
-    with one of the names added are replaced. An empty table gives an empty one. Reruns agree.
+    own. Repeated rows are separate documents; those equal in every column tie, and any of them may be the one
+    taken. A null ``doc_id`` is ranked like an empty one. Columns of ``docs`` with one of the names added are
+    replaced; all others stay, whatever their name. An empty table gives an empty one. Reruns agree.
+
+    Texts are never shuffled: what is taken of a source is told by the last rank taken, so each row decides by
+    itself next to its source's line of the plan.
     """
     added = ["size", "source_size", "target", "copies", "taken"]
     words = word_count(F.col("text").cast("string")) if size is None else size
-    sized = docs.withColumn("_size", words).drop(*added).withColumnRenamed("_size", "size")
     weight = F.coalesce(F.col(document_weight).cast("double"), F.lit(1.0)) if document_weight else F.lit(1.0)
-    sums = spool(sized.groupBy("source").agg(F.sum("size").alias("size"), F.sum(weight * F.col("size")).alias("_weighted")))
-    plan = spool(
-        targets(sums, weights, share, most).alias("t")
-        .join(sums.alias("s"), F.col("t.source").eqNullSafe(F.col("s.source")))
-        .select(F.col("t.source").alias("_source"), "source_size", "target", F.when(F.col("_weighted") > 0, F.col("target") / F.col("_weighted")).otherwise(0.0).alias("_rate"))
-    )
-    expected = F.least(F.col("_rate") * weight, F.lit(float(most)))
-    u = random_share(F.col("doc_id"), seed)
-    ranked = (
-        sized.join(plan, F.col("source").eqNullSafe(F.col("_source")))
-        .withColumn("_certain", F.floor(expected).cast("int"))
-        .withColumn("_part", expected - F.col("_certain"))
-        # Random odds over inclusion odds, o, as o / (1 + o): the same order between 0 and 1.
-        .withColumn("_rank", F.when(F.col("_part") > 0, u * (1 - F.col("_part")) / (u * (1 - F.col("_part")) + (1 - u) * F.col("_part"))).otherwise(1.0))
-        .withColumn("_bin", F.floor(F.col("_rank") * BINS).cast("int"))
-    )
-    in_bin = Window.partitionBy("_source", "_bin").orderBy("_rank", F.col("doc_id").asc_nulls_last(), "size")
-    ranked = spool(
-        ranked.withColumn("_place", F.row_number().over(in_bin)).withColumn("_upto", F.sum("size").over(in_bin.rowsBetween(Window.unboundedPreceding, 0)))
-    )
-    bins = ranked.groupBy("_source", "_bin").agg(F.sum("size").alias("_words"), F.sum(F.col("_certain") * F.col("size")).alias("_sure"))
-    along = Window.partitionBy("_source")
-    before = spool(
-        bins.withColumn("_before", F.sum("_words").over(along.orderBy("_bin")) - F.col("_words"))
-        .withColumn("_sure", F.sum("_sure").over(along))
-        .select("_source", "_bin", "_before", "_sure")
-    )
-    b = before.select(F.col("_source").alias("_s"), F.col("_bin").alias("_b"), "_before", (F.col("_sure")).alias("_all_sure"))
-    placed = ranked.join(b, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bin") == F.col("_b"))).drop("_s", "_b")
-    open_words = F.col("target") - F.col("_all_sure")
-    placed = placed.withColumn("_in", (F.col("_part") > 0) & (F.col("_before") + F.col("_upto") <= open_words))
-    narrow = placed.select("_source", "_bin", "_place", "size", "_part", "_in", open_words.alias("_open"))
-    gap = spool(
-        narrow.groupBy("_source").agg((F.max("_open") - F.coalesce(F.sum(F.when(F.col("_in"), F.col("size"))), F.lit(0))).alias("_gap"))
-        .withColumnRenamed("_source", "_g")
-    )
-    left = narrow.where("_part > 0 and not _in and size > 0").join(gap, F.col("_source").eqNullSafe(F.col("_g")))
-    off = F.abs(F.col("size") - F.col("_gap"))
-    last = spool(
-        left.where(off < F.col("_gap")).groupBy("_source").agg(F.min(F.struct(off.alias("off"), "_bin", "_place")).alias("l"))
-        .select(F.col("_source").alias("_l"), F.col("l._bin").alias("_lb"), F.col("l._place").alias("_lp"))
-    )
-    done = placed.join(last, F.col("_source").eqNullSafe(F.col("_l")), "left")
-    extra = F.col("_in") | F.coalesce((F.col("_bin") == F.col("_lb")) & (F.col("_place") == F.col("_lp")), F.lit(False))
-    return (
-        done.withColumn("copies", F.col("_certain") + extra.cast("int"))
-        .withColumn("taken", F.col("copies") * F.col("size"))
-        .select(*[c for c in docs.columns if c not in added], *added)
-    )
+    whole = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))])
+    facts = F.struct(F.col("source").alias("source"), words.alias("size"), weight.alias("weight"), F.col("doc_id").alias("doc_id"), random_share(F.col("doc_id"), seed).alias("u"), whole.alias("tie"))
+    narrow = spool(docs.select(facts.alias("f")).select("f.*"))
+    plan = _plan(narrow, weights, share, most)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in added]).alias("row"), facts.alias("f"))
+    placed = rows.join(_small(plan.withColumnRenamed("source", "of")), F.col("f.source").eqNullSafe(F.col("of")))
+    placed = placed.withColumn("o", F.struct(*_order("f.")))
+    extra = _taken(F.col("o"))
+    if not plan.where("ties > 0").isEmpty():
+        # Of rows that are equal in everything, and stand where the taking stops, so many get one more.
+        ends = (F.col("ties") > 0) & ((F.col("o") == F.col("cut")) | (F.col("o") == F.col("last")))
+        rest = placed.where(~F.coalesce(ends, F.lit(False))).withColumn("extra", extra)
+        nth = F.row_number().over(Window.partitionBy("of", "o").orderBy(F.lit(0)))
+        due = F.when(F.col("o") == F.col("cut"), F.col("cut_taken")).otherwise(0) + F.coalesce(F.col("o") == F.col("last"), F.lit(False)).cast("int")
+        placed = rest.unionByName(placed.where(F.coalesce(ends, F.lit(False))).withColumn("extra", nth <= due))
+    else:
+        placed = placed.withColumn("extra", extra | F.coalesce(F.col("o") == F.col("last"), F.lit(False)))
+    certain, _ = _expected(F.col("f.weight"), most)
+    copies = (certain + F.col("extra").cast("int")).cast("int")
+    return placed.select("row.*", F.col("f.size").alias("size"), "source_size", "target", copies.alias("copies"), (copies * F.col("f.size")).alias("taken"))
+
+
+def _expected(weight: Column, most: int) -> tuple[Column, Column]:
+    """Copies of a document that are certain, and the fraction of one more; needs its source's ``rate``."""
+    expected = F.least(F.col("rate") * weight, F.lit(float(most)))
+    certain = F.floor(expected).cast("int")
+    return certain, expected - certain
+
+
+def _rank(u: Column, part: Column) -> Column:
+    """Random odds over inclusion odds, o, as o / (1 + o): the same order, between 0 and 1; 2 where no more is due."""
+    return F.when(part > 0, u * (1 - part) / (u * (1 - part) + (1 - u) * part)).otherwise(2.0)
+
+
+def _order(f: str = "") -> list[Column]:
+    """What a source's documents are ordered by; needs its ``rate`` and ``most``."""
+    c = lambda n: F.col(f + n)
+    expected = F.least(F.col("rate") * c("weight"), F.col("most"))
+    return [_rank(c("u"), expected - F.floor(expected).cast("int")).alias("rank"), c("doc_id").isNull().alias("none"), c("doc_id").alias("doc_id"), c("size").alias("size"), c("tie").alias("tie")]
+
+
+def _taken(o: Column) -> Column:
+    """Whether a document's rank is before the end of what its source takes."""
+    return (o["rank"] < 2) & ((o["rank"] < F.col("from")) | F.coalesce(o <= F.col("cut"), F.lit(False)))
+
+
+def _same(a: str, b: str) -> Column:
+    return F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+
+
+def _plan(narrow: DataFrame, weights: Sequence[float], share: float, most: int) -> DataFrame:
+    """One row a source: ``source, source_size, target, rate, most`` and where its taking ends.
+
+    Ranks below ``from`` are taken, and those up to ``cut`` in the order of ``_order``; besides the document ``last``.
+    ``cut_taken`` of the rows equal to ``cut`` are taken; ``ties`` is above 0 if equal rows part at ``cut`` or ``last``.
+
+    Ranks are spread evenly over ``BINS`` ranges, whose sums tell the one where the words run out; that one is dealt
+    out again in as many, so that of a source only 1 in ``BINS`` squared is ever put in order.
+    """
+    sums = spool(narrow.groupBy("source").agg(F.sum("size").alias("size"), F.sum(F.col("weight") * F.col("size")).alias("weighted")))
+    rate = F.when(F.col("weighted") > 0, F.col("target") / F.col("weighted")).otherwise(0.0)
+    aims = targets(sums, weights, share, most).alias("t").join(sums.alias("s"), _same("t", "s"))
+    aims = spool(aims.select("t.source", "source_size", "target", rate.alias("rate"), F.lit(float(most)).alias("most")))
+    certain, part = _expected(F.col("weight"), most)
+    ranked = narrow.alias("n").join(_small(aims.select("source", "rate", "most")).alias("a"), _same("n", "a")).withColumns({"certain": certain, "part": part})
+    means = ranked.groupBy("n.source").agg(F.sum(F.col("certain") * F.col("size")).alias("sure"), F.avg(F.when(F.col("part") > 0, F.col("part"))).alias("mean"))
+    open_ = spool(aims.alias("a").join(means.alias("m"), _same("a", "m")).select("a.source", (F.col("target") - F.col("sure")).alias("open"), "mean"))
+    # Only documents with a fraction of a copy are in the race: a source that is taken in whole copies has none.
+    race = ranked.where("part > 0").select("n.source", "size", F.struct(*_order()).alias("o")).alias("r").join(_small(open_).alias("p"), _same("r", "p"))
+    race = spool(race.select("r.source", "size", "o", "open", "mean"))
+    # Even between 0 and 1 where all fractions are alike, in any case in the order of the ranks.
+    even = F.col("o.rank") * F.col("mean") / (F.col("o.rank") * F.col("mean") + (1 - F.col("o.rank")) * (1 - F.col("mean")))
+    left = race.select("source", "size", "o", "open", (even * BINS).alias("at"))
+    for _ in range(2):
+        left = left.withColumn("bin", F.floor("at").cast("int"))
+        bins = left.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.min("o.rank").alias("from"), F.first("open").alias("open"))
+        upto = bins.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("bin")))
+        stop = upto.where("upto > open").groupBy("source").agg(F.min(F.struct("bin", (F.col("open") - F.col("upto") + F.col("words")).alias("open"), "from")).alias("s"))
+        stop = spool(stop.select("source", "s.*"))
+        left = left.alias("b").join(_small(stop).alias("s"), _same("b", "s") & (F.col("b.bin") == F.col("s.bin")))
+        left = spool(left.select("b.source", "size", "o", "s.open", ((F.col("at") - F.col("b.bin")) * BINS).alias("at")))
+    ordered = left.withColumn("upto", F.sum("size").over(Window.partitionBy("source").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)))
+    stays = F.col("upto") <= F.col("open")
+    alike = ordered.groupBy("source", "o").agg(F.count_if(stays).alias("in"), F.count("*").alias("of"), F.sum(F.when(stays, F.col("size")).otherwise(0)).alias("words"))
+    cuts = alike.groupBy("source").agg(F.max(F.when(F.col("in") > 0, F.struct("o", "in", "of"))).alias("c"), F.sum("words").alias("words"))
+    ends = stop.alias("s").join(cuts.alias("c"), _same("s", "c"))
+    ends = spool(ends.select("s.source", "from", F.col("c.o").alias("cut"), F.coalesce("c.in", F.lit(0)).alias("cut_taken"), F.coalesce("c.of", F.lit(0)).alias("cut_of"), (F.col("open") - F.col("words")).alias("gap")))
+    # The document that fits best what is still missing, of those not taken.
+    others = race.alias("r").join(_small(ends).alias("e"), _same("r", "e")).withColumn("off", F.abs(F.col("size") - F.col("gap"))).where("size > 0 and off < gap")
+    others = others.where(~_taken(F.col("o")) | F.coalesce((F.col("o") == F.col("cut")) & (F.col("cut_taken") < F.col("cut_of")), F.lit(False)))
+    last = spool(others.groupBy("r.source").agg(F.min(F.struct("off", "o")).alias("l")).select("source", F.col("l.o").alias("last")))
+    equal = race.alias("r").join(_small(last).alias("l"), _same("r", "l")).where("o = last").groupBy("r.source").agg(F.count("*").alias("last_of"))
+    out = aims.alias("a").join(ends.alias("e"), _same("a", "e"), "left").join(last.alias("l"), _same("a", "l"), "left").join(equal.alias("q"), _same("a", "q"), "left")
+    ties = F.coalesce((F.col("cut_taken") < F.col("cut_of")).cast("int"), F.lit(0)) + F.coalesce((F.col("last_of") > 1).cast("int"), F.lit(0))
+    return spool(out.select("a.*", F.coalesce("from", F.lit(2.0)).alias("from"), "cut", F.coalesce("cut_taken", F.lit(0)).alias("cut_taken"), "last", ties.alias("ties")))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the columns of ``docs``, each row as often as it was taken."""
-    chosen = mix(docs, **options)
-    return chosen.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    chosen = mix(docs.select(F.struct("*").alias("row"), "doc_id", "text", "source"), **options)
+    return chosen.where("copies > 0").select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
