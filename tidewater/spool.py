@@ -35,3 +35,11 @@ def drop_spool(df: DataFrame) -> None:
             jvm = df.sparkSession._jvm
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Lets go of shuffle files that no plan refers to any more.
+
+    Spark deletes them when the driver's JVM collects garbage, which one with a large heap seldom does by itself.
+    """
+    spark.sparkContext._jvm.System.gc()
