@@ -5,6 +5,7 @@ import random
 import re
 import struct
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -193,9 +194,23 @@ def test_edit_distance_and_keys(monkeypatch):
             assert lines.within(a, b, t) == near
             if near and a != b and min(len(a), len(b)) >= 6:
                 x = lines.Lines([a, b])
-                own, more = x.keys(t)
+                own, more = (k.to_pylist() for k in x.keys(np.array([True, True]), lambda n: t + 0 * n))
                 i, j = (0, 1) if x.size[0] <= x.size[1] else (1, 0)
-                assert {k[i] for k in own} & ({k[j] for k in own + more} - {0})
+                assert set(own[i]) & set(own[j] + more[j])
+
+
+@pytest.mark.parametrize("numbered", [lines.NUMBERED, 2])
+def test_long_lines_within_their_edits_share_a_key(monkeypatch, numbered):
+    monkeypatch.setattr(lines, "NUMBERED", numbered)
+    r = random.Random(8)
+    for n in [r.randrange(32, 900) for _ in range(400)]:
+        a = "".join(r.choice("abcdefgh ") for _ in range(n - 2)).join("xx")
+        b = mutated(r, a, lines.most_edits(n) + 1)
+        if a != b and lines.within(a, b, lines.most_edits(min(len(a), len(b)))) and min(len(a), len(b)) >= 32:
+            x = lines.Lines([a, b])
+            own, more = (k.to_pylist() for k in x.keys(np.array([True, True])))
+            i, j = (0, 1) if x.size[0] <= x.size[1] else (1, 0)
+            assert set(own[i]) & set(own[j] + more[j])
 
 
 def test_line_dedup(spark):

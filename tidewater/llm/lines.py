@@ -1,28 +1,43 @@
-"""Line dedup: short lines by equality, longer ones by an edit join over prefixes of their grams."""
+"""Line dedup by a segment-partition edit join.
+
+A line that may have ``k`` edits is cut into ``k + 1`` segments, of which a line that close has at least one unchanged.
+Those of the left half are counted from the line's start and those of the right half from its end: with ``k`` edits
+either the left half has fewer edits than segments or the right half has. In that half, the first segment ``i`` (from
+its end of the line) up to which the edits are no more than ``i`` is unchanged itself and moved by at most ``i``. So a
+line indexes its segments as they stand and looks up the substrings moved by up to ``i``, under its length class and,
+where a line close to it may be shorter, under the class before.
+
+A segment is told by its smallest gram: all substrings moved by a little have the same one, so that a line looks up
+about two keys a segment instead of one for each move.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidewater.llm.tables import row_key, table
 from tidewater.operators.components import connected_components
-from tidewater.spool import spool
+from tidewater.spool import drop_shuffles, drop_spool, spool
 
 #: Lines of fewer characters are compared for equality only.
 LEAST_CHARS = 32
 #: One edit and one more for every so many characters of the shorter line.
 CHARS_AN_EDIT = 40
-#: Characters of a gram. Any line of ``LEAST_CHARS`` or more has one disjoint gram more than it may have edits.
-GRAM = 13
+#: Lines with more edits look up all their smallest grams, whichever segment it is: there the moves overlap anyway.
+NUMBERED = 50
+#: Lines under one key up to which they are compared pairwise at once; under larger ones first with one line only.
+PAIRWISE = 32
 #: Rows (of two longs) up to which a table is broadcast; beyond it, it is shuffled.
 BROADCAST_ROWS = 200_000
 #: Characters worked through together.
 AT_A_TIME = 1_000_000
+#: Lines that a task remembers to have met.
+MOST_MET = 1_000_000
 _PRIME = 0x9E3779B97F4A7C15 | 1
 
 
@@ -42,40 +57,8 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def segments(length: np.ndarray, edits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Start and size of the ``edits + 1`` segments of lines: even, the last ones longer by one."""
-    parts = edits + 1
-    size, longer = length // parts, length % parts
-    out, start = [], np.zeros_like(length)
-    for i in range(parts):
-        own = size + (i >= parts - longer)
-        out.append((start, own))
-        start = start + own
-    return out
-
-
-def probes(length: np.ndarray, edits: int) -> list[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
-    """What a line looks up besides its own segments: (indexed length, segment, start, size), start -1 where none.
-
-    A segment of a line at most ``edits`` away stands in this line moved by no more than the edits that can come
-    before it, seen from the left, and after it, seen from the right.
-    """
-    out = []
-    for less in range(edits + 1):
-        other = length - less
-        for i, (start, size) in enumerate(segments(other, edits)):
-            rest = edits - i
-            for move in range(max(-i, less - rest), min(i, less + rest) + 1):
-                if less == 0 and move == 0:
-                    continue
-                at = start + move
-                real = (at >= 0) & (at + size <= length) & (size > 0) & (other > 0)
-                out.append((other, i, np.where(real, at, -1), size))
-    return out
-
-
-def _mixed(h: np.ndarray, length: np.ndarray, part: int) -> np.ndarray:
-    x = h ^ (length.astype(np.uint64) << np.uint64(8) | np.uint64(part)) * np.uint64(0xC2B2AE3D27D4EB4F)
+def _mixed(h: np.ndarray, length_class: int) -> np.ndarray:
+    x = h ^ np.uint64(length_class * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1)
     x = (x ^ x >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ x >> np.uint64(29)
 
@@ -98,7 +81,7 @@ _BOUNDS = _bounds()
 class Lines:
     """The lines of some texts that are not blank, in normal form: A-Z lower-cased."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], clashing: frozenset[int] = frozenset()):
         cp = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
         cp[(cp >= 65) & (cp <= 90)] += 32
         self.cp = cp
@@ -111,8 +94,11 @@ class Lines:
         full = marks[ends] > marks[starts]
         self.start, self.end, self.text, self.nth = starts[full], ends[full], of[full], nth[full]
         self.size = self.end - self.start
-        digest = xxhash.xxh3_64_intdigest
-        self.lid = np.array([digest(cp[a:z].data) for a, z in zip(self.start.tolist(), self.end.tolist(), strict=True)], np.uint64).view(np.int64)
+        digest = xxhash.xxh3_128_intdigest
+        both = [digest(cp[a:z].data) for a, z in zip(self.start.tolist(), self.end.tolist(), strict=True)]
+        low, high = (np.array([x >> at & (1 << 64) - 1 for x in both], np.uint64).view(np.int64) for at in (0, 64))
+        self.lid = np.where(np.isin(low, list(clashing)), high, low) if clashing else low
+        self.check = high
 
     def signature(self) -> np.ndarray:
         """How often the characters of each of 16 classes occur, modulo 16, four bits each."""
@@ -122,58 +108,67 @@ class Lines:
         counts = np.bincount(line * 16 + kind, minlength=16 * len(self.size)).reshape(-1, 16).astype(np.uint64) & np.uint64(15)
         return (counts << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64).view(np.int64)
 
-    def keys(self, edits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Keys of each line's own segments, and of what it looks up besides; 0 where there is none."""
+    def keys(self, which: np.ndarray, edits: Callable = most_edits) -> tuple[pa.Array, pa.Array]:
+        """Keys under which each line is indexed, and those it looks up besides; none for lines not in ``which`` (a mask)."""
         up, down = _POWERS.upto(len(self.cp) + 1)
         total = np.concatenate([np.zeros(1, np.uint64), (self.cp * up[: len(self.cp)]).cumsum(dtype=np.uint64)])
+        kind = np.searchsorted(_BOUNDS, self.size, side="right")
+        shorter = np.searchsorted(_BOUNDS, np.maximum(self.size - edits(self.size), 1), side="right")
+        found: tuple[list, list] = ([], [])
+        for c in np.unique(kind[which]).tolist():
+            for probed in (c, c - 1):
+                own = np.flatnonzero(which & (kind == c) & (shorter <= probed))
+                k = int(edits(int(_BOUNDS[probed]) - 1)) if probed else 0
+                if not len(own) or not probed or _BOUNDS[probed - 1] <= k:
+                    continue
+                for line, key, index in self._class_keys(own, probed, k, total, down):
+                    found[0 if index and probed == c else 1].append((own[line], key))
+        return tuple(_lists(f, len(self.size)) for f in found)
+
+    def _class_keys(self, own: np.ndarray, c: int, k: int, total: np.ndarray, down: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """Lines (places in ``own``), keys, and whether these are the segments as they stand."""
+        s = int(_BOUNDS[c - 1]) // (k + 1)
+        gram, wide = s - s // 2, 1 + s // 2
+        size = self.size[own]
+        n = size - gram + 1
+        begin = np.cumsum(n) - n
+        at = np.repeat(self.start[own] - begin, n) + np.arange(int(n.sum()))
+        h = _mixed((total[at + gram] - total[at]) * down[at], c)
+        low, w = h, 1
+        while 2 * w <= wide:
+            low, w = np.minimum(low[: len(low) - w], low[w:]), 2 * w
+        low = np.minimum(low[: len(low) - (wide - w)], low[wide - w :])  # smallest gram of the substring of s that begins here
+        last = size - s
+        for side, parts in ((0, (k + 2) // 2), (1, (k + 1) // 2)):
+            for i in range(parts):
+                middle = np.full(len(own), i * s) if side == 0 else last - i * s
+                number = 2 * i + side if k <= NUMBERED else 0
+                kept = low[begin + middle]
+                yield np.arange(len(own)), _numbered(kept, number), True
+                if i == 0 or k > NUMBERED:
+                    continue
+                moved = low[begin[:, None] + np.clip(middle[:, None] + np.arange(-i, i + 1), 0, last[:, None])]
+                new = moved != kept[:, None]
+                new[:, 1:] &= moved[:, 1:] != moved[:, :-1]
+                line, move = np.nonzero(new)
+                yield line, _numbered(moved[line, move], number), False
+        if k > NUMBERED:
+            inside = np.arange(len(low)) - np.repeat(begin, n)[: len(low)] <= np.repeat(last, n)[: len(low)]
+            new = inside & np.append(True, low[1:] != low[:-1])
+            yield np.repeat(np.arange(len(own)), n)[: len(low)][new], _numbered(low[new], 0), False
 
-        def key(length: np.ndarray, part: int, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-            a = self.start + np.maximum(at, 0)
-            h = (total[np.minimum(a + size, len(self.cp))] - total[a]) * down[a]
-            return np.where(at >= 0, _mixed(h, length, part).view(np.int64), 0)
 
-        own = [key(self.size, i, a, n) for i, (a, n) in enumerate(segments(self.size, edits))]
-        return own, [key(*p) for p in probes(self.size, edits)]
+def _numbered(h: np.ndarray, number: int) -> np.ndarray:
+    return (h ^ np.uint64(number * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.int64)
 
 
-    def grams(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Keys of each line where a text first has it: under its length class, and under the class before where a line close to it may be shorter.
-
-        A line's keys are its grams in the order of their hashes up to where its edits can't touch all of them: until
-        one more of them are disjoint. Of two close lines, take the one whose keys end first: some gram of it is
-        untouched, stands in the other and comes before the end of that one's keys too. So they share a key.
-        """
-        up, down = _POWERS.upto(len(self.cp) + 1)
-        total = np.concatenate([np.zeros(1, np.uint64), (self.cp * up[: len(self.cp)]).cumsum(dtype=np.uint64)])
-        none = np.zeros(0, np.int64)
-        edits = most_edits(self.size)
-        kind, before = (np.searchsorted(_BOUNDS, x, side="right") for x in (self.size, self.size - edits))
-        h = (total[GRAM:] - total[:-GRAM]) * down[: max(len(total) - GRAM, 0)]
-        h = _mixed(h, np.zeros(len(h), np.int64), 0)
-        own, more, seen = [], [], set()
-        for a, n, k, c, d, *one in zip(self.start.tolist(), self.size.tolist(), edits.tolist(), kind.tolist(), before.tolist(), self.text.tolist(), self.lid.tolist(), strict=True):
-            again = tuple(one) in seen
-            seen.add(tuple(one))
-            if n < LEAST_CHARS or again:
-                own.append(none)
-                more.append(none)
-                continue
-            g = h[a : a + n - GRAM + 1]
-            order, m = g.argsort(kind="stable"), 2 * k + 2
-            while m < len(g) and _disjoint(order[:m].tolist()) <= k:
-                m += m // 4
-            keys = np.unique(g[order[:m]])
-            own.append((keys ^ np.uint64(c * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.int64))
-            more.append((keys ^ np.uint64(d * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.int64) if d < c else none)
-        return own, more
-
-
-def _disjoint(starts: list[int]) -> int:
-    n, end = 0, -1
-    for at in sorted(starts):
-        if at >= end:
-            n, end = n + 1, at + GRAM
-    return n
+def _lists(found: list[tuple[np.ndarray, np.ndarray]], n: int) -> pa.Array:
+    """The keys of each of ``n`` lines."""
+    line = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
+    key = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
+    order = np.argsort(line, kind="stable")
+    ends = np.append(0, np.cumsum(np.bincount(line, minlength=n)))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key[order]))
 
 
 def within(a: str, b: str, edits: int) -> bool:
@@ -229,21 +224,28 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
             out, size, first = [], 0, i + 1
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """``doc, lid, size, sig, own, more`` of every line that is not blank."""
+def _occurrences(docs: DataFrame, clashing: frozenset[int]) -> DataFrame:
+    """``doc, lid, check, size, sig, own, more`` of every line that is not blank; its keys where a task first meets it."""
     keys = pa.list_(pa.int64())
-    schema = pa.schema([("doc", pa.int64()), ("lid", pa.int64()), ("size", pa.int32()), ("sig", pa.int64()), ("own", keys), ("more", keys)])
+    schema = pa.schema([("doc", pa.int64()), ("lid", pa.int64()), ("check", pa.int64()), ("size", pa.int32()), ("sig", pa.int64()), ("own", keys), ("more", keys)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in batches:
             doc = batch.column(0).to_numpy()
             for first, texts in _texts(batch.column(1)):
-                x = Lines(texts)
+                x = Lines(texts, clashing)
                 if len(x.lid):
-                    arrays = [pa.array(a) for a in (doc[first + x.text], x.lid, x.size.astype(np.int32), x.signature())]
-                    yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(k, keys) for k in x.grams())], schema=schema)
-
-    spark_schema = "doc long, lid long, size int, sig long, own array<long>, more array<long>"
+                    if len(met) > MOST_MET:
+                        met.clear()  # keys again, which only costs time
+                    new = np.zeros(len(x.lid), bool)
+                    new[np.unique(x.lid, return_index=True)[1]] = True
+                    new &= (x.size >= LEAST_CHARS) & np.array([i not in met for i in x.lid.tolist()])
+                    met.update(x.lid[new].tolist())
+                    arrays = [pa.array(a) for a in (doc[first + x.text], x.lid, x.check, x.size.astype(np.int32), x.signature())]
+                    yield pa.RecordBatch.from_arrays([*arrays, *x.keys(new)], schema=schema)
+
+    spark_schema = "doc long, lid long, check long, size int, sig long, own array<long>, more array<long>"
     return docs.select(row_key().alias("doc"), "text").mapInArrow(run, spark_schema)
 
 
@@ -252,27 +254,54 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _candidates(lines: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of distinct lines that share a key and may be close by length and character counts.
+def _shared_keys(seen: DataFrame, distinct: DataFrame) -> DataFrame:
+    """``key, lid, n, size, sig`` of keys that several distinct lines have, ``n`` of them; spooled.
 
     Most keys are one line's only: these go in the one shuffle that all keys take.
     """
-    each = F.concat(F.transform("own", lambda k: F.struct(k.alias("key"), F.lit(True).alias("index"))), F.transform("more", lambda k: F.struct(k.alias("key"), F.lit(False).alias("index"))))
-    keys = lines.select("lid", F.explode(each).alias("k")).select("lid", "k.key", "k.index")
-    shared = spool(keys.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n"))
-    held = spool(shared.join(lines.where(F.size("own") > 0).select("lid", "size", "sig"), "lid").distinct())
-    pick = lambda rows, p: rows.select("key", F.col("lid").alias(p), F.col("size").alias(f"{p}_size"), F.col("sig").alias(f"{p}_sig"))
-    index, probe = pick(held.where("index"), "a"), pick(held, "b")
-    x = F.col("a_sig").bitwiseXOR(F.col("b_sig"))
+    keys = seen.select("lid", F.explode(F.concat("own", "more")).alias("key"))
+    under = Window.partitionBy("key")
+    several = keys.withColumns({"low": F.min("lid").over(under), "high": F.max("lid").over(under)}).where("low < high")
+    shared = spool(several.select("key", "lid").distinct())
+    sizes = shared.groupBy("key").agg(F.count("*").alias("n"))
+    return spool(shared.join(sizes, "key").join(distinct.select("lid", "size", "sig"), "lid"))
+
+
+def _close(a: str, b: str) -> Column:
+    """Whether two lines may be close by length and character counts."""
+    x = F.col(f"{a}_sig").bitwiseXOR(F.col(f"{b}_sig"))
     x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
     x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
-    edits = F.lit(1) + F.floor(F.col("a_size") / CHARS_AN_EDIT)
-    close = (F.bit_count(x) <= 2 * edits) & (F.col("b_size") - F.col("a_size") <= edits)
-    ordered = (F.col("b_size") > F.col("a_size")) | ((F.col("b_size") == F.col("a_size")) & (F.col("a") < F.col("b")))
-    return index.join(probe, "key").where(ordered & close).select("a", "b").distinct()
+    edits = F.lit(1) + F.floor(F.least(F.col(f"{a}_size"), F.col(f"{b}_size")) / CHARS_AN_EDIT)
+    return (F.bit_count(x) <= 2 * edits) & (F.abs(F.col(f"{b}_size") - F.col(f"{a}_size")) <= edits)
+
+
+def _pairs(held: DataFrame, apart: Column | bool = True) -> DataFrame:
+    """``a, b`` of close lines that share a key."""
+    pick = lambda p: held.select("key", *[F.col(c).alias(p if c == "lid" else f"{p}_{c}") for c in held.columns if c not in ("key", "n")])
+    return pick("a").join(pick("b"), "key").where((F.col("a") < F.col("b")) & _close("a", "b") & apart).select("a", "b").distinct()
 
 
-def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _linked(held: DataFrame, plain: DataFrame, distinct: DataFrame, clashing: frozenset[int]) -> DataFrame:
+    """Edges between lines within the edits allowed that connect all such.
+
+    Under keys of many lines these are first compared with one of them only; of those that did not connect this way,
+    pairs are made.
+    """
+    few = spool(_pairs(held.where(F.col("n") <= PAIRWISE)))
+    many = held.where(F.col("n") > PAIRWISE)
+    if many.isEmpty():
+        return _verified(few, plain, distinct, clashing)
+    hub = spool(many.groupBy("key").agg(F.min(F.struct("lid", "size", "sig")).alias("h")).select("key", F.col("h.lid").alias("b"), F.col("h.size").alias("b_size"), F.col("h.sig").alias("b_sig")))
+    stars = many.select("key", F.col("lid").alias("a"), F.col("size").alias("a_size"), F.col("sig").alias("a_sig")).join(hub, "key").where((F.col("a") != F.col("b")) & _close("a", "b"))
+    first = spool(_verified(spool(few.unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()), plain, distinct, clashing))
+    part = connected_components(first)
+    parts = many.join(part, many.lid == part.node, "left").select("key", "lid", "size", "sig", F.coalesce("component", "lid").alias("part"))
+    rest = spool(_pairs(spool(parts), F.col("a_part") != F.col("b_part")).join(few, ["a", "b"], "left_anti"))
+    return first.unionByName(_verified(rest, plain, distinct, clashing))
+
+
+def _line_texts(docs: DataFrame, wanted: DataFrame, clashing: frozenset[int]) -> DataFrame:
     """``lid, line`` (normal form) for the lines wanted: ``doc`` where one stands and ``lid``."""
     per_doc = spool(wanted.groupBy("doc").agg(F.collect_set("lid").alias("lids")))
     schema = pa.schema([("lid", pa.int64()), ("line", pa.string())])
@@ -281,7 +310,7 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             lids, lines = [], []
             for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
-                x, open_ = Lines([text.as_py() or ""]), set(wanted.as_py())
+                x, open_ = Lines([text.as_py() or ""], clashing), set(wanted.as_py())
                 for lid, a, z in zip(x.lid.tolist(), x.start.tolist(), x.end.tolist(), strict=True):
                     if lid in open_:
                         open_.discard(lid)
@@ -293,7 +322,8 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "lid long, line string").dropDuplicates(["lid"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, plain: DataFrame, distinct: DataFrame, clashing: frozenset[int]) -> DataFrame:
+    """The pairs (a spooled table) whose edit distance is no more than allowed."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,9 +332,11 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             good = [within(x, y, most_edits(min(len(x), len(y)))) for x, y in both]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good, pa.bool_())), batch.column(1).filter(pa.array(good, pa.bool_()))], schema=schema)
 
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
+    texts = spool(_line_texts(plain, distinct.join(asked, "lid").select("doc", "lid"), clashing))
     one = texts.select(F.col("lid").alias("a"), F.col("line").alias("la"))
     two = texts.select(F.col("lid").alias("b"), F.col("line").alias("lb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "la", "lb").mapInArrow(run, "a long, b long")
+    return spool(pairs.join(one, "a").join(two, "b").select("a", "b", "la", "lb").mapInArrow(run, "a long, b long"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -315,52 +347,71 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     are what links connect. Of a class the first line of the document with the smallest ``doc_id`` stays, and of a
     short line all that this document has. Blank lines stay. Columns ``n_lines`` and ``n_dropped`` are added (replaced if
     there). A null text stays null with 0 lines. Rows with one ``doc_id`` count as one document; a row without one
-    comes last and goes by its text. Rows are never taken out here. Equal lines are told by a 64-bit hash.
+    comes last and goes by its text. Rows are never taken out here. Equal lines are told by a 128-bit digest.
 
     The texts are read three times: for keys, for the few lines to verify, and to be cut; they are shuffled once.
     """
     docs = docs.drop("n_lines", "n_dropped")
     plain = docs.withColumn("text", F.col("text").cast("string"))
-    seen = spool(_occurrences(plain))
-    distinct = spool(seen.groupBy("lid").agg(F.min("doc").alias("doc"), (F.min("doc") < F.max("doc")).alias("again")))
-    pairs = spool(_candidates(seen.where(F.col("size") >= LEAST_CHARS).join(distinct, ["lid", "doc"])))
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
-    texts = spool(_line_texts(plain, distinct.join(asked, "lid").select("doc", "lid")))
-    nodes = connected_components(_verified(pairs, texts))
+    seen, distinct, clashing = _seen(plain)
+    shared = _shared_keys(seen, distinct)
+    drop_shuffles(plain.sparkSession)
+    nodes = connected_components(_linked(shared, plain, distinct, clashing))
+    seen, keyed = spool(seen.select("doc", "lid")), seen
+    drop_spool(keyed)
+    drop_shuffles(plain.sparkSession)
     classes = spool(distinct.select("lid", "doc", "again").join(nodes, distinct.lid == nodes.node, "left").where("again or component is not null"))
     classes = classes.select("lid", "doc", F.coalesce("component", "lid").alias("class"))
     owners = classes.groupBy("class").agg(F.min("doc").alias("owner"))
     known = spool(classes.join(owners, "class").select("lid", "class", "owner"))
-    marks = seen.select("doc", "lid").join(known, "lid").groupBy("doc").agg(F.collect_set(F.struct("lid", "class", (F.col("doc") == F.col("owner")).alias("own"))).alias("_marks"))
-    return _cut(plain.withColumn("_doc", row_key()), marks)
+    marks = seen.select("doc", "lid").join(known, "lid").groupBy("doc").agg(F.collect_set(F.struct("lid", "class", (F.col("doc") == F.col("owner")).alias("own"))).alias("marks"))
+    return _cut(plain, marks, clashing)
+
 
+def _seen(plain: DataFrame) -> tuple[DataFrame, DataFrame, frozenset[int]]:
+    """All lines, one row for each distinct one, and the 64-bit ids that two different lines would share.
 
-def _cut(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    joined = docs.join(spool(marks).withColumnRenamed("doc", "_doc"), "_doc", "left").drop("_doc")
-    names = [c for c in joined.columns if c != "_marks"]
-    at, marked = names.index("text"), joined.columns.index("_marks")
-    schema = ", ".join(f"`{n}` {joined.schema[n].dataType.simpleString()}" for n in names) + ", n_lines long, n_dropped long"
+    Of lines with such an id the other half of the 128-bit digest is the id instead. Of 10^12 distinct lines about
+    27,000 ids are so; they come to the driver.
+    """
+    clashing: frozenset[int] = frozenset()
+    while True:
+        seen = spool(_occurrences(plain, clashing))
+        facts = [F.min("doc").alias("doc"), (F.min("doc") < F.max("doc")).alias("again"), F.max("size").alias("size"), F.max("sig").alias("sig"), F.min("check").alias("low"), F.max("check").alias("high")]
+        distinct = spool(seen.groupBy("lid").agg(*facts))
+        more = [r["lid"] for r in distinct.where("low <> high").select("lid").collect()]
+        if not more:
+            return seen, distinct, clashing
+        clashing |= frozenset(more)
+
+
+def _cut(docs: DataFrame, marks: DataFrame, clashing: frozenset[int]) -> DataFrame:
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+    names, at = docs.columns, docs.columns.index("text")
+    rows = docs.select(row_key().alias("key"), F.struct("*").alias("row")).join(_small(spool(marks)), F.col("key") == F.col("doc"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, n, gone = [], [], []
-            for text, own in zip(batch.column(at), batch.column(marked), strict=True):
-                kept, lines, dropped = _kept_lines(text.as_py(), own.as_py() or [])
+            columns = batch.column(0).flatten()
+            for text, own in zip(columns[at], batch.column(1), strict=True):
+                kept, lines, dropped = _kept_lines(text.as_py(), own.as_py() or [], clashing)
                 out.append(kept)
                 n.append(lines)
                 gone.append(dropped)
-            columns = [batch.column(joined_at) for joined_at, c in enumerate(batch.schema.names) if c != "_marks"]
             columns[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[*names, "n_lines", "n_dropped"])
 
-    return joined.select(*names, "_marks").mapInArrow(run, schema)
+    return rows.select("row", "marks").mapInArrow(run, ", ".join([*fields, "n_lines long", "n_dropped long"]))
 
 
-def _kept_lines(text: str | None, marks: list[dict]) -> tuple[str | None, int, int]:
+def _kept_lines(text: str | None, marks: list[dict], clashing: frozenset[int]) -> tuple[str | None, int, int]:
     if text is None:
         return None, 0, 0
     lines = text.split("\n")
-    x = Lines([text])
+    if not marks and len(lines) == 1:
+        return text, 1, 0
+    x = Lines([text], clashing)
     known = {m["lid"]: m for m in marks}
     used, drop = set(), set()
     for lid, nth, size in zip(x.lid.tolist(), x.nth.tolist(), x.size.tolist(), strict=True):
