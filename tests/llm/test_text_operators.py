@@ -6,6 +6,7 @@ import re
 import struct
 
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -227,11 +228,11 @@ def test_line_dedup(spark):
 def test_bpe_same_as_the_library(spark, docs):
     from tokenizers import Tokenizer
 
-    path = f"{bpe.FOLDER}/byte_bpe_50k.json"
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
     library = Tokenizer.from_file(path)
     r = random.Random(4)
     bits = ["a", " ", "  ", "\n", "'s", "é", "1", "<|endoftext|>", ".", "\x00", "\xa0", "zz", "ſ", "٣", "\x1c", "the", " the", "😀"]
-    texts = ["".join(r.choice(bits) for _ in range(r.randrange(0, 40))) for _ in range(400)] + ["ab" * 20_000, "e" * 5000, ""]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(0, 40))) for _ in range(400)] + ["ab" * 20_000, "e" * 5000, "", "a" * 1_000_000, "".join(r.choice("etaoinshr") for _ in range(60_000)), " ".join("x" * n for n in range(1, 60))]
     rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
     got = {x["doc_id"]: x for x in bpe.encode_documents(frame(spark, [*rows, (9999, None, None, None, None)]), keep_ids=True).collect()}
     for i, t in enumerate(texts):

@@ -8,13 +8,14 @@ together again. The merges of many fragments run side by side, a round at a time
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
-import os
 import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -25,8 +26,8 @@ WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 MOST_KEPT = 400_000
 #: Characters encoded together.
 AT_A_TIME = 2_000_000
-#: Where the vocabulary files are on every machine.
-FOLDER = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+#: Bytes of a fragment beyond which its pairs go on a heap.
+LONG = 4096
 
 
 def byte_letters() -> dict[str, int]:
@@ -115,9 +116,14 @@ class ForcedBoundaryBpe:
     def _merge_fragments(self, ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merges every fragment, lowest rank first, a round at a time for all; ids and the bytes they begin at."""
         none = len(self.made)
-        live = np.repeat(length > 1, length)
-        done_ids, done_at = [ids[~live]], [np.flatnonzero(~live)]
-        ids, at, length = ids[live], np.flatnonzero(live), length[length > 1]
+        real = (length > 1) & (length <= LONG)
+        live, single = np.repeat(real, length), np.repeat(length == 1, length)
+        done_ids, done_at = [ids[single]], [np.flatnonzero(single)]
+        for i in np.flatnonzero(length > LONG).tolist():
+            own, places = self._merge_long(ids[start[i] : start[i] + length[i]])
+            done_ids.append(own)
+            done_at.append(places + start[i])
+        ids, at, length = ids[live], np.flatnonzero(live), length[real]
         last = np.cumsum(length) - 1
         rank = np.full(len(ids), none, np.int64)
         rank[:-1] = self.ranks.find(ids[:-1], ids[1:])
@@ -135,26 +141,63 @@ class ForcedBoundaryBpe:
                 if not len(ids):
                     break
                 first = last - length + 1
+            # All places of the best pair at once, which is the same as from the left: a pair with the token made comes
+            # later in the order of merges. In a run of one token every other place is one.
             hits = np.flatnonzero(rank == np.repeat(best, length))
-            fragment = np.searchsorted(last, hits)
-            left = hits[np.append(True, fragment[1:] != fragment[:-1])]  # the leftmost of each fragment
-            ids[left] = self.made[best]
+            nth = np.arange(len(hits))
+            nth -= np.maximum.accumulate(np.where(np.append(True, hits[1:] != hits[:-1] + 1), nth, 0))
+            left = hits[nth % 2 == 0]
+            fragment = np.searchsorted(last, left)
+            ids[left] = self.made[best[fragment]]
             keep = np.ones(len(ids), bool)
             keep[left + 1] = False
             ids, at, rank = ids[keep], at[keep], rank[keep]
             left -= np.arange(len(left))
-            length = length - 1
+            length = length - np.bincount(fragment, minlength=len(length))
             last = np.cumsum(length) - 1
-            ends_here = left == last
+            ends_here = left == last[fragment]
             here = left[~ends_here]
             rank[left[ends_here]] = none
             rank[here] = self.ranks.find(ids[here], ids[here + 1])
-            before = left[left > last - length + 1] - 1
+            before = left[left > (last - length + 1)[fragment]] - 1
             rank[before] = self.ranks.find(ids[before], ids[before + 1])
         ids, at = np.concatenate(done_ids), np.concatenate(done_at)
         order = np.argsort(at, kind="stable")
         return ids[order], at[order]
 
+    def _merge_long(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One long fragment by a heap of its pairs, in time of n log n: rounds would be as many as its distinct merges."""
+        none, own = len(self.made), ids.tolist()
+        rank = self.ranks.find(ids[:-1], ids[1:])
+        after, before = list(range(1, len(own) + 1)), list(range(-1, len(own) - 1))
+        heap = [(r, i, own[i], own[i + 1]) for i, r in enumerate(rank.tolist()) if r < none]
+        heapq.heapify(heap)
+        known: dict[tuple[int, int], int] = {}
+
+        def push(i: int, j: int) -> None:
+            pair = own[i], own[j]
+            r = known.get(pair, -1)
+            if r < 0:
+                r = known[pair] = self.ranks.one(*pair)
+            if r < none:
+                heapq.heappush(heap, (r, i, own[i], own[j]))
+
+        while heap:
+            r, i, x, y = heapq.heappop(heap)
+            j = after[i]
+            if own[i] != x or j == len(own) or own[j] != y:
+                continue  # merged meanwhile
+            own[i], own[j] = int(self.made[r]), -1
+            after[i] = after[j]
+            if after[i] < len(own):
+                before[after[i]] = i
+                push(i, after[i])
+            if before[i] >= 0:
+                push(before[i], i)
+        own = np.array(own, np.int64)
+        stay = np.flatnonzero(own >= 0)
+        return own[stay].astype(np.uint32), stay
+
     def decode(self, ids: bytes) -> str:
         """The text of the ids; what is no UTF-8 becomes replacement characters."""
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -183,6 +226,12 @@ class _PairTable:
     def _place(keys: np.ndarray, bits: int) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
+    def one(self, a: int, b: int) -> int:
+        """Rank of one pair."""
+        key = a << 32 | b
+        place = (key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 64 - self.bits
+        return next((int(self.rank[i, place]) for i in range(4) if int(self.keys[i, place]) == key), self.none)
+
     def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         keys = a.astype(np.uint64) << np.uint64(32) | b
         place = self._place(keys, self.bits)
@@ -217,13 +266,14 @@ def _some(column: pa.Array) -> Iterator[list[str]]:
         yield out
 
 
-def encode_documents(docs: DataFrame, path: str = f"{FOLDER}/byte_bpe_50k.json", keep_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool = False) -> DataFrame:
     """Encodes and decodes the ``text`` of every row: ``doc_id, n_tokens, ids_sha256, decoded_sha256``.
 
     With ``keep_ids`` also ``ids`` (array of int) and ``decoded`` (string). A null text counts as empty, an
     empty text has no ids; repeated rows are encoded as often as they occur; other columns are left out. No
     shuffle: each row is on its own. The vocabulary file must be at ``path`` on every machine.
     """
+    path = path or str(public_tokenizers.path("byte_bpe_50k.json"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     if keep_ids:

@@ -100,13 +100,13 @@ class Lines:
         self.lid = np.where(np.isin(low, list(clashing)), high, low) if clashing else low
         self.check = high
 
-    def signature(self) -> np.ndarray:
-        """How often the characters of each of 16 classes occur, modulo 16, four bits each."""
+    def signature(self) -> tuple[np.ndarray, np.ndarray]:
+        """How often the characters of each of 16 classes occur, modulo 256, eight classes in a long."""
         line = np.repeat(np.arange(len(self.size)), self.size)
         inside = np.arange(len(line)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
         kind = self.cp[self.start[line] + inside] * np.uint32(0x9E3779B1) >> np.uint32(28)
-        counts = np.bincount(line * 16 + kind, minlength=16 * len(self.size)).reshape(-1, 16).astype(np.uint64) & np.uint64(15)
-        return (counts << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64).view(np.int64)
+        counts = np.bincount(line * 16 + kind, minlength=16 * len(self.size)).astype(np.uint8).view("<i8").reshape(-1, 2)
+        return counts[:, 0].copy(), counts[:, 1].copy()
 
     def keys(self, which: np.ndarray, edits: Callable = most_edits) -> tuple[pa.Array, pa.Array]:
         """Keys under which each line is indexed, and those it looks up besides; none for lines not in ``which`` (a mask)."""
@@ -225,9 +225,9 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
 
 
 def _occurrences(docs: DataFrame, clashing: frozenset[int]) -> DataFrame:
-    """``doc, lid, check, size, sig, own, more`` of every line that is not blank; its keys where a task first meets it."""
+    """``doc, lid, check, size, sig1, sig2, own, more`` of every line that is not blank; its keys where a task first meets it."""
     keys = pa.list_(pa.int64())
-    schema = pa.schema([("doc", pa.int64()), ("lid", pa.int64()), ("check", pa.int64()), ("size", pa.int32()), ("sig", pa.int64()), ("own", keys), ("more", keys)])
+    schema = pa.schema([("doc", pa.int64()), ("lid", pa.int64()), ("check", pa.int64()), ("size", pa.int32()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("own", keys), ("more", keys)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -242,10 +242,10 @@ def _occurrences(docs: DataFrame, clashing: frozenset[int]) -> DataFrame:
                     new[np.unique(x.lid, return_index=True)[1]] = True
                     new &= (x.size >= LEAST_CHARS) & np.array([i not in met for i in x.lid.tolist()])
                     met.update(x.lid[new].tolist())
-                    arrays = [pa.array(a) for a in (doc[first + x.text], x.lid, x.check, x.size.astype(np.int32), x.signature())]
+                    arrays = [pa.array(a) for a in (doc[first + x.text], x.lid, x.check, x.size.astype(np.int32), *x.signature())]
                     yield pa.RecordBatch.from_arrays([*arrays, *x.keys(new)], schema=schema)
 
-    spark_schema = "doc long, lid long, check long, size int, sig long, own array<long>, more array<long>"
+    spark_schema = "doc long, lid long, check long, size int, sig1 long, sig2 long, own array<long>, more array<long>"
     return docs.select(row_key().alias("doc"), "text").mapInArrow(run, spark_schema)
 
 
@@ -255,7 +255,7 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _shared_keys(seen: DataFrame, distinct: DataFrame) -> DataFrame:
-    """``key, lid, n, size, sig`` of keys that several distinct lines have, ``n`` of them; spooled.
+    """``key, lid, n, size, sig1, sig2`` of keys that several distinct lines have, ``n`` of them; spooled.
 
     Most keys are one line's only: these go in the one shuffle that all keys take.
     """
@@ -264,16 +264,18 @@ def _shared_keys(seen: DataFrame, distinct: DataFrame) -> DataFrame:
     several = keys.withColumns({"low": F.min("lid").over(under), "high": F.max("lid").over(under)}).where("low < high")
     shared = spool(several.select("key", "lid").distinct())
     sizes = shared.groupBy("key").agg(F.count("*").alias("n"))
-    return spool(shared.join(sizes, "key").join(distinct.select("lid", "size", "sig"), "lid"))
+    return spool(shared.join(sizes, "key").join(distinct.select("lid", "size", "sig1", "sig2"), "lid"))
 
 
 def _close(a: str, b: str) -> Column:
     """Whether two lines may be close by length and character counts."""
-    x = F.col(f"{a}_sig").bitwiseXOR(F.col(f"{b}_sig"))
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
     edits = F.lit(1) + F.floor(F.least(F.col(f"{a}_size"), F.col(f"{b}_size")) / CHARS_AN_EDIT)
-    return (F.bit_count(x) <= 2 * edits) & (F.abs(F.col(f"{b}_size") - F.col(f"{a}_size")) <= edits)
+    off = F.lit(0)
+    for sig in ("sig1", "sig2"):
+        for at in range(0, 64, 8):
+            x, y = (F.shiftrightunsigned(f"{p}_{sig}", at).bitwiseAND(F.lit(255)) for p in (a, b))
+            off = off + F.least(F.abs(x - y), 256 - F.abs(x - y))
+    return (F.abs(F.col(f"{b}_size") - F.col(f"{a}_size")) <= edits) & (off <= 2 * edits)
 
 
 def _pairs(held: DataFrame, apart: Column | bool = True) -> DataFrame:
@@ -292,11 +294,11 @@ def _linked(held: DataFrame, plain: DataFrame, distinct: DataFrame, clashing: fr
     many = held.where(F.col("n") > PAIRWISE)
     if many.isEmpty():
         return _verified(few, plain, distinct, clashing)
-    hub = spool(many.groupBy("key").agg(F.min(F.struct("lid", "size", "sig")).alias("h")).select("key", F.col("h.lid").alias("b"), F.col("h.size").alias("b_size"), F.col("h.sig").alias("b_sig")))
-    stars = many.select("key", F.col("lid").alias("a"), F.col("size").alias("a_size"), F.col("sig").alias("a_sig")).join(hub, "key").where((F.col("a") != F.col("b")) & _close("a", "b"))
+    hub = spool(many.groupBy("key").agg(F.min(F.struct("lid", "size", "sig1", "sig2")).alias("h")).select("key", *[F.col(f"h.{c}").alias("b" if c == "lid" else f"b_{c}") for c in ("lid", "size", "sig1", "sig2")]))
+    stars = many.select("key", *[F.col(c).alias("a" if c == "lid" else f"a_{c}") for c in ("lid", "size", "sig1", "sig2")]).join(hub, "key").where((F.col("a") != F.col("b")) & _close("a", "b"))
     first = spool(_verified(spool(few.unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()), plain, distinct, clashing))
     part = connected_components(first)
-    parts = many.join(part, many.lid == part.node, "left").select("key", "lid", "size", "sig", F.coalesce("component", "lid").alias("part"))
+    parts = many.join(part, many.lid == part.node, "left").select("key", "lid", "size", "sig1", "sig2", F.coalesce("component", "lid").alias("part"))
     rest = spool(_pairs(spool(parts), F.col("a_part") != F.col("b_part")).join(few, ["a", "b"], "left_anti"))
     return first.unionByName(_verified(rest, plain, distinct, clashing))
 
@@ -377,7 +379,7 @@ def _seen(plain: DataFrame) -> tuple[DataFrame, DataFrame, frozenset[int]]:
     clashing: frozenset[int] = frozenset()
     while True:
         seen = spool(_occurrences(plain, clashing))
-        facts = [F.min("doc").alias("doc"), (F.min("doc") < F.max("doc")).alias("again"), F.max("size").alias("size"), F.max("sig").alias("sig"), F.min("check").alias("low"), F.max("check").alias("high")]
+        facts = [F.min("doc").alias("doc"), (F.min("doc") < F.max("doc")).alias("again"), F.max("size").alias("size"), F.max("sig1").alias("sig1"), F.max("sig2").alias("sig2"), F.min("check").alias("low"), F.max("check").alias("high")]
         distinct = spool(seen.groupBy("lid").agg(*facts))
         more = [r["lid"] for r in distinct.where("low <> high").select("lid").collect()]
         if not more:
