@@ -209,10 +209,71 @@ def within(a: str, b: str, edits: int) -> bool:
         else:
             mark >>= 1
             at += bool(right & mark) - bool(left & mark)
+        if at > 3 * edits:  # nothing in the band can be as low as allowed
+            return False
         plus, minus = left | full & ~(zero >> 1 | right), zero >> 1 & right
     return at <= edits
 
 
+def within_all(ones: list[str], others: list[str], edits: list[int]) -> np.ndarray:
+    """``within`` of many pairs, side by side where the band fits a word and the lines are longer than it is wide."""
+    out = np.zeros(len(ones), bool)
+    groups: dict[int, list[int]] = {}
+    for i, (x, y, k) in enumerate(zip(ones, others, edits, strict=True)):
+        if abs(len(x) - len(y)) > k:
+            continue
+        if k > 31 or min(len(x), len(y)) < k:
+            out[i] = within(x, y, k)
+        else:
+            groups.setdefault(k, []).append(i)
+    for k, own in groups.items():
+        own.sort(key=lambda i: -max(len(ones[i]), len(others[i])))
+        at = 0
+        while at < len(own):
+            some = own[at : at + max(1, AT_A_TIME * 4 // (len(ones[own[at]]) + k))]
+            out[some] = _side_by_side([ones[i] for i in some], [others[i] for i in some], k)
+            at += len(some)
+    return out
+
+
+def _side_by_side(ones: list[str], others: list[str], edits: int) -> np.ndarray:
+    """One band for each pair, as in ``within``, the pairs with the longest line first."""
+    pairs = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(ones, others, strict=True)]
+    n, m = (np.array([len(p[i]) for p in pairs]) for i in (0, 1))
+    a = np.zeros((len(pairs), int(m.max()) + 2 * edits + 1), np.uint32)
+    b = np.zeros((len(pairs), int(m.max())), np.uint32)
+    for i, (x, y) in enumerate(pairs):
+        a[i, edits : edits + len(x)] = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32)
+        b[i, : len(y)] = np.frombuffer(y.encode("utf-32-le", "surrogatepass"), np.uint32)
+    width, one = 2 * edits + 1, np.uint64(1)
+    full, top = np.uint64((1 << width) - 1), np.uint64(1 << (width - 1))
+    good, live = np.zeros(len(pairs), bool), np.arange(len(pairs))
+    plus, minus = np.full(len(pairs), full ^ np.uint64((1 << edits) - 1)), np.zeros(len(pairs), np.uint64)
+    at, mark, bits = np.full(len(pairs), edits), np.full(len(pairs), top), np.zeros((len(pairs), 8), np.uint8)
+    for j in range(int(m.max())):
+        over = m <= j
+        if over.any() or j % 16 == 15:
+            good[live[over]] = at[over] <= edits
+            stay = ~over & (at <= 3 * edits)  # beyond it nothing in the band can be as low as allowed
+            if not stay.all():
+                live, a, b, n, m, plus, minus, at, mark = (v[stay] for v in (live, a, b, n, m, plus, minus, at, mark))
+            if not len(live):
+                return good
+        packed = np.packbits(a[:, j : j + width] == b[:, j : j + 1], axis=1, bitorder="little")
+        bits = np.zeros((len(live), 8), np.uint8)
+        bits[:, : packed.shape[1]] = packed
+        same = bits.view("<u8")[:, 0]
+        zero = (((same & plus) + plus) ^ plus | same | minus) & full
+        right, left = minus | full & ~(zero | plus), zero & plus
+        inside = j + edits < n
+        mark = np.where(inside, mark, mark >> one)
+        at = at + np.where(inside, (zero & top == 0).astype(np.int64), (right & mark != 0).astype(np.int64) - (left & mark != 0))
+        down = zero >> one
+        plus, minus = left | full & ~(down | right), down & right
+    good[live] = at <= edits
+    return good
+
+
 def _texts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
     """First row and texts, null as empty, about ``AT_A_TIME`` characters at a time."""
     out, size, first = [], 0, 0
@@ -267,21 +328,37 @@ def _shared_keys(seen: DataFrame, distinct: DataFrame) -> DataFrame:
     return spool(shared.join(sizes, "key").join(distinct.select("lid", "size", "sig1", "sig2"), "lid"))
 
 
-def _close(a: str, b: str) -> Column:
-    """Whether two lines may be close by length and character counts."""
-    edits = F.lit(1) + F.floor(F.least(F.col(f"{a}_size"), F.col(f"{b}_size")) / CHARS_AN_EDIT)
-    off = F.lit(0)
+def _off(a: str, b: str) -> Column:
+    """By how much two lines' character counts differ in all, each class modulo 256; four classes at a time, 16 bits each."""
+    lanes = F.lit(0).cast("long")
     for sig in ("sig1", "sig2"):
-        for at in range(0, 64, 8):
-            x, y = (F.shiftrightunsigned(f"{p}_{sig}", at).bitwiseAND(F.lit(255)) for p in (a, b))
-            off = off + F.least(F.abs(x - y), 256 - F.abs(x - y))
-    return (F.abs(F.col(f"{b}_size") - F.col(f"{a}_size")) <= edits) & (off <= 2 * edits)
+        for at in (0, 8):
+            x, y = (F.shiftrightunsigned(f"{p}_{sig}", at).bitwiseAND(F.lit(0x00FF00FF00FF00FF)) for p in (a, b))
+            d = (x.bitwiseOR(F.lit(0x0100010001000100)) - y).bitwiseAND(F.lit(0x00FF00FF00FF00FF))
+            half = F.shiftrightunsigned(d, 7).bitwiseAND(F.lit(0x0001000100010001))
+            lanes = lanes + d.bitwiseXOR(F.shiftleft(half, 8) - half) + half  # 256 less the difference where that is nearer
+    return sum((F.shiftrightunsigned(lanes, at).bitwiseAND(F.lit(0xFFFF)) for at in (16, 32, 48)), lanes.bitwiseAND(F.lit(0xFFFF)))
+
+
+def _edits(a: str, b: str) -> Column:
+    return F.lit(1) + F.floor(F.least(F.col(f"{a}_size"), F.col(f"{b}_size")) / CHARS_AN_EDIT)
+
+
+def _close_ones(both: DataFrame) -> DataFrame:
+    """``a, b`` once, where they may be close by their character counts. Every edit changes these by two at most."""
+    x, y = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    off = both.groupBy(x, y).agg(F.min(_off("a", "b")).alias("off"), F.min(_edits("a", "b")).alias("edits"))
+    return off.where(F.col("off") <= 2 * F.col("edits")).select("a", "b")
+
+
+def _near_length(a: str, b: str) -> Column:
+    return F.abs(F.col(f"{b}_size") - F.col(f"{a}_size")) <= _edits(a, b)
 
 
 def _pairs(held: DataFrame, apart: Column | bool = True) -> DataFrame:
     """``a, b`` of close lines that share a key."""
     pick = lambda p: held.select("key", *[F.col(c).alias(p if c == "lid" else f"{p}_{c}") for c in held.columns if c not in ("key", "n")])
-    return pick("a").join(pick("b"), "key").where((F.col("a") < F.col("b")) & _close("a", "b") & apart).select("a", "b").distinct()
+    return _close_ones(pick("a").join(pick("b"), "key").where((F.col("a") < F.col("b")) & _near_length("a", "b") & apart))
 
 
 def _linked(held: DataFrame, plain: DataFrame, distinct: DataFrame, clashing: frozenset[int]) -> DataFrame:
@@ -295,8 +372,8 @@ def _linked(held: DataFrame, plain: DataFrame, distinct: DataFrame, clashing: fr
     if many.isEmpty():
         return _verified(few, plain, distinct, clashing)
     hub = spool(many.groupBy("key").agg(F.min(F.struct("lid", "size", "sig1", "sig2")).alias("h")).select("key", *[F.col(f"h.{c}").alias("b" if c == "lid" else f"b_{c}") for c in ("lid", "size", "sig1", "sig2")]))
-    stars = many.select("key", *[F.col(c).alias("a" if c == "lid" else f"a_{c}") for c in ("lid", "size", "sig1", "sig2")]).join(hub, "key").where((F.col("a") != F.col("b")) & _close("a", "b"))
-    first = spool(_verified(spool(few.unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()), plain, distinct, clashing))
+    stars = many.select("key", *[F.col(c).alias("a" if c == "lid" else f"a_{c}") for c in ("lid", "size", "sig1", "sig2")]).join(hub, "key").where((F.col("a") != F.col("b")) & _near_length("a", "b"))
+    first = _verified(spool(few.unionByName(_close_ones(stars)).distinct()), plain, distinct, clashing)
     part = connected_components(first)
     parts = many.join(part, many.lid == part.node, "left").select("key", "lid", "size", "sig1", "sig2", F.coalesce("component", "lid").alias("part"))
     rest = spool(_pairs(spool(parts), F.col("a_part") != F.col("b_part")).join(few, ["a", "b"], "left_anti"))
@@ -330,8 +407,8 @@ def _verified(pairs: DataFrame, plain: DataFrame, distinct: DataFrame, clashing:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            good = [within(x, y, most_edits(min(len(x), len(y)))) for x, y in both]
+            one, two = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            good = within_all(one, two, [most_edits(min(len(x), len(y))) for x, y in zip(one, two, strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good, pa.bool_())), batch.column(1).filter(pa.array(good, pa.bool_()))], schema=schema)
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
