@@ -26,6 +26,19 @@ def usable(e):
     return e is not None and len(e) == 8 and all(v is not None and np.isfinite(v) for v in e) and any(e)
 
 
+@pytest.mark.parametrize("part", [covertree.PART, 7])
+def test_cover_tree_of_near_copies_and_other_lengths(spark, monkeypatch, part):
+    monkeypatch.setattr(covertree, "PART", part)
+    rng = np.random.default_rng(4)
+    x = [*(rng.normal(size=12) * 0.02 + np.arange(1, 13)), *rng.normal(size=(30, 12)), *(rng.normal(size=(40, 12)) * 0.02 + np.eye(12)[0]), *rng.normal(size=(12, 3)), np.full(12, 1e-200), np.full(12, 2e-200)]
+    x = [v for v in x if np.ndim(v)]
+    rows = [(i, [float(a) for a in v], "one") for i, v in enumerate(x)]
+    got = {r["vec_id"]: r["n_links"] for r in covertree.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    unit = [v / np.abs(v).max() / np.linalg.norm(v / np.abs(v).max()) for v in x]
+    assert got == {i: sum(i != j and len(a) == len(b) and float(a @ b) >= 0.93 for j, b in enumerate(unit)) for i, a in enumerate(unit)}
+    assert got[len(x) - 1] >= 1 and max(got.values()) >= 39
+
+
 @pytest.mark.parametrize("part", [covertree.PART, 7])
 def test_cover_tree_links(spark, vectors, monkeypatch, part):
     monkeypatch.setattr(covertree, "PART", part)
@@ -49,10 +62,10 @@ def test_dual_traversal_finds_every_pair():
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
     x = unit(np.repeat(rng.normal(size=(40, 6)), 5, axis=0) + rng.normal(size=(200, 6)) * 0.05)
     y = unit(np.vstack([x[:50] + 0.01, rng.normal(size=(80, 6))]))
-    i, j = covertree.dual_pairs(covertree.CoverTree(x), covertree.CoverTree(y), 0.3)
+    i, j = map(np.concatenate, zip(*covertree.dual_pairs(covertree.CoverTree(x), covertree.CoverTree(y), 0.3), strict=True))
     d = np.sqrt(np.maximum(2 - 2 * x @ y.T, 0))
     found = set(zip(i.tolist(), j.tolist(), strict=True))
-    assert set(zip(*map(np.ndarray.tolist, np.nonzero(d <= 0.3 - 1e-6)), strict=True)) <= found and (d[i, j] <= 0.3 + 1e-6).all()
+    assert set(zip(*map(np.ndarray.tolist, np.nonzero(d <= 0.3 - 1e-6)), strict=True)) <= found and (d[i, j] <= 0.3 + 3 * covertree.SLACK).all()
 
 
 def test_nearest_neighbours(spark, vectors):
@@ -96,6 +109,23 @@ def test_tool_calls(spark):
     assert toolcalls.link(spark.createDataFrame([], "conv_id long, turn int, text string")).count() == 0
 
 
+def test_levels_of_chains_joins_and_cycles(spark):
+    """Long chains, calls that wait for several, cycles and what waits behind them, against a walk over the graph."""
+    import random
+
+    r = random.Random(2)
+    after = {i: [i - 1] if i else [] for i in range(40)}  # one chain
+    after |= {i: r.sample(range(i), r.choice([0, 1, 1, 2, 3])) for i in range(40, 120)}
+    after |= {200: [202], 201: [200], 202: [201], 203: [200, 5], 204: [203], 205: [5, 39, 119]}
+    level: dict[int, int] = {}
+    for _ in after:
+        level |= {i: max((level[j] + 1 for j in on), default=0) for i, on in after.items() if all(j in level for j in on)}
+    calls = spark.createDataFrame([(1, str(i)) for i in after], "conv_id long, call_id string")
+    waits = spark.createDataFrame([(1, str(i), str(j)) for i, on in after.items() for j in on], "conv_id long, call_id string, on string")
+    got = {int(x["call_id"]): x["level"] for x in toolcalls._levels(calls, waits).collect()}
+    assert got == level and max(level.values()) >= 39 and 203 not in got
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_same_as_sql(spark, name):
     from same import assert_same, database

@@ -11,10 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewater.llm.tables import table
 
-#: Labelled rows that the model is fitted on, at most for each language, the smallest by a hash of the text.
-ROWS_PER_LANGUAGE = 150
+#: Languages that are learned at most, the commonest, and labelled rows of each that the model is fitted on at most, the smallest by a hash.
+MOST_LANGUAGES, ROWS_PER_LANGUAGE = 256, 150
+#: Windows of a sampled text that are taken, evenly over all of it, and their characters; shorter texts are taken whole.
+WINDOWS, WINDOW = 64, 300
 #: Words of each of these rows that go into one training sequence, at most, spread over the whole text.
 TRAINING_RUN = 25
+#: Sampled texts of a language that a word must stand in to be in that language's lexicon.
+LEXICON_TEXTS = 3
 #: Feature weights are shared by hash among so many places.
 PLACES = 1 << 16
 STEPS = 60
@@ -29,12 +33,16 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass
 class Model:
-    """Languages in order, weights of features (places, languages), of the first word and of transitions."""
+    """Languages in order, weights of features (places, languages), of the first word and of transitions.
+
+    ``lexicon`` has the hashes of the languages' words in order and for each a number that tells in which lexicons it is.
+    """
 
     languages: list[str]
     weights: np.ndarray
     start: np.ndarray
     moves: np.ndarray
+    lexicon: tuple[np.ndarray, np.ndarray] | None = None
 
 
 def held_out(doc_id: Column) -> Column:
@@ -43,7 +51,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def words_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text number of each word of UTF-8 texts laid end to end: runs of letters and other non-ASCII bytes."""
+    """Start, end and text number of each word of texts laid end to end in code points: runs of letters and other non-ASCII characters."""
     letter = (data >= 128) | ((data | 32) >= 97) & ((data | 32) <= 122)
     edge = np.zeros(len(data) + 1, bool)
     edge[1:-1] = letter[1:] != letter[:-1]
@@ -56,12 +64,12 @@ def words_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return begin, end, np.searchsorted(ends, begin, side="right")
 
 
-def features(rows: np.ndarray, size: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def features(rows: np.ndarray, size: np.ndarray, word: np.ndarray, listed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of words, their places in one array, and where each word's begin.
 
-    ``rows`` has the words end to end, each with a zero before and after it as a mark; ``size`` their bytes, ``word``
-    their hashes. Of each: itself (lexicon), its first and last bytes up to three (affixes), and all pairs and
-    triples of neighbouring bytes with the marks (n-grams).
+    ``rows`` has the words end to end, each with a zero before and after it as a mark; ``size`` their letters, ``word``
+    their hashes, ``listed`` in which languages' lexicons they are. Of each: itself and its lexicons, its first and
+    last letters up to three (affixes), and all pairs and triples of neighbouring letters with the marks (n-grams).
     """
 
     def place(x: np.ndarray, kind: int) -> np.ndarray:
@@ -71,10 +79,10 @@ def features(rows: np.ndarray, size: np.ndarray, word: np.ndarray) -> tuple[np.n
     first = np.cumsum(wide) - wide
     last = first + wide - 1
     x = rows.astype(np.uint64)
-    two = x[:-1] << np.uint64(8) | x[1:]
-    three = two[:-1] << np.uint64(8) | x[2:]
-    four = np.append(three[:-1] << np.uint64(8) | x[3:], np.zeros(1, np.uint64))
-    fixed = [word, two[first], two[last - 1], three[first], three[last - 2], four[np.minimum(first, last - 3 + (size < 2))], four[np.maximum(last - 3, first)]]
+    two = x[:-1] << np.uint64(21) | x[1:]
+    three = two[:-1] << np.uint64(21) | x[2:]
+    four = np.append(three[:-1] * _PRIME ^ x[3:], np.zeros(1, np.uint64))
+    fixed = [word, listed, two[first], two[last - 1], three[first], three[last - 2], four[np.minimum(first, last - 3 + (size < 2))], four[np.maximum(last - 3, first)]]
     # All n-grams that start in a word's row, but for those reaching over its end.
     start = np.ones(len(rows) - 1, bool)
     start[last[:-1]] = False
@@ -88,9 +96,9 @@ def features(rows: np.ndarray, size: np.ndarray, word: np.ndarray) -> tuple[np.n
     for i, v in enumerate(fixed):
         out[begins + i] = place(v, i)
     step = np.arange(len(at2)) - np.repeat(np.cumsum(size + 1) - (size + 1), size + 1)
-    out[np.repeat(begins + len(fixed), size + 1) + step] = place(two[at2], 7)
+    out[np.repeat(begins + len(fixed), size + 1) + step] = place(two[at2], 9)
     step = np.arange(len(at3)) - np.repeat(np.cumsum(size) - size, size)
-    out[np.repeat(begins + len(fixed) + size + 1, size) + step] = place(three[at3], 8)
+    out[np.repeat(begins + len(fixed) + size + 1, size) + step] = place(three[at3], 10)
     return out, begins
 
 
@@ -100,6 +108,7 @@ class Words:
 
     text: np.ndarray
     which: np.ndarray
+    hashes: np.ndarray
     places: np.ndarray
     begins: np.ndarray
 
@@ -109,14 +118,16 @@ class Words:
         return np.stack([np.add.reduceat(w[self.places], self.begins) for w in weights.T], axis=1) * (8.0 / per)[:, None]
 
 
-def read_words(texts: list[bytes]) -> Words:
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    begin, end, text = words_of(data, np.cumsum([len(t) for t in texts]))
+def read_words(texts: list[bytes], lexicon: tuple[np.ndarray, np.ndarray] | None = None) -> Words:
+    """The words of texts in UTF-8."""
+    plain = [t.decode("utf-8", "replace") for t in texts]
+    data = np.frombuffer("".join(plain).encode("utf-32-le"), np.uint32)
+    begin, end, text = words_of(data, np.cumsum([len(t) for t in plain]))
     size = end - begin
     if not len(size):
         none = np.zeros(0, np.int64)
-        return Words(none, none, none, none)
-    low = data | ((data >= 65) & (data <= 90)).astype(np.uint8) << 5
+        return Words(none, none, none, none, none)
+    low = data | ((data >= 65) & (data <= 90)).astype(np.uint32) << np.uint32(5)
     inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     letters = low[np.repeat(begin, size) + inside]
     powers = np.full(int(size.max()), _PRIME, np.uint64).cumprod(dtype=np.uint64)
@@ -124,9 +135,24 @@ def read_words(texts: list[bytes]) -> Words:
     word, one, which = np.unique(word, return_index=True, return_inverse=True)
     begin, size = begin[one], size[one]
     inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    rows = np.zeros(int((size + 2).sum()), np.uint8)
+    rows = np.zeros(int((size + 2).sum()), np.uint32)
     rows[np.repeat(np.cumsum(size + 2) - size - 1, size) + inside] = low[np.repeat(begin, size) + inside]
-    return Words(text, which, *features(rows, size, word))
+    listed = np.zeros(len(word), np.uint64)
+    if lexicon is not None and len(lexicon[0]):
+        at = np.minimum(np.searchsorted(lexicon[0], word), len(lexicon[0]) - 1)
+        listed = np.where(lexicon[0][at] == word, lexicon[1][at], np.uint64(0))
+    return Words(text, which, word, *features(rows, size, word, listed))
+
+
+def learned_lexicon(own: Words, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words that stand in ``LEXICON_TEXTS`` texts of a language or more; ``label`` is each word's language."""
+    seen = np.unique(np.stack([own.which, label, own.text]), axis=1)
+    (which, lang), texts = np.unique(seen[:2], axis=1, return_counts=True)
+    which, lang = which[texts >= LEXICON_TEXTS], lang[texts >= LEXICON_TEXTS]
+    if not len(which):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    first = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
+    return own.hashes[which[first]], np.add.reduceat((lang.astype(np.uint64) + np.uint64(1)) * _MIX, first)
 
 
 class _Blocks:
@@ -217,6 +243,8 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     if not len(own.text):
         return model
     label = np.array([names.index(x) for x in langs])[own.text]
+    model.lexicon = learned_lexicon(own, label)
+    own = read_words([t.encode("utf-8", "replace") for t in texts], model.lexicon)
     new = np.flatnonzero(np.append(True, own.text[1:] != own.text[:-1]))
     nth = np.arange(len(label)) - np.repeat(new, np.diff(np.append(new, len(label))))
     run = np.cumsum((nth % TRAINING_RUN == 0)) - 1
@@ -247,19 +275,23 @@ def fit(texts: list[str], langs: list[str]) -> Model:
 def train(docs: DataFrame) -> Model:
     """Fits a model on a bounded sample of ``docs`` (``doc_id, text, lang``) that are not held out.
 
-    For each language the ``ROWS_PER_LANGUAGE`` rows with the smallest hash, of texts up to 20,000 characters.
+    For each of the ``MOST_LANGUAGES`` commonest languages the ``ROWS_PER_LANGUAGE`` rows with the smallest hash, of any
+    length: of a long text ``WINDOWS`` windows over all of it.
     """
-    rows = docs.where("lang is not null and text is not null and char_length(text) between 1 and 20000").where(~held_out(F.col("doc_id")))
-    rows = rows.select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")).alias("h"))
+    rows = docs.where("lang is not null and text is not null and char_length(text) > 0").where(~held_out(F.col("doc_id")))
+    rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")).alias("h"))
     # Far more rows than needed by a share of the hash range, the smallest of them by a window; the rest only where too few.
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not sizes:
         return Model([], np.zeros((PLACES, 0)), np.zeros(0), np.zeros((0, 0)))
     cut = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, 3 * ROWS_PER_LANGUAGE / n))])
     share = F.pmod(F.shiftright("h", 4), F.lit(1 << 40)) / float(1 << 40)
     some = rows.where(share <= cut[F.col("lang")])
     nth = F.row_number().over(_by_lang())
-    sample = some.withColumn("nth", nth).where(F.col("nth") <= ROWS_PER_LANGUAGE).select("lang", "h", "text").collect()
+    step = F.length("text") / WINDOWS
+    windows = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda i: F.regexp_replace(F.substring("text", F.floor(i * step).cast("int") + 1, F.lit(WINDOW)), r"^\S*\s|\s\S*$", ""))
+    taken = F.when(F.length("text") <= WINDOWS * WINDOW, F.col("text")).otherwise(F.array_join(windows, "\n"))
+    sample = some.withColumn("nth", nth).where(F.col("nth") <= ROWS_PER_LANGUAGE).select("lang", "h", taken.alias("text")).collect()
     sample.sort(key=lambda r: (r["lang"], r["h"], r["text"]))
     return fit([r["text"] for r in sample], [r["lang"] for r in sample])
 
@@ -273,7 +305,7 @@ def _by_lang():
 def label_texts(texts: list[bytes], model: Model) -> tuple[list[str], list[float]]:
     """The language with the largest mean chance over a text's words, the first by name at ties, and that mean."""
     names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-    own = read_words(texts)
+    own = read_words(texts, model.lexicon)
     if not len(own.text) or not model.languages:
         return names, scores
     chances = forward_backward(own.scores(model.weights)[own.which], own.text, model)

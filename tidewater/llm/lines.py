@@ -316,7 +316,7 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _shared_keys(seen: DataFrame, distinct: DataFrame) -> DataFrame:
-    """``key, lid, n, size, sig1, sig2`` of keys that several distinct lines have, ``n`` of them; spooled.
+    """``key, lid, n, size, sig1, sig2`` of keys that several distinct lines have, ``n`` of them; spooled. ``seen`` is used up.
 
     Most keys are one line's only: these go in the one shuffle that all keys take.
     """
@@ -324,6 +324,9 @@ def _shared_keys(seen: DataFrame, distinct: DataFrame) -> DataFrame:
     under = Window.partitionBy("key")
     several = keys.withColumns({"low": F.min("lid").over(under), "high": F.max("lid").over(under)}).where("low < high")
     shared = spool(several.select("key", "lid").distinct())
+    drop_spool(seen)
+    del keys, several
+    drop_shuffles(shared.sparkSession)
     sizes = shared.groupBy("key").agg(F.count("*").alias("n"))
     return spool(shared.join(sizes, "key").join(distinct.select("lid", "size", "sig1", "sig2"), "lid"))
 
@@ -433,11 +436,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     docs = docs.drop("n_lines", "n_dropped")
     plain = docs.withColumn("text", F.col("text").cast("string"))
     seen, distinct, clashing = _seen(plain)
-    shared = _shared_keys(seen, distinct)
-    drop_shuffles(plain.sparkSession)
-    nodes = connected_components(_linked(shared, plain, distinct, clashing))
-    seen, keyed = spool(seen.select("doc", "lid")), seen
-    drop_spool(keyed)
+    keyed, seen = seen, spool(seen.select("doc", "lid"))
+    nodes = connected_components(_linked(_shared_keys(keyed, distinct), plain, distinct, clashing))
     drop_shuffles(plain.sparkSession)
     classes = spool(distinct.select("lid", "doc", "again").join(nodes, distinct.lid == nodes.node, "left").where("again or component is not null"))
     classes = classes.select("lid", "doc", F.coalesce("component", "lid").alias("class"))

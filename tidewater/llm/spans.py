@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Code points of text before a span that its context takes in.
 BEFORE = 48
@@ -79,3 +79,26 @@ def luhn(value: Column) -> Column:
     each = F.split(F.reverse(digits(value)), "(?<=.)(?=.)")
     doubled = F.transform(each, lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise((c.cast("int") * 2) % 10 + F.floor(c.cast("int") / 5).cast("int")))
     return F.aggregate(doubled, F.lit(0), lambda a, x: a + x) % 10 == 0
+
+
+#: Code points of a bin in which spans of one text meet.
+BIN = 512
+
+
+def _bins(parts: DataFrame, reach: int) -> DataFrame:
+    first, last = F.floor((F.col("start") - reach) / BIN), F.floor((F.col("end") - 1 + reach) / BIN)
+    return parts.withColumn("bin", F.explode(F.sequence(first, last)))
+
+
+def within_scope(asks: DataFrame, offers: DataFrame, reach: int, fits: Column, apart: bool) -> DataFrame:
+    """The rows of ``asks`` (``row, start, end`` and more) near which one of ``offers`` (likewise) stands in the same text.
+
+    An interval join: spans meet in bins of a text, so that it's an equi-join on text and bin however many spans a text
+    has. Near is at most ``reach`` code points away; with ``apart`` the two must not overlap, else they must. ``fits``
+    is a further condition on the columns of the two, ``a.*`` and ``o.*``. Rows come out once.
+    """
+    a, o = _bins(asks, reach).alias("a"), _bins(offers, 0).alias("o")
+    clear = (F.col("o.end") <= F.col("a.start")) | (F.col("o.start") >= F.col("a.end"))
+    close = (F.col("o.start") <= F.col("a.end") + reach) & (F.col("o.end") >= F.col("a.start") - reach)
+    same = (F.col("a.row") == F.col("o.row")) & (F.col("a.bin") == F.col("o.bin"))
+    return a.join(o, same & fits & (close & clear if apart else ~clear), "left_semi").drop("bin").distinct()

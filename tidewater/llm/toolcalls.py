@@ -84,39 +84,76 @@ def link(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
 
 
 def _levels(calls: DataFrame, waits: DataFrame) -> DataFrame:
-    """``conv_id, call_id, level`` of all calls that are not in a cycle or behind one, level by level."""
-    waiting = spool(waits)
-    blocked = waiting.select("conv_id", "call_id").distinct()
+    """``conv_id, call_id, level`` of all calls that are not in a cycle or behind one.
+
+    A call that waits for one other points to it; pointers are doubled until they reach a call that waits for none or for
+    several, in as many rounds as the logarithm of the longest chain. Only calls that wait for several are then ordered
+    round by round.
+    """
+    call = ["conv_id", "call_id"]
     same = lambda x, y, key: F.col(f"{x}.conv_id").eqNullSafe(F.col(f"{y}.conv_id")) & (F.col(f"{x}.{key}") == F.col(f"{y}.call_id"))
-    level = spool(calls.alias("c").join(blocked.alias("b"), same("c", "b", "call_id"), "left_anti").select("conv_id", "call_id", F.lit(0).alias("level")))
-    done, new, n = [level], level, 0
-    while not new.isEmpty() and not waiting.isEmpty():
-        n += 1
-        left = spool(waiting.alias("w").join(new.alias("d"), same("w", "d", "on"), "left_anti"))
-        before = waiting.select("conv_id", "call_id").distinct()
-        after = left.select("conv_id", "call_id").distinct()
-        new = spool(before.alias("c").join(after.alias("b"), same("c", "b", "call_id"), "left_anti").select("conv_id", "call_id", F.lit(n).alias("level")))
-        drop_spool(waiting)
-        waiting = left
+    waits = spool(waits)
+    fan = waits.groupBy(*call).agg(F.count("*").alias("n"), F.min("on").alias("on"))
+    one = F.coalesce(F.col("n") == 1, F.lit(False))
+    chains = spool(calls.alias("c").join(fan.alias("f"), same("c", "f", "call_id"), "left").select("c.conv_id", "c.call_id", F.when(one, F.col("on")).otherwise(F.col("c.call_id")).alias("top"), one.cast("long").alias("steps"), one.alias("open"), (F.col("n") > 1).alias("joins")))
+    left, before = chains.where("open").count(), -1
+    while left and left != before:  # a round in which none arrives leaves only cycles
+        up = chains.select(*call, F.col("top").alias("up"), F.col("steps").alias("more"), F.col("open").alias("on"))
+        moved = chains.where("open").alias("c").join(up.alias("u"), same("c", "u", "top")).select("c.conv_id", "c.call_id", F.col("up").alias("top"), (F.col("steps") + F.col("more")).alias("steps"), F.col("on").alias("open"), "joins")
+        nxt = spool(chains.where("not open").unionByName(moved))
+        drop_spool(chains)
+        chains, before = nxt, left
+        left = chains.where("open").count()
+    known = spool(chains.where("not open and joins is null and steps = 0").select(*call, F.lit(0).cast("long").alias("level")))
+    several = waits.alias("w").join(chains.where("joins").alias("j"), same("w", "j", "call_id"), "left_semi")
+    if not several.isEmpty():
+        own = several.alias("w").join(chains.alias("c"), same("w", "c", "on")).select("w.conv_id", "w.call_id", "top", (F.col("steps") + 1).alias("steps"), F.col("open").alias("stuck"), F.lit(None).cast("long").alias("at"))
+        known = _joined(spool(own), known, same)
+    tops = chains.where("not open").alias("c").join(known.alias("k"), same("c", "k", "top"))
+    return tops.select("c.conv_id", "c.call_id", (F.col("level") + F.col("steps")).alias("level"))
+
+
+def _joined(edges: DataFrame, known: DataFrame, same) -> DataFrame:
+    """``known`` with the calls that wait for several: each after all that it waits for, one row of ``edges`` for each."""
+    done, new = [known], known
+    while not new.isEmpty():
+        nxt = edges.alias("e").join(new.alias("k"), same("e", "k", "top"), "left").select("e.conv_id", "e.call_id", "top", "steps", "stuck", F.coalesce("at", F.col("level") + F.col("steps")).alias("at"))
+        nxt = spool(nxt)
+        ready = nxt.groupBy("conv_id", "call_id").agg(F.max("at").alias("level"), F.count_if(F.col("at").isNull() | F.col("stuck")).alias("open"))
+        new = spool(ready.where("open = 0").select("conv_id", "call_id", "level"))
+        edges = spool(nxt.alias("e").join(new.alias("n"), same("e", "n", "call_id"), "left_anti"))
+        drop_spool(nxt)
         done.append(new)
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out
+    return spool(out)
 
 
 def as_tool_messages(turns: DataFrame) -> DataFrame:
-    """Conversations in the form of calls: a user's turn asks the tool ``reply``, the turn after it is the result.
+    """Conversations in the form of calls: a user's or system's turn is a call, one of an assistant the result of the turn before it.
 
-    A call waits for the one at half its turn, if that was a call.
+    A call waits for the one at half its turn, if that was a call. By the length ``n`` of their text, some calls have
+    bad arguments, wait for a call that is nowhere or for a later one, and some results come with a repeated call.
     """
     name = lambda t: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), t.cast("string"))
-    turn = F.col("turn").cast("long")
-    after = F.when(turn > 0, F.array(name(F.floor(turn / 2)))).otherwise(F.array().cast("array<string>"))
-    arguments = F.struct(word_count(F.col("text")).alias("words"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"))
-    call = F.to_json(F.struct(F.array(F.struct(name(turn).alias("id"), F.lit("reply").alias("name"), arguments.alias("arguments"), after.alias("after"))).alias("tool_calls")))
-    result = F.to_json(F.struct(F.struct(name(turn - 1).alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("content")).alias("tool_result")))
-    return turns.where("role in ('user', 'assistant')").select("conv_id", "turn", F.when(F.col("role") == "user", call).otherwise(result).alias("text"))
+    turn, words, n = F.col("turn").cast("long"), word_count(F.col("text")).cast("string"), F.coalesce(F.length("text"), F.lit(0))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    joined = lambda a, b, *parts: F.concat(F.lit(a), F.array_join(F.array_compact(F.array(*parts)), ","), F.lit(b))
+    arguments = joined(
+        "{", "}",
+        F.when(n % 11 != 0, F.concat(F.lit('"chars":'), n.cast("string"))),
+        F.when(n % 5 == 0, F.lit('"note":"n"')),
+        F.concat(F.lit('"words":'), F.when(n % 7 == 0, quoted(words)).otherwise(words)),
+    )
+    half = F.when(n % 17 == 0, name(turn + 2)).otherwise(name(F.floor(turn / 2)))
+    after = joined("[", "]", F.when(turn > 0, quoted(half)), F.when(n % 13 == 0, quoted(F.concat(F.lit("gone-"), turn.cast("string")))))
+    tool = F.when(F.col("role") == "system", "setup").otherwise("reply")
+    call = lambda i, t, args, on: F.concat(F.lit('{"tool_calls":[{"id":'), quoted(i), F.lit(',"name":'), quoted(t), F.lit(',"arguments":'), args, F.lit(',"after":'), on, F.lit("}]"))
+    result = F.concat(F.lit('"tool_result":{"id":'), quoted(name(turn - 1)), F.lit(',"content":'), quoted(F.md5(F.coalesce("text", F.lit("")))), F.lit("}}"))
+    again = F.concat(call(name(turn - 1), F.lit("reply"), F.lit("{}"), F.lit("[]")), F.lit(","))
+    answer = F.concat(F.when(n % 3 == 0, again).otherwise(F.lit("{")), result)
+    return turns.select("conv_id", "turn", F.when(F.col("role") == "assistant", answer).otherwise(F.concat(call(name(turn), tool, arguments, after), F.lit("}"))).alias("text"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,27 +164,34 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 with turns as (
-  select conv_id, turn, role, coalesce(text, '') as text, 'c' || conv_id || '-' || turn as id from conversations where role in ('user', 'assistant')
+  select conv_id, turn, role, coalesce(text, '') as text, length(coalesce(text, '')) as n, 'c' || conv_id || '-' as stem from conversations
+), every as (
+  select conv_id, stem || turn as id, turn, case when role = 'system' then 'setup' else 'reply' end as name,
+    '{' || concat_ws(',', case when n % 11 <> 0 then '"chars":' || n end, case when n % 5 = 0 then '"note":"n"' end,
+      '"words":' || case when n % 7 = 0 then '"' || len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) || '"' else len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::varchar end) || '}' as arguments,
+    list_filter([case when turn > 0 then stem || case when n % 17 = 0 then turn + 2 else turn // 2 end end, case when n % 13 = 0 then 'gone-' || turn end], x -> x is not null) as after,
+    case when role = 'system' then 'unknown tool' else concat_ws('; ', case when n % 11 = 0 then 'missing argument: chars' end, case when n % 5 = 0 then 'unknown argument: note' end, case when n % 7 = 0 then 'wrong type: words' end) end as errors
+  from turns where role is distinct from 'assistant'
+  union all
+  select conv_id, stem || (turn - 1), turn, 'reply', '{}', [], 'missing argument: chars; missing argument: words' from turns where role = 'assistant' and n % 3 = 0
 ), calls as (
-  select conv_id, id, min(turn) as turn, count(*) - 1 as repeats,
-    min([lpad(turn::varchar, 12, '0'), '{"chars":' || length(text) || ',"words":' || len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) || '}'])[2] as arguments
-  from turns where role = 'user' group by conv_id, id
+  select *, count(*) over (partition by conv_id, id) - 1 as repeats, row_number() over (partition by conv_id, id order by turn, name, arguments, after) as nth from every qualify nth = 1
 ), waits as (
-  select *, case when turn > 0 then 'c' || conv_id || '-' || (turn // 2) end as wait_for from calls
+  select w.conv_id, w.id, w.wait_for, c.id is not null as there from (select conv_id, id, unnest(after) as wait_for from calls) w left join calls c on c.conv_id is not distinct from w.conv_id and c.id = w.wait_for
 ), results as (
-  select conv_id, 'c' || conv_id || '-' || (turn - 1) as id, turn as result_turn, min(md5(text)) as content from turns where role = 'assistant' group by conv_id, turn
+  select conv_id, stem || (turn - 1) as id, min(turn) as result_turn, arg_min(md5(text), turn) as content from turns where role = 'assistant' group by 1, 2
 ), leveled as (
   with recursive down as (
-    select w.conv_id, w.id, 0 as level from waits w where w.wait_for is null or not exists (select 1 from calls c where c.conv_id = w.conv_id and c.id = w.wait_for)
+    select c.conv_id, c.id, 0 as level from calls c where not exists (select 1 from waits w where w.conv_id is not distinct from c.conv_id and w.id = c.id and w.there)
     union all
-    select w.conv_id, w.id, d.level + 1 from waits w join down d on w.conv_id = d.conv_id and w.wait_for = d.id
+    select w.conv_id, w.id, d.level + 1 from waits w join down d on w.conv_id is not distinct from d.conv_id and w.wait_for = d.id
   ) select * from down
-)
-select coalesce(w.conv_id, r.conv_id) as conv_id, coalesce(w.id, r.id) as call_id, w.turn, l.level::bigint as level, r.result_turn,
-  case when w.id is null then 'orphan' when r.result_turn is null then 'unanswered' when r.result_turn < w.turn then 'early' else 'linked' end as status,
-  w.repeats, case when w.wait_for is not null and not exists (select 1 from calls c where c.conv_id = w.conv_id and c.id = w.wait_for) then w.wait_for else '' end as missing,
-  case when w.id is not null then '' end as errors,
-  '{' || coalesce('"after":[' || case when w.id is null then null when w.wait_for is null then '' else '"' || w.wait_for || '"' end || '],', '') || coalesce('"arguments":' || w.arguments || ',', '')
-    || '"id":"' || coalesce(w.id, r.id) || '"' || case when w.id is not null then ',"name":"reply"' else '' end || coalesce(',"result":"' || r.content || '"', '') || '}' as json
-from waits w full join results r on w.conv_id = r.conv_id and w.id = r.id left join leveled l on l.conv_id = w.conv_id and l.id = w.id
+), missing as (select conv_id, id, string_agg(wait_for, ',' order by wait_for) as missing from waits where not there group by 1, 2)
+select coalesce(c.conv_id, r.conv_id) as conv_id, coalesce(c.id, r.id) as call_id, c.turn, l.level::bigint as level, r.result_turn,
+  case when c.id is null then 'orphan' when r.result_turn is null then 'unanswered' when r.result_turn < c.turn then 'early' else 'linked' end as status,
+  c.repeats, coalesce(m.missing, '') as missing, c.errors,
+  '{' || concat_ws(',', '"after":[' || list_aggregate(list_transform(list_sort(c.after), x -> '"' || x || '"'), 'string_agg', ',') || ']', case when len(c.after) = 0 then '"after":[]' end,
+    '"arguments":' || c.arguments, '"id":"' || coalesce(c.id, r.id) || '"', '"name":"' || c.name || '"', '"result":"' || r.content || '"') || '}' as json
+from calls c full join results r on c.conv_id is not distinct from r.conv_id and c.id = r.id
+  left join leveled l on l.conv_id is not distinct from c.conv_id and l.id = c.id left join missing m on m.conv_id is not distinct from c.conv_id and m.id = c.id
 """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -11,12 +13,16 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def of_one_length(vectors: DataFrame) -> DataFrame:
-    """``vec_id, embedding`` (array of double) and more: the usable rows, as long as most usable vectors are.
+def usable_rows(vectors: DataFrame) -> DataFrame:
+    """The rows of ``vectors`` (``vec_id, embedding`` and more) with an id and a usable vector, and its length ``dims``.
 
-    Vectors of another length can't be compared with them and take no part.
+    Zeros lose their sign, so that equal vectors are equal in every bit; the numbers keep their type.
     """
-    good = vectors.where("vec_id is not null").withColumn("embedding", F.col("embedding").cast("array<double>")).where(usable(F.col("embedding")))
-    lengths = good.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"))
-    most = lengths.agg(F.max(F.struct("n", "d"))["d"]).first()[0]
-    return good.where(F.size("embedding") == (most or 0))
+    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
+    plain = F.transform("embedding", lambda v: F.when(v == 0, F.lit(0).cast(kind)).otherwise(v))
+    return vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).withColumn("embedding", plain).withColumn("dims", F.size("embedding"))
+
+
+def matrix(column: pd.Series) -> np.ndarray:
+    """Vectors of one length as rows of doubles."""
+    return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, 0))
