@@ -175,6 +175,7 @@ class _Packing:
         self.blocks = {d: np.ones(len(x.centroids), np.int64) for d, x in indexes.items()}
         part, used = -1, room + 1
         for d, x in indexes.items():
+            used = room + 1  # vectors of one length only in a part
             for i in _side_by_side(x):
                 n = sizes.get((d, i), 0)
                 if n > room:

@@ -169,7 +169,7 @@ with turns as (
   select conv_id, stem || turn as id, turn, case when role = 'system' then 'setup' else 'reply' end as name,
     '{' || concat_ws(',', case when n % 11 <> 0 then '"chars":' || n end, case when n % 5 = 0 then '"note":"n"' end,
       '"words":' || case when n % 7 = 0 then '"' || len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) || '"' else len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::varchar end) || '}' as arguments,
-    list_filter([case when turn > 0 then stem || case when n % 17 = 0 then turn + 2 else turn // 2 end end, case when n % 13 = 0 then 'gone-' || turn end], x -> x is not null) as after,
+    list_filter([case when turn > 0 then stem || case when n % 17 = 0 then turn + 2 else turn // 2 end end, case when n % 13 = 0 then 'gone-' || turn end], lambda x: x is not null) as after,
     case when role = 'system' then 'unknown tool' else concat_ws('; ', case when n % 11 = 0 then 'missing argument: chars' end, case when n % 5 = 0 then 'unknown argument: note' end, case when n % 7 = 0 then 'wrong type: words' end) end as errors
   from turns where role is distinct from 'assistant'
   union all
@@ -190,7 +190,7 @@ with turns as (
 select coalesce(c.conv_id, r.conv_id) as conv_id, coalesce(c.id, r.id) as call_id, c.turn, l.level::bigint as level, r.result_turn,
   case when c.id is null then 'orphan' when r.result_turn is null then 'unanswered' when r.result_turn < c.turn then 'early' else 'linked' end as status,
   c.repeats, coalesce(m.missing, '') as missing, c.errors,
-  '{' || concat_ws(',', '"after":[' || list_aggregate(list_transform(list_sort(c.after), x -> '"' || x || '"'), 'string_agg', ',') || ']', case when len(c.after) = 0 then '"after":[]' end,
+  '{' || concat_ws(',', '"after":[' || list_aggregate(list_transform(list_sort(c.after), lambda x: '"' || x || '"'), 'string_agg', ',') || ']', case when len(c.after) = 0 then '"after":[]' end,
     '"arguments":' || c.arguments, '"id":"' || coalesce(c.id, r.id) || '"', '"name":"' || c.name || '"', '"result":"' || r.content || '"') || '}' as json
 from calls c full join results r on c.conv_id is not distinct from r.conv_id and c.id = r.id
   left join leveled l on l.conv_id is not distinct from c.conv_id and l.id = c.id left join missing m on m.conv_id is not distinct from c.conv_id and m.id = c.id
