@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.jobs import casts, feeds, lists, meshes, places, profiles, refine, relocation, subsets, time_series
+from tidewater.jobs import casts, feeds, formats, lists, meshes, places, profiles, refine, relocation, subsets, time_series
 
-MODULES = (time_series, lists, meshes, places, profiles, refine, subsets, casts, relocation, feeds)
+MODULES = (time_series, lists, meshes, places, profiles, refine, subsets, casts, relocation, formats, feeds)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
