@@ -322,6 +322,8 @@ def test_long_lines_within_their_edits_share_a_key(monkeypatch, numbered):
             own, more = (k.to_pylist() for k in x.keys(np.array([True, True])))
             i, j = (0, 1) if x.size[0] <= x.size[1] else (1, 0)
             assert set(own[i]) & set(own[j] + more[j])
+            own, more = (k.to_pylist() for k in x.fine_keys())
+            assert len(own[i]) % 2 == 0 and sum(k in set(more[j]) for k in own[i]) > len(own[i]) // 2
 
 
 def test_line_dedup(spark):

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from tidewater.llm import lines, simhash
 
 SCHEMA = "doc_id long, text string"
@@ -53,7 +55,10 @@ def edit(a, b):
     return p[-1]
 
 
-def test_line_edits_grow_with_length(spark):
+@pytest.mark.parametrize("few, pairwise", [(lines.FEW, lines.PAIRWISE), (1, 1)])
+def test_line_edits_grow_with_length(spark, monkeypatch, few, pairwise):
+    monkeypatch.setattr(lines, "FEW", few)
+    monkeypatch.setattr(lines, "PAIRWISE", pairwise)
     r = random.Random(3)
     texts = []
     for n in (32, 39, 40, 79, 80, 120, 200, 300):

@@ -30,8 +30,8 @@ LEAST_CHARS = 32
 CHARS_AN_EDIT = 40
 #: Lines with more edits look up all their smallest grams, whichever segment it is: there the moves overlap anyway.
 NUMBERED = 50
-#: Lines under one key up to which they are compared pairwise at once; under larger ones first with one line only.
-PAIRWISE = 32
+#: Lines under one key up to which they are compared pairwise at once, and those up to which pairs are made at all.
+FEW, PAIRWISE = 4, 32
 #: Rows (of two longs) up to which a table is broadcast; beyond it, it is shuffled.
 BROADCAST_ROWS = 200_000
 #: Characters worked through together.
@@ -128,17 +128,8 @@ class Lines:
     def _class_keys(self, own: np.ndarray, c: int, k: int, total: np.ndarray, down: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
         """Lines (places in ``own``), keys, and whether these are the segments as they stand."""
         s = int(_BOUNDS[c - 1]) // (k + 1)
-        gram, wide = s - s // 2, 1 + s // 2
-        size = self.size[own]
-        n = size - gram + 1
-        begin = np.cumsum(n) - n
-        at = np.repeat(self.start[own] - begin, n) + np.arange(int(n.sum()))
-        h = _mixed((total[at + gram] - total[at]) * down[at], c)
-        low, w = h, 1
-        while 2 * w <= wide:
-            low, w = np.minimum(low[: len(low) - w], low[w:]), 2 * w
-        low = np.minimum(low[: len(low) - (wide - w)], low[wide - w :])  # smallest gram of the substring of s that begins here
-        last = size - s
+        low, begin, last = self._smallest(own, s, c, total, down)
+        n = self.size[own] - (s - s // 2) + 1
         for side, parts in ((0, (k + 2) // 2), (1, (k + 1) // 2)):
             for i in range(parts):
                 middle = np.full(len(own), i * s) if side == 0 else last - i * s
@@ -157,6 +148,47 @@ class Lines:
             new = inside & np.append(True, low[1:] != low[:-1])
             yield np.repeat(np.arange(len(own)), n)[: len(low)][new], _numbered(low[new], 0), False
 
+    def fine_keys(self, edits: Callable = most_edits) -> tuple[pa.Array, pa.Array]:
+        """Keys of twice as many segments as above, and of all substrings of their length.
+
+        A line with ``k`` edits leaves ``k + 2`` of ``2 k + 2`` segments unchanged: of any ``k + 1`` of them at least one.
+        """
+        up, down = _POWERS.upto(len(self.cp) + 1)
+        total = np.concatenate([np.zeros(1, np.uint64), (self.cp * up[: len(self.cp)]).cumsum(dtype=np.uint64)])
+        kind = np.searchsorted(_BOUNDS, self.size, side="right")
+        shorter = np.searchsorted(_BOUNDS, np.maximum(self.size - edits(self.size), 1), side="right")
+        found: tuple[list, list] = ([], [])
+        for c in np.unique(kind).tolist():
+            for probed in (c, c - 1):
+                own = np.flatnonzero((kind == c) & (shorter <= probed))
+                k = int(edits(int(_BOUNDS[probed]) - 1)) if probed else 0
+                if not len(own) or not probed or _BOUNDS[probed - 1] < 2 * k + 2:
+                    continue
+                s = int(_BOUNDS[probed - 1]) // (2 * k + 2)
+                low, begin, last = self._smallest(own, s, probed, total, down)
+                if probed == c:
+                    for i in range(2 * k + 2):
+                        found[0].append((own, _numbered(low[begin + i * s], 0)))
+                n = last + 1 + s // 2
+                of = np.repeat(np.arange(len(own)), n)[: len(low)]
+                inside = np.arange(len(low)) - begin[of] <= last[of]
+                new = inside & np.append(True, low[1:] != low[:-1])
+                new[begin] = True
+                found[1].append((own[of[new]], _numbered(low[new], 0)))
+        return tuple(_lists(f, len(self.size)) for f in found)
+
+    def _smallest(self, own: np.ndarray, s: int, salt: int, total: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each substring of ``s`` characters of the lines ``own`` the hash of its smallest gram; where each line's begin, and its last one."""
+        gram, wide = s - s // 2, 1 + s // 2
+        size = self.size[own]
+        n = size - gram + 1
+        begin = np.cumsum(n) - n
+        at = np.repeat(self.start[own] - begin, n) + np.arange(int(n.sum()))
+        low, w = _mixed((total[at + gram] - total[at]) * down[at], salt), 1
+        while 2 * w <= wide:
+            low, w = np.minimum(low[: len(low) - w], low[w:]), 2 * w
+        return np.minimum(low[: len(low) - (wide - w)], low[wide - w :]), begin, size - s
+
 
 def _numbered(h: np.ndarray, number: int) -> np.ndarray:
     return (h ^ np.uint64(number * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.int64)
@@ -316,7 +348,7 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _shared_keys(seen: DataFrame, distinct: DataFrame) -> DataFrame:
-    """``key, lid, n, size, sig1, sig2`` of keys that several distinct lines have, ``n`` of them; spooled. ``seen`` is used up.
+    """``key, lid, n, size, sig1, sig2, times`` of keys that several distinct lines have, ``n`` of them; spooled. ``seen`` is used up.
 
     Most keys are one line's only: these go in the one shuffle that all keys take.
     """
@@ -328,7 +360,7 @@ def _shared_keys(seen: DataFrame, distinct: DataFrame) -> DataFrame:
     del keys, several
     drop_shuffles(shared.sparkSession)
     sizes = shared.groupBy("key").agg(F.count("*").alias("n"))
-    return spool(shared.join(sizes, "key").join(distinct.select("lid", "size", "sig1", "sig2"), "lid"))
+    return spool(shared.join(sizes, "key").join(distinct.select("lid", "size", "sig1", "sig2", "times"), "lid"))
 
 
 def _off(a: str, b: str) -> Column:
@@ -360,27 +392,61 @@ def _near_length(a: str, b: str) -> Column:
 
 def _pairs(held: DataFrame, apart: Column | bool = True) -> DataFrame:
     """``a, b`` of close lines that share a key."""
-    pick = lambda p: held.select("key", *[F.col(c).alias(p if c == "lid" else f"{p}_{c}") for c in held.columns if c not in ("key", "n")])
+    pick = lambda p: held.select("key", *[F.col(c).alias(p if c == "lid" else f"{p}_{c}") for c in held.columns if c not in ("key", "n", "times")])
     return _close_ones(pick("a").join(pick("b"), "key").where((F.col("a") < F.col("b")) & _near_length("a", "b") & apart))
 
 
 def _linked(held: DataFrame, plain: DataFrame, distinct: DataFrame, clashing: frozenset[int]) -> DataFrame:
     """Edges between lines within the edits allowed that connect all such.
 
-    Under keys of many lines these are first compared with one of them only; of those that did not connect this way,
-    pairs are made.
+    Under keys of more than ``FEW`` lines these are first compared with the one that stands most often, which near copies
+    are mostly made from. Of those that did not connect this way, pairs are made where the key has no more than
+    ``PAIRWISE`` lines; lines of larger keys are looked up once more by the rarest of twice as many segments.
     """
-    few = spool(_pairs(held.where(F.col("n") <= PAIRWISE)))
-    many = held.where(F.col("n") > PAIRWISE)
-    if many.isEmpty():
-        return _verified(few, plain, distinct, clashing)
-    hub = spool(many.groupBy("key").agg(F.min(F.struct("lid", "size", "sig1", "sig2")).alias("h")).select("key", *[F.col(f"h.{c}").alias("b" if c == "lid" else f"b_{c}") for c in ("lid", "size", "sig1", "sig2")]))
-    stars = many.select("key", *[F.col(c).alias("a" if c == "lid" else f"a_{c}") for c in ("lid", "size", "sig1", "sig2")]).join(hub, "key").where((F.col("a") != F.col("b")) & _near_length("a", "b"))
-    first = _verified(spool(few.unionByName(_close_ones(stars)).distinct()), plain, distinct, clashing)
-    part = connected_components(first)
-    parts = many.join(part, many.lid == part.node, "left").select("key", "lid", "size", "sig1", "sig2", F.coalesce("component", "lid").alias("part"))
-    rest = spool(_pairs(spool(parts), F.col("a_part") != F.col("b_part")).join(few, ["a", "b"], "left_anti"))
-    return first.unionByName(_verified(rest, plain, distinct, clashing))
+    few = _pairs(held.where(F.col("n") <= FEW))
+    many = spool(held.where(F.col("n") > FEW))
+    facts = ["lid", "size", "sig1", "sig2"]
+    top = many.groupBy("key").agg(F.min(F.struct((-F.col("times")).alias("rank"), *facts)).alias("h")).select("key", *[F.col(f"h.{c}").alias("b" if c == "lid" else f"b_{c}") for c in facts])
+    stars = many.select("key", *[F.col(c).alias("a" if c == "lid" else f"a_{c}") for c in facts]).join(top, "key").where((F.col("a") != F.col("b")) & _near_length("a", "b"))
+    first = spool(few.unionByName(_close_ones(stars)).distinct())
+    edges = _verified(first, plain, distinct, clashing)
+    part = connected_components(edges)
+    parts = many.join(part, many.lid == part.node, "left").select("key", "n", *facts, F.coalesce("component", "lid").alias("part"))
+    apart = parts.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
+    parts = spool(parts.join(apart, "key", "left_semi"))
+    rest = _pairs(parts.where(F.col("n") <= PAIRWISE), F.col("a_part") != F.col("b_part"))
+    hot = spool(parts.where(F.col("n") > PAIRWISE).select(*facts, "part").distinct())
+    if not hot.isEmpty():
+        rest = rest.unionByName(_rare_pairs(hot, plain, distinct, clashing)).distinct()
+    return edges.unionByName(_verified(spool(rest.join(first, ["a", "b"], "left_anti")), plain, distinct, clashing))
+
+
+def _rare_pairs(hot: DataFrame, plain: DataFrame, distinct: DataFrame, clashing: frozenset[int]) -> DataFrame:
+    """``a, b`` of close lines of ``hot`` in different parts that share one of the rarest half of one's fine segments.
+
+    Lines that have a common passage, and so common keys, are told apart by what else they hold.
+    """
+    keys = pa.list_(pa.int64())
+    schema = pa.schema([("lid", pa.int64()), ("own", keys), ("more", keys)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lids = batch.column(0).to_numpy()
+            for first, texts in _texts(batch.column(1)):
+                x = Lines(texts)
+                yield pa.RecordBatch.from_arrays([pa.array(lids[first + x.text]), *x.fine_keys()], schema=schema)
+
+    texts = _line_texts(plain, distinct.join(hot.select("lid"), "lid").select("doc", "lid"), clashing)
+    fine = spool(texts.select("lid", "line").mapInArrow(run, "lid long, own array<long>, more array<long>"))
+    index = fine.select("lid", (F.size("own") / 2).alias("half"), F.posexplode("own").alias("i", "key"))
+    often = index.groupBy("key").agg(F.count_distinct("lid").alias("often"))
+    nth = F.row_number().over(Window.partitionBy("lid").orderBy("often", "i"))
+    rare = index.join(often, "key").withColumn("nth", nth).where(F.col("nth") <= F.col("half")).select("lid", "key").distinct()
+    probe = fine.select("lid", F.explode("more").alias("key")).distinct()
+    side = lambda p: hot.select(*[F.col(c).alias(p if c == "lid" else f"{p}_{c}") for c in hot.columns])
+    met = rare.withColumnRenamed("lid", "a").join(probe.withColumnRenamed("lid", "b"), "key").where("a <> b").select("a", "b").distinct()
+    both = met.join(side("a"), "a").join(side("b"), "b").where((F.col("a_part") != F.col("b_part")) & _near_length("a", "b"))
+    return _close_ones(both)
 
 
 def _line_texts(docs: DataFrame, wanted: DataFrame, clashing: frozenset[int]) -> DataFrame:
@@ -456,7 +522,7 @@ def _seen(plain: DataFrame) -> tuple[DataFrame, DataFrame, frozenset[int]]:
     clashing: frozenset[int] = frozenset()
     while True:
         seen = spool(_occurrences(plain, clashing))
-        facts = [F.min("doc").alias("doc"), (F.min("doc") < F.max("doc")).alias("again"), F.max("size").alias("size"), F.max("sig1").alias("sig1"), F.max("sig2").alias("sig2"), F.min("check").alias("low"), F.max("check").alias("high")]
+        facts = [F.min("doc").alias("doc"), (F.min("doc") < F.max("doc")).alias("again"), F.max("size").alias("size"), F.max("sig1").alias("sig1"), F.max("sig2").alias("sig2"), F.count("*").alias("times"), F.min("check").alias("low"), F.max("check").alias("high")]
         distinct = spool(seen.groupBy("lid").agg(*facts))
         more = [r["lid"] for r in distinct.where("low <> high").select("lid").collect()]
         if not more:
