@@ -484,7 +484,9 @@ def _verified(pairs: DataFrame, plain: DataFrame, distinct: DataFrame, clashing:
     texts = spool(_line_texts(plain, distinct.join(asked, "lid").select("doc", "lid"), clashing))
     one = texts.select(F.col("lid").alias("a"), F.col("line").alias("la"))
     two = texts.select(F.col("lid").alias("b"), F.col("line").alias("lb"))
-    return spool(pairs.join(one, "a").join(two, "b").select("a", "b", "la", "lb").mapInArrow(run, "a long, b long"))
+    # Dealt out evenly: bytes don't tell how long pairs take.
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "la", "lb").repartition(8 * pairs.sparkSession.sparkContext.defaultParallelism)
+    return spool(both.mapInArrow(run, "a long, b long"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
