@@ -159,7 +159,7 @@ QUERIES = {
     ),
     "profile_regrid": (
         lambda s, d: _r(K.profile_regrid(_cast(s, d).where("z > 0.5"), ["node_id"]), "value"),
-        f"with {_CAST}, p as (select * from ca where z > 0.5), g as (select node_id, unnest(range(0, floor(max(z))::bigint + 1))::double as z from p group by 1), near as (select g.node_id, g.z, max(struct_pack(z := p.z, v := p.value)) filter (p.z <= g.z) as a, min(struct_pack(z := p.z, v := p.value)) filter (p.z >= g.z) as b from g join p using (node_id) group by 1, 2), o as (select node_id, z, case when a.z = b.z then a.v else a.v + (z - a.z) / (b.z - a.z) * (b.v - a.v) end as value from near) select o.node_id, o.z, round(case when o.z = 0 then coalesce(o.value, n.value) else o.value end + 1e-9, 6) as value from o left join o n on n.node_id = o.node_id and n.z = 1",
+        f"with {_CAST}, p as (select * from ca where z > 0.5), g as (select node_id, unnest(range(0, floor(max(z))::bigint + 1))::double as z from p group by 1), lo as (select g.node_id, g.z, struct_pack(z := p.z, v := p.value) as a from g asof left join p on p.node_id = g.node_id and g.z >= p.z), hi as (select g.node_id, g.z, struct_pack(z := p.z, v := p.value) as b from g asof left join p on p.node_id = g.node_id and g.z <= p.z), near as (select node_id, z, case when a.z is not null then a end as a, case when b.z is not null then b end as b from lo join hi using (node_id, z)), o as (select node_id, z, case when a.z = b.z then a.v else a.v + (z - a.z) / (b.z - a.z) * (b.v - a.v) end as value from near) select o.node_id, o.z, round(case when o.z = 0 then coalesce(o.value, n.value) else o.value end + 1e-9, 6) as value from o left join o n on n.node_id = o.node_id and n.z = 1",
     ),
     "cast_to_levels": (
         lambda s, d: _r(K.cast_to_levels(_cast(s, d), node(s, d).select("node_id", F.explode(F.array(*map(F.lit, [-1.5, 0.7, 4.2, 88.8]))).alias("z")), ["node_id"]), "value"),

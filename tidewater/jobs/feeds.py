@@ -8,12 +8,12 @@ from tidewater.sources import text as X
 from tidewater.sources.bridge import DAY, HOURLY, SERIES, hourly, series, table
 from tidewater.streaming import feeds as R
 
-NAMES = ["click", "view"]
+NAMES = ["click", "error", "purchase", "signup", "view"]
 START = 1_704_067_200_000_000  # 2024-01-01
 
 
 def _wide(s, d):
-    h = hourly(s, d).where("variable in ('view', 'click')")
+    h = hourly(s, d)
     return h.select(F.concat(F.lit("f"), F.col("station").cast("string")).alias("file"), "t", F.col("variable").alias("name"), F.round(F.col("value") + 1e-9, 2).alias("value"))
 
 
@@ -46,7 +46,7 @@ def station_in(s, d):
 def staout(s, d):
     sent = _wide(s, d).withColumn("value", F.when(F.pmod(F.floor(F.col("t") / 3_600_000_000), F.lit(5)) == 0, -9999.0).otherwise(F.col("value")))
     files = X.write_th(sent, NAMES, dated=False, start=START).withColumn("content", F.regexp_replace("content", "^#[^\n]*\n", ""))
-    return X.read_staout(files, s.createDataFrame([(0, "click"), (1, "view")], "pos int, station string"), START)
+    return X.read_staout(files, s.createDataFrame(list(enumerate(NAMES)), "pos int, station string"), START)
 
 
 def params(s, d):
@@ -56,7 +56,7 @@ def params(s, d):
     return X.params_table(files)
 
 
-_WIDE = HOURLY + ", w as (select 'f' || station as file, t, variable as name, round(value + 1e-9, 2) as value from hourly where variable in ('view', 'click')), tt as (select distinct file, t from w), g as (select tt.file, tt.t, n.name, w.value from tt, (values ('click'), ('view')) n(name) left join w on w.file = tt.file and w.t = tt.t and w.name = n.name), k as (select *, dense_rank() over (partition by file order by t) - 1 as row_no from g)"
+_WIDE = HOURLY + ", w as (select 'f' || station as file, t, variable as name, round(value + 1e-9, 2) as value from hourly), tt as (select distinct file, t from w), g as (select tt.file, tt.t, n.name, w.value from tt, (select unnest(['click', 'error', 'purchase', 'signup', 'view']) as name) n left join w on w.file = tt.file and w.t = tt.t and w.name = n.name), k as (select *, dense_rank() over (partition by file order by t) - 1 as row_no from g)"
 
 QUERIES = {
     "read_th_dated": (read_th, f"with {_WIDE} select file, row_no::bigint as row_no, t, name, value, case when t % {DAY} = 0 then 'checked' end as comment from k"),
@@ -64,7 +64,7 @@ QUERIES = {
     "detect_elapsed": (detect, f"with {_WIDE} select distinct file, false as elapsed from w union all select distinct 'e' || file, true from w"),
     "write_th": (
         lambda s, d: X.write_th(_wide(s, d), NAMES),
-        f"with {_WIDE}, l as (select file, t, strftime(make_timestamp(t), '%Y-%m-%dT%H:%M') || ' ' || coalesce(printf('%.2f', max(value) filter (name = 'click')), 'nan') || ' ' || coalesce(printf('%.2f', max(value) filter (name = 'view')), 'nan') as line from g group by 1, 2) select file, 'datetime click view' || chr(10) || string_agg(line, chr(10) order by t) as content from l group by 1",
+        f"with {_WIDE}, l as (select file, t, strftime(make_timestamp(t), '%Y-%m-%dT%H:%M') || ' ' || string_agg(coalesce(printf('%.2f', value), 'nan'), ' ' order by name) as line from g group by 1, 2) select file, 'datetime click error purchase signup view' || chr(10) || string_agg(line, chr(10) order by t) as content from l group by 1",
     ),
     "read_station_in": (
         station_in,

@@ -35,9 +35,9 @@ def merge_th(s, d):
 
 
 def concat_sources(s, d):
-    h = hourly(s, d).where(F.col("t") < START)
+    h = hourly(s, d)
     site = lambda df: df.select(F.col("station").alias("site"), "variable", "t", "value")
-    a, b = h.where("station % 5 = 0 and variable in ('view', 'click')"), h.where("station % 5 = 1 and variable in ('view', 'error')")
+    a, b = h.where("station % 2 = 0"), h.where("station % 2 = 1")
     return T.concat_sources(site(a), site(b), site(a).unionByName(site(b)).select("site").distinct())
 
 
@@ -79,7 +79,7 @@ QUERIES = {
     ),
     "concat_sources_time_join": (
         concat_sources,
-        f"with {HOURLY}, a as (select * from hourly where t < {START} and station % 5 = 0 and variable in ('view', 'click')), b as (select * from hourly where t < {START} and station % 5 = 1 and variable in ('view', 'error')), u as (select * from a union all select * from b), f as (select site, variable, t from (select distinct station as site from u), (select distinct variable from u), (select distinct t from a)) select f.site, f.variable, f.t, coalesce(u.value, -9999.0) as value from f left join u on u.station = f.site and u.variable = f.variable and u.t = f.t",
+        f"with {HOURLY}, a as (select * from hourly where station % 2 = 0), b as (select * from hourly where station % 2 = 1), u as (select * from a union all select * from b), f as (select site, variable, t from (select distinct station as site from u), (select distinct variable from u), (select distinct t from a)) select f.site, f.variable, f.t, coalesce(u.value, -9999.0) as value from f left join u on u.station = f.site and u.variable = f.variable and u.t = f.t",
     ),
     "merge_th": (
         merge_th,
@@ -118,12 +118,12 @@ QUERIES = {
         f"with {SERIES}, {_MERGED}, u as (select station_id as id, subloc from sm where station < 60 union all select station_id, subloc from sm where station >= 50) select id, subloc, count(*) as n from u group by 1, 2 having count(*) > 1",
     ),
     "missing_columns": (
-        lambda s, d: T.missing_columns(table(s, d, "nation").select(F.concat(F.lit("view_"), (F.col("n_nationkey") * 3).cast("string")).alias("name"), F.col("n_nationkey").alias("ord")), series(s, d).where("station < 40").select(F.concat("variable", F.lit("_"), F.col("station").cast("string")).alias("name"))),
-        f"with {SERIES} select 'view_' || (n_nationkey * 3) as name, n_nationkey as ord from nation where 'view_' || (n_nationkey * 3) not in (select variable || '_' || station from series where station < 40)",
+        lambda s, d: T.missing_columns(table(s, d, "nation").select(F.concat(F.lit("view_"), (F.col("n_nationkey") * 3).cast("string")).alias("name"), F.col("n_nationkey").alias("ord")), series(s, d).select(F.concat("variable", F.lit("_"), F.col("station").cast("string")).alias("name"))),
+        f"with {SERIES} select 'view_' || (n_nationkey * 3) as name, n_nationkey as ord from nation where 'view_' || (n_nationkey * 3) not in (select variable || '_' || station from series)",
     ),
     "wanted_unwanted": (
-        lambda s, d: T.wanted_unwanted(19720, 19760, series(s, d).where("variable = 'error' and station % 7 = 0").select(F.floor(F.col("t") / DAY).cast("long").alias("block"))),
-        f"with {SERIES}, w as (select distinct t // {DAY} as b from series where variable = 'error' and station % 7 = 0) select x as block, x in (select b from w) as wanted from (select unnest(generate_series(19720, 19760)) as x)",
+        lambda s, d: T.wanted_unwanted(19720 * 1440, 19760 * 1440, series(s, d).select(F.floor(F.col("t") / 60_000_000).cast("long").alias("block"))),
+        f"with {SERIES}, w as (select distinct t // 60000000 as b from series) select x as block, b is not null as wanted from (select unnest(generate_series(19720 * 1440, 19760 * 1440)) as x) left join w on b = x",
     ),
     "ordered_distinct": (lambda s, d: T.ordered_distinct(series(s, d), "variable", "t"), f"with {SERIES}, f as (select variable, min(t) as m from series group by 1) select variable, row_number() over (order by m, variable)::int - 1 as ord from f"),
     "pair_status_counts": (

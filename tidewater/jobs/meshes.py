@@ -84,7 +84,7 @@ QUERIES = {
     "build_z_local": (lambda s, d: _settled(_z(s, d), "z"), f"with {Z} select node_id, k, round(z + 1e-9, 6) as z from z"),
     "sigma_to_z": (
         lambda s, d: _settled(M.sigma_to_z(level(s, d), node(s, d), 0.5), "z"),
-        f"with {NODE}, {LEVEL} select node_id, k, round(case when depth >= 0 then 0.5 + (0.5 + depth) * sigma end + 1e-9, 6) as z from level join node using (node_id)",
+        f"with {NODE}, {LEVEL} select node_id, k, round(case when 0.5 + depth >= 0 then 0.5 + (0.5 + depth) * sigma end + 1e-9, 6) as z from level join node using (node_id)",
     ),
     "flip_sigma": (lambda s, d: M.flip_sigma(level(s, d)), f"with {LEVEL} select node_id, max(k) over (partition by node_id) - k as k, sigma from level"),
     "vgrid_compare": (

@@ -44,6 +44,14 @@ def tidal(s, d):
 _P = NODE + ", " + LEVEL + ", pr as (select l.node_id, greatest(n.depth, 0.1::double) * l.sigma as z, round(greatest(n.depth, 0.1::double) * l.sigma * 2 + l.node_id % 7, 6) as value from level l join node n using (node_id)), tg as (select node_id, unnest([-12.3::double, -3.7, -0.9, 0.4]) as z from node)"
 _C = [(1 - 0.5) * math.sinh(4.0 * x) / math.sinh(4.0) + 0.5 * (math.tanh(4.0 * (x + 0.5)) - math.tanh(2.0)) / 2 / math.tanh(2.0) for x in SIGMA]
 
+def restarts(s, d):
+    """Files of all orders against those that a run as long as theirs should have left, one every six hours."""
+    names = table(s, d, "orders").select(F.concat(F.lit("hotstart_000000_"), (F.col("o_orderkey") * 80).cast("string"), F.lit(".nc")).alias("file"))
+    found = V.existing_restarts(names, START, 90).select("iteration", "file")
+    last = found.agg(F.max("iteration")).first()[0] or 0
+    return V.expected_restarts(s, START, last // 240 // 4 + 1, 21600, 90).join(found, "iteration", "full")
+
+
 QUERIES = {
     "build_z_sz": (
         lambda s, d: _r(V.sz_levels(node(s, d).withColumn("depth", F.col("depth") * 4), SIGMA, ZED, 25.0, 5.0, 0.5, 4.0), "z"),
@@ -76,9 +84,9 @@ QUERIES = {
         "select p_partkey // 3 as node_id, (p_partkey % 3)::int as tracer, p_retailprice as value from part",
     ),
     "expected_and_existing_restarts": (
-        lambda s, d: V.expected_restarts(s, START, 5, 21600, 90).join(
-            V.existing_restarts(table(s, d, "orders").where("o_orderkey % 3 = 0 and o_orderkey < 120").select(F.concat(F.lit("hotstart_000000_"), (F.col("o_orderkey") * 80).cast("string"), F.lit(".nc")).alias("file")), START, 90).select("iteration", "file"), "iteration", "left"),
-        f"with o as (select o_orderkey * 80 as i from orders where o_orderkey % 3 = 0 and o_orderkey < 120) select n * 240 as iteration, {START} + n * 21600000000 as t, case when n * 240 in (select i from o) then 'hotstart_000000_' || n * 240 || '.nc' end as file from (select unnest(generate_series(0, 19)) as n)",
+        restarts,
+        f"""with o as (select o_orderkey * 80 as i, 'hotstart_000000_' || o_orderkey * 80 || '.nc' as file from orders), e as (select n * 240 as i, {START} + n * 21600000000 as t from (select unnest(generate_series(0, (select max(i) // 240 // 4 * 4 + 3 from o))) as n))
+select coalesce(e.i, o.i) as iteration, t, file from e full join o on e.i = o.i""",
     ),
     "median_outliers": (
         outliers,
@@ -91,8 +99,8 @@ QUERIES = {
         + f") x(k, w)), s as (select f.variable, f.t + k * {HOUR} as t, sum(w * value) as y, count(*) as n from f, w where value is not null group by 1, 2) select f.variable, f.t, round(case when n = 49 then y end + 1e-9, 6) as value from f left join s on s.variable = f.variable and s.t = f.t",
     ),
     "laplace_forced": (
-        lambda s, d: _r(_smoothed(s, d, node(s, d).select("node_id", (F.pmod("node_id", F.lit(3)) / 10).alias("value"))).where("node_id % 2 = 0"), "value"),
-        f"with {MESH}, {NBR}, {_smooth_sql(10, '(o.node_id % 3) / 10.0::double')} select node_id, round(v + 1e-9, 6) as value from v10 where node_id % 2 = 0",
+        lambda s, d: _r(_smoothed(s, d, node(s, d).select("node_id", (F.pmod("node_id", F.lit(3)) / 10).alias("value"))), "value"),
+        f"with {MESH}, {NBR}, {_smooth_sql(10, '(o.node_id % 3) / 10.0::double')} select node_id, round(v + 1e-9, 6) as value from v10",
     ),
     "ll_to_utm": (
         lambda s, d: (lambda p: p.select("k", F.round(V.utm(F.col("lon"), F.col("lat"))[0], 3).alias("x"), F.round(V.utm(F.col("lon"), F.col("lat"))[1], 3).alias("y")))(

@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tidewater.operators import series as S
 from tidewater.sources.bridge import DAY, HOUR, HOURLY, SERIES, hourly, series
 
+MINUTE = 60_000_000
+#: Minutes from 2024-01-03 to 2024-01-28, between which blocks are merged.
+BLOCKS = (19725 * 1440, 19750 * 1440)
 KEYS = ["station", "variable"]
 #: 2024-01-20 and 2024-01-10 in microseconds: where the bridge's two restart files end and begin (fixed values).
 JAN_20, JAN_10 = 1_705_708_800_000_000, 1_704_844_800_000_000
@@ -115,8 +118,8 @@ def infer_frequency(spark, d):
 
 
 def merge_blocks(spark, d):
-    day = series(spark, d).where("variable = 'error' and station % 7 = 0").select(F.floor(F.col("t") / DAY).cast("long").alias("a")).distinct()
-    return S.merge_blocks(day.select("a", (F.col("a") + F.pmod("a", F.lit(3))).alias("b")), 19725, 19750)
+    minute = series(spark, d).select(F.floor(F.col("t") / MINUTE).cast("long").alias("a")).distinct()
+    return S.merge_blocks(minute.select("a", (F.col("a") + F.pmod("a", F.lit(3))).alias("b")), *BLOCKS)
 
 
 def combine_columns(spark, d):
@@ -259,9 +262,9 @@ select station, variable, t, round(case when ta = t then va when ta is null or t
     ),
     "merge_blocks": (
         merge_blocks,
-        f"""with {SERIES}, r as (select distinct t // {DAY} as a from series where variable = 'error' and station % 7 = 0),
-days as (select distinct unnest(generate_series(a, a + a % 3)) as d from r), inside as (select d from days where d between 19725 and 19750),
-flag as (select d, exists (select 1 from inside i where i.d = x.d) as wanted from (select unnest(generate_series(19725, 19750)) as d) x),
+        f"""with {SERIES}, r as (select distinct t // {MINUTE} as a from series),
+days as (select distinct unnest(generate_series(a, a + a % 3)) as d from r), inside as (select d from days where d between {BLOCKS[0]} and {BLOCKS[1]}),
+flag as (select d, exists (select 1 from inside i where i.d = x.d) as wanted from (select unnest(generate_series({BLOCKS[0]}, {BLOCKS[1]})) as d) x),
 isl as (select *, d - row_number() over (partition by wanted order by d) as i from flag) select min(d) as a, max(d) as b, wanted from isl group by wanted, i""",
     ),
     "combine_columns": (combine_columns, f"with {HOURLY} select case when variable in ('view', 'click') then 'reads' else 'writes' end as \"group\", t, round(sum(value), 6) as value from hourly group by 1, 2"),

@@ -132,7 +132,7 @@ def build_z(level: DataFrame, node: DataFrame, eta: float = 0.0) -> DataFrame:
 def sigma_to_z(level: DataFrame, node: DataFrame, eta: float) -> DataFrame:
     own = level.join(node.select("node_id", "depth"), "node_id")
     z = eta + (eta + F.col("depth")) * F.col("sigma")
-    return own.select("node_id", "k", F.when(F.col("depth") >= 0, z).alias("z"))
+    return own.select("node_id", "k", F.when(eta + F.col("depth") >= 0, z).alias("z"))
 
 
 def flip_sigma(level: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def crossed_edges(lines: DataFrame, hits: DataFrame, edges: DataFrame, node: Dat
     of the segment before the crossing. Edges that only touch the line are no crossings.
     """
     two = edges.select("a", "b", F.col("el").alias("elem_id")).unionByName(edges.where("er >= 0").select("a", "b", F.col("er").alias("elem_id")))
-    own = hits.join(two, "elem_id").select("line_id", "seg", "a", "b").distinct().join(F.broadcast(lines), ["line_id", "seg"])
+    own = hits.join(two, "elem_id").select("line_id", "seg", "a", "b").distinct().join(lines, ["line_id", "seg"])
     for end in ("a", "b"):
         own = own.join(node.select(F.col("node_id").alias(end), F.col("x").alias(f"x{end}"), F.col("y").alias(f"y{end}")), end)
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")

@@ -26,7 +26,7 @@ def flux_flags(crossed: DataFrame, edges: DataFrame, node: DataFrame, lines: Dat
     """
     side = lambda s: node.select(F.col("node_id").alias(s), F.col("x").alias(f"x{s}"), F.col("y").alias(f"y{s}"))
     two = edges.where("er >= 0").select("a", "b", F.explode(F.array(F.struct(F.col("el").alias("elem_id"), F.col("er").alias("other")), F.struct(F.col("er").alias("elem_id"), F.col("el").alias("other")))).alias("s")).select("a", "b", "s.*")
-    near = crossed.join(two, "elem_id").join(side("a"), "a").join(side("b"), "b").join(F.broadcast(lines), ["line_id", "seg"])
+    near = crossed.join(two, "elem_id").join(side("a"), "a").join(side("b"), "b").join(lines, ["line_id", "seg"])
     at = lambda s: (F.col("x1") - F.col("x0")) * (F.col(f"y{s}") - F.col("y0")) - (F.col("y1") - F.col("y0")) * (F.col(f"x{s}") - F.col("x0"))
     over = near.where((at("a") > 0) & (at("b") > 0))
     own = crossed.select("elem_id", "line_id", "seg", F.lit(0).alias("step"), (F.col("line_id") + 1).alias("flag"))
@@ -36,7 +36,7 @@ def flux_flags(crossed: DataFrame, edges: DataFrame, node: DataFrame, lines: Dat
 
 def label_values(labels: DataFrame, values: DataFrame) -> DataFrame:
     """Each row with its label's number (``values``: label, value, a short list); a label without one is an error."""
-    both = labels.join(F.broadcast(values), "label", "left")
+    both = labels.join(values, "label", "left")
     return both.withColumn("value", F.coalesce("value", F.raise_error(F.concat(F.lit("no value for "), F.col("label"))).cast("double")))
 
 

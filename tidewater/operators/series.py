@@ -44,11 +44,38 @@ def _carried(df, keys, what, out, t, span, forward):
     return own.join(spans, [*keys, "_span"]).withColumn(out, F.coalesce("_near", "_edge")).drop("_span", "_near", "_edge")
 
 
-def regular_grid(df: DataFrame, keys: Sequence[str], step: int) -> DataFrame:
-    """``keys, t``: from each series' first time, floored to ``step``, to its last, every ``step``."""
+def known_around(df: DataFrame, keys: Sequence[str], what: str, before: str, after: str, t: str = "t", span: int = SPAN, facts: dict[str, tuple[str, Column]] | None = None) -> DataFrame:
+    """Adds ``before`` and ``after``, as ``last_known`` and ``next_known`` do, in one pass.
+
+    ``facts`` are aggregates over all rows of a series to add besides: they are made from those of its spans. Each must be
+    a sum, least or largest of a column, and is told by ``("sum" | "min" | "max", column)``.
+    """
+    own = df.withColumn("_span", _span(t, span))
+    pair = F.when(F.col(what).isNotNull(), F.struct(F.col(t).alias("t"), F.col(what).alias("v")))
+    within = Window.partitionBy(*keys, "_span").orderBy(t)
+    own = own.withColumns({"_near_a": F.last(pair, ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0)), "_near_b": F.first(pair, ignorenulls=True).over(within.rowsBetween(0, Window.unboundedFollowing))})
+    known = F.when(F.col(what).isNotNull(), F.col(t))
+    kinds = {"sum": F.sum, "min": F.min, "max": F.max}
+    parts = [kinds[k](c).alias(f"_{n}") for n, (k, c) in (facts or {}).items()]
+    spans = own.groupBy(*keys, "_span").agg(F.max_by(pair, known).alias("_last"), F.min_by(pair, known).alias("_first"), *parts)
+    along, whole = Window.partitionBy(*keys).orderBy("_span"), Window.partitionBy(*keys)
+    ahead, behind = along.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys).orderBy(F.desc("_span")).rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(*keys, "_span", F.last("_last", ignorenulls=True).over(ahead).alias("_edge_a"), F.last("_first", ignorenulls=True).over(behind).alias("_edge_b"), *[kinds[k](f"_{n}").over(whole).alias(n) for n, (k, _) in (facts or {}).items()])
+    both = own.join(spans, [*keys, "_span"]).withColumns({before: F.coalesce("_near_a", "_edge_a"), after: F.coalesce("_near_b", "_edge_b")})
+    return both.drop("_span", "_near_a", "_near_b", "_edge_a", "_edge_b")
+
+
+def regular_grid(df: DataFrame, keys: Sequence[str], step: int, span: int = SPAN) -> DataFrame:
+    """``keys, t``: from each series' first time, floored to ``step``, to its last, every ``step``.
+
+    Laid out span by span, each a row of its own that is dealt out before its times are: a long series' grid is the
+    work of many tasks and never one array.
+    """
     ends = df.groupBy(*keys).agg(F.min("t").alias("a"), F.max("t").alias("z"))
+    wide = max(1, span // step) * step
     start = F.col("a") - F.pmod("a", F.lit(step))
-    return ends.select(*keys, F.explode(F.sequence(start, F.col("z"), F.lit(step))).alias("t"))
+    spans = ends.select(*keys, "z", F.explode(F.sequence(start, F.col("z"), F.lit(wide))).alias("_from")).repartition(*keys, "_from")
+    return spans.select(*keys, F.explode(F.sequence(F.col("_from"), F.least(F.col("z"), F.col("_from") + wide - step), F.lit(step))).alias("t"))
 
 
 def resample_ffill(df: DataFrame, keys: Sequence[str], step: int) -> DataFrame:
@@ -64,10 +91,9 @@ def fill_gaps(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
 
     Trailing nulls repeat the last value (same limit); leading ones stay.
     """
-    near = next_known(last_known(df, keys, "value", "_a"), keys, "value", "_b")
     # How many rows of the gap lie before this one: rows are regular, so times tell.
-    step = df.groupBy(*keys).agg(F.min("t").alias("_t0"), ((F.max("t") - F.min("t")) / F.greatest(F.count("*") - 1, F.lit(1))).alias("_step"))
-    near = near.join(step, keys)
+    near = known_around(df, keys, "value", "_a", "_b", facts={"_t0": ("min", F.col("t")), "_t1": ("max", F.col("t")), "_rows": ("sum", F.lit(1))})
+    near = near.withColumn("_step", (F.col("_t1") - F.col("_t0")) / F.greatest(F.col("_rows") - 1, F.lit(1)))
     nth = F.when(F.col("_step") > 0, F.round((F.col("t") - F.col("_a.t")) / F.col("_step")))
     a, b = F.col("_a.v"), F.col("_b.v")
     line = a + (b - a) * (F.col("t") - F.col("_a.t")) / F.nullif(F.col("_b.t") - F.col("_a.t"), F.lit(0))
@@ -167,25 +193,33 @@ def infer_frequency(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return n.groupBy(*keys).agg(F.min_by("step", F.struct(-F.col("n"), F.col("step"))).alias("step"), (F.count("*") == 1).alias("regular"))
 
 
-def merge_blocks(ranges: DataFrame, first: int, last: int) -> DataFrame:
-    """``a, b`` day ranges clamped to ``first..last``, overlapping and touching ones merged; with the rest between.
+def merge_blocks(ranges: DataFrame, first: int, last: int, span: int = 4096) -> DataFrame:
+    """``a, b`` block ranges clamped to ``first..last``, overlapping and touching ones merged; with the rest between.
 
-    Columns ``a, b, wanted``.
+    Columns ``a, b, wanted``. Ranges are put in order within spans of ``span`` blocks; what a span needs from those before,
+    the largest end and the number of merged ranges, comes from a table of one row a span.
     """
-    own = ranges.where((F.col("b") >= first) & (F.col("a") <= last)).select(F.greatest("a", F.lit(first)).alias("a"), F.least("b", F.lit(last)).alias("b")).distinct()
-    by = Window.orderBy("a", "b")
-    top = F.max("b").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(F.col("a") <= F.col("_top") + 1, 0).otherwise(1)).over(by)
-    wanted = own.withColumn("_top", top).withColumn("_i", island).groupBy("_i").agg(F.min("a").alias("a"), F.max("b").alias("b")).select("a", "b")
-    gap = wanted.select((F.coalesce(F.lag("b").over(Window.orderBy("a")), F.lit(first - 1)) + 1).alias("a"), (F.col("a") - 1).alias("b"))
-    end = wanted.agg((F.coalesce(F.max("b"), F.lit(first - 1)) + 1).alias("a")).select("a", F.lit(last).alias("b"))
+    c = F.col
+    own = ranges.where((c("b") >= first) & (c("a") <= last)).select(F.greatest("a", F.lit(first)).alias("a"), F.least("b", F.lit(last)).alias("b")).distinct()
+    own = own.withColumn("_span", F.floor(c("a") / span))
+    by = Window.partitionBy("_span").orderBy("a", "b")
+    along = Window.orderBy("_span")
+    ahead = along.rowsBetween(Window.unboundedPreceding, -1)
+    tops = own.groupBy("_span").agg(F.max("b").alias("_b")).select("_span", F.max("_b").over(ahead).alias("_edge"))
+    own = own.join(tops, "_span").withColumn("_top", F.greatest(F.max("b").over(by.rowsBetween(Window.unboundedPreceding, -1)), "_edge"))
+    own = own.withColumn("_new", (c("_top").isNull() | (c("a") > c("_top") + 1)).cast("int"))
+    counts = own.groupBy("_span").agg(F.sum("_new").alias("_n")).select("_span", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    own = own.join(counts, "_span").withColumn("_i", c("_before") + F.sum("_new").over(by))
+    wanted = own.groupBy("_i").agg(F.min("a").alias("a"), F.max("b").alias("b")).select("a", "b")
+    gap = own.where("_new = 1").select((F.coalesce("_top", F.lit(first - 1)) + 1).alias("a"), (c("a") - 1).alias("b"))
+    end = own.agg((F.coalesce(F.max("b"), F.lit(first - 1)) + 1).alias("a")).select("a", F.lit(last).alias("b"))
     rest = gap.unionByName(end).where("a <= b")
     return wanted.withColumn("wanted", F.lit(True)).unionByName(rest.withColumn("wanted", F.lit(False)))
 
 
 def combine_columns(df: DataFrame, groups: DataFrame) -> DataFrame:
     """Sums by time of named groups of series (``groups``: name, group); nulls are skipped, none gives 0."""
-    return df.join(F.broadcast(groups), "name").groupBy("group", "t").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("value"))
+    return df.join(groups, "name").groupBy("group", "t").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("value"))
 
 
 def minmax_normalize(df: DataFrame, keys: Sequence[str]) -> DataFrame:

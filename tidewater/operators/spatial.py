@@ -203,12 +203,21 @@ def line_local(hits: DataFrame, elem_node: DataFrame, node: DataFrame) -> DataFr
     return stats.groupBy("node_id").agg(F.max_by(F.struct("lo", "hi", "mean", "mid"), F.struct("line_id", "seg")).alias("s")).select("node_id", "s.*")
 
 
-def dem_sample(points: DataFrame, rasters: DataFrame, meta: DataFrame) -> DataFrame:
+def dem_sample(points: DataFrame, rasters: DataFrame, meta: DataFrame, cell: float | None = None) -> DataFrame:
     """``point_id, value``: bilinear from the four cell centres of the first raster (by ``prio``) that has all four.
 
-    ``rasters``: raster_id, row, col, val; ``meta``: raster_id, prio, x0, y0, dx, dy, a row for each raster.
+    ``rasters``: raster_id, row, col, val; ``meta``: raster_id, prio, x0, y0, dx, dy, a row for each raster. Points meet
+    only the rasters whose box touches their cell of a grid, ``cell`` wide (by default as wide as the widest raster is).
     """
-    at = points.join(F.broadcast(meta))
+    ends = rasters.groupBy("raster_id").agg(F.max("col").alias("_c"), F.max("row").alias("_r"), F.min("col").alias("_c0"), F.min("row").alias("_r0"))
+    edge = lambda o, d, k: F.col(o) + (F.col(k) + 0.5) * F.col(d)
+    sides = {"xmin": F.least(edge("x0", "dx", "_c0"), edge("x0", "dx", "_c")), "xmax": F.greatest(edge("x0", "dx", "_c0"), edge("x0", "dx", "_c")), "ymin": F.least(edge("y0", "dy", "_r0"), edge("y0", "dy", "_r")), "ymax": F.greatest(edge("y0", "dy", "_r0"), edge("y0", "dy", "_r"))}
+    boxes = meta.join(ends, "raster_id").withColumns(sides).drop("_c", "_r", "_c0", "_r0")
+    if cell is None:
+        widest = boxes.agg(F.max(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")))).first()[0]
+        cell = widest or 1.0
+    own = points.withColumn("_cx", cell_of(F.col("x"), cell)).withColumn("_cy", cell_of(F.col("y"), cell))
+    at = own.join(_cells(boxes, cell), ["_cx", "_cy"]).where("x >= xmin and x <= xmax and y >= ymin and y <= ymax")
     fx, fy = (F.col("x") - F.col("x0")) / F.col("dx") - 0.5, (F.col("y") - F.col("y0")) / F.col("dy") - 0.5
     at = at.select("point_id", "raster_id", "prio", F.floor(fx).alias("c"), F.floor(fy).alias("r"), (fx - F.floor(fx)).alias("u"), (fy - F.floor(fy)).alias("v"))
     corner = F.explode(F.array(*[F.struct((F.col("r") + j).alias("row"), (F.col("c") + i).alias("col"), ((F.col("u") if i else 1 - F.col("u")) * (F.col("v") if j else 1 - F.col("v"))).alias("w")) for j in (0, 1) for i in (0, 1)]))
@@ -230,7 +239,7 @@ def like_class_mean(kinds: DataFrame, bins: DataFrame, lookup: DataFrame, depth:
 
     Kind 0 and points deeper than ``deepest`` give 0. ``lookup`` (kind, bin, density) is a table of classes.
     """
-    both = kinds.withColumnRenamed("val", "kind").join(bins.withColumnRenamed("val", "bin"), ["point_id", "di", "dj"]).join(F.broadcast(lookup), ["kind", "bin"], "left")
+    both = kinds.withColumnRenamed("val", "kind").join(bins.withColumnRenamed("val", "bin"), ["point_id", "di", "dj"]).join(lookup, ["kind", "bin"], "left")
     centre = both.where("di = 0 and dj = 0").select("point_id", F.col("kind").alias("k0"), F.col("bin").alias("b0"))
     same = both.join(centre, "point_id").where("kind = k0 and bin = b0").groupBy("point_id", "k0").agg(F.avg("density").alias("m"))
     full = same.join(depth.select("point_id", F.col("z")), "point_id")

@@ -18,7 +18,7 @@ def station_subloc_merge(stations: DataFrame, sublocs: DataFrame, default_z: flo
 
 def obs_lookup(wanted: DataFrame, links: DataFrame, files: DataFrame, repositories: DataFrame) -> DataFrame:
     """``station_id, subloc, variable, path``: the linked file in the first repository (by ``prio``) that has it."""
-    there = links.join(files, "filename").join(F.broadcast(repositories), "repo")
+    there = links.join(files, "filename").join(repositories, "repo")
     first = there.groupBy("station_id", "subloc", "variable").agg(F.min_by("path", F.struct("prio", "path")).alias("path"))
     return wanted.join(first, ["station_id", "subloc", "variable"], "left")
 
@@ -43,7 +43,7 @@ def concat_sources(first: DataFrame, second: DataFrame, sites: DataFrame) -> Dat
     """
     both = first.unionByName(second)
     times, variables = first.select("t").distinct(), both.select("variable").distinct()
-    frame = times.join(F.broadcast(sites.join(F.broadcast(variables))))
+    frame = times.crossJoin(sites.crossJoin(variables))
     at = both.groupBy("site", "variable", "t").agg(F.max("value").alias("value"))
     return frame.join(at, ["site", "variable", "t"], "left").withColumn("value", F.coalesce("value", F.lit(AMBIENT)))
 
@@ -56,7 +56,7 @@ def merge_th(inputs: DataFrame, targets: DataFrame, start: int, end: int, rules:
     """
     clipped = inputs.where(F.col("t").between(start, end))
     last = clipped.groupBy("variable", "loc", "t").agg(F.max_by("value", "file_no").alias("value"))
-    frame = clipped.select("t").distinct().join(F.broadcast(targets))
+    frame = clipped.select("t").distinct().crossJoin(targets)
     out = frame.join(last, ["variable", "loc", "t"], "left")
     name = F.concat_ws(".", "variable", "loc")
     value = F.col("value")

@@ -36,10 +36,7 @@ def depth_average(profile: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def profile_at(profile: DataFrame, targets: DataFrame, keys: Sequence[str], clamp: bool = True) -> DataFrame:
     """``value`` of each target level ``z``: linear between the levels around it; outside the end level's (or null)."""
-    near = targets.withColumnRenamed("z", "tz").join(profile, keys)
-    low = F.max(F.when(F.col("z") <= F.col("tz"), F.struct("z", "value")))
-    high = F.min(F.when(F.col("z") >= F.col("tz"), F.struct("z", "value")))
-    own = near.groupBy(*keys, "tz").agg(low.alias("a"), high.alias("b"))
+    own = _around(profile, targets, keys)
     w = F.try_divide(F.col("tz") - F.col("a.z"), F.nullif(F.col("b.z") - F.col("a.z"), F.lit(0.0)))
     inner = F.col("a.value") + F.coalesce(w, F.lit(0.0)) * (F.col("b.value") - F.col("a.value"))
     edge = F.coalesce("a.value", "b.value") if clamp else F.lit(None).cast("double")
@@ -48,8 +45,22 @@ def profile_at(profile: DataFrame, targets: DataFrame, keys: Sequence[str], clam
 
 def level_nearest(profile: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``value`` of the level nearest to each target ``z``, the lower one at ties."""
-    near = targets.withColumnRenamed("z", "tz").join(profile, keys)
-    return near.groupBy(*keys, "tz").agg(F.min_by("value", F.struct(F.abs(F.col("z") - F.col("tz")), F.col("z"))).alias("value")).withColumnRenamed("tz", "z")
+    own = _around(profile, targets, keys)
+    below = F.col("b").isNull() | (F.col("tz") - F.col("a.z") <= F.col("b.z") - F.col("tz"))
+    return own.select(*keys, F.col("tz").alias("z"), F.when(F.col("a").isNotNull() & below, F.col("a.value")).otherwise(F.col("b.value")).alias("value"))
+
+
+def _around(profile: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, tz, a, b``: the levels (z, value) at or below and at or above each distinct target of a profile.
+
+    Levels and targets are put in order together, so that no target meets all levels of its profile. Targets without a
+    profile have no row.
+    """
+    level = F.struct("z", "value")
+    both = profile.select(*keys, "z", level.alias("level")).unionByName(targets.select(*keys, "z").distinct().withColumn("level", F.lit(None)))
+    upto = lambda order: Window.partitionBy(*keys).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumns({"a": F.max("level").over(upto("z")), "b": F.min("level").over(upto(F.desc("z")))})
+    return seen.where("level is null and (a is not null or b is not null)").select(*keys, F.col("z").alias("tz"), "a", "b")
 
 
 def unpack_tracers(field: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -93,7 +93,7 @@ def read_staout(files: DataFrame, stations: DataFrame, start: int, factor: int =
     t = F.rint(_number(F.element_at("tok", 1)) * factor).cast("long") * 1_000_000 + start
     long = rows.select("file", t.alias("t"), F.posexplode(F.slice("tok", 2, F.size("tok"))).alias("pos", "v"))
     value = _number(F.col("v"))
-    return long.join(F.broadcast(stations), "pos").select("file", "station", "t", F.when(value > -999, value).alias("value"))
+    return long.join(stations, "pos").select("file", "station", "t", F.when(value > -999, value).alias("value"))
 
 
 def write_th(series: DataFrame, names: list[str], decimals: int = 2, dated: bool = True, start: int = 0) -> DataFrame:
