@@ -102,9 +102,4 @@ select coalesce(e.i, o.i) as iteration, t, file from e full join o on e.i = o.i"
         lambda s, d: _r(_smoothed(s, d, node(s, d).select("node_id", (F.pmod("node_id", F.lit(3)) / 10).alias("value"))), "value"),
         f"with {MESH}, {NBR}, {_smooth_sql(10, '(o.node_id % 3) / 10.0::double')} select node_id, round(v + 1e-9, 6) as value from v10",
     ),
-    "ll_to_utm": (
-        lambda s, d: (lambda p: p.select("k", F.round(V.utm(F.col("lon"), F.col("lat"))[0], 3).alias("x"), F.round(V.utm(F.col("lon"), F.col("lat"))[1], 3).alias("y")))(
-            table(s, d, "supplier").select(F.col("s_suppkey").alias("k"), (-124 + F.pmod("s_suppkey", F.lit(50)) / 12.5).alias("lon"), (36 + F.pmod(F.col("s_suppkey") * 7, F.lit(40)) / 13.0).alias("lat"))),
-        None,
-    ),
 }

@@ -106,3 +106,19 @@ def color_to_class(pixels: DataFrame, classes: DataFrame) -> DataFrame:
     own = pixels.join(classes, ["r", "g", "b"], "left")
     unknown = F.raise_error(F.format_string("no class for colour %d %d %d", "r", "g", "b")).cast("int")
     return own.withColumn("class", F.coalesce("class", unknown))
+
+
+def cell_nearest_fill(field: DataFrame, cell: float = 4.0) -> DataFrame:
+    """``row, col, value`` of a field on a grid, cells without a value taking that of the nearest one with a value.
+
+    Of several as near, the first by row and column.
+    """
+    from tidewater.operators.spatial import nearest
+
+    width = field.agg(F.max("col") + 1).first()[0] or 1
+    key = F.col("row") * width + F.col("col")
+    holes = field.where("value is null").select(key.alias("point_id"), F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"))
+    known = field.where("value is not null").select(key.alias("site_id"), F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"), "value")
+    near = nearest(holes, known.drop("value"), 1, cell).join(known.select("site_id", "value"), "site_id")
+    filled = near.select(F.floor(F.col("point_id") / width).alias("row"), F.pmod("point_id", F.lit(width)).alias("col"), "value")
+    return field.where("value is not null").select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value").unionByName(filled.withColumns({c: F.col(c).cast("long") for c in ("row", "col")}))

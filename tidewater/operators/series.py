@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: 16 days.
@@ -342,3 +344,57 @@ def salinity(ec: Column) -> Column:
     r = ec / 53087.0
     root = F.sqrt(r)
     return 0.0120 - 0.2174 * root + 25.3283 * r + 13.7714 * r * root - 6.4788 * r * r + 2.5842 * r * r * root
+
+
+#: Records of a regular series that a spline is laid through at a time, and those before and after that it takes in besides.
+SPLINE, HALO = 1000, 200
+
+
+def spline_values(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A cubic spline through even ``x`` (four or more), with the third derivative going on over the second and last but one."""
+    n, h = len(x), x[1] - x[0]
+    if n < 4:
+        return np.polyval(np.polyfit(x - x[0], y, n - 1), at - x[0])
+    # Second derivatives m: inner rows m[i-1] + 4 m[i] + m[i+1] = 6 second differences / h^2; ends by m[0] = 2 m[1] - m[2].
+    rhs = 6 * (y[:-2] - 2 * y[1:-1] + y[2:]) / h**2
+    diag, upper, lower = np.full(n - 2, 4.0), np.ones(n - 2), np.ones(n - 2)
+    diag[0] = diag[-1] = 6.0
+    upper[0] = lower[-1] = 0.0
+    for i in range(1, n - 2):
+        w = lower[i] / diag[i - 1]
+        diag[i] -= w * upper[i - 1]
+        rhs[i] -= w * rhs[i - 1]
+    m = np.zeros(n)
+    for i in range(n - 3, -1, -1):
+        m[i + 1] = (rhs[i] - (upper[i] * m[i + 2] if i < n - 3 else 0)) / diag[i]
+    m[0], m[-1] = 2 * m[1] - m[2], 2 * m[-2] - m[-3]
+    i = np.clip(((at - x[0]) / h).astype(np.int64), 0, n - 2)
+    a, b = (x[i + 1] - at) / h, (at - x[i]) / h
+    return a * y[i] + b * y[i + 1] + ((a**3 - a) * m[i] + (b**3 - b) * m[i + 1]) * h**2 / 6
+
+
+def tide_spline(df: DataFrame, keys: Sequence[str], every: int, step: int, chunk: int = SPLINE, halo: int = HALO) -> DataFrame:
+    """``keys, t, value`` every ``step`` of regular series (a record ``every`` microseconds), by cubic splines.
+
+    A series is cut into pieces of ``chunk`` records, each of which takes in ``halo`` more on both sides: pieces are
+    tasks of their own and hardly differ from a spline through the whole series. A series must have all
+    its records: fill gaps first.
+    """
+    ends = df.groupBy(*keys).agg(F.min("t").alias("_a"), F.max("t").alias("_z"))
+    own = df.where("value is not null").join(ends, list(keys)).withColumn("_i", F.floor((F.col("t") - F.col("_a")) / every))
+    piece = F.floor(F.col("_i") / chunk)
+    near = F.array_distinct(F.array(piece, F.floor((F.col("_i") - halo) / chunk), F.floor((F.col("_i") + halo) / chunk)))
+    last = F.floor((F.col("_z") - F.col("_a")) / every / chunk)
+    dealt = own.withColumn("_piece", F.explode(near)).where((F.col("_piece") >= 0) & (F.col("_piece") <= last))
+    schema = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + ["t long", "value double"])
+
+    def lay(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("t")
+        first, end, p = int(x["_a"].iloc[0]), int(x["_z"].iloc[0]), int(x["_piece"].iloc[0])
+        start, stop = first + p * chunk * every, min(end + 1, first + (p + 1) * chunk * every)
+        at = np.arange(start, stop, step)
+        t = x["t"].to_numpy()
+        value = spline_values((t - start) / every, x["value"].to_numpy(), (at - start) / every)
+        return pd.DataFrame({k: x[k].iloc[0] for k in keys} | {"t": at, "value": value})
+
+    return dealt.groupBy(*keys, "_piece").applyInPandas(lay, schema)

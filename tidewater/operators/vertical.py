@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -137,3 +137,46 @@ def utm(lon: Column, lat: Column, zone: int = 10) -> tuple[Column, Column]:
         e = e + v * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         nn = nn + v * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     return 500000 + 0.9996 * big * e, 0.9996 * big * nn
+
+
+def utm_to_ll(x: Column, y: Column, zone: int = 10) -> tuple[Column, Column]:
+    """Longitude and latitude in degrees of easting and northing on WGS84, by the inverse of the same series."""
+    a, f = 6378137.0, 1 / 298.257223563
+    n = f / (2 - f)
+    big = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    be = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280]
+    de = [2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630]
+    xi, eta = y / (0.9996 * big), (x - 500000) / (0.9996 * big)
+    u, v = xi, eta
+    for j, b in enumerate(be, 1):
+        u = u - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        v = v - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(u) / F.cosh(v))
+    lat = chi
+    for j, d in enumerate(de, 1):
+        lat = lat + d * F.sin(2 * j * chi)
+    return F.degrees(F.atan2(F.sinh(v), F.cos(u))) + (6 * zone - 183), F.degrees(lat)
+
+
+def z_to_sigma(level_z: DataFrame) -> DataFrame:
+    """``node_id, k, sigma`` of heights ``z``: by each node's surface (its highest level) and lowest height; null without a depth."""
+    ends = level_z.groupBy("node_id").agg(F.max_by("z", "k").alias("_top"), F.min("z").alias("_low"))
+    sigma = F.try_divide(F.col("z") - F.col("_top"), F.nullif(F.col("_top") - F.col("_low"), F.lit(0.0)))
+    return level_z.join(ends, "node_id").select("node_id", "k", sigma.alias("sigma"))
+
+
+def desired_levels(node: DataFrame, cumulative: Callable[[Column, Column], Column], most: int = 80) -> DataFrame:
+    """``node_id, wanted``: the real number of levels at which the depths that a size function adds up to reach the node's.
+
+    ``cumulative`` gives the depth of the levels from 0 to a number of them, for a water depth; it is made not to fall. It
+    is inverted between whole numbers below ``most``, and carried on by its last step beyond; 2 at least.
+    """
+    depth = F.greatest(F.col("depth"), F.lit(1e-6))
+    raw = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: cumulative(i.cast("double"), depth))
+    rising = F.aggregate(raw, F.array().cast("array<double>"), lambda out, v: F.concat(out, F.array(F.greatest(v, F.coalesce(F.try_element_at(out, F.lit(-1)), v)))))
+    own = node.select("node_id", depth.alias("d"), rising.alias("h")).withColumn("j", F.size(F.filter("h", lambda v: v < F.col("d"))))
+    before, at = F.get("h", F.col("j") - 1), F.get("h", F.col("j"))
+    step = F.greatest(F.get("h", F.lit(most - 1)) - F.get("h", F.lit(most - 2)), F.lit(1e-6))
+    beyond = most - 1 + (F.col("d") - F.get("h", F.lit(most - 1))) / step
+    inner = F.col("j") - 1 + (F.col("d") - before) / F.greatest(at - before, F.lit(1e-9))
+    return own.select("node_id", F.greatest(F.when(F.col("j") == 0, 2.0).when(F.col("j") >= most, beyond).otherwise(inner), F.lit(2.0)).alias("wanted"))

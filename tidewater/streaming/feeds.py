@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from tidewater.spool import shared_dir
 
@@ -43,6 +46,30 @@ def with_station(feed: DataFrame, stations: DataFrame) -> DataFrame:
     return feed.join(stations, "station", "left")
 
 
+def last_operation(feed: DataFrame) -> DataFrame:
+    """``station, variable, t, op`` of a feed (``station, variable, ts, op``): each record's last operation at or before it.
+
+    The state of a structure is its last operation. Records of a batch are put in order of time, operations first; one that
+    comes later than a newer operation takes what was known before its batch only if that is not newer.
+    """
+    own = feed.select("station", "variable", F.unix_micros("ts").alias("t"), "op")
+
+    def carry(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        x = pd.concat(list(batches))
+        at, op = state.get if state.exists else (None, None)
+        x = x.assign(none=x["op"].isna()).sort_values(["t", "none"])
+        known = x["op"].ffill()
+        if at is not None:
+            known = known.where(known.notna() | (x["t"] < at), op)
+        ops = x[~x["none"]]
+        if len(ops) and (at is None or ops["t"].iloc[-1] >= at):
+            state.update((int(ops["t"].iloc[-1]), float(ops["op"].iloc[-1])))
+        yield pd.DataFrame({"station": key[0], "variable": x["variable"], "t": x["t"], "op": known})
+
+    schema = "station long, variable string, t long, op double"
+    return own.groupBy("station").applyInPandasWithState(carry, schema, "at long, op double", "append", "NoTimeout")
+
+
 def read_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as a stream."""
     schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
