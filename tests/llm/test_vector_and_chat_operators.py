@@ -86,6 +86,38 @@ def test_nearest_neighbours(spark, vectors):
     assert sorted((r["query_id"], r["vec_id"]) for r in neighbours.nearest(one, lambda i: i % 5 == 0).collect()) == [(0, 5), (5, 0)]
 
 
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_recall_on_the_shared_vectors(spark, folder):
+    sf_dir = f"/root/testdata/{folder}"
+    rows = {r["vec_id"]: np.array(r["embedding"], np.float64) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect() if r["embedding"] is not None}
+    ids, x = np.array(sorted(rows)), np.stack([rows[i] for i in sorted(rows)])
+    got: dict[int, set] = {}
+    for r in neighbours.op8(spark, sf_dir).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = [len(got[q] & set(ids[[i for i in np.lexsort((ids, -(x @ rows[q]))) if ids[i] != q][:20]].tolist())) / 20 for q in ids[ids % 20 == 0].tolist()]
+    assert np.mean(hits) >= 0.95
+
+
+def test_lists_prune_vectors_with_structure():
+    """Of vectors in clusters a query is compared with few, and still finds its neighbours."""
+    rng = np.random.default_rng(1)
+    centre = rng.normal(size=(200, 32))
+    x = centre[rng.integers(0, 200, 8000)] + rng.normal(size=(8000, 32)) * 0.25
+    index = neighbours.Index(x, float(np.linalg.norm(x, axis=1).max()), len(x), 20)
+    row, which = index.lists_of(x)
+    size = np.bincount(which, minlength=len(index.centroids))
+    held = np.zeros((len(x), len(index.centroids)), bool)
+    held[row, which] = True
+    at = np.arange(0, len(x), 20)
+    asked = np.zeros((len(at), len(index.centroids)), bool)
+    asked[index.search(x[at])] = True
+    scores = x[at] @ x.T
+    scores[np.arange(len(at)), at] = -np.inf
+    top = np.argpartition(-scores, 20, axis=1)[:, :20]
+    found = np.mean([(held[t] & a).any(axis=1).mean() for t, a in zip(top, asked, strict=True)])
+    assert found >= 0.95 and (asked @ size).mean() < 0.15 * len(x)
+
+
 def test_tool_calls(spark):
     rows = [
         (1, 0, '{"tool_calls":[{"id":"a","name":"reply","arguments":{"words":1,"z":2,"chars":"x"},"after":["b"]},{"id":"b","name":"nope","arguments":[1],"after":["a"]},{"id":"d","name":"reply","arguments":{"words":1,"chars":3},"after":["gone"]},{"id":"e","name":"reply","arguments":{"words":1},"after":["d"]}]}'),

@@ -22,7 +22,7 @@ from tidewater.spool import spool
 SAMPLE = 16_384
 MOST_CENTROIDS = 8192
 #: Vectors of a list that a centroid is made for.
-LIST = 64
+LIST = 32
 #: A vector is put into every list whose centroid is at most so much farther than its nearest, up to so many lists.
 BOUNDARY, REPLICAS = 1.01, 3
 #: Share of the sample's true neighbours that the lists searched must hold; the distance ratio is fitted to it.
@@ -33,8 +33,8 @@ PARTS, LEAST_PART, MOST_PART = 32, 256, 65_536
 QUERIES = 8192
 #: Near centroids that each is joined with in the graph, half as many at random, and where a search starts.
 DEGREE, ENTRIES = 16, 32
-#: Centroids that a search looks from at a time; rows worked through together.
-BEAM, ROWS = 8, 512
+#: Centroids that a search looks from at a time, and nearest found ones that it looks from in any case; rows worked through together.
+BEAM, WIDTH, ROWS = 8, 32, 512
 
 
 class Index:
@@ -74,7 +74,8 @@ class Index:
     def search(self, q: np.ndarray, ratio: float | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Rows of ``q`` and lists to search for them: best-first over the graph, all queries side by side.
 
-        The nearest centroids not yet looked from are taken next; a query ends when all that are left are too far.
+        The nearest centroids not yet looked from are taken next; a query ends when all that are left are too far and
+        not among the ``WIDTH`` nearest found.
         """
         ratio, q = self.ratio if ratio is None else ratio, np.hstack([q, np.zeros((len(q), 1))])
         rows, lists = [], []
@@ -96,7 +97,9 @@ class Index:
             best = dist[live].min(axis=1)
             open_ = np.where(looked[live], np.inf, dist[live])
             take = np.argpartition(open_, beam - 1, axis=1)[:, :beam]
-            go = np.take_along_axis(open_, take, axis=1) <= ratio * best[:, None] + 1e-6 * self.norm
+            bound = np.maximum(ratio * best, np.partition(dist[live], min(WIDTH, n) - 1, axis=1)[:, min(WIDTH, n) - 1])[:, None]
+            far = np.take_along_axis(open_, take, axis=1)
+            go = (far <= bound + 1e-6 * self.norm) & np.isfinite(far)
             at, place = np.nonzero(go)
             if not len(at):
                 break
