@@ -179,3 +179,28 @@ def test_pipeline_stages_follow_each_other(spark):
             sizes.append(docs.count())
     assert sizes[0] >= sizes[1] >= sizes[2] >= sizes[3] > 0 and sizes[1] >= 0.95 * sizes[0]
     assert docs.count() == sizes[4] and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_pipeline_on_odd_rows(spark):
+    """Null and empty texts, repeats, rows without id, language or source, columns named like the stages' own; an empty table."""
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    plain = spark.read.parquet(f"{folder}/documents.parquet")
+    good = plain.where("lang is not null and length(text) > 200").orderBy("doc_id").first()["text"]
+    odd = [(900001, None, "en", "a", None), (900002, "", None, None, 0), (900003, good, None, None, 5), (900003, good, None, None, 5), (None, good + " more", "en", None, 1), (900004, "12 34\n\n", None, "a", 8)]
+    names = {c: F.lit("mine") for c in ("row", "key", "size", "taken", "marks", "o", "f", "of", "n_lines", "lang_pred", "_copy")}
+    docs = plain.unionByName(spark.createDataFrame(odd, plain.schema)).withColumns(names)
+    for start in (docs, docs.where("doc_id < 0")):
+        now, counts = start, [start.count()]
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            now = stage(spark, now, folder)
+            if i < 4:
+                assert now.columns == docs.columns
+                assert now.where("row <> 'mine' or size <> 'mine' or n_lines <> 'mine' or o <> 'mine'").count() == 0
+            counts.append(now.count())
+            if i == 0:
+                assert now.where("doc_id in (900001, 900002, 900004)").count() == 0
+            if i == 2:
+                assert now.where("doc_id = 900003 or doc_id is null").count() <= 1
+        assert (counts[0] == 0) == (counts[-1] == 0) and counts[4] == counts[5]

@@ -299,3 +299,16 @@ def _takes_part() -> Column:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = """
+with recursive v as (select vec_id, embedding::double[] as e, label from embeddings
+), ok as (
+  select * from v where vec_id is not null and label is not null and e is not null
+    and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0
+), link as (
+  select a.vec_id as a, b.vec_id as b from ok a join ok b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.93
+), reach as (select vec_id as a, vec_id as b from v union select r.a, l.b from reach r join link l on r.b = l.a
+), least as (select a, min(b) as component_id from reach group by a)
+select v.vec_id, (select count(*) from link l where l.a = v.vec_id) as n_links, component_id, coalesce(v.vec_id = component_id, true) as kept from v left join least on least.a = v.vec_id
+"""

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidewater.llm.tables import table
 
@@ -327,7 +327,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
     own = docs.drop("lang_pred", "score")
     names = own.columns
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema] + ["lang_pred string", "score double"])
+    schema = T.StructType([*own.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,7 +353,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """``docs`` without rows whose language is unknown or has a mean chance below ``least``."""
-    return identify(docs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+    known = identify(docs.select("text", own), model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return known.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

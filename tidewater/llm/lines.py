@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tidewater.llm.tables import row_key, table
 from tidewater.operators.components import connected_components
@@ -533,7 +533,6 @@ def _seen(plain: DataFrame) -> tuple[DataFrame, DataFrame, frozenset[int]]:
 
 
 def _cut(docs: DataFrame, marks: DataFrame, clashing: frozenset[int]) -> DataFrame:
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
     names, at = docs.columns, docs.columns.index("text")
     rows = docs.select(row_key().alias("key"), F.struct("*").alias("row")).join(_small(spool(marks)), F.col("key") == F.col("doc"), "left")
 
@@ -549,7 +548,7 @@ def _cut(docs: DataFrame, marks: DataFrame, clashing: frozenset[int]) -> DataFra
             columns[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[*names, "n_lines", "n_dropped"])
 
-    return rows.select("row", "marks").mapInArrow(run, ", ".join([*fields, "n_lines long", "n_dropped long"]))
+    return rows.select("row", "marks").mapInArrow(run, T.StructType([*docs.schema, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]))
 
 
 def _kept_lines(text: str | None, marks: list[dict], clashing: frozenset[int]) -> tuple[str | None, int, int]:
@@ -572,10 +571,12 @@ def _kept_lines(text: str | None, marks: list[dict], clashing: frozenset[int]) -
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
     """``dedup_lines`` as a stage: the columns of ``docs``, ``n_chars`` brought up to date, and no document whose words all went."""
-    cut = dedup_lines(docs)
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+    cut = dedup_lines(docs.select("doc_id", "text", own)).where((F.col("n_dropped") == 0) | F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")))
+    columns = {c: F.col("text") if c == "text" else F.col("row")[c] for c in docs.columns}
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return cut.where((F.col("n_dropped") == 0) | F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))).select(*docs.columns)
+        columns["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return cut.select(*[v.alias(c) for c, v in columns.items()])
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pareto_mix": mixing.OP1_SQL, "op6_tool_call_links": toolcalls.OP6_SQL}
+    return {"op1_pareto_mix": mixing.OP1_SQL, "op3_cover_tree_links": covertree.OP3_SQL, "op6_tool_call_links": toolcalls.OP6_SQL}

@@ -127,10 +127,10 @@ def keep_one_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """
     from tidewater.llm.nearcopies import near_copies
 
-    keyed = docs.withColumn("_key", row_key())
-    groups = near_copies(keyed.select(F.col("_key").alias("doc_id"), "text"), shingle)
-    stay = spool(groups.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct())
-    return keyed.join(stay, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    keyed = docs.select(row_key().alias("key"), F.struct("*").alias("row"))
+    groups = near_copies(docs.select(row_key().alias("doc_id"), "text"), shingle)
+    stay = spool(groups.where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct())
+    return keyed.join(stay, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
