@@ -55,8 +55,10 @@ def edit(a, b):
     return p[-1]
 
 
-@pytest.mark.parametrize("few, pairwise", [(lines.FEW, lines.PAIRWISE), (1, 1)])
-def test_line_edits_grow_with_length(spark, monkeypatch, few, pairwise):
+@pytest.mark.parametrize("few, pairwise, family, block", [(lines.FEW, lines.PAIRWISE, lines.FAMILY, lines.BLOCK), (1, 1, lines.FAMILY, 3), (1, 1, 1, 3)])
+def test_line_edits_grow_with_length(spark, monkeypatch, few, pairwise, family, block):
+    monkeypatch.setattr(lines, "FAMILY", family)
+    monkeypatch.setattr(lines, "BLOCK", block)
     monkeypatch.setattr(lines, "FEW", few)
     monkeypatch.setattr(lines, "PAIRWISE", pairwise)
     r = random.Random(3)

@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
@@ -32,6 +33,10 @@ CHARS_AN_EDIT = 40
 NUMBERED = 50
 #: Lines under one key up to which they are compared pairwise at once, and those up to which pairs are made at all.
 FEW, PAIRWISE = 4, 32
+#: Lines of a family, held together by such larger keys, up to which it is compared in blocks, and lines of a block.
+FAMILY, BLOCK = 65_536, 512
+#: Pairs that a task looks at together.
+PAIRS = 50_000
 #: Rows (of two longs) up to which a table is broadcast; beyond it, it is shuffled.
 BROADCAST_ROWS = 200_000
 #: Characters worked through together.
@@ -401,7 +406,8 @@ def _linked(held: DataFrame, plain: DataFrame, distinct: DataFrame, clashing: fr
 
     Under keys of more than ``FEW`` lines these are first compared with the one that stands most often, which near copies
     are mostly made from. Of those that did not connect this way, pairs are made where the key has no more than
-    ``PAIRWISE`` lines; lines of larger keys are looked up once more by the rarest of twice as many segments.
+    ``PAIRWISE`` lines. Lines that larger keys hold together are a family: up to ``FAMILY`` lines are compared block by
+    block, two blocks a task; those of a larger one are looked up once more by the rarest of twice as many segments.
     """
     few = _pairs(held.where(F.col("n") <= FEW))
     many = spool(held.where(F.col("n") > FEW))
@@ -415,10 +421,61 @@ def _linked(held: DataFrame, plain: DataFrame, distinct: DataFrame, clashing: fr
     apart = parts.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
     parts = spool(parts.join(apart, "key", "left_semi"))
     rest = _pairs(parts.where(F.col("n") <= PAIRWISE), F.col("a_part") != F.col("b_part"))
-    hot = spool(parts.where(F.col("n") > PAIRWISE).select(*facts, "part").distinct())
-    if not hot.isEmpty():
-        rest = rest.unionByName(_rare_pairs(hot, plain, distinct, clashing)).distinct()
-    return edges.unionByName(_verified(spool(rest.join(first, ["a", "b"], "left_anti")), plain, distinct, clashing))
+    more = _verified(spool(rest.join(first, ["a", "b"], "left_anti")), plain, distinct, clashing)
+    hot = parts.where(F.col("n") > PAIRWISE)
+    if hot.isEmpty():
+        return edges.unionByName(more)
+    held_by = hot.join(hot.groupBy("key").agg(F.min("lid").alias("b")), "key").select(F.col("lid").alias("a"), "b")
+    family = connected_components(held_by)
+    family = spool(family.join(family.groupBy("component").agg(F.count("*").alias("members")), "component"))
+    hot = spool(hot.select(*facts, "part").distinct().join(family, F.col("lid") == F.col("node")).drop("node"))
+    out = edges.unionByName(more).unionByName(_family_links(hot.where(F.col("members") <= FAMILY), plain, distinct, clashing))
+    large = hot.where(F.col("members") > FAMILY).drop("component", "members")
+    if large.isEmpty():
+        return out
+    return out.unionByName(_verified(spool(_rare_pairs(spool(large), plain, distinct, clashing)), plain, distinct, clashing))
+
+
+def _family_links(hot: DataFrame, plain: DataFrame, distinct: DataFrame, clashing: frozenset[int]) -> DataFrame:
+    """Edges ``a, b`` within families (``component``, of ``members`` lines) between lines that are in different parts so far.
+
+    Pairs are looked at inside the tasks and never rows; of those that links found before connect, none is.
+    """
+    texts = _line_texts(plain, distinct.join(hot.select("lid"), "lid").select("doc", "lid"), clashing)
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    own = hot.select("lid", "part", "component", blocks.alias("blocks")).join(texts, "lid").withColumn("block", F.pmod(F.xxhash64("lid"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = own.withColumn("other", other).select("component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "lid", "part", "line")
+
+    def compare(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("lid")
+        lids, text, block = x["lid"].to_numpy(), x["line"].tolist(), x["block"].to_numpy()
+        label = np.unique(x["part"].to_numpy(), return_inverse=True)[1]
+        size = np.array([len(t) for t in text])
+        counts = np.stack([np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % 64, minlength=64) for t in text]).astype(np.int32)
+        a, b, apart = [], [], x["one"].iloc[0] != x["two"].iloc[0]
+        for i in range(len(text)):
+            j = np.arange(i + 1, len(text))
+            bound = most_edits(np.minimum(size[i], size[j]))
+            j = j[(np.abs(size[j] - size[i]) <= bound) & (label[j] != label[i]) & ((block[j] != block[i]) | (not apart))]
+            j = j[np.abs(counts[j] - counts[i]).sum(axis=1) <= 2 * most_edits(np.minimum(size[i], size[j]))]
+            a.append(np.full(len(j), i))
+            b.append(j)
+        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
+        found: tuple[list, list] = ([], [])
+        for at in range(0, len(a), PAIRS):
+            i, j = a[at : at + PAIRS], b[at : at + PAIRS]
+            new = label[i] != label[j]
+            i, j = i[new], j[new]
+            good = within_all([text[k] for k in i], [text[k] for k in j], most_edits(np.minimum(size[i], size[j])).tolist())
+            for p, q in zip(i[good].tolist(), j[good].tolist(), strict=True):
+                if label[p] != label[q]:
+                    found[0].append(lids[p])
+                    found[1].append(lids[q])
+                    label[label == label[q]] = label[p]
+        return pd.DataFrame({"a": np.array(found[0], np.int64), "b": np.array(found[1], np.int64)})
+
+    return spool(dealt.groupBy("component", "one", "two").applyInPandas(compare, "a long, b long"))
 
 
 def _rare_pairs(hot: DataFrame, plain: DataFrame, distinct: DataFrame, clashing: frozenset[int]) -> DataFrame:
