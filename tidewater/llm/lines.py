@@ -475,6 +475,8 @@ def _family_links(hot: DataFrame, plain: DataFrame, distinct: DataFrame, clashin
                     label[label == label[q]] = label[p]
         return pd.DataFrame({"a": np.array(found[0], np.int64), "b": np.array(found[1], np.int64)})
 
+    # Bytes don't tell how long a task takes: its partitions are not put together.
+    dealt = dealt.repartition(8 * hot.sparkSession.sparkContext.defaultParallelism, "component", "one", "two")
     return spool(dealt.groupBy("component", "one", "two").applyInPandas(compare, "a long, b long"))
 
 
