@@ -47,15 +47,16 @@ def _carried(df, keys, what, out, t, span, forward):
 
 
 def known_around(df: DataFrame, keys: Sequence[str], what: str, before: str, after: str, t: str = "t", span: int = SPAN, facts: dict[str, tuple[str, Column]] | None = None) -> DataFrame:
-    """Adds ``before`` and ``after``, as ``last_known`` and ``next_known`` do, in one pass.
+    """Adds ``before`` and ``after``, as ``last_known`` and ``next_known`` do, dealt out once.
 
     ``facts`` are aggregates over all rows of a series to add besides: they are made from those of its spans. Each must be
     a sum, least or largest of a column, and is told by ``("sum" | "min" | "max", column)``.
     """
     own = df.withColumn("_span", _span(t, span))
     pair = F.when(F.col(what).isNotNull(), F.struct(F.col(t).alias("t"), F.col(what).alias("v")))
-    within = Window.partitionBy(*keys, "_span").orderBy(t)
-    own = own.withColumns({"_near_a": F.last(pair, ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0)), "_near_b": F.first(pair, ignorenulls=True).over(within.rowsBetween(0, Window.unboundedFollowing))})
+    # Both frames grow from their first row: one that shrinks would be worked out anew for each row.
+    upto = lambda order: Window.partitionBy(*keys, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    own = own.withColumns({"_near_a": F.last(pair, ignorenulls=True).over(upto(F.col(t))), "_near_b": F.last(pair, ignorenulls=True).over(upto(F.col(t).desc()))})
     known = F.when(F.col(what).isNotNull(), F.col(t))
     kinds = {"sum": F.sum, "min": F.min, "max": F.max}
     parts = [kinds[k](c).alias(f"_{n}") for n, (k, c) in (facts or {}).items()]
