@@ -25,7 +25,7 @@ WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Pieces of text whose ids a task keeps at most; beyond it starts afresh, which only costs time.
 MOST_KEPT = 400_000
 #: Characters encoded together.
-AT_A_TIME = 2_000_000
+AT_A_TIME = 500_000
 #: Bytes of a fragment beyond which its pairs go on a heap.
 LONG = 4096
 

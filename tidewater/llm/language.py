@@ -25,7 +25,7 @@ STEPS = 60
 #: Words of a block; blocks of all texts at hand are worked through side by side.
 BLOCK = 64
 #: Bytes of text worked through together.
-AT_A_TIME = 1 << 20
+AT_A_TIME = 1 << 18
 UNKNOWN = "und"
 _PRIME = np.uint64(0x100000001B3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)

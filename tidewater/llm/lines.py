@@ -40,7 +40,7 @@ PAIRS = 50_000
 #: Rows (of two longs) up to which a table is broadcast; beyond it, it is shuffled.
 BROADCAST_ROWS = 200_000
 #: Characters worked through together.
-AT_A_TIME = 1_000_000
+AT_A_TIME = 250_000
 #: Lines that a task remembers to have met.
 MOST_MET = 1_000_000
 _PRIME = 0x9E3779B97F4A7C15 | 1
