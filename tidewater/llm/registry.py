@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import bpe, covertree, language, lines, mixing, neighbours, pii, secrets, simhash, toolcalls
+from tidewater.llm import bpe, collocations, covertree, language, lines, mixing, neighbours, pii, secrets, simhash, toolcalls, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,9 +23,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_posting_list_ann": neighbours.op8,
         "op9_edit_join_lines": lines.op9,
         "op10_crf_language": language.op10,
+        "op11_warc_zstd": warc.op11,
+        "op12_sorted_collocations": collocations.op12,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pareto_mix": mixing.OP1_SQL, "op3_cover_tree_links": covertree.OP3_SQL, "op6_tool_call_links": toolcalls.OP6_SQL}
+    return {
+        "op1_pareto_mix": mixing.OP1_SQL,
+        "op3_cover_tree_links": covertree.OP3_SQL,
+        "op6_tool_call_links": toolcalls.OP6_SQL,
+        "op11_warc_zstd": warc.OP11_SQL,
+        "op12_sorted_collocations": collocations.OP12_SQL,
+    }
