@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import bpe, collocations, covertree, language, lines, mixing, neighbours, pii, secrets, simhash, toolcalls, warc
+from tidewater.llm import bpe, collocations, covertree, language, lines, mixing, neighbours, pii, secrets, simhash, toolcalls, trie, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_crf_language": language.op10,
         "op11_warc_zstd": warc.op11,
         "op12_sorted_collocations": collocations.op12,
+        "op13_prefix_trie": trie.op13,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -36,4 +37,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_tool_call_links": toolcalls.OP6_SQL,
         "op11_warc_zstd": warc.OP11_SQL,
         "op12_sorted_collocations": collocations.OP12_SQL,
+        "op13_prefix_trie": trie.OP13_SQL,
     }
