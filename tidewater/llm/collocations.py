@@ -13,7 +13,7 @@ from tidewater.spool import spool
 
 LONGEST, LEAST, FIRST = 5, 100, 2000
 #: Bytes of text whose windows are counted at a time.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Windows looked at to deal the stream out evenly (results don't depend on them), and documents they come from, about.
 SAMPLE_WINDOWS, SAMPLE_DOCUMENTS = 65_536, 2_000
 #: Between words of a window: the lowest byte, so that what starts with the same words stands together. Words hold no tab, so a zero byte of a word is written as one.
@@ -145,6 +145,8 @@ def windows(docs: DataFrame, longest: int = LONGEST, bounds: list[bytes] | None
                         continue
                     keys = pc.binary_join_element_wise(pa.scalar(lang, pa.binary()), found, pa.scalar(GAP, pa.binary()))
                     yield pa.RecordBatch.from_arrays([pa.array(_between(keys, bounds)), keys, counts], ["part", "window", "c"])
+                    del found, counts, keys
+                    pa.default_memory_pool().release_unused()
 
     return docs.select("lang", "text").mapInArrow(of_batches, "part int, window binary, c long")
 
