@@ -104,21 +104,6 @@ def test_concave_quad_is_cut_inside(spark):
     assert [r[4] for r in got] == [0, 1, 2, 0, 2, 3]
 
 
-def test_lengths_take_the_shorter_way(spark):
-    node = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 3.0, 0.0, 0.0), (2, 3.0, 4.0, 0.0), (3, 90.0, 0.0, 0.0)], "node_id long, x double, y double, depth double")
-    edges = spark.createDataFrame([(0, 1), (1, 2), (0, 2), (1, 3)], "a long, b long")
-    seeds = spark.createDataFrame([(0, 0)], "seed long, node_id long")
-    assert rows(refine.shortest_lengths(seeds, edges, node, 50.0), "node_id") == [(0, 0, 0.0), (0, 1, 3.0), (0, 2, 5.0)]
-
-
-def test_flood_stops_at_dry_edges(spark):
-    node, elem, _ = lines.read_gr3(text(spark, MESH))
-    deep = node.withColumn("depth", F.when(F.col("x") > 15, -9.0).otherwise(5.0))
-    edges = mesh.build_edges(elem.drop("file"))
-    seeds = spark.createDataFrame([(1,)], "node_id long")
-    assert rows(refine.flood_fill(edges, deep, elem, seeds, 1.0), "elem_id") == [(1,)]
-
-
 def test_levels_beyond_a_cast_go_on_straight(spark):
     cast = spark.createDataFrame([(1, 0.0, 1.0), (1, 2.0, 5.0), (2, 3.0, 7.0)], "k int, z double, value double")
     at = spark.createDataFrame([(1, -1.0), (1, 1.0), (1, 4.0), (2, 9.0)], "k int, z double")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.jobs import casts, feeds, formats, levels, lists, meshes, outlines, places, profiles, refine, relocation, subsets, time_series
+from tidewater.jobs import casts, feeds, formats, levels, lists, meshes, outlines, places, profiles, refine, relocation, routes, subsets, time_series
 
-MODULES = (time_series, lists, meshes, places, profiles, refine, subsets, casts, relocation, outlines, formats, levels, feeds)
+MODULES = (time_series, lists, meshes, places, profiles, refine, routes, subsets, casts, relocation, outlines, formats, levels, feeds)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -117,14 +117,13 @@ nbr as (select distinct p as a, q as b from pair union select distinct q, p from
 
 
 def _smooth_sql(rounds: int, velocity: str = "0") -> str:
-    steps = ["v0 as (select node_id, depth as v from node)"]
-    for i in range(rounds):
-        steps.append(f"v{i + 1} as materialized (select o.node_id, o.v + coalesce(0.05::double * (m.m - o.v), 0) + {velocity} as v from v{i} o left join (select a as node_id, avg(v) as m from nbr join v{i} on b = node_id group by 1) m using (node_id))")
-    return ", ".join(steps)
+    """``sm``: round i from round i - 1; the last one is asked for."""
+    return f"""sm(i, node_id, v) as (select 0, node_id, depth::double from node
+  union all select o.i + 1, o.node_id, o.v + coalesce(0.05::double * (m.m - o.v), 0) + {velocity} from sm o left join (select a as node_id, avg(v) as m from nbr join sm on b = sm.node_id group by 1) m on m.node_id = o.node_id where o.i < {rounds})"""
 
 
 def _smoothed(s, d, velocity=None):
-    return G.laplace_smooth(node(s, d).select("node_id", F.col("depth").alias("value")), M.neighbors(M.build_edges(elem_node(s, d))), rounds=10, velocity=velocity)
+    return G.laplace_smooth(node(s, d).select("node_id", F.col("depth").alias("value")), M.neighbors(M.build_edges(elem_node(s, d))), velocity=velocity, node=node(s, d))
 
 
 QUERIES = {
@@ -214,7 +213,7 @@ select node_id, round(sum(area * m) / sum(area) + 1e-9, 6) as value from elem_no
 r1 as (select seed, b as elem_id, 1 as ring from r0 join adj on elem_id = a), r2 as (select distinct seed, b as elem_id, 2 as ring from r1 join adj on elem_id = a), r3 as (select distinct seed, b as elem_id, 3 as ring from r2 join adj on elem_id = a)
 select seed, elem_id, min(ring) as ring from (select * from r0 union all select * from r1 union all select * from r2 union all select * from r3) group by 1, 2""",
     ),
-    "laplace_smooth": (lambda s, d: _r(_smoothed(s, d), "value"), f"with {MESH}, {NBR}, {_smooth_sql(10)} select node_id, round(v + 1e-9, 6) as value from v10"),
+    "laplace_smooth": (lambda s, d: _r(_smoothed(s, d), "value"), f"with recursive {MESH}, {NBR}, {_smooth_sql(150)} select node_id, round(v + 1e-9, 6) as value from sm where i = 150"),
     "ring_distance": (
         lambda s, d: G.ring_distance(node(s, d).where(F.pmod("node_id", F.lit(61)) == 7).select(F.lit(0).alias("seed"), "node_id"), M.neighbors(M.build_edges(elem_node(s, d))), 3).select("node_id", "ring"),
         f"with {MESH}, {NBR}, r0 as (select node_id, 0 as ring from node where node_id % 61 = 7), r1 as (select distinct b as node_id, 1 as ring from r0 join nbr on node_id = a), r2 as (select distinct b as node_id, 2 as ring from r1 join nbr on node_id = a), r3 as (select distinct b as node_id, 3 as ring from r2 join nbr on node_id = a) select node_id, min(ring) as ring from (select * from r0 union all select * from r1 union all select * from r2 union all select * from r3) group by 1",

@@ -100,6 +100,6 @@ select coalesce(e.i, o.i) as iteration, t, file from e full join o on e.i = o.i"
     ),
     "laplace_forced": (
         lambda s, d: _r(_smoothed(s, d, node(s, d).select("node_id", (F.pmod("node_id", F.lit(3)) / 10).alias("value"))), "value"),
-        f"with {MESH}, {NBR}, {_smooth_sql(10, '(o.node_id % 3) / 10.0::double')} select node_id, round(v + 1e-9, 6) as value from v10",
+        f"with recursive {MESH}, {NBR}, {_smooth_sql(150, '(o.node_id % 3) / 10.0::double')} select node_id, round(v + 1e-9, 6) as value from sm where i = 150",
     ),
 }

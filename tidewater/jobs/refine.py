@@ -9,6 +9,8 @@ from tidewater.jobs.places import CELL, LINES, NBR, _lines
 from tidewater.operators import graph as G, mesh as M, refine as R, spatial as P
 from tidewater.sources.bridge import ELEM, LEVEL, MESH, NODE, elem_node, level, node
 
+#: Rounds of smoothing that interfaces get.
+ROUNDS = 40
 LINE = "line as (select * from (values " + ", ".join(f"({a}, {b}, {x0}::double, {y0}::double, {x1}::double, {y1}::double)" for a, b, x0, y0, x1, y1 in LINES) + ") v(line_id, seg, x0, y0, x1, y1))"
 
 
@@ -66,21 +68,24 @@ ch as (select elem_id, dg from (select *, row_number() over (partition by elem_i
 
 
 def _chain(rounds: int) -> str:
-    return ", ".join(f"v{i} as (select p.node_id, p.nl, p.base, p.v + 0.3::double * coalesce(m - p.v, 0) as v from v{i - 1} p left join (select n.a as node_id, avg(case when q.nl < o.nl then q.base else q.v end) as m from nbr n join v{i - 1} q on q.node_id = n.b join v{i - 1} o on o.node_id = n.a group by 1) m on m.node_id = p.node_id)" for i in range(1, rounds + 1))
+    """``sm``: round i from round i - 1."""
+    return f"""sm(i, node_id, nl, base, v) as (select 0, node_id, nl, base, v from v0
+  union all select p.i + 1, p.node_id, p.nl, p.base, p.v + 0.3::double * coalesce(m - p.v, 0) from sm p left join (select n.a as node_id, avg(case when q.nl < o.nl then q.base else q.v end) as m from nbr n join sm q on q.node_id = n.b join sm o on o.node_id = n.a group by 1) m on m.node_id = p.node_id where p.i < {rounds})"""
 
 
 def _faces(rounds: int) -> str:
-    return ", ".join(f"h{i} as (select p.node_id, p.k, p.h + 0.4::double * coalesce(m - p.h, 0) as h from h{i - 1} p left join (select o.node_id, o.k, avg(coalesce(q.h, -d.depth)) as m from h{i - 1} o join nbr n on n.a = o.node_id join node d on d.node_id = n.b left join h{i - 1} q on q.node_id = n.b and q.k = o.k group by 1, 2) m on m.node_id = p.node_id and m.k = p.k)" for i in range(1, rounds + 1))
+    return f"""sm(i, node_id, k, h) as (select 0, node_id, k, h from h0
+  union all select p.i + 1, p.node_id, p.k, p.h + 0.4::double * coalesce(m - p.h, 0) from sm p left join (select o.node_id, o.k, avg(coalesce(q.h, -d.depth)) as m from sm o join nbr n on n.a = o.node_id join node d on d.node_id = n.b left join sm q on q.node_id = n.b and q.k = o.k group by 1, 2) m on m.node_id = p.node_id and m.k = p.k where p.i < {rounds})"""
 
 
 def layered(s, d):
     layers = M.level_counts(level(s, d)).select("node_id", "nlayer")
-    return _r(R.laplace_layered(node(s, d).select("node_id", F.col("depth").alias("value")), layers, _nbrs(s, d), 0.3, 6), "value")
+    return _r(R.laplace_layered(node(s, d).select("node_id", F.col("depth").alias("value")), layers, _nbrs(s, d), 0.3, node=node(s, d)), "value")
 
 
 def faces(s, d):
     h = M.build_z(level(s, d), node(s, d)).select("node_id", "k", F.col("z").alias("h"))
-    return _r(G.interface_smooth(h, _nbrs(s, d), F.lit(0.4), node(s, d).select("node_id", (-F.col("depth")).alias("depth")), 4), "h")
+    return _r(G.interface_smooth(h, _nbrs(s, d), F.lit(0.4), node(s, d).select("node_id", (-F.col("depth")).alias("depth")), ROUNDS, node(s, d)), "h")
 
 
 def trimmed(s, d):
@@ -116,12 +121,6 @@ select line_id, seg, (row_number() over (partition by line_id, seg order by roun
         lambda s, d: R.split_quads(elem_node(s, d), _bent(s, d), 0.35),
         f"with {MESH}, {_SPLIT} select elem_id, dg as diagonal, half, p as pos, case p when 0 then a when 1 then b else c end as node_id from tr join ch using (elem_id, dg), (values (0), (1), (2)) v(p)",
     ),
-    "flood_fill_wet": (
-        lambda s, d: R.flood_fill(_edges(s, d), node(s, d), elem_node(s, d), node(s, d).where("node_id < 10"), 2.0),
-        f"""with recursive {MESH}, {EDGE}, we as (select edge.*, (p.depth + q.depth) / 2 > 2 as wet from edge join node p on p.node_id = a join node q on q.node_id = b), st as (select a, b from we where wet union all select b, a from we where wet),
-rc as (select node_id from node where node_id < 10 and node_id in (select a from st) union select st.b from rc join st on st.a = rc.node_id), ok as (select elem_id from (select el as elem_id, wet from we union all select er, wet from we where er >= 0) group by 1 having bool_and(wet))
-select distinct elem_id from elem_node join rc using (node_id) where elem_id in (select elem_id from ok)""",
-    ),
     "trim_side": (
         trimmed,
         f"""with recursive {MESH}, {RING}, {EDGE}, w as (select elem_id from geo where mx < 95), st as (select el, er from edge where er >= 0 and (el in (select elem_id from w)) = (er in (select elem_id from w))), tw as (select el, er from st union all select er, el from st),
@@ -135,8 +134,8 @@ rc as (select 0::bigint as elem_id union select tw.er from rc join tw on tw.el =
         lambda s, d: R.quantize_levels(_wanted(s, d), _nbrs(s, d)),
         f"with {MESH}, {NBR}, w as (select node_id, (node_id * 37) % 100 / 17.0::double + 1.2 as w, round_even((node_id * 37) % 100 / 17.0::double + 1.2, 0)::bigint as n from node), r as (select a as node_id, n from nbr join w on w.node_id = b union all select node_id, n from w), m as (select node_id, list_sort(list(n)) as s from r group by 1) select node_id, greatest(least(s[len(s) // 2 + 1], ceil(w)), floor(w), 2)::bigint as nlevel from m join w using (node_id)",
     ),
-    "laplace_layered": (layered, f"with {MESH}, {LEVEL}, {NBR}, v0 as (select node_id, count(*) - 1 as nl, any_value(depth) as base, any_value(depth) as v from node join level using (node_id) group by 1), {_chain(6)} select node_id, round(v + 1e-9, 6) as value from v6"),
-    "interface_smooth": (faces, f"with {Z}, {ELEM}, {NBR}, h0 as (select node_id, k, z as h from z), {_faces(4)} select node_id, k, round(h + 1e-9, 6) as h from h4"),
+    "laplace_layered": (layered, f"with recursive {MESH}, {LEVEL}, {NBR}, v0 as (select node_id, count(*) - 1 as nl, any_value(depth) as base, any_value(depth) as v from node join level using (node_id) group by 1), {_chain(150)} select node_id, round(v + 1e-9, 6) as value from sm where i = 150"),
+    "interface_smooth": (faces, f"with recursive {Z}, {ELEM}, {NBR}, h0 as (select node_id, k, z as h from z), {_faces(ROUNDS)} select node_id, k, round(h + 1e-9, 6) as h from sm where i = {ROUNDS}"),
     "bottom_thickness": (
         lambda s, d: _r(R.bottom_thickness(M.build_z(level(s, d), node(s, d)), _nbrs(s, d), 1.0), "value"),
         f"""with {Z}, {ELEM}, {NBR}, u as (select node_id, k, lead(z) over (partition by node_id order by k) - z as t from z), t0 as (select node_id, greatest(min_by(t, k), 1)::double as v from u where t is not null group by 1),
@@ -147,9 +146,4 @@ t1 as (select p.node_id, v + 0.5 * coalesce(m - v, 0) as v from t0 p left join (
         f"""with {MESH}, {RING}, {NBR}, ms as (select node_id, sum(area / n) as mass from elem_node join geo using (elem_id) group by 1), g as (select p.node_id, any_value(p.depth) as depth, sum(sign(p.depth - q.depth) / (sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) + 1e-12)) as g, sum(1 / (sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) + 1e-12)) as p, min(q.depth) as lo, max(q.depth) as hi
  from nbr join node p on p.node_id = a join node q on q.node_id = b group by 1), dt as (select 0.5 / max(p / mass) as dt from g join ms using (node_id)) select node_id, round(greatest(least(depth - dt * g / mass, greatest(hi, depth)), least(lo, depth)) + 1e-9, 6) as value from g join ms using (node_id), dt""",
     ),
-    "shortest_lengths": (
-        lambda s, d: _r(R.shortest_lengths(node(s, d).where(F.pmod("node_id", F.lit(61)) == 7).select(F.col("node_id").alias("seed"), "node_id"), _edges(s, d), node(s, d), 45.0), "length"),
-        f"""with recursive {MESH}, {NBR}, st as (select a, b, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.depth - q.depth) ** 2) as step from nbr join node p on p.node_id = a join node q on q.node_id = b),
-w as (select node_id as seed, node_id, 0::double as length from node where node_id % 61 = 7 union select seed, b, length + step from w join st on a = w.node_id where length + step <= 45) select seed, node_id, round(min(length) + 1e-9, 6) as length from w group by 1, 2""",
-    ),
 }

@@ -1,35 +1,128 @@
-"""Iteration over mesh neighbours: each round is a join, written to the shared folder every few rounds."""
+"""Iteration over mesh neighbours. Smoothing is done block by block, many rounds between two shuffles."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewater.spool import spool
+from tidewater.operators.blocks import BLOCK, blocks
+from tidewater.operators.paths import least_labels
+from tidewater.spool import drop_spool, spool
 
-#: Rounds whose plan is carried before it is cut.
-EVERY = 5
+#: Rounds done in a block between two shuffles, and so the rings of nodes around it that it holds besides its own.
+RINGS = 30
 
 
-def laplace_smooth(value: DataFrame, nbrs: DataFrame, kappa: float = 0.05, dt: float = 1.0, rounds: int = 150, velocity: DataFrame | None = None) -> DataFrame:
-    """Jacobi smoothing of ``value`` (node_id, value): v += kappa dt (mean of neighbours - v) [+ dt vel].
+class Ring:
+    """The neighbours of a block's nodes, by their place among them."""
+
+    def __init__(self, row: np.ndarray, nbr: np.ndarray, n: int):
+        self.row, self.nbr, self.n = row, nbr, n
+
+    def mean(self, values: np.ndarray) -> np.ndarray:
+        """Mean of ``values`` (one for each pair of neighbours) by node, missing ones left out; missing where there is none."""
+        there = ~np.isnan(values)
+        count = np.bincount(self.row[there], minlength=self.n)
+        total = np.bincount(self.row[there], weights=values[there], minlength=self.n)
+        return np.divide(total, count, out=np.full(self.n, np.nan), where=count > 0)
+
+    def blend(self, own: np.ndarray, near: np.ndarray, share) -> np.ndarray:
+        """``own`` moved by ``share`` of the way to the mean of the neighbours' values; it stays where there are none."""
+        mean = self.mean(near)
+        return np.where(np.isnan(mean), own, own + share * (mean - own))
+
+
+def _packed(nbrs: DataFrame, of: DataFrame, rings: int) -> DataFrame:
+    """``block, nodes, own, row, nbr``: a row for each block with its nodes and those up to ``rings`` around, and their neighbours.
 
-    ``nbrs``: node_id, nbr. A node without neighbours keeps its value. One shuffle by neighbour and one by node a round.
+    Nodes around are found by the steps to a block's border, in rounds that grow with the blocks within ``rings``.
     """
-    nbrs = spool(nbrs)
-    now = value
-    for i in range(1, rounds + 1):
-        mean = nbrs.join(now.withColumnRenamed("node_id", "nbr"), "nbr").groupBy("node_id").agg(F.avg("value").alias("_m"))
-        new = now.join(mean, "node_id", "left")
-        step = F.coalesce(kappa * dt * (F.col("_m") - F.col("value")), F.lit(0.0))
-        if velocity is not None:
-            new = new.join(velocity.withColumnRenamed("value", "_vel"), "node_id", "left")
-            step = step + dt * F.coalesce("_vel", F.lit(0.0))
-        now = new.select("node_id", (F.col("value") + step).alias("value"))
-        if i % EVERY == 0:
-            now = spool(now)
+    c = F.col
+    links = nbrs.select(c("node_id").alias("a"), c("nbr").alias("b")).distinct()
+    place = lambda end, name: of.select(c("node_id").alias(end), c("block").alias(name))
+    border = links.join(place("a", "pair"), "a").join(place("b", "to"), "b").where("pair <> to").select(c("pair").cast("long").alias("pair"), c("a").alias("node_id")).distinct()
+    around = least_labels(border, links.withColumn("step", F.lit(1.0)), of, limit=float(rings)).select(c("pair").cast("int").alias("block"), "node_id")
+    members = spool(of.select("block", "node_id", F.lit(True).alias("own")).unionByName(around.join(of, ["block", "node_id"], "left_anti").withColumn("own", F.lit(False))))
+    pairs = members.select(c("block").alias("at"), c("node_id").alias("a")).join(links, "a").select("at", "a", "b")
+
+    def pack(key: tuple, own: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("node_id")
+        nodes = own["node_id"].to_numpy()
+        at = np.searchsorted(nodes, near["b"].to_numpy())
+        known = (at < len(nodes)) & (nodes[np.minimum(at, len(nodes) - 1)] == near["b"].to_numpy())
+        row = np.searchsorted(nodes, near["a"].to_numpy())
+        return pd.DataFrame({"block": [key[0]], "nodes": [nodes], "own": [own["own"].to_numpy()], "row": [row[known].astype(np.int32)], "nbr": [at[known].astype(np.int32)]})
+
+    packed = members.groupBy("block").cogroup(pairs.groupBy("at")).applyInPandas(pack, "block int, nodes array<long>, own array<boolean>, row array<int>, nbr array<int>")
+    return spool(packed)
+
+
+def in_blocks(state: DataFrame, nbrs: DataFrame, of: DataFrame, advance: Callable[[pd.DataFrame, Ring, int], pd.DataFrame], rounds: int, rings: int = RINGS) -> DataFrame:
+    """``state`` (node_id and more) after ``rounds``, some of them done by each call of ``advance``, which has all nodes of a block and their ``Ring``.
+
+    A round looks at neighbours only, so a block that holds ``rings`` more rings of nodes around it gets its own ones right
+    for as many rounds. Then each node's new state goes to the blocks that hold it: a join by node and a grouping by block
+    every ``rings`` rounds. The outcome is that of one round after the other. ``of``: node_id, block; nodes without a
+    block are left out.
+    """
+    rings = max(1, min(rings, rounds))
+    packed = _packed(nbrs, of, rings)
+    held = spool(packed.select("block", F.explode("nodes").alias("node_id")))
+    now = state
+
+    def some(n: int):
+        def run(own: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+            nodes, mine, row, nbr = (np.asarray(block[c].iloc[0]) for c in ("nodes", "own", "row", "nbr"))
+            own = own.set_index("node_id").reindex(nodes).rename_axis("node_id").reset_index()
+            own = advance(own, Ring(row, nbr, len(nodes)), n)
+            there = np.asarray(mine, bool) & own["_here"].notna().to_numpy()
+            return own.loc[there].drop(columns=["block", "_here"])
+
+        return run
+
+    for done in range(0, rounds, rings):
+        placed = held.join(now, "node_id").withColumn("_here", F.lit(1))
+        nxt = spool(placed.groupBy("block").cogroup(packed.groupBy("block")).applyInPandas(some(min(rings, rounds - done)), state.schema))
+        if done:
+            drop_spool(now)
+        now = nxt
     return now
 
 
+def laplace_smooth(
+    value: DataFrame,
+    nbrs: DataFrame,
+    kappa: float = 0.05,
+    dt: float = 1.0,
+    rounds: int = 150,
+    velocity: DataFrame | None = None,
+    node: DataFrame | None = None,
+    size: int = BLOCK,
+    rings: int = RINGS,
+) -> DataFrame:
+    """Jacobi smoothing of ``value`` (node_id, value): v += kappa dt (mean of neighbours - v) [+ dt vel].
+
+    ``nbrs``: node_id, nbr. A node without neighbours keeps its value. ``node`` (node_id, x, y) tells which nodes lie
+    near each other; without it their ids do. Blocks of ``size`` nodes do ``rings`` rounds between two shuffles.
+    """
+    state = value.select("node_id", F.col("value").cast("double").alias("value"))
+    if velocity is not None:
+        state = state.join(velocity.select("node_id", F.col("value").alias("vel")), "node_id", "left").select("node_id", "value", F.coalesce("vel", F.lit(0.0)).alias("vel"))
+
+    def advance(own: pd.DataFrame, ring: Ring, n: int) -> pd.DataFrame:
+        v = own["value"].to_numpy()
+        for _ in range(n):
+            v = ring.blend(v, v[ring.nbr], kappa * dt)
+            if "vel" in own:
+                v = v + dt * own["vel"].to_numpy()
+        return own.assign(value=v)
+
+    return in_blocks(state, nbrs, blocks(node if node is not None else value, size), advance, rounds, rings).select("node_id", "value")
+
+
 def ring_distance(seeds: DataFrame, nbrs: DataFrame, most: int) -> DataFrame:
     """``seed, node_id, ring``: hops from each seed's nodes, up to ``most``; all seeds in one loop."""
     found = seeds.select("seed", "node_id", F.lit(0).alias("ring")).distinct()
@@ -67,15 +160,29 @@ def boundary_taper(ring: DataFrame, base: DataFrame, target: float, width: int)
     return base.join(near, "node_id", "left").select("node_id", (F.col("value") * (1 - w) + target * w).alias("value"))
 
 
-def interface_smooth(level: DataFrame, nbrs: DataFrame, alpha: Column, depth: DataFrame, rounds: int) -> DataFrame:
-    """Jacobi over interface heights ``level`` (node_id, k, h), neighbours without the level standing at their depth."""
-    now, nbrs = level, spool(nbrs)
-    beds = nbrs.join(depth.select(F.col("node_id").alias("nbr"), "depth"), "nbr")
-    for i in range(1, rounds + 1):
-        own = now.select("node_id", "k").join(beds, "node_id")
-        near = own.join(now.select(F.col("node_id").alias("nbr"), "k", F.col("h").alias("nh")), ["nbr", "k"], "left")
-        mean = near.groupBy("node_id", "k").agg(F.avg(F.coalesce("nh", "depth")).alias("m"))
-        now = now.join(mean, ["node_id", "k"], "left").select("node_id", "k", (F.col("h") + alpha * F.coalesce(F.col("m") - F.col("h"), F.lit(0.0))).alias("h"))
-        if i % EVERY == 0:
-            now = spool(now)
-    return now
+def interface_smooth(level: DataFrame, nbrs: DataFrame, alpha: Column, depth: DataFrame, rounds: int, node: DataFrame | None = None, size: int = BLOCK, rings: int = RINGS) -> DataFrame:
+    """Jacobi over interface heights ``level`` (node_id, k, h), neighbours without the level standing at their ``depth``.
+
+    ``alpha``, of the columns of ``level``, is the share by which a height moves to its neighbours' mean. Blocks as in
+    ``laplace_smooth``; a node's levels go together.
+    """
+    columns = level.withColumn("_a", alpha.cast("double")).groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("k", "h", "_a"))).alias("c"))
+    each = lambda name, kind: F.transform("c", lambda x: x[name]).cast(f"array<{kind}>").alias(name)
+    state = depth.select("node_id", F.col("depth").cast("double").alias("depth")).join(columns.select("node_id", each("k", "int"), each("h", "double"), each("_a", "double")), "node_id", "left")
+
+    def advance(own: pd.DataFrame, ring: Ring, n: int) -> pd.DataFrame:
+        sizes = np.array([len(k) if isinstance(k, np.ndarray) else 0 for k in own["k"]])
+        row = np.repeat(np.arange(len(own)), sizes)
+        k, h, a = (np.concatenate([np.array([]), *(x for x in own[name] if isinstance(x, np.ndarray))]) for name in ("k", "h", "_a"))
+        k = k.astype(int)
+        grid, share = (np.full((len(own), k.max(initial=-1) + 1), np.nan) for _ in range(2))
+        grid[row, k], share[row, k] = h, a
+        there, bed = ~np.isnan(grid), own["depth"].to_numpy()
+        for _ in range(n):
+            near = [np.where(there[ring.nbr, i], grid[ring.nbr, i], bed[ring.nbr]) for i in range(grid.shape[1])]
+            grid = np.column_stack([np.where(there[:, i], ring.blend(grid[:, i], x, share[:, i]), np.nan) for i, x in enumerate(near)]) if near else grid
+        parts = np.split(grid[row, k], np.cumsum(sizes)[:-1])
+        return own.assign(h=pd.Series([p if len(p) else None for p in parts], index=own.index, dtype=object))
+
+    done = in_blocks(state, nbrs, blocks(node if node is not None else depth, size), advance, rounds, rings)
+    return done.where("k is not null").select("node_id", F.explode(F.arrays_zip("k", "h")).alias("z")).select("node_id", F.col("z.k").cast(level.schema["k"].dataType).alias("k"), "z.h")

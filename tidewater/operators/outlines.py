@@ -2,20 +2,37 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewater.operators.components import connected_components
+from tidewater.operators.mesh import corners
 from tidewater.operators.spatial import _cells, cell_of, nearest
 from tidewater.spool import drop_spool, spool
 
 
-def directed_boundary(elem_node: DataFrame) -> DataFrame:
-    """``node_id, nxt``: boundary edges in the direction of their element, counterclockwise around the mesh."""
-    ring = elem_node.groupBy("elem_id").agg(F.array_sort(F.collect_list(F.struct("pos", "node_id"))).alias("r"))
-    turned = F.concat(F.slice("r", 2, F.size("r")), F.slice("r", 1, 1))
-    sides = ring.select(F.explode(F.zip_with("r", turned, lambda p, q: F.struct(p["node_id"].alias("p"), q["node_id"].alias("q")))).alias("e")).select("e.p", "e.q")
-    once = sides.groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.count("*").alias("n"), F.first("p").alias("p"), F.first("q").alias("q")).where("n = 1")
-    return once.groupBy(F.col("p").alias("node_id")).agg(F.min("q").alias("nxt"))
+def directed_boundary(elem_node: DataFrame, node: DataFrame) -> DataFrame:
+    """``p, q, p2``: boundary edges from p to q with their element on the left, and the node p2 after q on the same boundary.
+
+    Where a boundary touches itself, several of its edges meet in a node. The one that follows is that which bounds the same
+    run of elements: the first that a turn clockwise around q meets, from the edge it comes by. Elements given clockwise are
+    turned. A boundary edge is followed by exactly one and follows exactly one.
+    """
+    c = F.col
+    ring = corners(elem_node, node).select(F.transform("ring", lambda r: F.struct(r["node_id"].alias("n"), r["x"].alias("x"), r["y"].alias("y"))).alias("r"))
+    turned = lambda r: F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1))
+    area = F.aggregate(F.zip_with("r", turned(c("r")), lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]), F.lit(0.0), lambda t, v: t + v)
+    ring = ring.withColumn("r", F.when(area < 0, F.reverse("r")).otherwise(c("r")))
+    sides = ring.select(F.explode(F.zip_with("r", turned(c("r")), lambda p, q: F.struct(p.alias("p"), q.alias("q")))).alias("e")).select("e.p", "e.q")
+    once = sides.groupBy(F.least("p.n", "q.n").alias("a"), F.greatest("p.n", "q.n").alias("b")).agg(F.count("*").alias("n"), F.first("p").alias("p"), F.first("q").alias("q")).where("n = 1")
+    once = spool(once.select("p", "q"))
+    out = once.select(c("p.n").alias("at"), c("q").alias("to"))
+    back = F.atan2(c("p.y") - c("q.y"), c("p.x") - c("q.x"))
+    ahead = F.atan2(c("to.y") - c("q.y"), c("to.x") - c("q.x"))
+    turn = F.pmod(back - ahead, F.lit(2 * math.pi))
+    turn = F.when(turn <= 1e-12, F.lit(2 * math.pi)).otherwise(turn)
+    return once.join(out, c("q.n") == c("at")).groupBy(c("p.n").alias("p"), c("q.n").alias("q")).agg(F.min(F.struct(turn.alias("turn"), c("to.n").alias("n"))).alias("f")).select("p", "q", c("f.n").alias("p2"))
 
 
 def boundary_strings(elem_node: DataFrame, node: DataFrame, segments: DataFrame, cell: float) -> DataFrame:
@@ -23,58 +40,69 @@ def boundary_strings(elem_node: DataFrame, node: DataFrame, segments: DataFrame,
 
     ``segments``: ord, x0, y0, x1, y1. An ``open`` string runs along the boundary, counterclockwise, from the boundary
     node nearest to the first point to that nearest to the second; ``land`` ones from the end of an open one to the start
-    of the next; rings without an open string are ``island`` ones, from their smallest node back to it.
+    of the next; rings without an open string are ``island`` ones, from their smallest node back to it. An open string whose
+    ends are on different rings is an error.
 
-    A node's place is found by pointers to the node before that are doubled until they reach a string's end, in as many
-    rounds as the logarithm of the longest string. Only the ends are then walked one by one.
+    Each boundary edge is in exactly one string, also where the boundary touches itself (``directed_boundary``): walks go over
+    edges, and a node there is in several strings. An edge's place is found by pointers to the edge before that are doubled
+    until they reach a string's end, in as many rounds as the logarithm of the longest string. Only the ends are then walked
+    one by one.
     """
     c = F.col
-    walk = spool(directed_boundary(elem_node))
-    shore = node.join(walk.select("node_id"), "node_id", "left_semi").select(c("node_id").alias("site_id"), "x", "y")
+    made = spool(directed_boundary(elem_node, node).withColumn("eid", F.monotonically_increasing_id()))
+    follows = made.select(c("p").alias("q"), c("q").alias("p2"), c("eid").alias("nxt"))
+    walk = spool(made.join(follows, ["q", "p2"]).select("eid", "p", "q", "nxt"))
+    shore = node.join(walk.select(c("p").alias("node_id")), "node_id", "left_semi").select(c("node_id").alias("site_id"), "x", "y")
     ask = lambda x, y, at: segments.select((c("ord") * 2 + at).alias("point_id"), c(x).alias("x"), c(y).alias("y"))
     ends = spool(nearest(ask("x0", "y0", 0).unionByName(ask("x1", "y1", 1)), shore, 1, cell).select("point_id", c("site_id").alias("mark")))
-    rings = connected_components(walk.select(c("node_id").alias("a"), c("nxt").alias("b")))
-    used = rings.join(ends.select(c("mark").alias("node")), "node", "left_semi").select("component").distinct()
-    islands = rings.join(used, "component", "left_anti").select("component").distinct()
-    marks = spool(ends.select("mark").distinct().unionByName(islands.select(c("component").alias("mark"))))
-    # For each node the mark at or before it, and how many steps it is behind.
-    marked = walk.join(marks, walk.node_id == marks.mark, "left").select("node_id", "nxt", c("mark").isNotNull().alias("end"))
-    back = walk.select(c("nxt").alias("node_id"), c("node_id").alias("prev"))
-    at = marked.join(back, "node_id").select("node_id", F.when(c("end"), c("node_id")).otherwise(c("prev")).alias("up"), F.when(c("end"), 0).otherwise(1).cast("long").alias("steps"), (~c("end")).alias("open"))
+    rings = spool(connected_components(walk.select(c("eid").alias("a"), c("nxt").alias("b"))).withColumnRenamed("node", "eid"))
+    # For each open string the edge it begins with, and the ring on which it ends.
+    at_ends = ends.join(walk.select(c("p").alias("mark"), c("q").alias("toward"), "eid"), "mark").join(rings, "eid").withColumn("string_no", F.floor(c("point_id") / 2))
+    first = at_ends.where("point_id % 2 = 0").select("string_no", "component", c("eid").alias("start"), "toward")
+    last = at_ends.where("point_id % 2 = 1").select("string_no", "component", c("mark").alias("stop")).distinct()
+    both = first.join(last, ["string_no", "component"]).groupBy("string_no").agg(F.min(F.struct("toward", "start", "stop", "component")).alias("f")).select("string_no", "f.*")
+    asked = segments.select(c("ord").cast("long").alias("string_no")).join(both, "string_no", "left")
+    missing = F.raise_error(F.concat(F.lit("no boundary from end to end of open string "), c("string_no").cast("string"))).cast("long")
+    open_ = spool(asked.select("string_no", F.coalesce("start", missing).alias("start"), "stop", "component"))
+    islands = spool(walk.join(rings, "eid").join(open_.select("component").distinct(), "component", "left_anti").groupBy("component").agg(F.min(F.struct("p", "q", "eid")).alias("f")).select("f.*"))
+    # Marked edges: those that a string begins with, and all that leave a node at which one stops.
+    stops = walk.join(rings, "eid").join(open_.select(c("stop").alias("p"), "component").distinct(), ["p", "component"], "left_semi").select("eid")
+    marks = spool(open_.select(c("start").alias("eid")).unionByName(stops).unionByName(islands.select("eid")).distinct())
+    # For each edge the mark at or before it, and how many edges it is behind.
+    marked = walk.join(marks.withColumn("end", F.lit(True)), "eid", "left").select("eid", c("end").isNotNull().alias("end"))
+    at = marked.join(walk.select(c("nxt").alias("eid"), c("eid").alias("prev")), "eid").select("eid", F.when(c("end"), c("eid")).otherwise(c("prev")).alias("up"), F.when(c("end"), 0).otherwise(1).cast("long").alias("steps"), (~c("end")).alias("open"))
     at = spool(at)
     while not at.where("open").isEmpty():
-        up = at.select(c("node_id").alias("up"), c("up").alias("further"), c("steps").alias("more"), c("open").alias("on"))
-        moved = at.where("open").join(up, "up").select("node_id", c("further").alias("up"), (c("steps") + c("more")).alias("steps"), c("on").alias("open"))
+        up = at.select(c("eid").alias("up"), c("up").alias("further"), c("steps").alias("more"), c("open").alias("on"))
+        moved = at.where("open").join(up, "up").select("eid", c("further").alias("up"), (c("steps") + c("more")).alias("steps"), c("on").alias("open"))
         nxt = spool(at.where("not open").unionByName(moved))
         drop_spool(at)
         at = nxt
     # Pieces from mark to mark: as many as there are ends and islands.
-    last = at.join(walk, "node_id").join(marks.select(c("mark").alias("nxt")), "nxt").select(c("up").alias("mark"), c("nxt").alias("to"), (c("steps") + 1).alias("length"))
-    pieces = spool(last)
-    first, second = ends.where("point_id % 2 = 0"), ends.where("point_id % 2 = 1")
-    open_ = first.select(F.floor(c("point_id") / 2).alias("string_no"), c("mark").alias("start")).join(second.select(F.floor(c("point_id") / 2).alias("string_no"), c("mark").alias("stop")), "string_no")
-    starts = spool(first.select(c("mark").alias("to")).distinct())
-    shores = open_.join(starts.select(c("to").alias("stop")), "stop", "left_anti").select("string_no", c("stop").alias("start"))
-    loops = islands.select(F.row_number().over(Window.orderBy("component")).cast("long").alias("string_no"), c("component").alias("start"))
-    runs = [
-        _runs(open_.withColumn("kind", F.lit("open")), pieces, c("to") == c("stop")),
-        _runs(shores.withColumn("kind", F.lit("land")), pieces.join(starts.withColumn("begins", F.lit(True)), "to", "left"), F.coalesce(c("begins"), F.lit(False))),
-        _runs((loops.withColumn("string_no", c("string_no") - 1)).withColumn("kind", F.lit("island")), pieces, F.lit(True)),
-    ]
-    run = spool(runs[0].unionByName(runs[1]).unionByName(runs[2]))
-    inside = run.join(at.select(c("up").alias("mark"), "steps", "node_id"), "mark").select("kind", "string_no", (c("before") + c("steps")).alias("seq"), "node_id")
-    end = run.where("final").select("kind", "string_no", (c("before") + c("length")).alias("seq"), c("to").alias("node_id"))
+    begins = marks.join(walk, "eid").select(c("eid").alias("to"), c("p").alias("to_node"))
+    pieces = spool(at.join(walk, "eid").join(begins, c("nxt") == c("to")).select(c("up").alias("mark"), "to", "to_node", (c("steps") + 1).alias("length")))
+    starts = open_.select(c("start").alias("to")).distinct().withColumn("begins", F.lit(True))
+    shores = pieces.join(starts, "to", "left")
+    opened = _runs(open_.select("string_no", "start", "stop").withColumn("kind", F.lit("open")), pieces, c("to_node") == c("stop"))
+    opened = spool(opened)
+    after = opened.where("final").join(starts, "to", "left_anti").select("string_no", c("to").alias("start"))
+    landed = _runs(after.withColumn("kind", F.lit("land")), shores, F.coalesce(c("begins"), F.lit(False)))
+    loops = islands.select((F.row_number().over(Window.orderBy("p", "q")) - 1).cast("long").alias("string_no"), c("eid").alias("start"))
+    looped = _runs(loops.withColumn("kind", F.lit("island")), pieces, F.lit(True))
+    run = spool(opened.unionByName(landed).unionByName(looped))
+    inside = run.join(at.select(c("up").alias("mark"), "steps", "eid"), "mark").join(walk.select("eid", "p"), "eid").select("kind", "string_no", (c("before") + c("steps")).alias("seq"), c("p").alias("node_id"))
+    end = run.where("final").select("kind", "string_no", (c("before") + c("length")).alias("seq"), c("to_node").alias("node_id"))
     return inside.unionByName(end)
 
 
 def _runs(strings: DataFrame, pieces: DataFrame, over: Column) -> DataFrame:
-    """``kind, string_no, mark, to, before, length, final``: the pieces that each string is made of, found one after the other."""
+    """``kind, string_no, mark, to, to_node, before, length, final``: the pieces that each string is made of, found one after the other."""
     now = strings.withColumns({"at": F.col("start"), "before": F.lit(0).cast("long")})
     out = None
     while True:
         step = now.join(pieces, F.col("at") == F.col("mark")).withColumn("final", over)
-        own = spool(step.select(*strings.columns, "mark", "to", "before", "length", "final"))
-        part = own.select("kind", "string_no", "mark", "to", "before", "length", "final")
+        own = spool(step.select(*strings.columns, "mark", "to", "to_node", "before", "length", "final"))
+        part = own.select("kind", "string_no", "mark", "to", "to_node", "before", "length", "final")
         out = part if out is None else out.unionByName(part)
         now = own.where("not final").select(*strings.columns, F.col("to").alias("at"), (F.col("before") + F.col("length")).alias("before"))
         if now.isEmpty():

@@ -6,9 +6,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidewater.operators import mesh as M
+from tidewater.operators.blocks import BLOCK, blocks
 from tidewater.operators.components import connected_components
-from tidewater.operators.graph import EVERY, laplace_smooth
-from tidewater.spool import spool
+from tidewater.operators.graph import RINGS, in_blocks, laplace_smooth
+from tidewater.spool import drop_spool, spool
 
 #: Quads below the first area take 3 x 3 points, below the second 4 x 4, larger ones 5 x 5.
 QUAD_AREAS = (60.0, 200.0)
@@ -122,20 +123,47 @@ def split_quads(elem_node: DataFrame, node: DataFrame, most: float) -> DataFrame
     return best.select("elem_id", "b.diagonal", F.explode("b.halves").alias("h")).select("elem_id", "diagonal", "h.half", F.posexplode("h.c").alias("pos", "c")).select("elem_id", "diagonal", "half", "pos", "c.node_id")
 
 
-def flood_fill(edges: DataFrame, node: DataFrame, elem_node: DataFrame, seeds: DataFrame, least: float) -> DataFrame:
-    """``elem_id``: elements whose edges are all wet (mean depth above ``least``), reached from ``seeds`` over wet edges.
+def region_edges(edges: DataFrame, region: DataFrame) -> DataFrame:
+    """``a, b, inside, outside``: edges with an element of ``region`` (elem_id) on one side only; ``outside`` is -1 where no element is."""
+    c = F.col
+    two = edges.select("a", "b", F.explode(F.array(F.struct(c("el").alias("elem_id"), c("er").alias("other")), F.struct(c("er").alias("elem_id"), c("el").alias("other")))).alias("s"))
+    own = two.select("a", "b", "s.*").where("elem_id >= 0").join(region.select("elem_id").distinct(), "elem_id", "left_semi")
+    return own.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("elem_id").alias("inside"), F.min("other").alias("outside")).where("n = 1").drop("n")
 
-    Components of the wet edges take a logarithmic number of rounds, not one for each hop.
+
+def flood_fill(edges: DataFrame, node: DataFrame, seeds: DataFrame, surface: DataFrame, shore: float, wet: float) -> tuple[DataFrame, DataFrame]:
+    """``elem_id, stage`` of what is always wet, and ``a, b, stage, label`` of its outline.
+
+    ``surface``: node_id, h0, the depth at which a node falls dry; an edge's is the mean of its ends'. An edge is wet if its
+    mean depth is above h0 - ``wet``; an element may be flooded if all its edges are. Stage 1 is all that connects to the
+    elements of ``seeds`` (elem_id) over edges between such elements; a seed that may not be flooded is an error. Stage 2
+    adds elements beyond the outline that may be flooded too, where an end of the edge between is as deep as h0 + ``wet``.
+    An edge of the outline is ``deep`` if both its ends are at least h0 + ``shore`` deep, else ``shore``.
+
+    Connection takes a logarithmic number of rounds (components), not one for each element on the way.
     """
+    c = F.col
     ends = edges
     for end in ("a", "b"):
-        ends = ends.join(node.select(F.col("node_id").alias(end), F.col("depth").alias(f"d{end}")), end)
-    marked = spool(ends.select("a", "b", "el", "er", ((F.col("da") + F.col("db")) / 2 > least).alias("wet")))
-    of = connected_components(marked.where("wet").select("a", "b"))
-    reached = of.join(of.join(seeds, of.node == seeds.node_id, "left_semi").select("component").distinct(), "component", "left_semi").select(F.col("node").alias("node_id"))
-    two = marked.select(F.col("el").alias("elem_id"), "wet").unionByName(marked.where("er >= 0").select(F.col("er").alias("elem_id"), "wet"))
-    qualified = two.groupBy("elem_id").agg(F.min("wet").alias("wet")).where("wet").select("elem_id")
-    return elem_node.join(reached, "node_id", "left_semi").select("elem_id").distinct().join(qualified, "elem_id", "left_semi")
+        ends = ends.join(node.join(surface, "node_id").select(c("node_id").alias(end), c("depth").alias(f"d{end}"), c("h0").alias(f"h{end}")), end)
+    marked = spool(ends.select("a", "b", "el", "er", ((c("da") + c("db")) / 2 > (c("ha") + c("hb")) / 2 - wet).alias("wet"), ((c("da") >= c("ha") + shore) & (c("db") >= c("hb") + shore)).alias("deep"), ((c("da") >= c("ha") + wet) | (c("db") >= c("hb") + wet)).alias("soft")))
+    two = marked.select(c("el").alias("elem_id"), "wet").unionByName(marked.where("er >= 0").select(c("er").alias("elem_id"), "wet"))
+    able = spool(two.groupBy("elem_id").agg(F.min("wet").alias("able")))
+    checked = seeds.select("elem_id").distinct().join(able, "elem_id", "left")
+    begun = checked.select(F.when(c("able"), c("elem_id")).otherwise(F.raise_error(F.concat(F.lit("no element to flood from: "), c("elem_id").cast("string"))).cast("long")).alias("elem_id"))
+    begun = spool(begun)
+    able = able.where("able").select("elem_id")
+    between = marked.where("er >= 0").select("el", "er").join(able.withColumnRenamed("elem_id", "el"), "el", "left_semi").join(able.withColumnRenamed("elem_id", "er"), "er", "left_semi")
+    of = connected_components(between.select(c("el").alias("a"), c("er").alias("b")))
+    hit = of.join(begun.withColumnRenamed("elem_id", "node"), "node", "left_semi").select("component").distinct()
+    first = spool(of.join(hit, "component", "left_semi").select(c("node").alias("elem_id")).unionByName(begun).distinct())
+    outline = spool(region_edges(marked, first))
+    near = outline.join(marked.where("soft").select("a", "b"), ["a", "b"], "left_semi").select(c("outside").alias("elem_id")).where("elem_id >= 0").distinct()
+    second = near.join(able, "elem_id", "left_semi").join(first, "elem_id", "left_anti")
+    elems = spool(first.withColumn("stage", F.lit(1)).unionByName(second.withColumn("stage", F.lit(2))))
+    label = F.when(c("deep"), "deep").otherwise("shore").alias("label")
+    told = lambda out, stage: out.select("a", "b").join(marked, ["a", "b"]).select("a", "b", F.lit(stage).alias("stage"), label)
+    return elems, told(outline, 1).unionByName(told(region_edges(marked, elems), 2))
 
 
 def trim_side(elem_node: DataFrame, edges: DataFrame, cut: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -160,32 +188,70 @@ def shore_floor(shores: DataFrame, half: int, deep: float, middle: bool = False)
     return own.select("node_id", value.alias("value")).groupBy("node_id").agg(F.max("value").alias("value"))
 
 
-def quantize_levels(wanted: DataFrame, nbrs: DataFrame, fewest: int = 2) -> DataFrame:
+def quantize_levels(wanted: DataFrame, nbrs: DataFrame, fewest: int = 2, start: DataFrame | None = None) -> DataFrame:
     """``node_id, nlevel``: real level counts ``wanted`` rounded, then the upper median over a node and its neighbours.
 
-    The median stays between the real count rounded down and up, and is ``fewest`` at least.
+    The median stays between the real count rounded down and up, and is ``fewest`` at least. ``start`` (node_id, n) are
+    counts to take instead of the rounded ones.
     """
-    now = wanted.select("node_id", F.rint("wanted").cast("long").alias("n"))
+    now = start or wanted.select("node_id", F.rint("wanted").cast("long").alias("n"))
     ring = nbrs.join(now.withColumnRenamed("node_id", "nbr"), "nbr").select("node_id", "n").unionByName(now)
     mid = ring.groupBy("node_id").agg(F.array_sort(F.collect_list("n")).alias("s")).select("node_id", F.element_at("s", F.floor(F.size("s") / 2).cast("int") + 1).alias("mid"))
     within = F.greatest(F.least("mid", F.ceil("wanted")), F.floor("wanted"), F.lit(fewest))
     return wanted.join(mid, "node_id").select("node_id", within.cast("long").alias("nlevel"))
 
 
-def laplace_layered(value: DataFrame, layers: DataFrame, nbrs: DataFrame, kappa: float, rounds: int) -> DataFrame:
-    """Jacobi smoothing of ``value`` where neighbours with fewer layers (``nlayer``) stand at their first value."""
-    first = value.join(layers, "node_id")
-    near = spool(
-        nbrs.join(layers.select("node_id", F.col("nlayer").alias("own")), "node_id").join(first.select(F.col("node_id").alias("nbr"), F.col("value").alias("base"), "nlayer"), "nbr")
-        .select("node_id", "nbr", F.when(F.col("nlayer") < F.col("own"), F.col("base")).alias("base"))
-    )
-    now = value
-    for i in range(1, rounds + 1):
-        mean = near.join(now.select(F.col("node_id").alias("nbr"), "value"), "nbr").groupBy("node_id").agg(F.avg(F.coalesce("base", "value")).alias("_m"))
-        now = now.join(mean, "node_id", "left").select("node_id", (F.col("value") + kappa * F.coalesce(F.col("_m") - F.col("value"), F.lit(0.0))).alias("value"))
-        if i % EVERY == 0:
-            now = spool(now)
-    return now
+def hysteretic_levels(wanted: DataFrame, depth: DataFrame, nbrs: DataFrame, up: float = 0.7, down: float = 0.7, jump: int = 1, like: float = 0.75, sweeps: int = 6, order: Column | None = None) -> DataFrame:
+    """``node_id, n``: real level counts ``wanted`` rounded, then moved by one where that is more than ``up`` or ``down`` away.
+
+    A node may not move if that takes it more than ``jump`` from a neighbour whose ``depth`` is within ``like`` of its own.
+    In a sweep nodes move one after the other in the ``order`` of that column (even ids, then odd ones, each by id); sweeps
+    end when none moves, or after ``sweeps``. The outcome is that of a single walk through all nodes: a round takes each node
+    that could move and whose neighbours before it have had their turn, so only chains of such neighbours take more rounds.
+    """
+    c = F.col
+    rank = order if order is not None else F.struct(F.pmod("node_id", F.lit(2)), "node_id")
+    own = wanted.join(depth, "node_id").select("node_id", "wanted", "depth", rank.alias("rank"))
+    state = spool(own.withColumn("n", F.rint("wanted").cast("long")))
+    other = own.select(c("node_id").alias("nbr"), c("depth").alias("_d"), c("rank").alias("_r"))
+    near = spool(nbrs.distinct().join(own, "node_id").join(other, "nbr").where(F.abs(c("depth") - c("_d")) <= like).select("node_id", "nbr", (c("_r") < c("rank")).alias("first")))
+    for _ in range(sweeps):
+        off = c("wanted") - c("n")
+        to = F.when(off > up, c("n") + 1).when(off < -down, c("n") - 1)
+        waiting = spool(state.withColumn("to", to).where("to is not null").select("node_id", "n", "to"))
+        moved = spool(waiting.where("false").select("node_id", c("to").alias("new")))
+        while not waiting.isEmpty():
+            held = near.where("first").join(waiting.select(c("node_id").alias("nbr")), "nbr", "left_semi").select("node_id")
+            ready = waiting.join(held, "node_id", "left_anti")
+            now = state.select(c("node_id").alias("nbr"), c("n").alias("old")).join(moved.withColumnRenamed("node_id", "nbr"), "nbr", "left").select("nbr", F.coalesce("new", "old").alias("_n"))
+            stuck = ready.join(near, "node_id").join(now, "nbr").where(F.abs(c("to") - c("_n")) > jump).select("node_id").distinct()
+            told = spool(ready.join(stuck.withColumn("stuck", F.lit(True)), "node_id", "left").select("node_id", F.when(c("stuck"), c("n")).otherwise(c("to")).alias("new")))
+            left = spool(waiting.join(told, "node_id", "left_anti"))
+            total = spool(moved.unionByName(told))
+            for done in (waiting, moved, told):
+                drop_spool(done)
+            waiting, moved = left, total
+        changed = moved.join(state.select("node_id", "n"), "node_id").where("new <> n").select("node_id", "new")
+        if changed.isEmpty():
+            break
+        nxt = spool(state.join(changed, "node_id", "left").withColumn("n", F.coalesce("new", "n")).drop("new"))
+        drop_spool(state)
+        state = nxt
+    return state.select("node_id", "n")
+
+
+def laplace_layered(value: DataFrame, layers: DataFrame, nbrs: DataFrame, kappa: float, rounds: int = 150, node: DataFrame | None = None, size: int = BLOCK, rings: int = RINGS) -> DataFrame:
+    """Jacobi smoothing of ``value`` where neighbours with fewer layers (``nlayer``) stand at their first value; blocks as in ``laplace_smooth``."""
+    state = value.join(layers, "node_id").select("node_id", F.col("value").cast("double").alias("value"), F.col("value").cast("double").alias("base"), F.col("nlayer").cast("double").alias("nlayer"))
+
+    def advance(own, ring, n):
+        v, base, layer = (own[c].to_numpy() for c in ("value", "base", "nlayer"))
+        fewer = layer[ring.nbr] < layer[ring.row]
+        for _ in range(n):
+            v = ring.blend(v, np.where(fewer, base[ring.nbr], v[ring.nbr]), kappa)
+        return own.assign(value=v)
+
+    return in_blocks(state, nbrs, blocks(node if node is not None else value, size), advance, rounds, rings).select("node_id", "value")
 
 
 def bottom_thickness(level_z: DataFrame, nbrs: DataFrame, least: float, kappa: float = 0.5) -> DataFrame:
@@ -215,23 +281,3 @@ def tv_step(edges: DataFrame, node: DataFrame, geometry: DataFrame, elem_node: D
     new = F.col("depth") - F.col("dt") * F.col("g") / F.col("mass")
     held = F.greatest(F.least(new, F.greatest("hi", "depth")), F.least("lo", "depth"))
     return own.join(F.broadcast(dt)).select("node_id", (held if clip else new).alias("value"))
-
-
-def shortest_lengths(seeds: DataFrame, edges: DataFrame, node: DataFrame, within: float) -> DataFrame:
-    """``seed, node_id, length``: least path lengths (in x, y and depth) over edges, up to ``within``, for all seeds at once.
-
-    Each round relaxes only what got shorter in the round before.
-    """
-    ends = edges.select("a", "b")
-    for end in ("a", "b"):
-        ends = ends.join(node.select(F.col("node_id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("x", "y", "depth")]), end)
-    span = F.sqrt(sum(((F.col(f"{c}_a") - F.col(f"{c}_b")) ** 2 for c in ("x", "y", "depth")), F.lit(0.0)))
-    steps = spool(ends.select("a", "b", span.alias("step")).unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"), span.alias("step"))))
-    best = spool(seeds.select("seed", "node_id", F.lit(0.0).alias("length")))
-    front = best
-    while not front.isEmpty():
-        reach = front.join(steps, F.col("node_id") == F.col("a")).select("seed", F.col("b").alias("node_id"), (F.col("length") + F.col("step")).alias("length"))
-        short = reach.where(F.col("length") <= within).groupBy("seed", "node_id").agg(F.min("length").alias("length"))
-        front = spool(short.join(best.withColumnRenamed("length", "_old"), ["seed", "node_id"], "left").where("_old is null or length < _old").drop("_old"))
-        best = spool(best.unionByName(front).groupBy("seed", "node_id").agg(F.min("length").alias("length")))
-    return best

@@ -180,3 +180,70 @@ def desired_levels(node: DataFrame, cumulative: Callable[[Column, Column], Colum
     beyond = most - 1 + (F.col("d") - F.get("h", F.lit(most - 1))) / step
     inner = F.col("j") - 1 + (F.col("d") - before) / F.greatest(at - before, F.lit(1e-9))
     return own.select("node_id", F.greatest(F.when(F.col("j") == 0, 2.0).when(F.col("j") >= most, beyond).otherwise(inner), F.lit(2.0)).alias("wanted"))
+
+
+#: Levels closer than this are one; decimals that a grid's file keeps.
+SAME, DECIMALS = 1e-10, 6
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _first_cell(levels: Column, depth: Column, least: Column, raised: bool) -> Column:
+    """``levels`` (from 0 up, or from 1 down where not ``raised``) with a first cell of ``least`` or more, and how many were dropped.
+
+    The first level that leaves room is moved to make the cell exactly ``least``, or stays where it is if it is far enough;
+    all before it go. Without such a level only the ends stay. Fewer than three levels are left alone.
+    """
+    sign = 1.0 if raised else -1.0
+    at = lambda i: F.get(levels, i)
+    none, last = F.lit(0), F.size(levels) - 1
+    goal = at(none) + sign * least / F.greatest(depth, F.lit(1e-12))
+    far = lambda i: depth * (sign * (at(i) - at(none))) + 1e-15 >= least
+    room = lambda i: sign * (at(i + 1) - goal) > SAME
+    told = lambda s, drops: F.struct(s.alias("s"), drops.cast("int").alias("drops"))
+    fixed = lambda i: F.when(i.isNull(), told(F.array(at(none), at(last)), last - 1)).otherwise(told(F.concat(F.array(at(none), F.when(far(i), at(i)).otherwise(goal)), F.slice(levels, i + 2, F.size(levels))), i - 1))
+    pick = F.get(F.filter(F.sequence(F.lit(1), last - 1), lambda i: far(i) | room(i)), none)
+    return F.when((depth > 0) & (least > 0) & (last >= 2), _let(pick, fixed)).otherwise(told(levels, none))
+
+
+def sigma_pileup_fix(sigma: DataFrame, depth: DataFrame, least: Column) -> DataFrame:
+    """``node_id, levels, n_before, n_after, dupes, surface_drops, bed_drops, dz_surface, dz_bed``: columns without piled-up levels.
+
+    ``sigma``: node_id, k, sigma from 0 at the surface to 1 at the bed; ``depth``: node_id, depth and what ``least``, the
+    least thickness of the first and last cell, is made of. Levels equal to the one before go. Then the surface's cell, and
+    after it the bed's, is made ``least`` thick: the next level is moved, or dropped where the one after it is in the way, and
+    so on. Last, levels that are the same after rounding to six decimals become one, so that what is written is strictly
+    increasing; a column that has none of these keeps its unrounded levels. Columns of two levels or fewer become 0 and 1.
+    ``dz_surface`` and ``dz_bed`` are the cells after the moves, before the rounding; null where no depth is.
+
+    All of a column's levels are one row; the rest is built-in array functions, each step's outcome bound once.
+    """
+    h, t = F.col("depth").cast("double"), least.cast("double")
+
+    def apart(raw: Column) -> Column:
+        before = lambda i: F.get(raw, i - 1)
+        return F.filter(raw, lambda x, i: F.when(i == 0, True).otherwise(F.abs(x - before(i)) > SAME))
+
+    def ended(own: Column) -> Column:
+        one = F.concat(F.slice(own, 1, F.size(own) - 1), F.array(F.lit(1.0)))
+        return F.when(F.size(own) <= 2, F.array(F.lit(0.0), F.lit(1.0))).when(F.abs(F.element_at(own, -1) - 1) <= SAME, one).otherwise(own)
+
+    def written(moved: Column) -> Column:
+        last = F.size(moved) - 1
+        rounded = F.transform(moved, lambda x, i: F.when(i == 0, 0.0).when(i == last, 1.0).otherwise(F.rint(x * 10.0**DECIMALS) / 10.0**DECIMALS))
+        kept = lambda r: F.filter(r, lambda x, i: F.when((i == 0) | (i == F.size(r) - 1), True).otherwise((x > F.get(r, i - 1)) & (x < 1.0)))
+        return _let(_let(rounded, kept), lambda k: F.when(F.size(k) < F.size(moved), k).otherwise(moved))
+
+    def told(raw: Column, own: Column, top: Column, bed: Column, moved: Column) -> Column:
+        cell = lambda i, j: F.when((h > 0) & (F.size(own) > 2), h * (F.element_at(moved, j) - F.element_at(moved, i)))
+        made = {"n_before": F.size(raw), "dupes": F.size(raw) - F.size(own), "surface_drops": top["drops"], "bed_drops": bed["drops"], "dz_surface": cell(1, 2), "dz_bed": cell(-2, -1)}
+        return F.struct(written(moved).alias("levels"), *[v.alias(k) for k, v in made.items()])
+
+    steps = lambda raw, own, top: _let(_first_cell(F.reverse(top["s"]), h, t, False), lambda bed: _let(F.reverse(bed["s"]), lambda moved: told(raw, own, top, bed, moved)))
+    fixed = _let(F.col("raw"), lambda raw: _let(apart(raw), lambda own: _let(ended(own), lambda whole: _let(_first_cell(whole, h, t, True), lambda top: steps(raw, own, top)))))
+    columns = sigma.groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "sigma"))), lambda x: x["sigma"].cast("double")).alias("raw")).join(depth, "node_id")
+    out = columns.select("node_id", F.inline(F.array(fixed)))
+    return out.select("node_id", "levels", "n_before", F.size("levels").alias("n_after"), "dupes", "surface_drops", "bed_drops", "dz_surface", "dz_bed")
