@@ -9,7 +9,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tidewater.operators import graph, mesh, outlines, paths, refine, vertical
+from tidewater.operators import graph, mesh, outlines, paths, refine, spatial, vertical
 from tidewater.operators.blocks import blocks
 
 NODE = "node_id long, x double, y double, depth double"
@@ -278,3 +278,75 @@ def test_every_boundary_edge_is_in_one_string(spark):
     want = {(r["a"], r["b"]) for r in mesh.build_edges(elem).where("etype = 1").collect()}
     assert set(along) == want and set(along.values()) == {1}
     assert all(s[0] == s[-1] for s in got.values())
+
+
+# --- cells of several sizes ------------------------------------------------------------------------------------------
+
+
+def test_a_large_shape_stands_in_four_cells_at_most(spark):
+    shapes = spark.createDataFrame([(0, -1e6, 1e6, -1e6, 1e6), (1, 0.0, 0.0, 0.0, 0.0), (2, 0.3, 7.9, 2.0, 2.5), (3, 5.0, 13.0, 5.0, 6.0)], "id int, xmin double, xmax double, ymin double, ymax double")
+    assert {r["id"]: r["count"] for r in spatial.on_levels(shapes, 0.01).groupBy("id").count().collect()}.keys() == {0, 1, 2, 3}
+    assert max(r["count"] for r in spatial.on_levels(shapes, 0.01).groupBy("id").count().collect()) <= 4
+
+
+@pytest.mark.parametrize("cell", [0.5, 10.0, 1000.0])
+def test_shapes_of_all_sizes_meet_their_points_and_lines(spark, grid, cell):
+    elem, node, _, _ = grid
+    r = random.Random(9)
+    rings = [[(-500.0, -500.0), (500.0, -500.0), (500.0, 500.0)], [(3.1, 3.2), (40.3, 5.1), (33.3, 44.4), (7.7, 29.9)], [(20.05, 20.05), (20.15, 20.05), (20.1, 20.2)]]
+    polygons = spark.createDataFrame([(i, ring) for i, ring in enumerate(rings)], "poly_id int, ring array<struct<x:double,y:double>>")
+    at = [(i, r.uniform(-20, 90), r.uniform(-20, 70)) for i in range(200)] + [(200, 20.1, 20.1)]
+    points = spark.createDataFrame(at, "point_id long, x double, y double")
+
+    def inside(x, y, ring):
+        return sum((a[1] > y) != (b[1] > y) and x < a[0] + (y - a[1]) * (b[0] - a[0]) / (b[1] - a[1]) for a, b in zip(ring, ring[1:] + ring[:1])) % 2 == 1
+
+    got = {(p["point_id"], p["poly_id"]) for p in spatial.points_in_polygon(points, polygons, cell).collect()}
+    assert got == {(i, j) for i, x, y in at for j, ring in enumerate(rings) if inside(x, y, ring)}
+    found = {p["point_id"]: p["elem_id"] for p in spatial.find_elem(points, elem, node, cell).collect()}
+    assert found == {i: int(x // 10) + WIDE * int(y // 10) for i, x, y in at if 0 <= x < 10 * (WIDE - 1) and 0 <= y < 10 * (HIGH - 1)}
+    segs = [(i, 0, *(r.uniform(-10, 85) for _ in range(4))) for i in range(30)] + [(30, 0, 35.0, -5.0, 35.0, 70.0), (31, 0, -5.0, 33.0, 90.0, 33.0), (32, 0, 44.0, 44.0, 44.5, 44.5)]
+    lines = spark.createDataFrame(segs, "line_id int, seg int, x0 double, y0 double, x1 double, y1 double")
+    want = set()
+    for i, _, x0, y0, x1, y1 in segs:
+        for e in range(WIDE * (HIGH - 1)):
+            x, y = 10.0 * (e % WIDE), 10.0 * (e // WIDE)
+            sides = [np.sign((x1 - x0) * (b - y0) - (y1 - y0) * (a - x0)) for a in (x, x + 10) for b in (y, y + 10)]
+            if e % WIDE < WIDE - 1 and min(sides) < 0 < max(sides) and x <= max(x0, x1) and x + 10 >= min(x0, x1) and y <= max(y0, y1) and y + 10 >= min(y0, y1):
+                want.add((i, e))
+    assert {(h["line_id"], h["elem_id"]) for h in spatial.line_elements(lines, elem, node, cell).collect()} == want
+
+
+@pytest.mark.parametrize("cell, k", [(0.01, 3), (5.0, 1), (5.0, 7), (1e6, 2), (5.0, 500)])
+def test_nearest_sites_of_clusters_and_lone_points(spark, cell, k):
+    r = random.Random(10)
+    sites = [(i, r.gauss(0, 0.05), r.gauss(0, 0.05)) for i in range(60)] + [(100 + i, r.uniform(-300, 300), r.uniform(-300, 300)) for i in range(60)] + [(300, 7.0, 7.0), (301, 7.0, 7.0)]
+    points = [(i, r.uniform(-400, 400), r.uniform(-400, 400)) for i in range(60)] + [(100, 0.0, 0.0), (101, 7.0, 7.0), (102, 5000.0, -9000.0)]
+    got = defaultdict(list)
+    df = spatial.nearest(spark.createDataFrame(points, "point_id long, x double, y double"), spark.createDataFrame(sites, "site_id long, x double, y double"), k, cell)
+    for n in df.orderBy("point_id", "rank").collect():
+        got[n["point_id"]].append(n["site_id"])
+    for i, x, y in points:
+        assert got[i] == [s for _, s in sorted(((x - a) ** 2 + (y - b) ** 2, s) for s, a, b in sites)[:k]]
+    none = spark.createDataFrame([], "site_id long, x double, y double")
+    assert spatial.nearest(spark.createDataFrame(points, "point_id long, x double, y double"), none, k, cell).count() == 0
+
+
+def test_places_between_tiles(spark):
+    r = random.Random(13)
+    val = {(1, i, j): None if (i, j) == (5, 5) else r.random() for i in range(11) for j in range(9) if (i, j) != (2, 2)} | {(2, i, j): r.random() for i in range(4) for j in range(4)}
+    pixels = spark.createDataFrame([(*k, v) for k, v in val.items()], "raster_id int, row long, col long, val double")
+    meta = {1: (0, 1.0, 20.0, 0.5, -1.5, 11, 9), 2: (1, 0.0, 0.0, 5.0, 6.0, 4, 4)}
+    metas = spark.createDataFrame([(i, *m) for i, m in meta.items()], "raster_id int, prio int, x0 double, y0 double, dx double, dy double, rows long, cols long")
+    points = [(i, r.uniform(-1, 21), r.uniform(-1, 25)) for i in range(300)] + [(300 + 5 * i + j, 1.25 + 0.5 * j, 19.25 - 1.5 * i) for i in range(5) for j in range(5)]
+    want = {}
+    for i, x, y in points:
+        for raster, (_, x0, y0, dx, dy, *_) in meta.items():
+            fx, fy = (x - x0) / dx - 0.5, (y - y0) / dy - 0.5
+            c, q = int(np.floor(fx)), int(np.floor(fy))
+            four = [(val.get((raster, q + b, c + a)), (fx - c if a else 1 - fx + c) * (fy - q if b else 1 - fy + q)) for a in (0, 1) for b in (0, 1)]
+            if i not in want and all(v is not None for v, _ in four):
+                want[i] = sum(v * w for v, w in four)
+    for size in (4, 64):
+        got = {p["point_id"]: p["value"] for p in spatial.dem_sample(spark.createDataFrame(points, "point_id long, x double, y double"), spatial.raster_tiles(pixels, size), metas, 2.0, size).collect()}
+        assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)

@@ -52,8 +52,9 @@ def dem_stack(s, d):
     linear = (2.0 * F.col("row") + 3.0 * F.col("col")).cast("double")
     fine = r.where("col < 20").select(F.lit(1).alias("raster_id"), "row", "col", F.when(F.pmod(F.col("row") + F.col("col"), F.lit(17)) != 3, linear).alias("val"))
     wide = r.select(F.lit(2).alias("raster_id"), "row", "col", (linear + 100).alias("val"))
-    meta = s.createDataFrame([(1, 0, 10.0, 0.0, 5.0, 5.0), (2, 1, 0.0, 0.0, 8.0, 8.0)], "raster_id int, prio int, x0 double, y0 double, dx double, dy double")
-    return P.dem_sample(_customers(s, d), fine.unionByName(wide), meta)
+    tops = r.agg((F.max("row") + 1).alias("rows"))
+    meta = s.createDataFrame([(1, 0, 10.0, 0.0, 5.0, 5.0, 20), (2, 1, 0.0, 0.0, 8.0, 8.0, 30)], "raster_id int, prio int, x0 double, y0 double, dx double, dy double, cols long").join(F.broadcast(tops))
+    return P.dem_sample(_customers(s, d), P.raster_tiles(fine.unionByName(wide)), meta, CELL)
 
 
 def like_class(s, d):

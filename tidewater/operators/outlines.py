@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewater.operators.components import connected_components
 from tidewater.operators.mesh import corners
-from tidewater.operators.spatial import _cells, cell_of, nearest
+from tidewater.operators.spatial import CELLS, nearest, on_levels, probe
 from tidewater.spool import drop_spool, spool
 
 
@@ -221,14 +221,15 @@ def barycentric_map(points: DataFrame, grid: DataFrame, cell: float, slack: floa
     at = lambda k, di, dj: grid.select((c("i") - di).alias("i"), (c("j") - dj).alias("j"), c("x").alias(f"x{k}"), c("y").alias(f"y{k}"))
     cells = at(1, 0, 0).join(at(2, 1, 0), ["i", "j"]).join(at(3, 1, 1), ["i", "j"]).join(at(4, 0, 1), ["i", "j"])
     xs, ys = [c(f"x{k}") for k in range(1, 5)], [c(f"y{k}") for k in range(1, 5)]
-    boxed = _cells(cells.withColumns({"xmin": F.least(*xs), "xmax": F.greatest(*xs), "ymin": F.least(*ys), "ymax": F.greatest(*ys)}), cell)
-    own = points.select("point_id", "x", "y", cell_of(c("x"), cell).alias("_cx"), cell_of(c("y"), cell).alias("_cy"))
+    over = slack * F.greatest(F.greatest(*xs) - F.least(*xs), F.greatest(*ys) - F.least(*ys))
+    boxed = on_levels(cells.withColumns({"xmin": F.least(*xs) - over, "xmax": F.greatest(*xs) + over, "ymin": F.least(*ys) - over, "ymax": F.greatest(*ys) + over}), cell)
+    own = probe(points.select("point_id", "x", "y"), boxed, cell)
 
     def area(*k: int) -> Column:
         (xa, ya), (xb, yb), (xc, yc) = ((c("x"), c("y")) if i == 0 else (c(f"x{i}"), c(f"y{i}")) for i in k)
         return F.abs((xa - xc) * (yb - yc) - (xb - xc) * (ya - yc)) / 2
 
-    near = own.join(boxed, ["_cx", "_cy"]).withColumns({f"a{k}": area(0, k, k % 4 + 1) for k in range(1, 5)}).withColumns({"b1": area(1, 2, 3), "b2": area(1, 3, 4), "ap": area(0, 1, 3)})
+    near = own.join(boxed, CELLS).withColumns({f"a{k}": area(0, k, k % 4 + 1) for k in range(1, 5)}).withColumns({"b1": area(1, 2, 3), "b2": area(1, 3, 4), "ap": area(0, 1, 3)})
     ratio = F.abs(c("a1") + c("a2") + c("a3") + c("a4") - c("b1") - c("b2")) / (c("b1") + c("b2"))
     hit = near.where(ratio < slack).groupBy("point_id").agg(F.min(F.struct("i", "j", "a1", "a2", "a3", "a4", "ap", "b1", "b2")).alias("h")).select("point_id", "h.*")
     first = F.abs(c("a1") + c("a2") + c("ap") - c("b1")) / c("b1") < 5 * slack

@@ -1,24 +1,67 @@
 """Joins of points with polygons, elements, lines and rasters, by equal grid cells.
 
-Both sides are given the cells of a grid (``cell`` wide) that they touch, points one and shapes those of their
-bounding box, and are joined on these before the exact test, so that no pair is looked at whose boxes are apart.
+Cells are of several sizes, ``cell`` wide and that doubled again and again. A shape stands on the level at which its bounding
+box touches four cells at most, however large it is; points, and lines along their way, look at each level on which a shape
+stands. Both are joined on level and cell before the exact test.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidewater.spool import spool
+
+#: Pixels along a side of a raster's tile.
+TILE = 64
+
 
 def cell_of(v: Column, cell: float) -> Column:
     return F.floor(v / cell).cast("long")
 
 
-def _cells(df: DataFrame, cell: float) -> DataFrame:
-    """A row for each cell that the box ``xmin, xmax, ymin, ymax`` touches."""
-    span = lambda a, z: F.explode(F.sequence(cell_of(F.col(a), cell), cell_of(F.col(z), cell)))
-    return df.withColumn("_cx", span("xmin", "xmax")).withColumn("_cy", span("ymin", "ymax"))
+def on_levels(shapes: DataFrame, cell: float) -> DataFrame:
+    """``shapes`` (with ``xmin, xmax, ymin, ymax``) with their level ``_cl`` and a row for each cell ``_cx, _cy`` of it that the box touches, four at most."""
+    wide = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")) / cell
+    own = shapes.withColumn("_cl", F.when(wide > 1, F.ceil(F.log2(wide))).otherwise(F.lit(0)).cast("int"))
+    at = lambda v: F.floor(F.col(v) / (cell * F.pow(F.lit(2.0), "_cl"))).cast("long")
+    return own.withColumn("_cx", F.explode(F.sequence(at("xmin"), at("xmax")))).withColumn("_cy", F.explode(F.sequence(at("ymin"), at("ymax"))))
+
+
+def _levels(shapes: DataFrame) -> DataFrame:
+    """The levels that shapes stand on, as one row; there are at most as many as a double has powers of two."""
+    return shapes.agg(F.collect_set("_cl").alias("_ls"))
+
+
+def _seen(df: DataFrame, levels: DataFrame) -> DataFrame:
+    """A row for each level, with ``_w``, its cells' width over the smallest one's."""
+    own = df.join(F.broadcast(levels)).withColumn("_cl", F.explode("_ls")).drop("_ls")
+    return own.withColumn("_w", F.pow(F.lit(2.0), "_cl"))
+
+
+def probe(points: DataFrame, shapes: DataFrame, cell: float) -> DataFrame:
+    """``points`` (``x, y`` and more) with their cell on each level of ``shapes``."""
+    at = lambda v: F.floor(F.col(v) / (cell * F.col("_w"))).cast("long")
+    return _seen(points, _levels(shapes)).withColumns({"_cx": at("x"), "_cy": at("y")}).drop("_w")
+
+
+def probe_lines(lines: DataFrame, shapes: DataFrame, cell: float) -> DataFrame:
+    """``lines`` (``x0, y0, x1, y1`` and more) with the cells they pass on each level of ``shapes``: as many as they are long."""
+    c, w = F.col, cell * F.col("_w")
+    low, high = F.least("x0", "x1"), F.greatest("x0", "x1")
+    own = _seen(lines, _levels(shapes)).withColumn("_cx", F.explode(F.sequence(F.floor(low / w), F.floor(high / w))))
+    slope = F.coalesce(F.try_divide(c("y1") - c("y0"), c("x1") - c("x0")), F.lit(0.0))
+    y_at = lambda x: F.when(c("x1") == c("x0"), None).otherwise(c("y0") + slope * (x - c("x0")))
+    ends = [y_at(F.greatest(low, c("_cx") * w)), y_at(F.least(high, (c("_cx") + 1) * w))]
+    slack = 1e-9 * (F.abs("y0") + F.abs("y1") + w)
+    least, most = (F.coalesce(f(*ends), f("y0", "y1")) for f in (F.least, F.greatest))
+    cells = F.sequence(F.floor((least - slack) / w).cast("long"), F.floor((most + slack) / w).cast("long"))
+    return own.withColumns({"_cx": c("_cx").cast("long"), "_cy": F.explode(cells)}).drop("_w")
+
+
+CELLS = ["_cl", "_cx", "_cy"]
 
 
 def inside_ring(x: Column, y: Column, ring: Column) -> Column:
@@ -44,10 +87,9 @@ def points_in_box(points: DataFrame, xmin: float, xmax: float, ymin: float, ymax
 
 def points_in_polygon(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
     """Each point (``x, y`` and more) with each polygon (``poly_id, ring`` and more) around it; edges don't count."""
-    shapes = _cells(with_box(polygons), cell)
-    own = points.withColumn("_cx", cell_of(F.col("x"), cell)).withColumn("_cy", cell_of(F.col("y"), cell))
-    near = own.join(shapes, ["_cx", "_cy"]).where("x >= xmin and x <= xmax and y >= ymin and y <= ymax")
-    return near.where(inside_ring(F.col("x"), F.col("y"), F.col("ring"))).drop("_cx", "_cy", "ring", "xmin", "xmax", "ymin", "ymax")
+    shapes = on_levels(with_box(polygons), cell)
+    near = probe(points, shapes, cell).join(shapes, CELLS).where("x >= xmin and x <= xmax and y >= ymin and y <= ymax")
+    return near.where(inside_ring(F.col("x"), F.col("y"), F.col("ring"))).drop(*CELLS, "ring", "xmin", "xmax", "ymin", "ymax")
 
 
 _WORDS = re.compile(r"\s*(?:([A-Za-z_]+)|([0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+)|([-+*/(),]))")
@@ -76,7 +118,7 @@ def apply_polygons(nodes: DataFrame, polygons: list[dict], cell: float, default:
         [(i, i, p.get("type", "none"), [(float(x), float(y)) for x, y in p["vertices"]]) for i, p in enumerate(polygons)],
         "poly_id int, ord int, ptype string, ring array<struct<x:double,y:double>>",
     )
-    hit = points_in_polygon(nodes.withColumn("z", F.col("depth")), F.broadcast(shapes), cell)
+    hit = points_in_polygon(nodes.withColumn("z", F.col("depth")), shapes, cell)
     value = F.coalesce(*[F.when(F.col("ord") == i, formula(str(p["attribute"]))) for i, p in enumerate(polygons)])
     steps = hit.select("node_id", "ord", "ptype", value.alias("v")).groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("ord", "ptype", "v"))).alias("steps"))
     base = F.col("depth") if default is None else F.lit(float(default))
@@ -109,9 +151,8 @@ def element_boxes(elem_node: DataFrame, node: DataFrame) -> DataFrame:
 
 def find_elem(points: DataFrame, elem_node: DataFrame, node: DataFrame, cell: float) -> DataFrame:
     """``point_id, elem_id``: the element with the point in one of its fan triangles, edges included; lowest id at ties."""
-    shapes = _cells(element_boxes(elem_node, node), cell)
-    own = points.withColumn("_cx", cell_of(F.col("x"), cell)).withColumn("_cy", cell_of(F.col("y"), cell))
-    near = own.join(shapes, ["_cx", "_cy"]).where("x >= xmin and x <= xmax and y >= ymin and y <= ymax")
+    shapes = spool(on_levels(element_boxes(elem_node, node), cell))
+    near = probe(points, shapes, cell).join(shapes, CELLS).where("x >= xmin and x <= xmax and y >= ymin and y <= ymax")
 
     def within(a: Column, b: Column, c: Column) -> Column:
         det = (b["x"] - a["x"]) * (c["y"] - a["y"]) - (c["x"] - a["x"]) * (b["y"] - a["y"])
@@ -127,36 +168,43 @@ def find_elem(points: DataFrame, elem_node: DataFrame, node: DataFrame, cell: fl
 def nearest(points: DataFrame, sites: DataFrame, k: int, cell: float) -> DataFrame:
     """``point_id, site_id, d2, rank``: the ``k`` nearest sites of each point, the smaller id first at ties.
 
-    Rings of cells around a point are searched, twice as far out each round, for the points that still may have a
-    nearer site outside; the last round takes the sites' whole extent.
+    Cells are ``cell`` wide or that doubled; a point looks at the nine cells around it on the first level where they hold
+    ``k`` sites, told by the counts of sites in cells. Where the farthest of the ``k`` it finds is farther than a cell is wide,
+    a nearer one may be outside; it is within three cells' width then, so a second look two levels up settles those points.
     """
-    from tidewater.spool import spool
-
-    places = sites.select("site_id", F.col("x").alias("sx"), F.col("y").alias("sy"))
+    c = F.col
+    places = sites.select("site_id", c("x").alias("sx"), c("y").alias("sy"))
     ends = sites.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count("*")).first()
     if not ends[4]:
         return points.select("point_id", F.lit(None).cast("long").alias("site_id"), F.lit(0.0).alias("d2"), F.lit(0).alias("rank")).limit(0)
-    far = points.agg(*[F.max(F.abs(F.col(c) - v)) for c, v in (("x", ends[0]), ("x", ends[1]), ("y", ends[2]), ("y", ends[3]))]).first()
-    reach = max([v or 0.0 for v in far])
-    left, out, width = points.select("point_id", "x", "y"), None, cell
-    while True:
-        last = width > reach
-        own = left.withColumn("_cx", F.explode(F.sequence(cell_of(F.col("x"), width) - 1, cell_of(F.col("x"), width) + 1))).withColumn("_cy", F.explode(F.sequence(cell_of(F.col("y"), width) - 1, cell_of(F.col("y"), width) + 1)))
-        near = own.join(places.withColumn("_cx", cell_of(F.col("sx"), width)).withColumn("_cy", cell_of(F.col("sy"), width)), ["_cx", "_cy"])
-        near = near.withColumn("d2", (F.col("x") - F.col("sx")) ** 2 + (F.col("y") - F.col("sy")) ** 2)
+    k = min(k, ends[4])
+    far = points.agg(*[F.max(F.abs(c(v) - e)) for v, e in (("x", ends[0]), ("x", ends[1]), ("y", ends[2]), ("y", ends[3]))]).first()
+    top = max(0, math.ceil(math.log2(max(1.0, max(v or 0.0 for v in far) / cell))))
+    around = lambda v: F.explode(F.sequence(c(v) - 1, c(v) + 1))
+    # Sites in each cell of each level, and for each point's cell the first level with enough of them around.
+    level = F.explode(F.sequence(F.lit(0), F.lit(top)))
+    held = places.groupBy(cell_of(c("sx"), cell).alias("x"), cell_of(c("sy"), cell).alias("y")).agg(F.count("*").alias("n"))
+    held = held.withColumn("_cl", level).groupBy("_cl", F.expr("shiftright(x, _cl)").alias("_cx"), F.expr("shiftright(y, _cl)").alias("_cy")).agg(F.sum("n").alias("n"))
+    own = points.select("point_id", "x", "y", cell_of(c("x"), cell).alias("px"), cell_of(c("y"), cell).alias("py"))
+    asked = own.select("px", "py").distinct().withColumn("_cl", level).withColumns({"_cx": F.expr("shiftright(px, _cl)"), "_cy": F.expr("shiftright(py, _cl)")})
+    asked = asked.withColumn("_cx", around("_cx")).withColumn("_cy", around("_cy"))
+    begin = asked.join(held, CELLS).groupBy("px", "py", "_cl").agg(F.sum("n").alias("n")).where(c("n") >= k).groupBy("px", "py").agg(F.min("_cl").alias("_cl"))
+    begin = own.join(begin, ["px", "py"])
+
+    def looked(left: DataFrame) -> DataFrame:
+        """The best of the nine cells around each point on its level ``_cl``, with the level's width."""
+        cells = left.withColumns({"_cx": F.expr("shiftright(px, _cl)"), "_cy": F.expr("shiftright(py, _cl)")}).withColumn("_cx", around("_cx")).withColumn("_cy", around("_cy"))
+        there = places.join(F.broadcast(_levels(left))).withColumn("_cl", F.explode("_ls")).drop("_ls")
+        there = there.withColumns({"_cx": cell_of(c("sx"), cell), "_cy": cell_of(c("sy"), cell)}).withColumns({"_cx": F.expr("shiftright(_cx, _cl)"), "_cy": F.expr("shiftright(_cy, _cl)")})
+        near = cells.join(there, CELLS).withColumn("d2", (c("x") - c("sx")) ** 2 + (c("y") - c("sy")) ** 2)
         rank = F.row_number().over(Window.partitionBy("point_id").orderBy("d2", "site_id"))
-        best = near.withColumn("rank", rank).where(F.col("rank") <= k).select("point_id", "site_id", "d2", "rank")
-        if last:
-            return best if out is None else out.unionByName(best)
-        # A site outside the nine cells is farther than the cells are wide.
-        done = best.groupBy("point_id").agg(F.count("*").alias("n"), F.max("d2").alias("m")).where((F.col("n") == k) & (F.col("m") <= width * width)).select("point_id")
-        done = spool(done)
-        sure = spool(best.join(done, "point_id", "left_semi"))
-        out = sure if out is None else out.unionByName(sure)
-        left = spool(left.join(done, "point_id", "left_anti"))
-        if left.isEmpty():
-            return out
-        width *= 2
+        return near.withColumn("rank", rank).where(c("rank") <= k).select("point_id", "site_id", "d2", "rank", "x", "y", "px", "py", "_cl")
+
+    first = spool(looked(spool(begin)))
+    last = first.where(c("rank") == k).withColumn("_sure", F.sqrt("d2") <= cell * F.pow(F.lit(2.0), "_cl"))
+    again = spool(last.where("not _sure").select("point_id", "x", "y", "px", "py", (c("_cl") + 2).alias("_cl")))
+    out = ["point_id", "site_id", "d2", "rank"]
+    return first.join(again.select("point_id"), "point_id", "left_anti").select(*out).unionByName(looked(again).select(*out))
 
 
 def snap_points(points: DataFrame, elem_node: DataFrame, node: DataFrame, cell: float) -> DataFrame:
@@ -181,12 +229,11 @@ def idw(points: DataFrame, sites: DataFrame, cell: float, k: int = 10, use: int
 def line_elements(lines: DataFrame, elem_node: DataFrame, node: DataFrame, cell: float) -> DataFrame:
     """``line_id, seg, elem_id``: elements with corners on both sides of the line through a segment, boxes meeting.
 
-    ``lines``: line_id, seg, x0, y0, x1, y1.
+    ``lines``: line_id, seg, x0, y0, x1, y1. Such an element's box has a point of the segment in it, so only elements in the
+    cells that a segment passes are looked at.
     """
-    boxes = lines.withColumns({"xmin": F.least("x0", "x1"), "xmax": F.greatest("x0", "x1"), "ymin": F.least("y0", "y1"), "ymax": F.greatest("y0", "y1")})
-    segs = _cells(boxes.select("*"), cell).withColumnsRenamed({c: f"l_{c}" for c in ("xmin", "xmax", "ymin", "ymax")})
-    elems = _cells(element_boxes(elem_node, node), cell)
-    near = segs.join(elems, ["_cx", "_cy"]).where("xmin <= l_xmax and xmax >= l_xmin and ymin <= l_ymax and ymax >= l_ymin")
+    elems = spool(on_levels(element_boxes(elem_node, node), cell))
+    near = probe_lines(lines, elems, cell).join(elems, CELLS).where("xmin <= greatest(x0, x1) and xmax >= least(x0, x1) and ymin <= greatest(y0, y1) and ymax >= least(y0, y1)")
     side = F.transform("ring", lambda p: F.signum((F.col("x1") - F.col("x0")) * (p["y"] - F.col("y0")) - (F.col("y1") - F.col("y0")) * (p["x"] - F.col("x0"))))
     return near.where((F.array_min(side) < 0) & (F.array_max(side) > 0)).select("line_id", "seg", "elem_id").distinct()
 
@@ -203,26 +250,39 @@ def line_local(hits: DataFrame, elem_node: DataFrame, node: DataFrame) -> DataFr
     return stats.groupBy("node_id").agg(F.max_by(F.struct("lo", "hi", "mean", "mid"), F.struct("line_id", "seg")).alias("s")).select("node_id", "s.*")
 
 
-def dem_sample(points: DataFrame, rasters: DataFrame, meta: DataFrame, cell: float | None = None) -> DataFrame:
+def raster_tiles(rasters: DataFrame, size: int = TILE) -> DataFrame:
+    """``raster_id, tr, tc, vals``: rasters (raster_id, row, col, val) as tiles, ``vals`` an array of rows of an array of values.
+
+    A tile has ``size`` rows and columns and one more of each from the next ones, so that all four pixels around a place are
+    in one tile. Pixels that are missing are null. Each pixel comes once.
+    """
+    c = F.col
+    two = lambda k: F.explode(F.array_compact(F.array(F.floor(c(k) / size), F.when((F.pmod(c(k), F.lit(size)) == 0) & (c(k) > 0), F.floor(c(k) / size) - 1))))
+    dense = lambda found: F.transform(F.sequence(F.lit(0), F.lit(size)), lambda i: F.try_element_at(found, i))
+    listed = lambda key, value: F.map_from_entries(F.collect_list(F.struct(key.cast("int").alias("k"), value.alias("v"))))
+    cut = rasters.where("val is not null").withColumn("tc", two("col"))
+    rows = cut.groupBy("raster_id", "row", "tc").agg(listed(c("col") - c("tc") * size, c("val").cast("double")).alias("m")).select("raster_id", "row", "tc", dense(c("m")).alias("v"))
+    return rows.withColumn("tr", two("row")).groupBy("raster_id", "tr", "tc").agg(listed(c("row") - c("tr") * size, c("v")).alias("m")).select("raster_id", "tr", "tc", dense(c("m")).alias("vals"))
+
+
+def dem_sample(points: DataFrame, tiles: DataFrame, meta: DataFrame, cell: float, size: int = TILE) -> DataFrame:
     """``point_id, value``: bilinear from the four cell centres of the first raster (by ``prio``) that has all four.
 
-    ``rasters``: raster_id, row, col, val; ``meta``: raster_id, prio, x0, y0, dx, dy, a row for each raster. Points meet
-    only the rasters whose box touches their cell of a grid, ``cell`` wide (by default as wide as the widest raster is).
+    ``tiles`` as of ``raster_tiles``; ``meta``: raster_id, prio, x0, y0, dx, dy, rows, cols, a row for each raster. Points meet
+    the rasters whose box is around them, then the one tile of each that has the four pixels.
     """
-    ends = rasters.groupBy("raster_id").agg(F.max("col").alias("_c"), F.max("row").alias("_r"), F.min("col").alias("_c0"), F.min("row").alias("_r0"))
-    edge = lambda o, d, k: F.col(o) + (F.col(k) + 0.5) * F.col(d)
-    sides = {"xmin": F.least(edge("x0", "dx", "_c0"), edge("x0", "dx", "_c")), "xmax": F.greatest(edge("x0", "dx", "_c0"), edge("x0", "dx", "_c")), "ymin": F.least(edge("y0", "dy", "_r0"), edge("y0", "dy", "_r")), "ymax": F.greatest(edge("y0", "dy", "_r0"), edge("y0", "dy", "_r"))}
-    boxes = meta.join(ends, "raster_id").withColumns(sides).drop("_c", "_r", "_c0", "_r0")
-    if cell is None:
-        widest = boxes.agg(F.max(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")))).first()[0]
-        cell = widest or 1.0
-    own = points.withColumn("_cx", cell_of(F.col("x"), cell)).withColumn("_cy", cell_of(F.col("y"), cell))
-    at = own.join(_cells(boxes, cell), ["_cx", "_cy"]).where("x >= xmin and x <= xmax and y >= ymin and y <= ymax")
-    fx, fy = (F.col("x") - F.col("x0")) / F.col("dx") - 0.5, (F.col("y") - F.col("y0")) / F.col("dy") - 0.5
+    c = F.col
+    edge = lambda o, d, k: c(o) + k * c(d)
+    half = F.lit(0.5)
+    sides = {v: [edge(f"{v}0", f"d{v}", half), edge(f"{v}0", f"d{v}", c(n) - 0.5)] for v, n in (("x", "cols"), ("y", "rows"))}
+    boxes = on_levels(meta.withColumns({f"{v}{m}": f(*sides[v]) for v in "xy" for m, f in (("min", F.least), ("max", F.greatest))}), cell)
+    at = probe(points, boxes, cell).join(boxes, CELLS).where("x >= xmin and x <= xmax and y >= ymin and y <= ymax")
+    fx, fy = (c("x") - c("x0")) / c("dx") - 0.5, (c("y") - c("y0")) / c("dy") - 0.5
     at = at.select("point_id", "raster_id", "prio", F.floor(fx).alias("c"), F.floor(fy).alias("r"), (fx - F.floor(fx)).alias("u"), (fy - F.floor(fy)).alias("v"))
-    corner = F.explode(F.array(*[F.struct((F.col("r") + j).alias("row"), (F.col("c") + i).alias("col"), ((F.col("u") if i else 1 - F.col("u")) * (F.col("v") if j else 1 - F.col("v"))).alias("w")) for j in (0, 1) for i in (0, 1)]))
-    four = at.select("point_id", "raster_id", "prio", corner.alias("k")).select("point_id", "raster_id", "prio", "k.*")
-    got = four.join(rasters.where("val is not null"), ["raster_id", "row", "col"]).groupBy("point_id", "raster_id", "prio").agg(F.count("*").alias("n"), F.sum(F.col("w") * F.col("val")).alias("value")).where("n = 4")
+    at = at.withColumns({"tr": F.floor(c("r") / size), "tc": F.floor(c("c") / size)})
+    pixel = lambda j, i: F.get(F.get("vals", (F.pmod(c("r"), F.lit(size)) + j).cast("int")), (F.pmod(c("c"), F.lit(size)) + i).cast("int"))
+    value = sum(((c("u") if i else 1 - c("u")) * (c("v") if j else 1 - c("v")) * pixel(j, i) for j in (0, 1) for i in (0, 1)), F.lit(0.0))
+    got = at.join(tiles, ["raster_id", "tr", "tc"]).select("point_id", "prio", value.alias("value")).where("value is not null")
     return got.groupBy("point_id").agg(F.min_by("value", "prio").alias("value"))
 
 
@@ -267,9 +327,8 @@ def gaussian_weights(nodes: DataFrame, sites: DataFrame, scale: float, time_scal
     are joined.
     """
     reach = scale * 3.7169  # sqrt(2 ln 1000)
-    boxes = _cells(sites.select("site_id", F.col("x").alias("sx"), F.col("y").alias("sy"), (F.col("x") - reach).alias("xmin"), (F.col("x") + reach).alias("xmax"), (F.col("y") - reach).alias("ymin"), (F.col("y") + reach).alias("ymax")), cell)
-    own = nodes.withColumn("_cx", cell_of(F.col("x"), cell)).withColumn("_cy", cell_of(F.col("y"), cell))
+    boxes = on_levels(sites.select("site_id", F.col("x").alias("sx"), F.col("y").alias("sy"), (F.col("x") - reach).alias("xmin"), (F.col("x") + reach).alias("xmax"), (F.col("y") - reach).alias("ymin"), (F.col("y") + reach).alias("ymax")), cell)
     r2 = (F.col("x") - F.col("sx")) ** 2 + (F.col("y") - F.col("sy")) ** 2
-    part = own.join(boxes, ["_cx", "_cy"]).select("node_id", F.exp(-r2 / (2 * scale * scale)).alias("e")).where("e >= 0.001")
+    part = probe(nodes, boxes, cell).join(boxes, CELLS).select("node_id", F.exp(-r2 / (2 * scale * scale)).alias("e")).where("e >= 0.001")
     total = part.groupBy("node_id").agg(F.least(F.sum("e"), F.lit(1.0)).alias("s"))
     return nodes.select("node_id").join(total, "node_id", "left").select("node_id", (F.coalesce("s", F.lit(0.0)) / time_scale).alias("weight"))
