@@ -9,7 +9,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tidewater.operators import graph, mesh, outlines, paths, refine, spatial, vertical
+from tidewater.operators import graph, mesh, outlines, paths, refine, series, spatial, vertical
 from tidewater.operators.blocks import blocks
 
 NODE = "node_id long, x double, y double, depth double"
@@ -350,3 +350,47 @@ def test_places_between_tiles(spark):
     for size in (4, 64):
         got = {p["point_id"]: p["value"] for p in spatial.dem_sample(spark.createDataFrame(points, "point_id long, x double, y double"), spatial.raster_tiles(pixels, size), metas, 2.0, size).collect()}
         assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+
+
+# --- series in spans and chunks --------------------------------------------------------------------------------------
+
+
+def test_medians_do_not_depend_on_spans_and_chunks(spark):
+    r = random.Random(15)
+    rows = [(k, t, r.choice([1.0, 1.1, 1.2, 9.0, None, 500.0]) if r.random() < 0.9 else float("nan")) for k in ("a", "b") for t in sorted(r.sample(range(2000), 150))]
+    rows = [(k, t, None if v != v else v) for k, t, v in rows]
+    df = spark.createDataFrame(rows, "k string, t long, value double")
+
+    def median(values):
+        v = sorted(x for x in values if x is not None)
+        return (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2 if v else None
+
+    want = {}
+    for k in ("a", "b"):
+        own = [(t, v if v is not None and 0 <= v <= 100 else None) for key, t, v in rows if key == k]
+        v = [x for _, x in own]
+        dist = [None if x is None else abs(x - median(v[max(0, i - 3) : i + 4])) for i, x in enumerate(v)]
+        for i, (t, x) in enumerate(own):
+            s = median(dist[max(0, i - 3) : i + 4])
+            want[(k, t)] = None if s and dist[i] is not None and dist[i] > 2 * s else x
+    for span, chunk in ((10**9, 4096), (50, 6), (7, 11)):
+        got = {(x["k"], x["t"]): x["value"] for x in vertical.rolling_outliers(df, ["k"], 0.0, 100.0, 2.0, 3, span, chunk).collect()}
+        assert got == want
+
+
+def test_rows_before_are_found_over_empty_spans(spark):
+    df = spark.createDataFrame([("a", t) for t in (0, 1, 3, 100, 101, 4000)] + [("b", 5)], "k string, t long")
+    got = {(x["k"], x["t"]): x["p"] and x["p"]["v"] for x in series.row_before(df, ["k"], F.col("t"), "p", span=10).collect()}
+    assert got == {("a", 0): None, ("a", 1): 0, ("a", 3): 1, ("a", 100): 3, ("a", 101): 100, ("a", 4000): 101, ("b", 5): None}
+
+
+def test_labels_take_rows_at_their_own_time(spark):
+    day = 86_400_000_000
+    df = spark.createDataFrame([("a", 0, 1.0), ("a", 40 * day, 2.0), ("a", 40 * day + 1, 3.0), ("b", 5, None)], "k string, t long, value double")
+    got = {(x["k"], x["t"]): x["value"] for x in series.resample_ffill(df, ["k"], 20 * day).collect()}
+    assert got == {("a", 0): 1.0, ("a", 20 * day): 1.0, ("a", 40 * day): 2.0, ("b", 0): None}
+    asks = spark.createDataFrame([("a", 0, "x"), ("a", 10, "y"), ("a", 10, "z"), (None, 3, "n"), ("c", 1, "w")], "k string, t long, extra string")
+    right = spark.createDataFrame([("a", 0, 1.0), ("a", 20, 3.0)], "k string, t long, value double")
+    told = {x["extra"]: (x["r_t"], x["r_value"]) for x in series.as_of(asks, right, ["k"], "nearest").collect()}
+    assert told == {"x": (0, 1.0), "y": (0, 1.0), "z": (0, 1.0), "w": (None, None)}
+    assert {x["extra"]: x["r_value"] for x in series.bracket_interp(asks, right, ["k"]).collect()} == {"x": 1.0, "y": 2.0, "z": 2.0, "w": None}

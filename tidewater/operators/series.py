@@ -20,24 +20,24 @@ def _span(t: str, span: int) -> Column:
     return F.floor(F.col(t) / span).cast("long")
 
 
-def last_known(df: DataFrame, keys: Sequence[str], what: str, out: str, t: str = "t", span: int = SPAN) -> DataFrame:
+def last_known(df: DataFrame, keys: Sequence[str], what: str, out: str, t: str = "t", span: int = SPAN, first: Column | None = None) -> DataFrame:
     """Adds ``out``: ``t`` and value of the last row at or before each row whose ``what`` is not null (a struct).
 
-    Rows of one series and time must be one.
+    Rows of one series and time must be one, or be told apart by ``first``: the smaller one comes first.
     """
-    return _carried(df, keys, what, out, t, span, forward=True)
+    return _carried(df, keys, what, out, t, span, first, forward=True)
 
 
 def next_known(df: DataFrame, keys: Sequence[str], what: str, out: str, t: str = "t", span: int = SPAN) -> DataFrame:
     """Adds ``out``: the first row at or after each row whose ``what`` is not null."""
-    return _carried(df, keys, what, out, t, span, forward=False)
+    return _carried(df, keys, what, out, t, span, None, forward=False)
 
 
-def _carried(df, keys, what, out, t, span, forward):
+def _carried(df, keys, what, out, t, span, first, forward):
     own = df.withColumn("_span", _span(t, span))
     pair = F.when(F.col(what).isNotNull(), F.struct(F.col(t).alias("t"), F.col(what).alias("v")))
     order = F.col(t) if forward else F.col(t).desc()
-    near = F.last(pair, ignorenulls=True).over(Window.partitionBy(*keys, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    near = F.last(pair, ignorenulls=True).over(Window.partitionBy(*keys, "_span").orderBy(order, *([] if first is None else [first])).rowsBetween(Window.unboundedPreceding, 0))
     own = own.withColumn("_near", near)
     edge = (F.max_by if forward else F.min_by)(pair, F.when(F.col(what).isNotNull(), F.col(t)))
     spans = own.groupBy(*keys, "_span").agg(edge.alias("_edge"))
@@ -46,16 +46,18 @@ def _carried(df, keys, what, out, t, span, forward):
     return own.join(spans, [*keys, "_span"]).withColumn(out, F.coalesce("_near", "_edge")).drop("_span", "_near", "_edge")
 
 
-def known_around(df: DataFrame, keys: Sequence[str], what: str, before: str, after: str, t: str = "t", span: int = SPAN, facts: dict[str, tuple[str, Column]] | None = None) -> DataFrame:
+def known_around(df: DataFrame, keys: Sequence[str], what: str, before: str, after: str, t: str = "t", span: int = SPAN, facts: dict[str, tuple[str, Column]] | None = None, first: Column | None = None) -> DataFrame:
     """Adds ``before`` and ``after``, as ``last_known`` and ``next_known`` do, dealt out once.
 
+    Of rows of one series and time the one with the smaller ``first`` counts for the others, both ways.
+
     ``facts`` are aggregates over all rows of a series to add besides: they are made from those of its spans. Each must be
     a sum, least or largest of a column, and is told by ``("sum" | "min" | "max", column)``.
     """
     own = df.withColumn("_span", _span(t, span))
     pair = F.when(F.col(what).isNotNull(), F.struct(F.col(t).alias("t"), F.col(what).alias("v")))
     # Both frames grow from their first row: one that shrinks would be worked out anew for each row.
-    upto = lambda order: Window.partitionBy(*keys, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    upto = lambda order: Window.partitionBy(*keys, "_span").orderBy(order, *([] if first is None else [first])).rowsBetween(Window.unboundedPreceding, 0)
     own = own.withColumns({"_near_a": F.last(pair, ignorenulls=True).over(upto(F.col(t))), "_near_b": F.last(pair, ignorenulls=True).over(upto(F.col(t).desc()))})
     known = F.when(F.col(what).isNotNull(), F.col(t))
     kinds = {"sum": F.sum, "min": F.min, "max": F.max}
@@ -68,6 +70,18 @@ def known_around(df: DataFrame, keys: Sequence[str], what: str, before: str, aft
     return both.drop("_span", "_near_a", "_near_b", "_edge_a", "_edge_b")
 
 
+def row_before(df: DataFrame, keys: Sequence[str], what: Column, out: str, t: str = "t", span: int = SPAN) -> DataFrame:
+    """Adds ``out``: a struct with ``v``, ``what`` of the row before in time; null at a series' first row.
+
+    Rows are put in order within spans; a span's first row takes the last one of the spans before.
+    """
+    own = df.withColumns({"_span": _span(t, span), "_v": F.struct(what.alias("v"))})
+    own = own.withColumn("_in", F.lag("_v").over(Window.partitionBy(*keys, "_span").orderBy(t)))
+    ahead = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    tails = own.groupBy(*keys, "_span").agg(F.max_by("_v", t).alias("_tail")).select(*keys, "_span", F.last("_tail", ignorenulls=True).over(ahead).alias("_tail"))
+    return own.join(tails, [*keys, "_span"]).withColumn(out, F.coalesce("_in", "_tail")).drop("_span", "_v", "_in", "_tail")
+
+
 def regular_grid(df: DataFrame, keys: Sequence[str], step: int, span: int = SPAN) -> DataFrame:
     """``keys, t``: from each series' first time, floored to ``step``, to its last, every ``step``.
 
@@ -82,10 +96,13 @@ def regular_grid(df: DataFrame, keys: Sequence[str], step: int, span: int = SPAN
 
 
 def resample_ffill(df: DataFrame, keys: Sequence[str], step: int) -> DataFrame:
-    """On the regular grid, the last value at or before each label; null before the first row."""
-    grid = regular_grid(df, keys, step).withColumn("_grid", F.lit(True))
-    both = grid.join(df.select(*keys, "t", "value"), [*keys, "t"], "full")
-    seen = last_known(both, keys, "value", "_last")
+    """On the regular grid, the last value at or before each label; null before the first row.
+
+    Labels and rows are put in order together, so that the grid is shuffled once.
+    """
+    labels = regular_grid(df, keys, step).select(*keys, "t", F.lit(None).cast(df.schema["value"].dataType).alias("value"), F.lit(True).alias("_grid"))
+    both = labels.unionByName(df.where(F.col("value").isNotNull() & F.col("t").isNotNull()).select(*keys, "t", "value", F.lit(False).alias("_grid")))
+    seen = last_known(both, keys, "value", "_last", first=F.col("_grid"))
     return seen.where("_grid").select(*keys, "t", F.col("_last.v").alias("value"))
 
 
@@ -159,40 +176,39 @@ def time_clip(df: DataFrame, start: int, end: int) -> DataFrame:
     return df.where(F.col("t").between(start, end))
 
 
+def _with_around(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each left row with ``_a`` and ``_b``, the right rows (t, v) at or before and at or after it; ordered together, dealt out once."""
+    keyed = lambda df: df.dropna(subset=[*keys, "t"])
+    asks = keyed(left).withColumns({"_ask": F.lit(True), "_v": F.lit(None).cast("double")})
+    points = keyed(right).select(*keys, "t", F.lit(False).alias("_ask"), F.col("value").cast("double").alias("_v"))
+    both = asks.unionByName(points, allowMissingColumns=True)
+    return known_around(both, keys, "_v", "_a", "_b", first=F.col("_ask")).where("_ask").drop("_ask", "_v")
+
+
 def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], direction: str = "backward") -> DataFrame:
     """Each left row with ``t`` and ``value`` (as ``r_t, r_value``) of the last right row at or before it.
 
     ``forward``: the first at or after; ``nearest``: the nearer one, the earlier at ties. Right rows of one series and
-    time must be one, values not null.
+    time must be one, values not null. Left rows without a key or time are left out.
     """
-    marked = left.withColumn("_left", F.lit(True)).withColumn("_v", F.lit(None).cast("double"))
-    points = right.select(*keys, "t", F.col("value").cast("double").alias("_v")).withColumn("_left", F.lit(False))
-    both = marked.unionByName(points, allowMissingColumns=True)
-    at = both.groupBy(*keys, "t").agg(F.max("_v").alias("_v"))
-    near = next_known(last_known(at, keys, "_v", "_a"), keys, "_v", "_b").drop("_v")
+    near = _with_around(left, right, keys)
     a, b = F.col("_a"), F.col("_b")
     nearer = F.when(b.isNull() | (F.col("t") - F.col("_a.t") <= F.col("_b.t") - F.col("t")), a).otherwise(b)
     pick = {"backward": a, "forward": b, "nearest": nearer}[direction]
-    out = left.join(near, [*keys, "t"])
-    if direction == "bracket":
-        return out
-    return out.withColumn("_p", pick).withColumn("r_t", F.col("_p.t")).withColumn("r_value", F.col("_p.v")).drop("_a", "_b", "_p")
+    return near.withColumn("_p", pick).withColumns({"r_t": F.col("_p.t"), "r_value": F.col("_p.v")}).drop("_a", "_b", "_p")
 
 
 def bracket_interp(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Each left row with the right series' value at its time, linear between the rows around it; null outside."""
-    at = left.select(*keys, "t").distinct().withColumn("_v", F.lit(None).cast("double")).unionByName(right.select(*keys, "t", F.col("value").cast("double").alias("_v")))
-    at = at.groupBy(*keys, "t").agg(F.max("_v").alias("_v"))
-    near = next_known(last_known(at, keys, "_v", "_a"), keys, "_v", "_b")
+    near = _with_around(left, right, keys)
     w = (F.col("t") - F.col("_a.t")) / F.nullif(F.col("_b.t") - F.col("_a.t"), F.lit(0))
     value = F.when(F.col("_a.t") == F.col("t"), F.col("_a.v")).otherwise(F.col("_a.v") + w * (F.col("_b.v") - F.col("_a.v")))
-    return left.join(near.select(*keys, "t", value.alias("r_value")), [*keys, "t"])
+    return near.withColumn("r_value", value).drop("_a", "_b")
 
 
 def infer_frequency(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``keys, step, regular``: the commonest step (the smallest at ties), and whether it is the only one."""
-    step = F.col("t") - F.lag("t").over(Window.partitionBy(*keys).orderBy("t"))
-    n = df.withColumn("step", step).where("step is not null").groupBy(*keys, "step").agg(F.count("*").alias("n"))
+    n = row_before(df.select(*keys, "t"), keys, F.col("t"), "_prev").withColumn("step", F.col("t") - F.col("_prev.v")).where("step is not null").groupBy(*keys, "step").agg(F.count("*").alias("n"))
     return n.groupBy(*keys).agg(F.min_by("step", F.struct(-F.col("n"), F.col("step"))).alias("step"), (F.count("*") == 1).alias("regular"))
 
 
@@ -296,8 +312,8 @@ def stokes_drift(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def time_gaps(df: DataFrame, keys: Sequence[str], step: int) -> DataFrame:
     """``keys, from_t, to_t``: consecutive times that are not one ``step`` apart."""
-    prev = F.lag("t").over(Window.partitionBy(*keys).orderBy("t"))
-    return df.select(*keys, prev.alias("from_t"), F.col("t").alias("to_t")).where(F.col("to_t") - F.col("from_t") != step)
+    told = row_before(df.select(*keys, "t"), keys, F.col("t"), "_prev")
+    return told.select(*keys, F.col("_prev.v").alias("from_t"), F.col("t").alias("to_t")).where(F.col("to_t") - F.col("from_t") != step)
 
 
 def distinct_states(df: DataFrame, keys: Sequence[str], columns: Sequence[str], consecutive_only: bool = False) -> DataFrame:
@@ -307,9 +323,8 @@ def distinct_states(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
     ``consecutive_only`` keeps it.
     """
     if consecutive_only:
-        state = F.struct(*columns)
-        prev = F.lag(state).over(Window.partitionBy(*keys).orderBy("t"))
-        return df.withColumn("_p", prev).where(F.col("_p").isNull() | ~F.struct(*columns).eqNullSafe(F.col("_p"))).drop("_p")
+        told = row_before(df, keys, F.struct(*columns), "_p")
+        return told.where(F.col("_p").isNull() | ~F.struct(*columns).eqNullSafe(F.col("_p.v"))).drop("_p")
     return df.groupBy(*keys, *columns).agg(F.min("t").alias("t")).select(*df.columns)
 
 

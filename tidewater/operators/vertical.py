@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidewater.operators.series import SPAN
+
 
 def sz_levels(node: DataFrame, sigma: Sequence[float], z_levels: Sequence[float], h_s: float, h_c: float, theta_b: float, theta_f: float) -> DataFrame:
     """``node_id, k, z`` of a grid of S levels above and Z levels below depth ``h_s``; surface at 0.
@@ -93,12 +95,26 @@ def _middle(values: Column) -> Column:
     return (F.get(v, F.floor((n - 1) / 2).cast("int")) + F.get(v, F.floor(n / 2).cast("int"))) / 2
 
 
-def rolling_outliers(df: DataFrame, keys: Sequence[str], low: float, high: float, level: float, half: int) -> DataFrame:
-    """``value`` null outside a range, or farther from the rolling median than ``level`` times the rolling median distance."""
-    by = Window.partitionBy(*keys).orderBy("t").rowsBetween(-half, half)
-    own = df.withColumn("value", F.when(F.col("value").between(low, high), F.col("value"))).withColumn("_m", _middle(F.collect_list("value").over(by)))
-    own = own.withColumn("_d", F.abs(F.col("value") - F.col("_m"))).withColumn("_s", _middle(F.collect_list("_d").over(by)))
-    return own.withColumn("value", F.when((F.col("_s") > 0) & (F.col("_d") > level * F.col("_s")), None).otherwise(F.col("value"))).drop("_m", "_d", "_s")
+def rolling_outliers(df: DataFrame, keys: Sequence[str], low: float, high: float, level: float, half: int, span: int = SPAN, chunk: int = 4096) -> DataFrame:
+    """``value`` null outside a range, or farther from the rolling median than ``level`` times the rolling median distance.
+
+    Both medians are over ``half`` rows before and after. Rows are numbered span by span, and windows are over ``chunk`` rows
+    and the ``2 half`` before and after them: a series of any length is the work of many tasks.
+    """
+    c = F.col
+    chunk = max(chunk, 2 * half)
+    own = df.withColumns({"value": F.when(c("value").between(low, high), c("value")), "_span": F.floor(c("t") / span).cast("long")})
+    ahead = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = own.groupBy(*keys, "_span").agg(F.count("*").alias("_n")).select(*keys, "_span", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_from"))
+    nth = F.row_number().over(Window.partitionBy(*keys, "_span").orderBy("t")) - 1
+    told = own.withColumn("_nth", nth).join(sizes, [*keys, "_span"]).withColumn("_i", c("_from") + c("_nth")).drop("_span", "_nth", "_from")
+    at = lambda shift: F.floor((c("_i") + shift) / chunk)
+    dealt = told.withColumn("_chunk", F.explode(F.array_distinct(F.array(at(0), at(-2 * half), at(2 * half)))))
+    by = Window.partitionBy(*keys, "_chunk").orderBy("_i").rowsBetween(-half, half)
+    dealt = dealt.withColumn("_m", _middle(F.collect_list("value").over(by)))
+    dealt = dealt.withColumn("_d", F.abs(c("value") - c("_m"))).withColumn("_s", _middle(F.collect_list("_d").over(by)))
+    kept = dealt.where(c("_chunk") == at(0)).withColumn("value", F.when((c("_s") > 0) & (c("_d") > level * c("_s")), None).otherwise(c("value")))
+    return kept.drop("_m", "_d", "_s", "_i", "_chunk")
 
 
 def lanczos_weights(cutoff: int, half: int) -> list[float]:
