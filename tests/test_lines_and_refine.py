@@ -68,6 +68,17 @@ def test_cruise_drops_rows_up_to_a_bad_one(spark):
     assert got[0][2] == got[1][2] == 1_704_103_320_000_000
 
 
+def test_links_have_each_key_once(spark):
+    head = "subloc,station_id,variable,selector\n"
+    body = '# links\n\n' + head + 'top,ANH,elev,"a, ""b"" # c" # a comment\n,ANH,elev,\n'
+    assert rows(lines.read_obs_links(text(spark, body)), F.col("subloc").desc()) == [("f", "anh", "top", "elev", None, 'a, "b" # c', None), ("f", "anh", None, "elev", None, None, None)]
+    for bad in (head + "top,ANH,elev,x\ntop,anh,elev,y\n", "subloc,station_id\ntop,a\n"):
+        with pytest.raises(PySparkException):
+            lines.read_obs_links(text(spark, bad)).collect()
+    assert lines.read_station_sublocs(text(spark, "")).count() == 0
+    assert rows(lines.read_station_sublocs(text(spark, "station_id,z,subloc\nA,1.5,top\nA,x,low\n")), "subloc") == [("f", "A", "low", None), ("f", "A", "top", 1.5)]
+
+
 def test_flux_times_are_made_anew(spark):
     got = rows(lines.read_flux(text(spark, "0.0104 1 2\n0.0208 3 nan\n0.0999 5 6\n"), ["A", "b"], 0), "row_no", "name")
     assert [r[2] for r in got][::2] == [0, 899_000_000, 1_798_000_000]

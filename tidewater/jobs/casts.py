@@ -59,6 +59,26 @@ def station_db(s, d):
     return L.read_station_db(rows.unionByName(rows.where("line_no % 10 = 3")).unionByName(s.createDataFrame([("f0", -2, "# stations"), ("f0", -1, "station_id,x,y,name,agency_id"), ("f1", -1, "")], "file string, line_no long, raw string")))
 
 
+def _listed(s, d, head: str, raw) -> DataFrame:
+    """Lines of two files, made of suppliers, under a comment and a header."""
+    k = F.col("s_suppkey")
+    rows = table(s, d, "supplier").select(F.format_string("f%d", F.pmod(k, F.lit(2))).alias("file"), k.alias("line_no"), raw.alias("raw"))
+    heads = [(f, n, text) for f in ("f0", "f1") for n, text in ((-3, "# made of suppliers"), (-2, ""), (-1, head))]
+    return rows.unionByName(s.createDataFrame(heads, "file string, line_no long, raw string"))
+
+
+def station_sublocs(s, d):
+    k = F.col("s_suppkey")
+    raw = F.format_string("S%d, \"%s\",note %d,-%d.5 # at %d", F.floor(k / 2), F.when(k % 4 < 2, "upper, left").otherwise("lower"), k, k, k)
+    return L.read_station_sublocs(_listed(s, d, "station_id,subloc,remark,z", raw))
+
+
+def obs_links(s, d):
+    k = F.col("s_suppkey")
+    raw = F.format_string("%s,S%d,default,file_%d.csv,%s", F.when(k % 3 == 0, "elev").otherwise("flow"), k, k, F.when(k % 5 == 0, "").otherwise(F.format_string("-0.%d", k % 7)))
+    return L.read_obs_links(_listed(s, d, "variable,station_id,subloc,filename,datum_adj", raw))
+
+
 def flux(s, d):
     wide = hourly(s, d).where("variable in ('view', 'click')").groupBy("station", "t").pivot("variable", ["click", "view"]).agg(F.max("value"))
     cell = lambda c: F.coalesce(F.format_string("%.2f", F.when(F.col(c).isNotNull(), F.round(F.col(c) + 1e-9, 2))), F.lit("nan"))
@@ -149,6 +169,14 @@ QUERIES = {
         station_db,
         "select 'f' || s_suppkey % 2 as file, 's' || s_suppkey as station_id, 'a' || s_suppkey as agency_id, s_suppkey + 0.5::double as x, s_suppkey + 0.25::double as y, 'Station, ' || s_suppkey as name, n as repeats from (select *, unnest(range(n)) from (select s_suppkey, case when s_suppkey % 10 = 3 then 2 else 1 end as n from supplier))",
     ),
+    "read_station_sublocs": (
+        station_sublocs,
+        "select 'f' || s_suppkey % 2 as file, 'S' || s_suppkey // 2 as station_id, case when s_suppkey % 4 < 2 then 'upper, left' else 'lower' end as subloc, -s_suppkey - 0.5::double as z from supplier",
+    ),
+    "read_obs_links": (
+        obs_links,
+        "select 'f' || s_suppkey % 2 as file, 's' || s_suppkey as station_id, 'default' as subloc, case when s_suppkey % 3 = 0 then 'elev' else 'flow' end as variable, 'file_' || s_suppkey || '.csv' as filename, null::varchar as selector, case when s_suppkey % 5 <> 0 then -(s_suppkey % 7) / 10.0::double end as datum_adj from supplier",
+    ),
     "read_flux": (
         flux,
         f"with {HOURLY}, w as (select station, t, max(value) filter (variable = 'click') as click, max(value) filter (variable = 'view') as view from hourly where variable in ('view', 'click') group by 1, 2), n as (select *, row_number() over (partition by station order by t) - 1 as row_no from w), dt as (select station, max(t) - min(t) as dt from n where row_no < 2 group by 1) select 'f' || station as file, row_no, {START} + row_no * dt as t, v.name, round(case v.name when 'click' then click else view end + 1e-9, 2) as value from n join dt using (station), (values ('click'), ('view')) v(name)",

@@ -80,8 +80,16 @@ def _blend(s, d):
     return P.overlap_blend(part, ["node_id"])
 
 
+def _shore(s, d):
+    """The nodes of the boundary, as one seed."""
+    outer = M.build_edges(elem_node(s, d)).where("etype = 1")
+    return outer.select(F.explode(F.array("a", "b")).alias("node_id")).distinct().select(F.lit(0).alias("seed"), "node_id")
+
+
 def _seeds(s, d):
-    return elem_node(s, d).where(F.pmod("elem_id", F.lit(97)) == 4).select(F.col("elem_id").alias("seed"), "elem_id").distinct()
+    """Each element with an edge on the boundary is a seed of its own."""
+    outer = M.build_edges(elem_node(s, d)).where("etype = 1").select(F.col("el").alias("elem_id")).distinct()
+    return outer.select(F.col("elem_id").alias("seed"), "elem_id")
 
 
 POINTS = """pts as (select s_suppkey as point_id, (s_suppkey * 37) % 211 + 0.25::double as x, (s_suppkey * 53) % 223 + 0.75::double as y, case when s_suppkey % 4 <> 1 then s_acctbal end as value from supplier),
@@ -117,6 +125,9 @@ NBR = """pair as (select elem_id, node_id as p, coalesce(lead(node_id) over w, f
 nbr as (select distinct p as a, q as b from pair union select distinct q, p from pair)"""
 
 
+OUTER = "outer_ as (select least(p, q) as a, greatest(p, q) as b from pair group by 1, 2 having count(*) = 1)"
+
+
 def _smooth_sql(rounds: int, velocity: str = "0") -> str:
     """``sm``: round i from round i - 1; the last one is asked for."""
     return f"""sm(i, node_id, v) as (select 0, node_id, depth::double from node
@@ -210,18 +221,18 @@ select node_id, round(sum(area * m) / sum(area) + 1e-9, 6) as value from elem_no
     ),
     "mesh_ring": (
         lambda s, d: G.mesh_ring(_seeds(s, d), elem_node(s, d), 3),
-        f"""with {MESH}, adj as (select distinct a.elem_id as a, b.elem_id as b from elem_node a join elem_node b using (node_id)), r0 as (select distinct elem_id as seed, elem_id, 0 as ring from elem_node where elem_id % 97 = 4),
+        f"""with {MESH}, {NBR}, {OUTER}, adj as (select distinct a.elem_id as a, b.elem_id as b from elem_node a join elem_node b using (node_id)), r0 as (select distinct elem_id as seed, elem_id, 0 as ring from pair join outer_ on least(p, q) = a and greatest(p, q) = b),
 r1 as (select seed, b as elem_id, 1 as ring from r0 join adj on elem_id = a), r2 as (select distinct seed, b as elem_id, 2 as ring from r1 join adj on elem_id = a), r3 as (select distinct seed, b as elem_id, 3 as ring from r2 join adj on elem_id = a)
 select seed, elem_id, min(ring) as ring from (select * from r0 union all select * from r1 union all select * from r2 union all select * from r3) group by 1, 2""",
     ),
     "laplace_smooth": (lambda s, d: _r(_smoothed(s, d), "value"), f"with recursive {MESH}, {NBR}, {_smooth_sql(150)} select node_id, round(v + 1e-9, 6) as value from sm where i = 150"),
     "ring_distance": (
-        lambda s, d: G.ring_distance(node(s, d).where(F.pmod("node_id", F.lit(61)) == 7).select(F.lit(0).alias("seed"), "node_id"), M.neighbors(M.build_edges(elem_node(s, d))), 3).select("node_id", "ring"),
-        f"with {MESH}, {NBR}, r0 as (select node_id, 0 as ring from node where node_id % 61 = 7), r1 as (select distinct b as node_id, 1 as ring from r0 join nbr on node_id = a), r2 as (select distinct b as node_id, 2 as ring from r1 join nbr on node_id = a), r3 as (select distinct b as node_id, 3 as ring from r2 join nbr on node_id = a) select node_id, min(ring) as ring from (select * from r0 union all select * from r1 union all select * from r2 union all select * from r3) group by 1",
+        lambda s, d: G.ring_distance(_shore(s, d), M.neighbors(M.build_edges(elem_node(s, d))), 3).select("node_id", "ring"),
+        f"with {MESH}, {NBR}, {OUTER}, r0 as (select distinct node_id, 0 as ring from (select a as node_id from outer_ union all select b from outer_)), r1 as (select distinct b as node_id, 1 as ring from r0 join nbr on node_id = a), r2 as (select distinct b as node_id, 2 as ring from r1 join nbr on node_id = a), r3 as (select distinct b as node_id, 3 as ring from r2 join nbr on node_id = a) select node_id, min(ring) as ring from (select * from r0 union all select * from r1 union all select * from r2 union all select * from r3) group by 1",
     ),
     "boundary_taper": (
-        lambda s, d: _r(G.boundary_taper(G.ring_distance(node(s, d).where(F.pmod("node_id", F.lit(61)) == 7).select(F.lit(0).alias("seed"), "node_id"), M.neighbors(M.build_edges(elem_node(s, d))), 3), node(s, d).select("node_id", F.col("depth").alias("value")), 5.0, 3), "value"),
-        f"with {MESH}, {NBR}, r0 as (select node_id, 0 as ring from node where node_id % 61 = 7), r1 as (select distinct b as node_id, 1 as ring from r0 join nbr on node_id = a), r2 as (select distinct b as node_id, 2 as ring from r1 join nbr on node_id = a), r3 as (select distinct b as node_id, 3 as ring from r2 join nbr on node_id = a), d as (select node_id, min(ring) as d from (select * from r0 union all select * from r1 union all select * from r2 union all select * from r3) group by 1), w as (select n.node_id, depth, (1 - cos(pi() * greatest(least((3 - coalesce(d, 3)) / 3.0::double, 1), 0))) / 2 as w from node n left join d using (node_id)) select node_id, round(depth * (1 - w) + 5 * w + 1e-9, 6) as value from w",
+        lambda s, d: _r(G.boundary_taper(G.ring_distance(_shore(s, d), M.neighbors(M.build_edges(elem_node(s, d))), 3), node(s, d).select("node_id", F.col("depth").alias("value")), 5.0, 3), "value"),
+        f"with {MESH}, {NBR}, {OUTER}, r0 as (select distinct node_id, 0 as ring from (select a as node_id from outer_ union all select b from outer_)), r1 as (select distinct b as node_id, 1 as ring from r0 join nbr on node_id = a), r2 as (select distinct b as node_id, 2 as ring from r1 join nbr on node_id = a), r3 as (select distinct b as node_id, 3 as ring from r2 join nbr on node_id = a), d as (select node_id, min(ring) as d from (select * from r0 union all select * from r1 union all select * from r2 union all select * from r3) group by 1), w as (select n.node_id, depth, (1 - cos(pi() * greatest(least((3 - coalesce(d, 3)) / 3.0::double, 1), 0))) / 2 as w from node n left join d using (node_id)) select node_id, round(depth * (1 - w) + 5 * w + 1e-9, 6) as value from w",
     ),
     "components": (
         lambda s, d: connected_components(_deep_edges(s, d)),

@@ -130,6 +130,43 @@ def read_station_db(lines: DataFrame) -> DataFrame:
     return got.join(times, ["file", "station_id"]).select("file", "station_id", "agency_id", "x", "y", "name", "repeats")
 
 
+def _keyed(lines: DataFrame, keys: list[str], values: dict[str, str], lower: bool) -> DataFrame:
+    """``file``, ``keys`` and ``values`` (name: type) of comma separated files whose first line names their columns.
+
+    Comments begin with ``#`` outside quotes, other columns are passed over, a value's missing column is null, and so is what
+    is no number where one belongs. A missing key column and a key that comes twice are errors of the row that has them, so
+    that nothing is checked on the driver.
+    ``lower`` takes the first key in lower case.
+    """
+    c = F.col
+    own = lines.withColumn("own", F.trim(F.regexp_replace("raw", '^((?:[^"#]|"[^"]*")*)#.*$', "$1"))).where("own <> ''")
+    cells = F.split("own", ',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    plain = lambda v: F.regexp_replace(F.regexp_replace(F.trim(v), '^"(.*)"$', "$1"), '""', '"')
+    own = own.select("file", "line_no", F.transform(cells, plain).alias("cells"))
+    heads = own.groupBy("file").agg(F.min_by("cells", "line_no").alias("names"), F.min("line_no").alias("first"))
+    rows = own.join(heads, "file").where("line_no > first")
+    place = lambda name: F.array_position("names", name).cast("int")
+    cell = lambda name: F.nullif(F.when(place(name) > 0, F.get("cells", place(name) - 1)), F.lit(""))
+    key = {k: F.when(place(k) > 0, cell(k)).otherwise(F.raise_error(F.concat(F.lit(f"no column {k} in "), c("file"))).cast("string")) for k in keys}
+    if lower:
+        key[keys[0]] = F.lower(key[keys[0]])
+    got = rows.select("file", *[v.alias(k) for k, v in key.items()], *[cell(v).try_cast(t).alias(v) for v, t in values.items()])
+    told = F.concat_ws(", ", "file", *keys)
+    each = got.groupBy("file", *keys).agg(F.count("*").alias("n"), F.first(F.struct(*values)).alias("v"))
+    once = F.when(c("n") > 1, F.raise_error(F.concat(F.lit("key comes twice: "), told)).cast("string")).otherwise(c("file"))
+    return each.select(once.alias("file"), *keys, "v.*")
+
+
+def read_station_sublocs(lines: DataFrame) -> DataFrame:
+    """``file, station_id, subloc, z`` of lists of sublocations; a sublocation that a station has twice is an error."""
+    return _keyed(lines, ["station_id", "subloc"], {"z": "double"}, False)
+
+
+def read_obs_links(lines: DataFrame) -> DataFrame:
+    """``file, station_id, subloc, variable, filename, selector, datum_adj`` of links to observations; ids in lower case, each key once."""
+    return _keyed(lines, ["station_id", "subloc", "variable"], {"filename": "string", "selector": "string", "datum_adj": "double"}, True)
+
+
 def read_flux(lines: DataFrame, names: list[str], start: int) -> DataFrame:
     """``file, row_no, t, name, value`` of flux output: days, then a column for each of ``names``.
 
