@@ -12,6 +12,8 @@ from tidewater.llm.tables import table
 from tidewater.spool import spool
 
 LONGEST, LEAST, FIRST = 5, 100, 2000
+#: Languages up to which a table of them is broadcast; beyond it, it is shuffled.
+BROADCAST_ROWS = 20_000
 #: Bytes of text whose windows are counted at a time.
 SLICE = 4 << 20
 #: Windows looked at to deal the stream out evenly (results don't depend on them), and documents they come from, about.
@@ -279,6 +281,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, fi
     """
     every = spool(counts(docs, longest, least, parts))
     total = every.where("k = 0").select(F.col("lang").alias("t_lang"), F.col("f").alias("n"))
+    total = F.broadcast(total) if total.count() <= BROADCAST_ROWS else total
     words = F.split("phrase", " ")
     cut = lambda a, b: F.array_join(F.slice("words", a, b), " ")
     cuts = every.where("k >= 2").select("lang", "phrase", F.col("f").alias("a"), F.col("k").alias("m"), words.alias("words")).withColumn("cut", F.explode(F.sequence(F.lit(1), F.col("m") - 1)))
@@ -293,7 +296,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, fi
     inner = met.where("m >= 3")
     inside = inner.where("cut = m - 1 and l = a").select("lang", F.col("left").alias("phrase")).unionByName(inner.where("cut = 1 and r = a").select("lang", F.col("right").alias("phrase")))
     score = F.expr("cast(1000 as decimal(4,0)) * cast(a as decimal(17,0)) * cast(n as decimal(17,0)) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))")
-    scored = met.join(total.hint("merge"), F.col("lang") == F.col("t_lang")).withColumn("score", score)
+    scored = met.join(total, F.col("lang") == F.col("t_lang")).withColumn("score", score)
     best = scored.groupBy("lang", "phrase").agg(F.min(F.struct("score", "cut", "a", "l", "r", "n")).alias("b"))
     left = best.join(inside.distinct().hint("merge"), ["lang", "phrase"], "left_anti").select("lang", "phrase", "b.*")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
