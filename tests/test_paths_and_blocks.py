@@ -9,7 +9,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tidewater.operators import graph, mesh, outlines, paths, refine, series, spatial, vertical
+from tidewater.operators import graph, mesh, outlines, paths, refine, series, spatial, tables, vertical
 from tidewater.operators.blocks import blocks
 
 NODE = "node_id long, x double, y double, depth double"
@@ -394,3 +394,16 @@ def test_labels_take_rows_at_their_own_time(spark):
     told = {x["extra"]: (x["r_t"], x["r_value"]) for x in series.as_of(asks, right, ["k"], "nearest").collect()}
     assert told == {"x": (0, 1.0), "y": (0, 1.0), "z": (0, 1.0), "w": (None, None)}
     assert {x["extra"]: x["r_value"] for x in series.bracket_interp(asks, right, ["k"]).collect()} == {"x": 1.0, "y": 2.0, "z": 2.0, "w": None}
+
+
+def test_histories_are_laid_out_at_all_times(spark):
+    first = spark.createDataFrame([("a", "x", 0, 1.0), ("a", "x", 50, 2.0), ("b", "y", 7, None)], "site string, variable string, t long, value double")
+    second = spark.createDataFrame([("c", "x", 7, 3.0), ("c", "x", 8, 4.0)], "site string, variable string, t long, value double")
+    sites = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "site string")
+    got = {(r["site"], r["variable"], r["t"]): r["value"] for r in tables.concat_sources(first, second, sites).collect()}
+    want = {(s, v, t): tables.AMBIENT for s in "abcd" for v in "xy" for t in (0, 7, 50)} | {("a", "x", 0): 1.0, ("a", "x", 50): 2.0, ("c", "x", 7): 3.0}
+    assert got == want
+    names = spark.createDataFrame([("a",), ("e",)], "site string")
+    told = tables.on_all_times(first.drop("variable"), names, first, span=10)
+    assert sorted(map(tuple, told.collect()), key=repr) == sorted([("a", 0, 1.0), ("a", 50, 2.0), ("a", 7, None), ("e", 0, None), ("e", 7, None), ("e", 50, None)], key=repr)
+    assert tables.concat_sources(first.where("false"), second, sites).count() == 0

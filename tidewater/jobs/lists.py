@@ -30,8 +30,9 @@ def merge_th(s, d):
     h = hourly(s, d).withColumn("loc", F.concat(F.lit("l"), F.col("station").cast("string"))).drop("station")
     second = h.where(F.col("t") >= START + 3 * DAY).withColumn("value", F.col("value") + 100)
     inputs = h.withColumn("file_no", F.lit(0)).unionByName(second.withColumn("file_no", F.lit(1)))
-    targets = s.createDataFrame([(v, f"l{i}") for v in ("view", "click") for i in (1, 2, 3, 999)], "variable string, loc string")
-    return T.merge_th(inputs, targets, START, END, [(r"view\.l2", 7.0, False), (r"click\.l3", 5.0, True)])
+    absent = s.createDataFrame([(v, "l-1") for v in ("view", "click")], "variable string, loc string")
+    targets = h.select("variable", "loc").distinct().unionByName(absent)
+    return T.merge_th(inputs, targets, START, END, [(r"view\.l2$", 7.0, False), (r"click\.l3$", 5.0, True)])
 
 
 def concat_sources(s, d):
@@ -83,7 +84,7 @@ QUERIES = {
     ),
     "merge_th": (
         merge_th,
-        f"with {HOURLY}, h as (select variable, 'l' || station as loc, t, case when t >= {START + 3 * DAY} then value + 100 else value end as value from hourly where t between {START} and {END}), g as (select v.variable, l.loc, t.t from (values ('view'), ('click')) v(variable), (values ('l1'), ('l2'), ('l3'), ('l999')) l(loc), (select distinct t from h) t) select g.variable, g.loc, g.t, coalesce(case when g.variable = 'click' and g.loc = 'l3' then 5.0 when g.variable = 'view' and g.loc = 'l2' and h.value is null then 7.0 else h.value end, -9999.0) as value from g left join h on h.variable = g.variable and h.loc = g.loc and h.t = g.t",
+        f"with {HOURLY}, h as (select variable, 'l' || station as loc, t, case when t >= {START + 3 * DAY} then value + 100 else value end as value from hourly where t between {START} and {END}), g as (select v.variable, v.loc, t.t from (select distinct variable, 'l' || station as loc from hourly union all select * from (values ('view', 'l-1'), ('click', 'l-1')) w) v, (select distinct t from h) t) select g.variable, g.loc, g.t, coalesce(case when g.variable = 'click' and g.loc = 'l3' then 5.0 when g.variable = 'view' and g.loc = 'l2' and h.value is null then 7.0 else h.value end, -9999.0) as value from g left join h on h.variable = g.variable and h.loc = g.loc and h.t = g.t",
     ),
     "sign_violations": (
         lambda s, d: T.sign_violations(table(s, d, "customer").select(F.when(F.col("c_custkey") % 2 == 0, "source").otherwise("sink").alias("kind"), (F.col("c_custkey") % 13).alias("loc"), F.col("c_acctbal").alias("value"))),
@@ -91,11 +92,11 @@ QUERIES = {
     ),
     "missing_report": (
         lambda s, d: T.missing_report(merge_th(s, d).withColumn("value", F.when(F.col("value") != T.AMBIENT, F.col("value"))), ["variable", "loc"]),
-        f"with {HOURLY}, h as (select variable, 'l' || station as loc, t, value from hourly where t between {START} and {END}), g as (select v.variable, l.loc, t.t from (values ('view'), ('click')) v(variable), (values ('l1'), ('l2'), ('l3'), ('l999')) l(loc), (select distinct t from h) t), m as (select g.variable, g.loc, case when g.variable = 'click' and g.loc = 'l3' then 5.0 when g.variable = 'view' and g.loc = 'l2' and h.value is null then 7.0 else h.value end as value from g left join h on h.variable = g.variable and h.loc = g.loc and h.t = g.t) select variable, loc, count(*) filter (value is null) as missing, case when count(value) = 0 then 'absent' else 'gaps' end as kind from m group by 1, 2 having count(*) filter (value is null) > 0",
+        f"with {HOURLY}, h as (select variable, 'l' || station as loc, t, value from hourly where t between {START} and {END}), g as (select v.variable, v.loc, t.t from (select distinct variable, 'l' || station as loc from hourly union all select * from (values ('view', 'l-1'), ('click', 'l-1')) w) v, (select distinct t from h) t), m as (select g.variable, g.loc, case when g.variable = 'click' and g.loc = 'l3' then 5.0 when g.variable = 'view' and g.loc = 'l2' and h.value is null then 7.0 else h.value end as value from g left join h on h.variable = g.variable and h.loc = g.loc and h.t = g.t) select variable, loc, count(*) filter (value is null) as missing, case when count(value) = 0 then 'absent' else 'gaps' end as kind from m group by 1, 2 having count(*) filter (value is null) > 0",
     ),
     "net_source_sink": (
-        lambda s, d: _R(T.net_source_sink(hourly(s, d).where("variable = 'view'"), hourly(s, d).where("variable = 'error'").withColumn("value", -F.col("value"))), "net"),
-        f"with {HOURLY}, a as (select t, sum(value) as v from hourly where variable = 'view' group by 1), b as (select t, sum(-value) as v from hourly where variable = 'error' group by 1) select coalesce(a.t, b.t) as t, round(a.v + b.v, 6) as net from a full join b on a.t = b.t",
+        lambda s, d: _R(T.net_source_sink(hourly(s, d).where("station % 2 = 0"), hourly(s, d).where("station % 2 = 1").withColumn("value", -F.col("value"))), "net"),
+        f"with {HOURLY}, a as (select t, sum(value) as v from hourly where station % 2 = 0 group by 1), b as (select t, sum(-value) as v from hourly where station % 2 = 1 group by 1) select coalesce(a.t, b.t) as t, round(a.v + b.v, 6) as net from a full join b on a.t = b.t",
     ),
     "parse_point_name": (
         lambda s, d: _points(s, d).select("name").distinct().withColumns(T.point_name(F.col("name"))),

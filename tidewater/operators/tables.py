@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidewater.operators.series import SPAN
+
 AMBIENT = -9999.0
 _NAME = r"^(delta|suisun)_(src|sink)_([0-9]+)$"
 
@@ -36,16 +38,33 @@ def station_select(series: DataFrame, request: DataFrame, miss: str = "drop") ->
     return out.select("ord", F.coalesce("alias", "label").alias("label"), "t", value.alias("value"))
 
 
+def on_all_times(values: DataFrame, names: DataFrame, times: DataFrame, span: int = SPAN) -> DataFrame:
+    """``t, value`` of each of ``names`` at all ``times``: its ``values``, and null where it has none.
+
+    Names meet spans of time, not times. What a name lacks of a span is told from two lists of times and laid out last, so
+    that only rows with a value and one row for each name and span are shuffled, not the product of names and times.
+    """
+    c = F.col
+    by = names.columns
+    spanned = lambda df: df.withColumn("_span", F.floor(c("t") / span).cast("long"))
+    spans = spanned(times.select("t").where("t is not null").distinct()).groupBy("_span").agg(F.collect_list("t").alias("_all"))
+    held = values.select(*by, "t", "value").join(names, by, "left_semi")
+    own = spanned(held).groupBy(*by, "_span").agg(F.collect_list("t").alias("_own"))
+    frame = names.crossJoin(spans.select("_span")).join(own, [*by, "_span"], "left").join(spans, "_span")
+    lacks = F.array_except("_all", F.coalesce("_own", F.array().cast("array<long>")))
+    rest = frame.select(*by, F.explode(lacks).alias("t"), F.lit(None).cast(values.schema["value"].dataType).alias("value"))
+    return held.unionByName(rest)
+
+
 def concat_sources(first: DataFrame, second: DataFrame, sites: DataFrame) -> DataFrame:
     """Values (site, variable, t, value) of two source tables at the first one's times, for all sites and variables of both.
 
-    What is missing is the ambient value. The product is of small lists (sites, variables) with the times.
+    What is missing is the ambient value. Sites and variables are lists, of which each pair is a column of the outcome.
     """
     both = first.unionByName(second)
-    times, variables = first.select("t").distinct(), both.select("variable").distinct()
-    frame = times.crossJoin(sites.crossJoin(variables))
-    at = both.groupBy("site", "variable", "t").agg(F.max("value").alias("value"))
-    return frame.join(at, ["site", "variable", "t"], "left").withColumn("value", F.coalesce("value", F.lit(AMBIENT)))
+    times, names = first.select("t").distinct(), sites.distinct().crossJoin(both.select("variable").distinct())
+    at = both.join(times, "t", "left_semi").groupBy("site", "variable", "t").agg(F.max("value").alias("value"))
+    return on_all_times(at, names, times).withColumn("value", F.coalesce("value", F.lit(AMBIENT)))
 
 
 def merge_th(inputs: DataFrame, targets: DataFrame, start: int, end: int, rules: Sequence[tuple[str, float, bool]] = (), ambient: bool = True) -> DataFrame:
@@ -56,8 +75,7 @@ def merge_th(inputs: DataFrame, targets: DataFrame, start: int, end: int, rules:
     """
     clipped = inputs.where(F.col("t").between(start, end))
     last = clipped.groupBy("variable", "loc", "t").agg(F.max_by("value", "file_no").alias("value"))
-    frame = clipped.select("t").distinct().crossJoin(targets)
-    out = frame.join(last, ["variable", "loc", "t"], "left")
+    out = on_all_times(last, targets.select("variable", "loc").distinct(), clipped.select("t").distinct())
     name = F.concat_ws(".", "variable", "loc")
     value = F.col("value")
     for pattern, constant, overwrite in rules:
