@@ -53,6 +53,14 @@ def test_mix_reaches_targets_and_agrees(spark, docs):
     assert mixing.mix(empty(spark)).count() == 0 and mixing.mixed_documents(empty(spark)).columns == empty(spark).columns
 
 
+def test_documents_without_an_id_are_taken_whatever_their_size(spark):
+    rows = [(None, " ".join(["w"] * (1 + i % 50)) + f" {i}", "en", "s", 0) for i in range(600)] + [(1, "x " * 3000, "en", "t", 0)]
+    got = mixing.mix(frame(spark, rows, SCHEMA), weights=(1, 2), share=0.9).where("source = 's'").collect()
+    out = [r["size"] for r in got if not r["copies"]]
+    mean = sum(r["size"] for r in got) / len(got)
+    assert 50 < len(out) < 550 and abs(sum(out) / len(out) - mean) < 0.12 * mean
+
+
 def test_mix_with_document_weights_prefers_heavy_ones(spark):
     rows = [(i, "a b c d", "en", "s", 0, 4.0 if i % 2 else 1.0) for i in range(400)] + [(1000 + i, "a b c d", "en", "t", 0, 1.0) for i in range(400)]
     got = mixing.mix(frame(spark, rows, SCHEMA + ", w double"), weights=(1, 5), share=1.0, document_weight="w").where("source = 's'").collect()

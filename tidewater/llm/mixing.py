@@ -75,7 +75,7 @@ def mix(
 
     Sizes are words; a null text has 0, and a document of size 0 takes no words. A null source is a source of its
     own. Repeated rows are separate documents; those equal in every column tie, and any of them may be the one
-    taken. A null ``doc_id`` is ranked like an empty one. Columns of ``docs`` with one of the names added are
+    taken. Rows without a ``doc_id`` are ranked by random numbers of their whole content. Columns of ``docs`` with one of the names added are
     replaced; all others stay, whatever their name. An empty table gives an empty one. Reruns agree.
 
     Texts are never shuffled: what is taken of a source is told by the last rank taken, so each row decides by
@@ -85,7 +85,7 @@ def mix(
     words = word_count(F.col("text").cast("string")) if size is None else size
     weight = F.coalesce(F.col(document_weight).cast("double"), F.lit(1.0)) if document_weight else F.lit(1.0)
     whole = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))])
-    facts = F.struct(F.col("source").alias("source"), words.alias("size"), weight.alias("weight"), F.col("doc_id").alias("doc_id"), random_share(F.col("doc_id"), seed).alias("u"), whole.alias("tie"))
+    facts = F.struct(F.col("source").alias("source"), words.alias("size"), weight.alias("weight"), F.col("doc_id").alias("doc_id"), random_share(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), whole.cast("string"))), seed).alias("u"), whole.alias("tie"))
     narrow = spool(docs.select(facts.alias("f")).select("f.*"))
     plan = _plan(narrow, weights, share, most)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in added]).alias("row"), facts.alias("f"))
@@ -122,7 +122,7 @@ def _order(f: str = "") -> list[Column]:
     """What a source's documents are ordered by; needs its ``rate`` and ``most``."""
     c = lambda n: F.col(f + n)
     expected = F.least(F.col("rate") * c("weight"), F.col("most"))
-    return [_rank(c("u"), expected - F.floor(expected).cast("int")).alias("rank"), c("doc_id").isNull().alias("none"), c("doc_id").alias("doc_id"), c("size").alias("size"), c("tie").alias("tie")]
+    return [_rank(c("u"), expected - F.floor(expected).cast("int")).alias("rank"), c("doc_id").isNull().alias("none"), c("doc_id").alias("doc_id"), c("tie").alias("tie"), c("size").alias("size")]
 
 
 def _taken(o: Column) -> Column:
