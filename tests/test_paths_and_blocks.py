@@ -9,6 +9,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from tidewater import spool
 from tidewater.operators import graph, mesh, outlines, paths, refine, series, spatial, tables, vertical
 from tidewater.operators.blocks import blocks
 
@@ -407,3 +408,16 @@ def test_histories_are_laid_out_at_all_times(spark):
     told = tables.on_all_times(first.drop("variable"), names, first, span=10)
     assert sorted(map(tuple, told.collect()), key=repr) == sorted([("a", 0, 1.0), ("a", 50, 2.0), ("a", 7, None), ("e", 0, None), ("e", 7, None), ("e", 50, None)], key=repr)
     assert tables.concat_sources(first.where("false"), second, sites).count() == 0
+
+
+def test_a_run_can_drop_all_it_has_spooled(spark, tmp_path):
+    kept = spool.spool(spark.range(3))
+    folder = kept.inputFiles()[0].rsplit("/", 1)[0]
+    assert folder.startswith(spool.run_dir(spark)) and spool.spool(kept).count() == 3
+    spool.drop_spool(kept)
+    with pytest.raises(PySparkException):
+        spark.read.parquet(folder).count()
+    other = spool.spool(spark.range(2)).inputFiles()[0]
+    spool.drop_run(spark)
+    with pytest.raises(PySparkException):
+        spark.read.parquet(other).count()

@@ -20,21 +20,34 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or made
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder below the shared one in which this application's tables are; ``drop_run`` deletes it."""
+    return f"{shared_dir(spark).rstrip('/')}/spool-{spark.sparkContext.applicationId}"
+
+
 def spool(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: its lineage ends here and it is computed once."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/spool-{uuid.uuid4().hex}"
+    path = f"{run_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_run(spark: SparkSession) -> None:
+    """Deletes all spooled tables of this application: for when its results are written. Tables that read them are lost."""
+    _delete(spark, run_dir(spark))
+
+
 def drop_spool(df: DataFrame) -> None:
     """Deletes the files of a spooled table that no later step reads."""
     for name in df.inputFiles()[:1]:
         folder = name.rsplit("/", 1)[0]
         if "/spool-" in folder:
-            jvm = df.sparkSession._jvm
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, folder)
 
 
 def drop_shuffles(spark: SparkSession) -> None:
