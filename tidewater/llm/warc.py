@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewater.llm.tables import table
-from tidewater.spool import shared_dir, spool
+from tidewater.spool import run_dir, spool
 
 #: Payload bytes from which equal payloads are stored once.
 LEAST_BYTES = 1000
@@ -277,7 +277,7 @@ def resolved(records: DataFrame) -> DataFrame:
 
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as archives and read back from them."""
-    path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(table(spark, sf_dir, "pages"), path)
     return resolved(read(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_page").alias("refers_to"))
 
