@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tidewater.llm import lines, simhash
+from tidewater.llm import lines, nearcopies, simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -90,3 +90,23 @@ def test_lines_of_other_numbers_stay(spark):
     table = "\n".join(f"{i * 7919 % 100000:05d} | {i * 104729 % 10**9:09d} | {i * 15485863 % 10**12:012d}" for i in range(1, 40))
     got = lines.dedup_lines(spark.createDataFrame([(1, table)], SCHEMA)).first()
     assert (got["text"], got["n_dropped"]) == (table, 0)
+
+
+def test_a_common_passage_makes_no_pairs(spark, monkeypatch):
+    """Unlike texts that share a passage: rows to compare grow with the texts, not with their square."""
+    r = random.Random(17)
+    passage = " ".join(f"p{i}" for i in range(24))
+    made, counts = nearcopies._candidates, []
+
+    def counting(rows):
+        rows = rows.cache()
+        counts.append(rows.count())
+        return made(rows)
+
+    monkeypatch.setattr(nearcopies, "_candidates", counting)
+    for n in (150, 600):
+        texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(30)) + f" {passage} " + " ".join(f"w{r.randrange(10**6)}" for _ in range(30)) for _ in range(n)]
+        texts += [texts[0] + " more", texts[1].replace("p5", "p6")]
+        got = nearcopies.near_copies(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()
+        assert {x["doc_id"]: x["component_id"] for x in got} == {i: {n: 0, n + 1: 1}.get(i, i) for i in range(n + 2)}
+    assert sum(counts) < 1000

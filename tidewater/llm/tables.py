@@ -18,5 +18,5 @@ def word_count(text: Column) -> Column:
 
 
 def row_key() -> Column:
-    """A row's document as a long: its ``doc_id``; one without an id comes after all that have one and goes by its ``text``."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1) - F.pmod(F.xxhash64("text"), F.lit(1 << 48)))
+    """A row's document as a long: its ``doc_id``, below 2^62; one without an id comes after all that have one and goes by 62 bits of its ``text``."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1) - F.pmod(F.xxhash64("text"), F.lit(1 << 62)))
