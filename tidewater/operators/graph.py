@@ -13,7 +13,7 @@ from tidewater.operators.paths import least_labels
 from tidewater.spool import drop_spool, spool
 
 #: Rounds done in a block between two shuffles, and so the rings of nodes around it that it holds besides its own.
-RINGS = 30
+RINGS = 50
 
 
 class Ring:
@@ -41,7 +41,7 @@ def _packed(nbrs: DataFrame, of: DataFrame, rings: int) -> DataFrame:
     Nodes around are found by the steps to a block's border, in rounds that grow with the blocks within ``rings``.
     """
     c = F.col
-    links = nbrs.select(c("node_id").alias("a"), c("nbr").alias("b")).distinct()
+    links = spool(nbrs.select(c("node_id").alias("a"), c("nbr").alias("b")).distinct())
     place = lambda end, name: of.select(c("node_id").alias(end), c("block").alias(name))
     border = links.join(place("a", "pair"), "a").join(place("b", "to"), "b").where("pair <> to").select(c("pair").cast("long").alias("pair"), c("a").alias("node_id")).distinct()
     around = least_labels(border, links.withColumn("step", F.lit(1.0)), of, limit=float(rings)).select(c("pair").cast("int").alias("block"), "node_id")
