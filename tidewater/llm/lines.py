@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from tidewater.llm.tables import row_key, table
 from tidewater.operators.components import connected_components
-from tidewater.spool import drop_shuffles, drop_spool, spool
+from tidewater.spool import spool
 
 #: Lines of fewer characters are compared for equality only.
 LEAST_CHARS = 32
@@ -35,14 +35,16 @@ NUMBERED = 50
 FEW, PAIRWISE = 4, 32
 #: Lines of a family, held together by such larger keys, up to which it is compared in blocks, and lines of a block.
 FAMILY, BLOCK = 65_536, 512
-#: Pairs that a task looks at together.
-PAIRS = 50_000
+#: Pairs of a family that a task looks at together, and pairs that are a task's.
+PAIRS, PAIRS_A_TASK = 50_000, 2_000
 #: Rows (of two longs) up to which a table is broadcast; beyond it, it is shuffled.
 BROADCAST_ROWS = 200_000
 #: Characters worked through together.
 AT_A_TIME = 250_000
 #: Lines that a task remembers to have met.
-MOST_MET = 1_000_000
+MOST_MET = 200_000
+#: Keys that a task holds before it deals them out or looks them up, and characters of a line for each of its keys.
+KEYS_HELD, CHARS_A_KEY = 500_000, 13
 _PRIME = 0x9E3779B97F4A7C15 | 1
 
 
@@ -255,51 +257,52 @@ def within(a: str, b: str, edits: int) -> bool:
 def within_all(ones: list[str], others: list[str], edits: list[int]) -> np.ndarray:
     """``within`` of many pairs, side by side where the band fits a word and the lines are longer than it is wide."""
     out = np.zeros(len(ones), bool)
-    groups: dict[int, list[int]] = {}
+    own = []
     for i, (x, y, k) in enumerate(zip(ones, others, edits, strict=True)):
         if abs(len(x) - len(y)) > k:
             continue
         if k > 31 or min(len(x), len(y)) < k:
             out[i] = within(x, y, k)
         else:
-            groups.setdefault(k, []).append(i)
-    for k, own in groups.items():
-        own.sort(key=lambda i: -max(len(ones[i]), len(others[i])))
-        at = 0
-        while at < len(own):
-            some = own[at : at + max(1, AT_A_TIME * 4 // (len(ones[own[at]]) + k))]
-            out[some] = _side_by_side([ones[i] for i in some], [others[i] for i in some], k)
-            at += len(some)
+            own.append(i)
+    own.sort(key=lambda i: -max(len(ones[i]), len(others[i])))
+    at = 0
+    while at < len(own):
+        some = own[at : at + max(1, AT_A_TIME * 4 // (len(ones[own[at]]) + 63))]
+        out[some] = _side_by_side([ones[i] for i in some], [others[i] for i in some], np.array([edits[i] for i in some]))
+        at += len(some)
     return out
 
 
-def _side_by_side(ones: list[str], others: list[str], edits: int) -> np.ndarray:
-    """One band for each pair, as in ``within``, the pairs with the longest line first."""
+def _side_by_side(ones: list[str], others: list[str], edits: np.ndarray) -> np.ndarray:
+    """One band for each pair, as in ``within``, of its own width; the pairs with the longest line first."""
     pairs = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(ones, others, strict=True)]
     n, m = (np.array([len(p[i]) for p in pairs]) for i in (0, 1))
-    a = np.zeros((len(pairs), int(m.max()) + 2 * edits + 1), np.uint32)
+    widest = 2 * int(edits.max()) + 1
+    a = np.full((len(pairs), int(m.max()) + widest), 0xFFFFFFFF, np.uint32)  # no character
     b = np.zeros((len(pairs), int(m.max())), np.uint32)
-    for i, (x, y) in enumerate(pairs):
-        a[i, edits : edits + len(x)] = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32)
+    for i, ((x, y), k) in enumerate(zip(pairs, edits.tolist(), strict=True)):
+        a[i, k : k + len(x)] = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32)
         b[i, : len(y)] = np.frombuffer(y.encode("utf-32-le", "surrogatepass"), np.uint32)
-    width, one = 2 * edits + 1, np.uint64(1)
-    full, top = np.uint64((1 << width) - 1), np.uint64(1 << (width - 1))
+    one = np.uint64(1)
+    top = one << (2 * edits).astype(np.uint64)
+    full = top | (top - one)
     good, live = np.zeros(len(pairs), bool), np.arange(len(pairs))
-    plus, minus = np.full(len(pairs), full ^ np.uint64((1 << edits) - 1)), np.zeros(len(pairs), np.uint64)
-    at, mark, bits = np.full(len(pairs), edits), np.full(len(pairs), top), np.zeros((len(pairs), 8), np.uint8)
+    plus, minus = full ^ ((one << edits.astype(np.uint64)) - one), np.zeros(len(pairs), np.uint64)
+    at, mark = edits.copy(), top.copy()
     for j in range(int(m.max())):
         over = m <= j
         if over.any() or j % 16 == 15:
-            good[live[over]] = at[over] <= edits
+            good[live[over]] = (at <= edits)[over]
             stay = ~over & (at <= 3 * edits)  # beyond it nothing in the band can be as low as allowed
             if not stay.all():
-                live, a, b, n, m, plus, minus, at, mark = (v[stay] for v in (live, a, b, n, m, plus, minus, at, mark))
+                live, a, b, n, m, plus, minus, at, mark, edits, top, full = (v[stay] for v in (live, a, b, n, m, plus, minus, at, mark, edits, top, full))
             if not len(live):
                 return good
-        packed = np.packbits(a[:, j : j + width] == b[:, j : j + 1], axis=1, bitorder="little")
+        packed = np.packbits(a[:, j : j + widest] == b[:, j : j + 1], axis=1, bitorder="little")
         bits = np.zeros((len(live), 8), np.uint8)
         bits[:, : packed.shape[1]] = packed
-        same = bits.view("<u8")[:, 0]
+        same = bits.view("<u8")[:, 0] & full
         zero = (((same & plus) + plus) ^ plus | same | minus) & full
         right, left = minus | full & ~(zero | plus), zero & plus
         inside = j + edits < n
@@ -323,28 +326,118 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
 
 
 def _occurrences(docs: DataFrame, clashing: frozenset[int]) -> DataFrame:
-    """``doc, lid, check, size, sig1, sig2, own, more`` of every line that is not blank; its keys where a task first meets it."""
-    keys = pa.list_(pa.int64())
-    schema = pa.schema([("doc", pa.int64()), ("lid", pa.int64()), ("check", pa.int64()), ("size", pa.int32()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("own", keys), ("more", keys)])
+    """``doc, lid, check, size, sig1, sig2`` of every line that is not blank."""
+    schema = pa.schema([("doc", pa.int64()), ("lid", pa.int64()), ("check", pa.int64()), ("size", pa.int32()), ("sig1", pa.int64()), ("sig2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
         for batch in batches:
             doc = batch.column(0).to_numpy()
             for first, texts in _texts(batch.column(1)):
                 x = Lines(texts, clashing)
                 if len(x.lid):
-                    if len(met) > MOST_MET:
-                        met.clear()  # keys again, which only costs time
-                    new = np.zeros(len(x.lid), bool)
-                    new[np.unique(x.lid, return_index=True)[1]] = True
-                    new &= (x.size >= LEAST_CHARS) & np.array([i not in met for i in x.lid.tolist()])
-                    met.update(x.lid[new].tolist())
                     arrays = [pa.array(a) for a in (doc[first + x.text], x.lid, x.check, x.size.astype(np.int32), *x.signature())]
-                    yield pa.RecordBatch.from_arrays([*arrays, *x.keys(new)], schema=schema)
+                    yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+    return docs.select(row_key().alias("doc"), "text").mapInArrow(run, "doc long, lid long, check long, size int, sig1 long, sig2 long")
+
+
+def _dealt_keys(docs: DataFrame, clashing: frozenset[int], buckets: int) -> DataFrame:
+    """``bucket, keys, lids``: the keys of lines of ``LEAST_CHARS`` or more where a task first meets them, many in a row.
+
+    Both columns are signed longs, eight bytes each. A key's bucket is told by its own bits, so all of a key meet.
+    """
+    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("lids", pa.binary())])
+
+    def dealt(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        key, lid = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        bucket = (key.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        used, starts = np.unique(bucket[order], return_index=True)
+        ends = np.append(starts[1:], len(order))
+        blobs = [pa.array([v[order][a:z].tobytes() for a, z in zip(starts, ends, strict=True)], pa.binary()) for v in (key, lid)]
+        return pa.RecordBatch.from_arrays([pa.array(used), *blobs], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = np.zeros(0, np.int64)
+        held, n = [], 0
+        for batch in batches:
+            for _, texts in _texts(batch.column(0)):
+                x = Lines(texts, clashing)
+                new = np.zeros(len(x.lid), bool)
+                new[np.unique(x.lid, return_index=True)[1]] = True
+                new &= (x.size >= LEAST_CHARS) & ~np.isin(x.lid, met)
+                if not new.any():
+                    continue
+                met = np.concatenate([met if len(met) < MOST_MET else met[:0], x.lid[new]])  # keys again, which only costs time
+                for lists in x.keys(new):
+                    of = np.repeat(x.lid, np.diff(lists.offsets.to_numpy()))
+                    held.append((lists.values.to_numpy(), of))
+                    n += len(of)
+                if n >= KEYS_HELD:
+                    yield dealt(held)
+                    held, n = [], 0
+        if held:
+            yield dealt(held)
+
+    return docs.select("text").mapInArrow(run, "bucket int, keys binary, lids binary")
+
+
+class _Met:
+    """Which line each key of a bucket was first met with; keys met with another one come out, that first line included."""
+
+    def __init__(self):
+        self.key = self.lid = np.zeros(0, np.int64)
+        self.told = np.zeros(0, bool)
+
+    def add(self, key: np.ndarray, lid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(key, kind="stable")
+        key, lid = key[order], lid[order]
+        begins = np.append(True, key[1:] != key[:-1])
+        heads = np.flatnonzero(begins)
+        own = np.searchsorted(self.key, key[heads])
+        known = np.zeros(len(heads), bool)
+        inside = own < len(self.key)
+        known[inside] = self.key[own[inside]] == key[heads[inside]]
+        first = lid[heads].copy()
+        first[known] = self.lid[own[known]]
+        group = np.cumsum(begins) - 1
+        other = lid != first[group]
+        shared = np.zeros(len(heads), bool)
+        shared[group[other]] = True
+        told = np.zeros(len(heads), bool)
+        told[known] = self.told[own[known]]
+        late = shared & ~told
+        out = np.concatenate([key[other], key[heads[late]]]), np.concatenate([lid[other], first[late]])
+        self.told[own[known]] |= shared[known]
+        new = ~known
+        at = own[new]
+        self.key, self.lid, self.told = np.insert(self.key, at, key[heads[new]]), np.insert(self.lid, at, first[new]), np.insert(self.told, at, shared[new])
+        return out
+
+
+def _met_again(dealt: DataFrame) -> DataFrame:
+    """``key, lid`` of the keys that several distinct lines have. A task holds each of its keys once, however many lines have it."""
+    schema = pa.schema([("key", pa.int64()), ("lid", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[int, _Met] = {}
+        held: dict[int, list] = {}
+
+        def told(bucket: int) -> pa.RecordBatch:
+            key, lid = (np.concatenate(v) for v in zip(*held.pop(bucket), strict=True))
+            found = met.setdefault(bucket, _Met()).add(key, lid)
+            return pa.RecordBatch.from_arrays([pa.array(f) for f in found], schema=schema)
+
+        for batch in batches:
+            for bucket, keys, lids in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                own = held.setdefault(bucket, [])
+                own.append(tuple(np.frombuffer(v.as_buffer(), np.int64) for v in (keys, lids)))
+                if sum(len(k) for k, _ in own) >= KEYS_HELD:
+                    yield told(bucket)
+        for bucket in list(held):
+            yield told(bucket)
 
-    spark_schema = "doc long, lid long, check long, size int, sig1 long, sig2 long, own array<long>, more array<long>"
-    return docs.select(row_key().alias("doc"), "text").mapInArrow(run, spark_schema)
+    return dealt.mapInArrow(run, "key long, lid long")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -352,18 +445,16 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _shared_keys(seen: DataFrame, distinct: DataFrame) -> DataFrame:
-    """``key, lid, n, size, sig1, sig2, times`` of keys that several distinct lines have, ``n`` of them; spooled. ``seen`` is used up.
+def _shared_keys(plain: DataFrame, distinct: DataFrame, clashing: frozenset[int]) -> DataFrame:
+    """``key, lid, n, size, sig1, sig2, times`` of keys that several distinct lines have, ``n`` of them; spooled.
 
-    Most keys are one line's only: these go in the one shuffle that all keys take.
+    Most keys are one line's only: these go in the one shuffle that all keys take, packed by the thousand. There are as many
+    buckets as hold ``KEYS_HELD`` keys each, told by the characters of all distinct lines.
     """
-    keys = seen.select("lid", F.explode(F.concat("own", "more")).alias("key"))
-    under = Window.partitionBy("key")
-    several = keys.withColumns({"low": F.min("lid").over(under), "high": F.max("lid").over(under)}).where("low < high")
-    shared = spool(several.select("key", "lid").distinct())
-    drop_spool(seen)
-    del keys, several
-    drop_shuffles(shared.sparkSession)
+    chars = distinct.where(F.col("size") >= LEAST_CHARS).agg(F.sum("size")).first()[0] or 0
+    buckets = max(plain.sparkSession.sparkContext.defaultParallelism, int(chars // (CHARS_A_KEY * KEYS_HELD)) + 1)
+    dealt = _dealt_keys(plain, clashing, buckets)
+    shared = spool(_met_again(dealt.repartition(buckets, "bucket")).distinct())
     sizes = shared.groupBy("key").agg(F.count("*").alias("n"))
     return spool(shared.join(sizes, "key").join(distinct.select("lid", "size", "sig1", "sig2", "times"), "lid"))
 
@@ -543,8 +634,8 @@ def _verified(pairs: DataFrame, plain: DataFrame, distinct: DataFrame, clashing:
     texts = spool(_line_texts(plain, distinct.join(asked, "lid").select("doc", "lid"), clashing))
     one = texts.select(F.col("lid").alias("a"), F.col("line").alias("la"))
     two = texts.select(F.col("lid").alias("b"), F.col("line").alias("lb"))
-    # Dealt out evenly: bytes don't tell how long pairs take.
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "la", "lb").repartition(8 * pairs.sparkSession.sparkContext.defaultParallelism)
+    # Dealt out evenly: bytes don't tell how long pairs take. A task takes enough of them to look at many side by side.
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "la", "lb").repartition(pairs.count() // PAIRS_A_TASK + 1)
     return spool(both.mapInArrow(run, "a long, b long"))
 
 
@@ -558,14 +649,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     there). A null text stays null with 0 lines. Rows with one ``doc_id`` count as one document; a row without one
     comes last and goes by its text. Rows are never taken out here. Equal lines are told by a 128-bit digest.
 
-    The texts are read three times: for keys, for the few lines to verify, and to be cut; they are shuffled once.
+    The texts are read four times: for lines, for their keys, for the few lines to verify, and to be cut; they are shuffled once.
     """
     docs = docs.drop("n_lines", "n_dropped")
     plain = docs.withColumn("text", F.col("text").cast("string"))
     seen, distinct, clashing = _seen(plain)
-    keyed, seen = seen, spool(seen.select("doc", "lid"))
-    nodes = connected_components(_linked(_shared_keys(keyed, distinct), plain, distinct, clashing))
-    drop_shuffles(plain.sparkSession)
+    nodes = connected_components(_linked(_shared_keys(plain, distinct, clashing), plain, distinct, clashing))
     classes = spool(distinct.select("lid", "doc", "again").join(nodes, distinct.lid == nodes.node, "left").where("again or component is not null"))
     classes = classes.select("lid", "doc", F.coalesce("component", "lid").alias("class"))
     owners = classes.groupBy("class").agg(F.min("doc").alias("owner"))
