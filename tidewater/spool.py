@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; where that is unset, a local one for a local master only."""
@@ -25,10 +29,24 @@ def run_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/spool-{spark.sparkContext.applicationId}"
 
 
+@contextlib.contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def spool(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: its lineage ends here and it is computed once."""
+    """``df`` written as Parquet to the shared folder and read back: its lineage ends here and it is computed once.
+
+    Shuffle files of the write are let go of as it ends, where the session can do so: nothing reads them again.
+    """
     path = f"{run_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -49,10 +67,3 @@ def drop_spool(df: DataFrame) -> None:
         if "/spool-" in folder:
             _delete(df.sparkSession, folder)
 
-
-def drop_shuffles(spark: SparkSession) -> None:
-    """Lets go of shuffle files that no plan refers to any more.
-
-    Spark deletes them when the driver's JVM collects garbage, which one with a large heap seldom does by itself.
-    """
-    spark.sparkContext._jvm.System.gc()
