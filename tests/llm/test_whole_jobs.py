@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from tidewater.llm import lines, nearcopies, simhash
@@ -110,3 +111,42 @@ def test_a_common_passage_makes_no_pairs(spark, monkeypatch):
         got = nearcopies.near_copies(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()
         assert {x["doc_id"]: x["component_id"] for x in got} == {i: {n: 0, n + 1: 1}.get(i, i) for i in range(n + 2)}
     assert sum(counts) < 1000
+
+
+@pytest.mark.parametrize("held", [1, 7, 500])
+def test_keys_met_again_against_brute_force(held):
+    r = random.Random(held)
+    rows = [(r.randrange(-60, 60) if r.random() < 0.6 else 5, r.randrange(40)) for _ in range(900)]
+    met, got = lines._Met(), set()
+    for at in range(0, len(rows), held):
+        key, lid = (np.array(v, np.int64) for v in zip(*rows[at : at + held], strict=True))
+        found = met.add(key, lid)
+        got |= set(zip(*(f.tolist() for f in found), strict=True))
+    own = {k: {y for x, y in rows if x == k} for k, _ in rows}
+    assert got == {(k, v) for k, vs in own.items() if len(vs) > 1 for v in vs}
+    assert (np.diff(met.key) > 0).all() and len(met.key) == len(own)
+
+
+def test_a_key_of_one_line_repeated_stays_alone():
+    met = lines._Met()
+    for _ in range(3):
+        key, lid = met.add(np.array([4, 4, 9], np.int64), np.array([2, 2, 3], np.int64))
+        assert not len(key) and not len(lid)
+    key, lid = met.add(np.array([4], np.int64), np.array([8], np.int64))
+    assert sorted(lid.tolist()) == [2, 8] and key.tolist() == [4, 4]
+
+
+def test_pairs_of_many_bounds_are_verified_side_by_side():
+    r = random.Random(23)
+    ones, others, bounds = [], [], []
+    for _ in range(300):
+        n = r.randrange(1, 90)
+        a = "".join(r.choice("ab\x00c") for _ in range(n))
+        own = list(a)
+        for _ in range(r.randrange(6)):
+            own.insert(r.randrange(len(own) + 1), r.choice("ab\x00d")) if r.random() < 0.5 else own and own.pop(r.randrange(len(own)))
+        ones.append(a)
+        others.append("".join(own))
+        bounds.append(r.choice([1, 2, 3, 5, 8, 20, 31, 40]))
+    want = [edit(a, b) <= k for a, b, k in zip(ones, others, bounds, strict=True)]
+    assert lines.within_all(ones, others, bounds).tolist() == want and 20 < sum(want) < 290
