@@ -260,6 +260,13 @@ def daily_mean(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys, (F.col("t") - F.pmod("t", F.lit(day))).alias("t")).agg(F.avg("value").alias("value"))
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's correlation; null where one of both is constant, for which Spark's own divides by zero."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+    return F.try_divide(F.covar_pop(x, y), F.nullif(F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y)), F.lit(0.0)))
+
+
 def skill_scores(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """RMSE, bias, Nash-Sutcliffe efficiency, Willmott's index and correlation of ``sim`` and ``obs`` at common times."""
     both = pairs.where("sim is not null and obs is not null")
@@ -273,7 +280,7 @@ def skill_scores(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.sum(d * d).alias("_se"),
         F.sum((F.col("obs") - F.col("_m")) * (F.col("obs") - F.col("_m"))).alias("_so"),
         F.sum(spread * spread).alias("_sw"),
-        F.corr("sim", "obs").alias("corr"),
+        correlation("sim", "obs").alias("corr"),
     )
     part = lambda c: 1 - F.try_divide("_se", F.when(F.col(c) > 1e-12, F.col(c)))
     corr = F.when(F.isnan("corr"), None).otherwise(F.col("corr"))
@@ -291,7 +298,7 @@ def best_lag(sim: DataFrame, obs: DataFrame, keys: Sequence[str], step: int, mos
     """
     lags = obs.select(*keys, F.col("value").alias("obs"), F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag"), "t").withColumn("t", F.col("t") + F.col("lag") * step)
     both = lags.join(sim.select(*keys, "t", F.col("value").alias("sim")), [*keys, "t"])
-    each = both.groupBy(*keys, "lag").agg(F.round(F.corr("sim", "obs"), 6).alias("r"), F.count("*").alias("n")).where("n >= 3 and r is not null and not isnan(r)")
+    each = both.groupBy(*keys, "lag").agg(F.round(correlation("sim", "obs"), 6).alias("r"), F.count("*").alias("n")).where("n >= 3 and r is not null and not isnan(r)")
     top = each.groupBy(*keys).agg(F.max_by("lag", F.struct("r", -F.abs("lag"), "lag")).alias("lag"), F.max("r").alias("r"))
     return top.select(*keys, F.when(F.abs("lag") < most, F.col("lag")).alias("lag"), "r")
 
