@@ -20,3 +20,10 @@ def test_correlation_skips_rows_with_a_null(spark):
     df = spark.createDataFrame(list(zip(x, y)), "sim double, obs double")
     both = np.array([(a, b) for a, b in zip(x, y) if a is not None and b is not None])
     assert abs(df.agg(S.correlation("sim", "obs").alias("r")).first()["r"] - np.corrcoef(both.T)[0, 1]) < 1e-12
+
+
+def test_spline_through_one_record(spark):
+    for n in (1, 2, 3):
+        own = spark.createDataFrame([(1, i * 4, i + 0.5) for i in range(n)], "station long, t long, value double")
+        got = sorted((r["t"], r["value"]) for r in S.tide_spline(own, ["station"], 4, 1).collect())
+        assert [t for t, _ in got] == list(range(4 * (n - 1) + 1)) and all(abs(v - (t / 4 + 0.5)) < 1e-9 for t, v in got)

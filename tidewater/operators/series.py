@@ -375,9 +375,10 @@ SPLINE, HALO = 1000, 200
 
 def spline_values(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A cubic spline through even ``x`` (four or more), with the third derivative going on over the second and last but one."""
-    n, h = len(x), x[1] - x[0]
+    n = len(x)
     if n < 4:
         return np.polyval(np.polyfit(x - x[0], y, n - 1), at - x[0])
+    h = x[1] - x[0]
     # Second derivatives m: inner rows m[i-1] + 4 m[i] + m[i+1] = 6 second differences / h^2; ends by m[0] = 2 m[1] - m[2].
     rhs = 6 * (y[:-2] - 2 * y[1:-1] + y[2:]) / h**2
     diag, upper, lower = np.full(n - 2, 4.0), np.ones(n - 2), np.ones(n - 2)
