@@ -81,6 +81,26 @@ def test_lengths_of_all_nodes(spark, grid):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
 
 
+def test_rounds_write_labels_of_gates_only(spark, grid, monkeypatch):
+    _, node, edges, nbrs = grid
+    of = blocks(node, 32)
+    block, near = {r["node_id"]: r["block"] for r in of.collect()}, near_of(nbrs)
+    gates = {a for a in near for b in near[a] if block[a] != block[b]}
+    assert 0 < len(gates) < WIDE * HIGH / 2
+    written = []
+
+    def noted(df):
+        out = spool.spool(df)
+        if {"pair", "node_id", "length"} <= set(out.columns):
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(paths, "spool", noted)
+    seeds = spark.createDataFrame([(0, 0), (1, 30)], "pair long, node_id long")
+    assert paths.least_labels(seeds, paths.edge_steps(edges, node), of).count() == 2 * WIDE * HIGH
+    assert max(written) <= 2 * (2 * len(gates) + 1)
+
+
 def test_coinciding_nodes_do_not_go_in_circles(spark):
     node = spark.createDataFrame([(i, 0.0 if i < 4 else 1.0, 0.0, 0.0) for i in range(6)], NODE)
     edges = spark.createDataFrame([(a, b, 0) for a, b in ((0, 1), (1, 2), (2, 3), (0, 3), (3, 4), (4, 5))], "a long, b long, etype int")

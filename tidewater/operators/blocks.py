@@ -25,15 +25,19 @@ def z_order(x: Column, y: Column, x0: Column, y0: Column, wide: Column) -> Colum
     return _spread(at(x, x0)).bitwiseOR(F.shiftleft(_spread(at(y, y0)), 1))
 
 
-def blocks(node: DataFrame, size: int = BLOCK) -> DataFrame:
+def blocks(node: DataFrame, size: int = BLOCK, few: int | None = None) -> DataFrame:
     """``node_id, block``: nodes in blocks of about ``size`` along a space-filling curve, whatever their density.
 
+    With ``few`` there are no more than so many as long as they needn't be larger than eight times ``size`` for that.
     Nodes without columns ``x, y`` go by their ids. Written out, so that all who read it see the same blocks.
     """
     if "x" not in node.columns:
         node = node.select("node_id", F.col("node_id").cast("double").alias("x"), F.lit(0.0).alias("y"))
     box = node.agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("wide"), F.count("*").alias("n"))
-    parts = max(1, -(-(box.first()["n"]) // size))
+    n = box.first()["n"]
+    parts = max(1, -(-n // size))
+    if few is not None:
+        parts = max(min(parts, few), -(-n // (8 * size)))
     code = z_order(*(F.col(c) for c in ("x", "y", "x0", "y0", "wide")))
     placed = node.join(F.broadcast(box.drop("n"))).select("node_id", code.alias("code"))
     return spool(placed.repartitionByRange(parts, "code", "node_id").select("node_id", F.spark_partition_id().alias("block")))
