@@ -45,14 +45,19 @@ def column_max_fill(field: DataFrame, keys: Sequence[str]) -> DataFrame:
 def daily_blocks(series: DataFrame, keys: Sequence[str], day: int, hour: int) -> DataFrame:
     """``keys, day, hour, t, value``: for each hour of each day with rows the first row at or after it, null past the last."""
     own = series.withColumn("day", F.floor(F.col("t") / day).cast("long"))
-    hours = own.select(*keys, "day").distinct().withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
-    # A row is the first one at or after the hours since the row before it, so no hour meets a day's rows.
-    near = Window.partitionBy(*keys, "day").orderBy("t")
+    told = F.col("day").isNotNull()
+    for k in keys:
+        told = told & F.col(k).isNotNull()
+    # A row is the first one at or after the hours since the row before it, and a day's last row tells which hours have none:
+    # no hour meets a day's rows, and hours are laid out after the shuffle.
+    near = Window.partitionBy(*keys, "day").orderBy("t", "value")
     into = F.col("t") - F.col("day") * day
-    spans = own.withColumn("_to", F.floor(into / hour)).withColumn("_from", F.coalesce(F.floor(F.lag(into).over(near) / hour) + 1, F.lit(0))).where("_from <= _to")
-    hit = spans.select(*keys, "day", "t", "value", F.explode(F.sequence(F.col("_from").cast("int"), F.col("_to").cast("int"))).alias("hour"))
-    hit = hit.groupBy(*keys, "day", "hour").agg(F.min(F.struct("t", "value")).alias("r")).select(*keys, "day", "hour", "r.t", "r.value")
-    return hours.join(hit, [*keys, "day", "hour"], "left")
+    upto = F.when(told, F.floor(into / hour)).otherwise(-1).cast("int")
+    spans = own.withColumns({"_to": upto, "_from": F.coalesce(F.floor(F.lag(into).over(near) / hour) + 1, F.lit(0)).cast("int"), "_more": F.lead(F.lit(True)).over(near)})
+    hit = F.struct(F.col("_from").alias("a"), F.col("_to").alias("z"), "t", "value")
+    rest = F.struct((F.col("_to") + 1).alias("a"), F.lit(23).alias("z"), F.lit(None).cast(series.schema["t"].dataType).alias("t"), F.lit(None).cast(series.schema["value"].dataType).alias("value"))
+    laid = spans.select(*keys, "day", F.explode(F.when(F.col("_more"), F.array(hit)).otherwise(F.array(hit, rest))).alias("r")).where("r.a <= r.z")
+    return laid.select(*keys, "day", F.explode(F.sequence("r.a", "r.z")).alias("hour"), "r.t", "r.value")
 
 
 def cast_requests(casts: DataFrame, stations: DataFrame, start: int) -> DataFrame:
