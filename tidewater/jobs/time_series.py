@@ -31,11 +31,6 @@ def _once(df: DataFrame) -> DataFrame:
     return df.groupBy(*KEYS, "t").agg(F.round(F.avg("value"), 6).alias("value"))
 
 
-def _gappy(spark, d):
-    h = hourly(spark, d)
-    return S.regular_grid(h, KEYS, HOUR).join(h, [*KEYS, "t"], "left")
-
-
 def _restarts(spark, d):
     s = series(spark, d)
     return s.where(F.col("t") < JAN_20).withColumn("file", F.lit(0)).unionByName(s.where(F.col("t") >= JAN_10).withColumn("file", F.lit(1)))
@@ -44,8 +39,7 @@ def _restarts(spark, d):
 def flagship_skill(spark: SparkSession, d: str) -> DataFrame:
     """Simulated (clicks) against observed (views) series: hourly means, gaps filled, scored by station."""
     h = hourly(spark, d).where("variable in ('view', 'click')")
-    filled = S.fill_gaps(S.regular_grid(h, KEYS, HOUR).join(h, [*KEYS, "t"], "left"), KEYS, GAP)
-    filled = _settled(filled, "value")
+    filled = _settled(S.filled_grid(h, KEYS, HOUR, GAP), "value")
     pick = lambda v, name: filled.where((F.col("variable") == v) & F.col("value").isNotNull()).select("station", "t", F.col("value").alias(name))
     scores = S.skill_scores(pick("click", "sim").join(pick("view", "obs"), ["station", "t"]), ["station"])
     return _settled(scores.where("n >= 3"), "rmse", "bias", "nse", "willmott", "corr")
@@ -62,7 +56,7 @@ def resample_ffill(spark, d):
 
 
 def fill_gaps(spark, d):
-    return _settled(S.fill_gaps(_gappy(spark, d), KEYS, GAP), "value")
+    return _settled(S.filled_grid(hourly(spark, d), KEYS, HOUR, GAP), "value")
 
 
 def resample_linear(spark, d):
@@ -97,9 +91,7 @@ def time_clip(spark, d):
 
 
 def nearest_time(spark, d):
-    h = _once(series(spark, d))
-    grid = S.regular_grid(h, KEYS, 6 * HOUR)
-    return S.as_of(grid, h, KEYS, "nearest")
+    return S.as_of_grid(_once(series(spark, d)), KEYS, 6 * HOUR, "nearest")
 
 
 def as_of_backward(spark, d):
@@ -109,8 +101,7 @@ def as_of_backward(spark, d):
 
 
 def bracket_interp(spark, d):
-    h = _once(series(spark, d))
-    return _settled(S.bracket_interp(S.regular_grid(h, KEYS, 12 * HOUR), h, KEYS), "r_value")
+    return _settled(S.bracket_grid(_once(series(spark, d)), KEYS, 12 * HOUR), "r_value")
 
 
 def infer_frequency(spark, d):

@@ -95,15 +95,60 @@ def regular_grid(df: DataFrame, keys: Sequence[str], step: int, span: int = SPAN
     return spans.select(*keys, F.explode(F.sequence(F.col("_from"), F.least(F.col("z"), F.col("_from") + wide - step), F.lit(step))).alias("t"))
 
 
+def stretches(df: DataFrame, keys: Sequence[str], step: int, on_grid: bool = False, span: int = SPAN) -> DataFrame:
+    """``keys, from, to, a, b``: the times ``from`` to ``to`` of ``regular_grid`` with the same rows ``a`` at or before and ``b`` after them.
+
+    ``a`` and ``b`` are structs of ``t, v``, null where there is no row; rows without a value don't count, nor do those off the
+    grid with ``on_grid``, but for a series' ends. Each row is put beside the next one in spans, so that what is shuffled grows
+    with the rows and not with the grid, and a task sorts rows only.
+    """
+    c = F.col
+    known = c("value").isNotNull()
+    for k in keys:
+        known = known & c(k).isNotNull()
+    if on_grid:
+        known = known & (F.pmod("t", F.lit(step)) == 0)
+    own = df.where("t is not null").select(*keys, "t", F.when(known, F.struct(c("t").alias("t"), c("value").alias("v"))).alias("a"), _span("t", span).alias("_span"))
+    upper = lambda t: t + F.pmod(-t, F.lit(step))
+    found = own.where("a is not null").withColumn("_in", F.lead("a").over(Window.partitionBy(*keys, "_span").orderBy("t")))
+    spans = own.groupBy(*keys, "_span").agg(F.min("a").alias("_first"), F.min("t").alias("_t0"), F.max("t").alias("_t1"))
+    behind, whole = Window.partitionBy(*keys).orderBy(F.desc("_span")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    start = F.min("_t0").over(whole)
+    spans = spans.select(*keys, "_span", F.last("_first", ignorenulls=True).over(behind).alias("_edge"), F.min("_first").over(whole).alias("_head"), F.row_number().over(Window.partitionBy(*keys).orderBy("_span")).alias("_nth"), (start - F.pmod(start, F.lit(step))).alias("_from"), F.max("_t1").over(whole).alias("_to"))
+    last = lambda b: F.least(F.coalesce(b["t"] - 1, c("_to")), c("_to"))
+    each = found.join(spans.select(*keys, "_span", "_edge", "_to"), [*keys, "_span"]).withColumn("b", F.coalesce("_in", "_edge"))
+    each = each.select(*keys, upper(c("a.t")).alias("from"), last(c("b")).alias("to"), "a", "b")
+    head = spans.where("_nth = 1").select(*keys, c("_from").alias("from"), last(c("_head")).alias("to"), F.lit(None).cast(own.schema["a"].dataType).alias("a"), c("_head").alias("b"))
+    return each.unionByName(head).where("`from` <= `to`")
+
+
+def laid_out(rows: DataFrame, step: int, deal: Sequence[str], span: int = SPAN) -> DataFrame:
+    """``rows`` of ``stretches`` at each of their times ``t``, and ``_span`` of it: cut at spans and dealt by ``deal`` and span before they are laid out."""
+    c = F.col
+    cut = rows.withColumn("_span", F.explode(F.sequence(_span("from", span), _span("to", span))))
+    first = F.greatest(c("from"), c("_span") * span + F.pmod(-(c("_span") * span), F.lit(step)))
+    cut = cut.withColumns({"from": first, "to": F.least(c("to"), (c("_span") + 1) * span - 1)}).where("`from` <= `to`").repartition(*deal, "_span")
+    return cut.withColumn("t", F.explode(F.sequence("from", "to", F.lit(step)))).drop("from", "to")
+
+
 def resample_ffill(df: DataFrame, keys: Sequence[str], step: int) -> DataFrame:
     """On the regular grid, the last value at or before each label; null before the first row.
 
-    Labels and rows are put in order together, so that the grid is shuffled once.
+    Rows are shuffled, labels are laid out after.
     """
-    labels = regular_grid(df, keys, step).select(*keys, "t", F.lit(None).cast(df.schema["value"].dataType).alias("value"), F.lit(True).alias("_grid"))
-    both = labels.unionByName(df.where(F.col("value").isNotNull() & F.col("t").isNotNull()).select(*keys, "t", "value", F.lit(False).alias("_grid")))
-    seen = last_known(both, keys, "value", "_last", first=F.col("_grid"))
-    return seen.where("_grid").select(*keys, "t", F.col("_last.v").alias("value"))
+    return laid_out(stretches(df, keys, step), step, keys).select(*keys, "t", F.col("a.v").alias("value"))
+
+
+def around_grid(df: DataFrame, keys: Sequence[str], step: int, on_grid: bool = False) -> DataFrame:
+    """``keys, t, _a, _b`` on the regular grid: the rows at or before and at or after each time, as structs of ``t, v``."""
+    laid = laid_out(stretches(df, keys, step, on_grid), step, keys)
+    return laid.select(*keys, "t", F.col("a").alias("_a"), F.when(F.col("a.t") == F.col("t"), F.col("a")).otherwise(F.col("b")).alias("_b"))
+
+
+def _line() -> Column:
+    """The value at ``t`` on the line from ``_a`` to ``_b``."""
+    a, b = F.col("_a.v"), F.col("_b.v")
+    return a + (b - a) * (F.col("t") - F.col("_a.t")) / F.nullif(F.col("_b.t") - F.col("_a.t"), F.lit(0))
 
 
 def fill_gaps(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
@@ -116,15 +161,21 @@ def fill_gaps(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     near = near.withColumn("_step", (F.col("_t1") - F.col("_t0")) / F.greatest(F.col("_rows") - 1, F.lit(1)))
     nth = F.when(F.col("_step") > 0, F.round((F.col("t") - F.col("_a.t")) / F.col("_step")))
     a, b = F.col("_a.v"), F.col("_b.v")
-    line = a + (b - a) * (F.col("t") - F.col("_a.t")) / F.nullif(F.col("_b.t") - F.col("_a.t"), F.lit(0))
-    filled = F.when(F.col("value").isNotNull(), F.col("value")).when((nth <= limit) & b.isNotNull(), line).when(nth <= limit, a)
+    filled = F.when(F.col("value").isNotNull(), F.col("value")).when((nth <= limit) & b.isNotNull(), _line()).when(nth <= limit, a)
     return near.select(*[c for c in df.columns if c != "value"], filled.alias("value"))
 
 
+def filled_grid(df: DataFrame, keys: Sequence[str], step: int, limit: int) -> DataFrame:
+    """``fill_gaps`` of the regular grid with those rows that are exactly on it: the grid is laid out where its rows are known."""
+    near = around_grid(df, keys, step, on_grid=True)
+    nth = (F.col("t") - F.col("_a.t")) / step
+    filled = F.when(F.col("_a.t") == F.col("t"), F.col("_a.v")).when((nth <= limit) & F.col("_b").isNotNull(), _line()).when(nth <= limit, F.col("_a.v"))
+    return near.select(*keys, "t", filled.alias("value"))
+
+
 def resample_linear(df: DataFrame, keys: Sequence[str], step: int, limit: int) -> DataFrame:
     """On the regular grid: only rows exactly on it count, nulls between are filled linearly (first ``limit`` of a gap)."""
-    grid = regular_grid(df, keys, step)
-    return fill_gaps(grid.join(df.select(*keys, "t", "value"), [*keys, "t"], "left"), keys, limit)
+    return filled_grid(df, keys, step, limit)
 
 
 def combine_restarts(df: DataFrame, keys: Sequence[str], prefer: str = "first") -> DataFrame:
@@ -191,21 +242,37 @@ def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], direction: str
     ``forward``: the first at or after; ``nearest``: the nearer one, the earlier at ties. Right rows of one series and
     time must be one, values not null. Left rows without a key or time are left out.
     """
-    near = _with_around(left, right, keys)
+    return _picked(_with_around(left, right, keys), direction)
+
+
+def _picked(near: DataFrame, direction: str) -> DataFrame:
     a, b = F.col("_a"), F.col("_b")
     nearer = F.when(b.isNull() | (F.col("t") - F.col("_a.t") <= F.col("_b.t") - F.col("t")), a).otherwise(b)
     pick = {"backward": a, "forward": b, "nearest": nearer}[direction]
     return near.withColumn("_p", pick).withColumns({"r_t": F.col("_p.t"), "r_value": F.col("_p.v")}).drop("_a", "_b", "_p")
 
 
+def as_of_grid(df: DataFrame, keys: Sequence[str], step: int, direction: str = "backward") -> DataFrame:
+    """``as_of`` at the times of the series' own regular grid."""
+    return _picked(around_grid(df, keys, step), direction)
+
+
 def bracket_interp(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Each left row with the right series' value at its time, linear between the rows around it; null outside."""
-    near = _with_around(left, right, keys)
+    return _between(_with_around(left, right, keys))
+
+
+def _between(near: DataFrame) -> DataFrame:
     w = (F.col("t") - F.col("_a.t")) / F.nullif(F.col("_b.t") - F.col("_a.t"), F.lit(0))
     value = F.when(F.col("_a.t") == F.col("t"), F.col("_a.v")).otherwise(F.col("_a.v") + w * (F.col("_b.v") - F.col("_a.v")))
     return near.withColumn("r_value", value).drop("_a", "_b")
 
 
+def bracket_grid(df: DataFrame, keys: Sequence[str], step: int) -> DataFrame:
+    """``bracket_interp`` at the times of the series' own regular grid."""
+    return _between(around_grid(df, keys, step))
+
+
 def infer_frequency(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``keys, step, regular``: the commonest step (the smallest at ties), and whether it is the only one."""
     n = row_before(df.select(*keys, "t"), keys, F.col("t"), "_prev").withColumn("step", F.col("t") - F.col("_prev.v")).where("step is not null").groupBy(*keys, "step").agg(F.count("*").alias("n"))
@@ -250,9 +317,13 @@ def minmax_normalize(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def openness(df: DataFrame, keys: Sequence[str], step: int) -> DataFrame:
-    """Product of the normalized columns (``name``) of a structure at each time, forward-filled to ``step``."""
-    each = minmax_normalize(resample_ffill(df, [*keys, "name"], step), [*keys, "name"])
-    return each.groupBy(*keys, "t").agg(F.product("value").alias("up"), (-F.product("value")).alias("down"))
+    """Product of the normalized columns (``name``) of a structure at each time, forward-filled to ``step``.
+
+    A column's ends come from its rows that stand at some time; all columns of a structure are laid out in one place.
+    """
+    rows = stretches(df, [*keys, "name"], step).withColumn("value", F.col("a.v")).drop("a", "b")
+    each = laid_out(minmax_normalize(rows, [*keys, "name"]), step, keys)
+    return each.groupBy(*keys, "_span", "t").agg(F.product("value").alias("up"), (-F.product("value")).alias("down")).drop("_span")
 
 
 def daily_mean(df: DataFrame, keys: Sequence[str]) -> DataFrame:
