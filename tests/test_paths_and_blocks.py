@@ -131,6 +131,21 @@ def test_smoothing_in_blocks_is_the_same_round_by_round(spark, grid, size, rings
     assert got.keys() == v.keys() and all(got[n] == pytest.approx(v[n], abs=1e-9) for n in v)
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+def test_few_rounds_lay_out_no_blocks(spark, grid, monkeypatch, rounds):
+    _, node, _, nbrs = grid
+    value = node.select("node_id", F.col("depth").alias("value")).unionByName(spark.createDataFrame([(99, 5.0), (98, None)], "node_id long, value double"))
+    near, v = near_of(nbrs), {r["node_id"]: r["value"] for r in value.collect()}
+    for _ in range(rounds):
+        v = {n: x + 0.3 * (np.mean([v[m] for m in near[n]]) - x) if near[n] else x for n, x in v.items()}
+    got = {r["node_id"]: r["value"] for r in graph.laplace_rounds(value, nbrs.unionByName(nbrs), 0.3, rounds).collect()}
+    assert got.keys() == v.keys() and got.pop(98) is None and all(got[n] == pytest.approx(v[n], abs=1e-9) for n in got)
+    monkeypatch.setattr(refine, "in_blocks", None)
+    monkeypatch.setattr(graph, "blocks", None)
+    levels = spark.createDataFrame([(n, k, float(k * (n + 2))) for n in range(9) for k in range(3)], "node_id long, k int, z double")
+    assert refine.bottom_thickness(levels, nbrs, 1.0).count() == 9
+
+
 @pytest.mark.parametrize("size, rings", [(1000, 30), (10, 2)])
 def test_interfaces_in_blocks(spark, grid, size, rings):
     _, node, _, nbrs = grid

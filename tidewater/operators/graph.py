@@ -123,6 +123,21 @@ def laplace_smooth(
     return in_blocks(state, nbrs, blocks(node if node is not None else value, size), advance, rounds, rings).select("node_id", "value")
 
 
+def laplace_rounds(value: DataFrame, nbrs: DataFrame, share: float, rounds: int) -> DataFrame:
+    """``laplace_smooth`` for a few rounds (``share`` being kappa dt): each is a join by neighbour and one by node, and no blocks are laid out."""
+    links = spool(nbrs.select("node_id", "nbr").distinct())
+    now = spool(value.select("node_id", F.col("value").cast("double").alias("value")))
+    for _ in range(rounds):
+        near = now.where("not isnan(value)").select(F.col("node_id").alias("nbr"), F.col("value").alias("near"))
+        mean = links.join(near, "nbr").groupBy("node_id").agg(F.avg("near").alias("mean"))
+        moved = F.coalesce(F.col("value") + share * (F.col("mean") - F.col("value")), "value")
+        nxt = spool(now.join(mean, "node_id", "left").select("node_id", moved.alias("value")))
+        drop_spool(now)
+        now = nxt
+    drop_spool(links)
+    return now
+
+
 def ring_distance(seeds: DataFrame, nbrs: DataFrame, most: int) -> DataFrame:
     """``seed, node_id, ring``: hops from each seed's nodes, up to ``most``; all seeds in one loop."""
     found = seeds.select("seed", "node_id", F.lit(0).alias("ring")).distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from tidewater.operators import mesh as M
 from tidewater.operators.blocks import BLOCK, blocks
 from tidewater.operators.components import connected_components
-from tidewater.operators.graph import RINGS, in_blocks, laplace_smooth
+from tidewater.operators.graph import RINGS, in_blocks, laplace_rounds
 from tidewater.spool import drop_spool, spool
 
 #: Quads below the first area take 3 x 3 points, below the second 4 x 4, larger ones 5 x 5.
@@ -259,7 +259,7 @@ def bottom_thickness(level_z: DataFrame, nbrs: DataFrame, least: float, kappa: f
     up = F.lead("z").over(Window.partitionBy("node_id").orderBy("k"))
     last = level_z.withColumn("up", up).where("up is not null").groupBy("node_id").agg(F.min_by(F.col("up") - F.col("z"), "k").alias("t"))
     start = last.select("node_id", F.greatest("t", F.lit(least)).alias("value"))
-    return laplace_smooth(start, nbrs, kappa, rounds=2).select("node_id", F.greatest("value", F.lit(least)).alias("value"))
+    return laplace_rounds(start, nbrs, kappa, 2).select("node_id", F.greatest("value", F.lit(least)).alias("value"))
 
 
 def tv_step(edges: DataFrame, node: DataFrame, geometry: DataFrame, elem_node: DataFrame, cfl: float = 0.5, clip: bool = True) -> DataFrame:
