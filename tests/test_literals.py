@@ -1,10 +1,11 @@
 """Operators on small tables with answers worked out by hand."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidewater.operators import mesh, series, spatial, tables, vertical
-from tidewater.operators.components import connected_components
+from tidewater.operators.components import connected_components, least_reachable
 from tidewater.sources import text
 
 H = 3_600_000_000
@@ -85,6 +86,28 @@ def test_build_pairs_reasons(spark):
     assert got == {("delta_src_1", "delta_sink_1"): None, ("suisun_src_1", None): "no sink", ("x", None): "bad name"}
 
 
+def test_a_long_path_is_connected_in_tasks(spark, monkeypatch):
+    from tidewater.operators import components
+
+    rounds, state = [], components._state
+    monkeypatch.setattr(components, "_state", lambda e: rounds.append(1) or state(e))
+    path = spark.range(20_000).selectExpr("id a", "id + 1 b")
+    assert connected_components(path).where("component = 0").count() == 20_001
+    assert len(rounds) <= 6
+
+
+def test_least_reachable_against_brute_force():
+    r = np.random.default_rng(5)
+    for n, m in ((1, 1), (30, 12), (30, 40), (400, 300)):
+        u, v = r.integers(-n, n, (2, m))
+        label = {int(x): int(x) for x in [*u, *v]}
+        for _ in range(len(label)):
+            for a, b in zip(u.tolist(), v.tolist(), strict=True):
+                label[a] = label[b] = min(label[a], label[b])
+        node, least = least_reachable(u, v)
+        assert dict(zip(node.tolist(), least.tolist(), strict=True)) == {k: x for k, x in label.items() if k != x}
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(300)]
     star = [(1000, 1000 + i) for i in range(1, 200)]

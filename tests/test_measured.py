@@ -27,3 +27,15 @@ def test_a_measured_side_is_broadcast_and_settings_stay(spark):
     assert "BroadcastHashJoin" not in plan(both)
     assert both.count() == 10 and both.collect()
     assert "BroadcastHashJoin" in plan(both)
+
+
+def test_megabytes_are_not_broadcast_however_many_joins_ask_for_them(spark):
+    from tidewater import measured as m
+
+    own = measured(spark)
+    large = own.range(200_000).groupBy("id").agg(F.count("*").alias("n"))  # 4.8 MB of rows, half of what Spark broadcasts
+    both = own.range(400_000).join(large, "id")
+    assert both.collect() and "BroadcastHashJoin" not in plan(both)
+    for size, n in (("-1", -1), ("10485760b", 10 << 20), ("10MB", 10 << 20), ("3k", 3 << 10), ("1 gib", 1 << 30)):
+        assert m._bytes(size) == n
+    assert int(own.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold")) == m.MOST

@@ -49,7 +49,8 @@ def boundary_strings(elem_node: DataFrame, node: DataFrame, segments: DataFrame,
     one by one.
     """
     c = F.col
-    made = spool(directed_boundary(elem_node, node).withColumn("eid", F.monotonically_increasing_id()))
+    # Edges of nodes near each other get ids near each other, so that rings are mostly found within tasks.
+    made = spool(directed_boundary(elem_node, node).repartitionByRange("p", "q").withColumn("eid", F.monotonically_increasing_id()))
     follows = made.select(c("p").alias("q"), c("q").alias("p2"), c("eid").alias("nxt"))
     walk = spool(made.join(follows, ["q", "p2"]).select("eid", "p", "q", "nxt"))
     shore = node.join(walk.select(c("p").alias("node_id")), "node_id", "left_semi").select(c("node_id").alias("site_id"), "x", "y")
