@@ -113,6 +113,25 @@ def test_a_common_passage_makes_no_pairs(spark, monkeypatch):
     assert sum(counts) < 1000
 
 
+def test_near_dedup_links_by_fingerprints_first(spark, monkeypatch):
+    """Long texts that differ in a word are linked by their fingerprints; nothing of them is left for the join by shingles."""
+    r = random.Random(11)
+    base = [f"w{r.randrange(10**6)}" for _ in range(4000)]
+    texts = [" ".join([*base[:-1], f"end{i}"]) for i in range(12)] + [" ".join(base[::-1])]
+    fps = [simhash.fingerprint_of([nearcopies.shingle_set(t, 5)]) for t in texts]
+    label = groups(list(range(12)), lambda i, j: bin(fps[i] ^ fps[j]).count("1") <= 2)
+    assert set(label.values()) == {0} and len(set(fps[:12])) > 1 and len(set(texts)) == 13
+    rows, made = [], nearcopies._candidates
+
+    def counting(df):
+        rows.append(df.count())
+        return made(df)
+
+    monkeypatch.setattr(nearcopies, "_candidates", counting)
+    got = simhash.keep_one_each(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()
+    assert sorted(x["doc_id"] for x in got) == [0, 12] and sum(rows) == 0
+
+
 @pytest.mark.parametrize("held", [1, 7, 500])
 def test_keys_met_again_against_brute_force(held):
     r = random.Random(held)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +40,12 @@ def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """64 bits, each set if set in over half the shingles' hashes; 0 without words."""
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
+def fingerprint_of(hashes: Iterable[np.ndarray]) -> int:
     total, votes = 0, np.zeros(64, np.int64)
-    for h in shingle_hashes(text, shingle):
+    for h in hashes:
         total += len(h)
         votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * votes > total, bitorder="little").view("<u8")[0])
@@ -121,9 +125,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 def keep_one_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """``docs`` with the smallest ``doc_id`` of each group of near copies; of its repeated rows, one.
 
-    Near copies are texts whose ``shingle``-word shingles have a Jaccard similarity of 4/5 or more
-    (``nearcopies.near_copies``): far more than 2 of 64 bits apart, so fingerprints don't decide here. Rows without a
-    ``doc_id`` come after all others and go by their text. The texts are shuffled once.
+    Near copies are linked by their fingerprints and Golay keys (``linked``), and such links are checked: texts whose
+    ``shingle``-word shingles have a Jaccard similarity of 4/5 or more. Most such texts are far more than 2 of 64 bits
+    apart; those that fingerprints left apart are found by their rarest shingles (``nearcopies.near_copies``), so that none
+    is missed. Rows without a ``doc_id`` come after all others and go by their text. The texts are shuffled once.
     """
     from tidewater.llm.nearcopies import near_copies
 
