@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tidewater.llm.tables import table
+from tidewater.llm.tables import give_back, table
 
 #: Languages that are learned at most, the commonest, and labelled rows of each that the model is fitted on at most, the smallest by a hash.
 MOST_LANGUAGES, ROWS_PER_LANGUAGE = 256, 150
@@ -345,6 +345,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                     scores += y
                     some, size = [], 0
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+            give_back()
 
     out = own.withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema)
     letter = F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False))
