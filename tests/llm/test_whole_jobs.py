@@ -1,10 +1,12 @@
 """What the operators of a corpus take in: near copies, edited, short and numeric lines, vectors of any length."""
 
+import os
 import random
 
 import numpy as np
 import pytest
 
+from tidewater import spool
 from tidewater.llm import lines, nearcopies, simhash
 
 SCHEMA = "doc_id long, text string"
@@ -169,3 +171,40 @@ def test_pairs_of_many_bounds_are_verified_side_by_side():
         bounds.append(r.choice([1, 2, 3, 5, 8, 20, 31, 40]))
     want = [edit(a, b) <= k for a, b, k in zip(ones, others, bounds, strict=True)]
     assert lines.within_all(ones, others, bounds).tolist() == want and 20 < sum(want) < 290
+
+
+def test_prefix_keys_of_several_sets_only(spark):
+    """What prefixes hold alone isn't kept; copies of one set count as one."""
+    r = random.Random(5)
+    rows = [(sid, [r.randrange(300) - 150 for _ in range(r.randrange(12))]) for sid in range(60)]
+    rows = [(sid, sorted(set(keys))) for sid, keys in rows] * 2
+    marked = spark.createDataFrame(rows, "sid long, keys array<long>").repartition(3)
+    got = [(x["key"], x["sid"]) for x in nearcopies._shared_keys(marked).collect()]
+    holders = {}
+    for sid, keys in rows:
+        for k in keys:
+            holders.setdefault(k, set()).add(sid)
+    assert sorted(got) == sorted((k, sid) for k, own in holders.items() if len(own) > 1 for sid in own)
+
+
+@pytest.mark.parametrize("stage", [simhash.keep_one_each, lines.dedup_documents])
+def test_stages_leave_one_table_behind(spark, stage):
+    """Only what the result still reads stays on disk."""
+    base = [" ".join(f"w{i * j}" for j in range(1, 40)) for i in range(1, 8)]
+    texts = [*base, base[0] + " more", base[1].replace("w4", "v4"), base[2]]
+    folder = spool.run_dir(spark).removeprefix("file:").replace("//", "/")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    got = stage(spark.createDataFrame(list(enumerate(texts)), SCHEMA))
+    assert 7 <= got.count() < len(texts)
+    assert len(set(os.listdir(folder)) - before) == 1
+
+
+def test_scratch_keeps_what_it_is_asked_to(spark):
+    with spool.scratch(spark) as outer:
+        with spool.scratch(spark) as keep:
+            gone = spool.spool(spark.range(3))
+            inner = keep(gone.selectExpr("id + 1 id"))
+        assert not os.path.exists(gone.inputFiles()[0].removeprefix("file://"))
+        last = outer(inner.selectExpr("id + 1 id"))
+    assert sorted(x["id"] for x in last.collect()) == [2, 3, 4]
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in inner.inputFiles())

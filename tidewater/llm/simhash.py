@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidewater.llm import golay
 from tidewater.llm.tables import row_key, table
 from tidewater.operators.components import connected_components
-from tidewater.spool import spool
+from tidewater.spool import scratch, spool
 
 #: Bits of the three segments of a fingerprint, from the lowest; each fits a Golay word.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -133,8 +133,9 @@ def keep_one_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
     from tidewater.llm.nearcopies import near_copies
 
     keyed = docs.select(row_key().alias("key"), F.struct("*").alias("row"))
-    groups = near_copies(docs.select(row_key().alias("doc_id"), "text"), shingle)
-    stay = spool(groups.where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct())
+    with scratch(docs.sparkSession) as keep:
+        groups = near_copies(docs.select(row_key().alias("doc_id"), "text"), shingle)
+        stay = keep(groups.where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct())
     return keyed.join(stay, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
