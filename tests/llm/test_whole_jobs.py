@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -208,3 +209,60 @@ def test_scratch_keeps_what_it_is_asked_to(spark):
         last = outer(inner.selectExpr("id + 1 id"))
     assert sorted(x["id"] for x in last.collect()) == [2, 3, 4]
     assert not any(os.path.exists(f.removeprefix("file://")) for f in inner.inputFiles())
+
+
+def test_dealing_keys_takes_no_longer_for_more_buckets():
+    """Keys of a task are put in order once, not once for each bucket; nothing of them is lost."""
+    r = np.random.default_rng(2)
+    key, lid = (r.integers(-(1 << 63), 1 << 63, 300_000, np.int64) for _ in range(2))
+    for short in (False, True):
+        began = time.process_time()
+        rows = lines.dealt([(key[:1000], lid[:1000]), (key[1000:], lid[1000:])], 5000, short)
+        assert time.process_time() - began < 2 and rows.num_rows == 5000
+        got = [np.frombuffer(v.as_buffer(), np.int64) for v in rows.column(2)]
+        assert sorted(np.concatenate(got).tolist()) == sorted(lid.tolist())
+    whole = {}
+    for bucket, keys, lids in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+        whole |= dict(zip(np.frombuffer(lids, np.int64).tolist(), ((bucket, k) for k in np.frombuffer(keys, np.uint32).tolist()), strict=True))
+    told = dict(zip(lid.tolist(), (key.view(np.uint64) >> np.uint64(33 - 5000 .bit_length())).tolist(), strict=True))
+    assert {k: at[1] * 5000 + at[0] for k, at in whole.items()} == told
+
+
+def test_unlike_lines_of_common_syllables_share_few_keys():
+    """Keys are nearly whole segments: what lines of a small vocabulary have in common by chance seldom makes one."""
+    r = random.Random(4)
+    syllables = [a + b for a in "bdfklmnrst" for b in ("a", "e", "i", "on", "er ", "th ")]
+    x = lines.Lines(["".join(r.choice(syllables) for _ in range(r.randrange(16, 60))) for _ in range(6000)])
+    holders = {}
+    for lists in x.keys(x.size >= 32):
+        for line, keys in enumerate(lists.to_pylist()):
+            for k in keys:
+                holders.setdefault(k, set()).add(line)
+    assert len(holders) > 30_000 and sum(len(v) for v in holders.values() if len(v) > 1) < 600
+
+
+@pytest.mark.parametrize("family, keyed", [(lines.FAMILY, lines.KEYED), (1, lines.KEYED), (1, 1)])
+def test_links_of_large_families(spark, monkeypatch, family, keyed):
+    """Chains of keys hold unlike lines together; they are compared under their keys only, and no link is lost."""
+    monkeypatch.setattr(lines, "FEW", 1)
+    monkeypatch.setattr(lines, "PAIRWISE", 1)
+    monkeypatch.setattr(lines, "FAMILY", family)
+    monkeypatch.setattr(lines, "KEYED", keyed)
+    r = random.Random(31)
+    halves = ["".join(r.choice("abcdefghijklmnop") for _ in range(18)) for _ in range(41)]
+    texts = [halves[i + i % 2] + halves[i + 1 - i % 2] for i in range(40)]  # each has a half in common with the next one
+    texts += [t[:3] + "z" + t[4:] if i % 3 else t[:9] + "yyy" + t[12:] for i, t in enumerate(texts)]
+    sizes, made = [], lines._group_links
+
+    def counting(rows, *more):
+        sizes.append(rows.groupBy("component").count().agg({"count": "max"}).first()[0] or 0)
+        return made(rows, *more)
+
+    monkeypatch.setattr(lines, "_group_links", counting)
+    close = lambda i, j: edit(texts[i], texts[j]) <= 1 + min(len(texts[i]), len(texts[j])) // 40
+    known = {(i, j): close(i, j) for i in range(len(texts)) for j in range(i, len(texts))}
+    label = groups(list(range(len(texts))), lambda i, j: known[min(i, j), max(i, j)])
+    got = {x["doc_id"]: x["n_dropped"] for x in lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    assert got == {i: int(label[i] != i) for i in label} and 20 < sum(got.values()) < 60
+    if family == 1 < keyed:
+        assert 0 < max(sizes) < 12
